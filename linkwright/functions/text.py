@@ -157,7 +157,7 @@ def standardize_facility_name(c: Column) -> Column:
 
 
 def _nonempty(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 ZIP_RE = r"(?U)\b\d{5}(?:-\d{4})?\b"
@@ -170,17 +170,19 @@ def parse_components(c: Column) -> Column:
     zip = first ZIP match, every copy removed; unit = first unit match in
     what is left, every copy removed; house = leading digits of the rest.
     street/city/state are never filled (as in the rule being reproduced).
+    Written without conditionals (``replace`` with an empty search string is
+    the identity) so the expression stays small and CSE can share parts.
     """
     s = F.coalesce(c, F.lit(""))
-    zipcode = _nonempty(F.regexp_extract(s, ZIP_RE, 0))
-    s1 = F.when(zipcode.isNotNull(), F.replace(s, zipcode, F.lit(""))).otherwise(s)
-    unit = _nonempty(F.regexp_extract(s1, UNIT_RE, 0))
-    s2 = F.when(unit.isNotNull(), F.replace(s1, unit, F.lit(""))).otherwise(s1)
-    house = _nonempty(F.regexp_extract(s2, r"(?U)^\d+", 0))
+    z = F.regexp_extract(s, ZIP_RE, 0)
+    s1 = F.replace(s, z, F.lit(""))
+    u = F.regexp_extract(s1, UNIT_RE, 0)
+    s2 = F.replace(s1, u, F.lit(""))
+    house = F.regexp_extract(s2, r"(?U)^\d+", 0)
     null = F.lit(None).cast("string")
-    return F.struct(house.alias("house_number"), null.alias("street_name"),
-                    unit.alias("unit"), null.alias("city"), null.alias("state"),
-                    zipcode.alias("zipcode"))
+    return F.struct(_nonempty(house).alias("house_number"), null.alias("street_name"),
+                    _nonempty(u).alias("unit"), null.alias("city"), null.alias("state"),
+                    _nonempty(z).alias("zipcode"))
 
 
 def parse_components_tokens(c: Column) -> Column:
@@ -214,12 +216,13 @@ def parse_address_regex(c: Column) -> Column:
     everywhere), leading number (removed once), then split on commas:
     street = first part, city = last part when there are several."""
     s = F.coalesce(c, F.lit(""))
-    zip_full = _nonempty(F.regexp_extract(s, r"(?U)(\d{5})(?:-\d{4})?", 0))
-    s1 = F.when(zip_full.isNotNull(), F.replace(s, zip_full, F.lit(""))).otherwise(s)
-    state = _nonempty(F.regexp_extract(s1, r"(?U)\b([A-Z]{2})\b", 0))
-    s2 = F.when(state.isNotNull(), F.replace(s1, state, F.lit(""))).otherwise(s1)
+    zip_raw = F.regexp_extract(s, r"(?U)(\d{5})(?:-\d{4})?", 0)
+    s1 = F.replace(s, zip_raw, F.lit(""))
+    state_raw = F.regexp_extract(s1, r"(?U)\b([A-Z]{2})\b", 0)
+    s2 = F.replace(s1, state_raw, F.lit(""))
     number = _nonempty(F.regexp_extract(s2, r"(?U)^\s*(\d+)", 1))
-    s3 = F.when(number.isNotNull(), F.regexp_replace(s2, r"(?U)^(\s*)\d+", "$1")).otherwise(s2)
+    s3 = F.regexp_replace(s2, r"(?U)^(\s*)\d+", "$1")
+    zip_full, state = _nonempty(zip_raw), _nonempty(state_raw)
     parts = F.filter(F.transform(F.split(s3, ","), pystrip), lambda p: p != "")
     street = F.get(parts, 0)
     city = F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 1))
@@ -232,14 +235,27 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), 0)
 
 
-def ngrams_of(toks: Column, n: int | Column) -> Column:
-    """Word n-grams joined by one space; empty when fewer than n tokens."""
-    n = F.lit(n) if isinstance(n, int) else n
-    size = F.size(toks)
-    return F.when(
-        (n >= 1) & (size >= n),
-        F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(toks, i + 1, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+def ngrams_fixed(toks: Column, n: int) -> Column:
+    """Word n-grams (fixed n >= 1) joined by one space; empty when fewer than
+    n tokens. Built from shifted slices with ``zip_with`` so no lambda
+    refers to the outer array (which would re-evaluate it per element)."""
+    if n == 1:
+        return toks
+    big = 1 << 30
+    acc = toks
+    for i in range(1, n):
+        acc = F.zip_with(acc, F.slice(toks, i + 1, big), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.filter(acc, lambda x: x.isNotNull())
+
+
+def ngrams_of(toks: Column, n: int | Column, max_n: int = 3) -> Column:
+    """Word n-grams for a fixed or per-row ``n`` (per-row n <= max_n)."""
+    if isinstance(n, int):
+        return ngrams_fixed(toks, n) if n >= 1 else F.array().cast("array<string>")
+    out = F.array().cast("array<string>")
+    for k in range(max_n, 0, -1):
+        out = F.when(n == k, ngrams_fixed(toks, k)).otherwise(out)
+    return out
 
 
 def ngrams(c: Column, n: int = 2) -> Column:
@@ -252,3 +268,75 @@ def format_address(num: Column, street: Column, typ: Column, city: Column,
     e = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     return F.trim(F.concat(e(num), F.lit(" "), e(street), F.lit(" "), e(typ), F.lit(", "),
                            e(city), F.lit(", "), e(state), F.lit(" "), e(zipc)))
+
+
+# ---------------------------------------------------------------------------
+# O-PRS4: rule-based address tagger (re-aim of a trained sequence tagger).
+# Only regex features shared by Java and RE2 are used (no look-around), so
+# the same patterns run in the DuckDB oracle.
+# ---------------------------------------------------------------------------
+TAG_DIRECTIONS = ["NORTHEAST", "NORTHWEST", "SOUTHEAST", "SOUTHWEST", "NORTH", "SOUTH", "EAST",
+                  "WEST", "NE", "NW", "SE", "SW", "N", "S", "E", "W"]
+TAG_SUFFIXES = sorted({*STREET_TYPES.keys(), *STREET_TYPES.values(), *USPS_SUFFIX.keys(),
+                       *USPS_SUFFIX.values(), "wy", "str", "blv"}, key=lambda x: (-len(x), x))
+TAG_UNITS = ["APARTMENT", "BUILDING", "DEPARTMENT", "FLOOR", "ROOM", "SUITE", "UNIT",
+             "APT", "BLDG", "DEPT", "FL", "RM", "STE"]
+
+
+def _alt(words) -> str:
+    return "|".join(w.upper() for w in words)
+
+
+def tagger_patterns() -> dict[str, str]:
+    """Regexes of the tagger (shared with the SQL oracle)."""
+    zip_tail = r"(\d{5}(?:-\d{4})?)\s*$"
+    state_names = sorted({*US_STATES.keys()}, key=lambda x: (-len(x), x))
+    state_tail = (r"(?i)(?:^|[\s,])(" + "|".join(sorted({v.upper() for v in US_STATES.values()}))
+                  + "|" + "|".join(state_names) + r")\s*,?\s*$")
+    unit_part = r"(?i)^(?:(" + _alt(TAG_UNITS) + r")\.?\s*|(#)\s*)([A-Za-z0-9-]+)$"
+    d = _alt(TAG_DIRECTIONS)
+    street = (r"(?i)^\s*(\d+[A-Za-z]?(?:-\d+)?)?\s*"
+              r"(?:(" + d + r")\.?\s+)?"
+              r"(.+?)"
+              r"(?:\s+(" + _alt(TAG_SUFFIXES) + r")\.?)?"
+              r"(?:\s+(" + d + r")\.?)?"
+              r"(?:\s*,?\s*(?:(" + _alt(TAG_UNITS) + r")\.?\s*|(#)\s*)([A-Za-z0-9-]+))?"
+              r"\s*$")
+    return {"zip": zip_tail, "state": state_tail, "unit": unit_part, "street": street}
+
+
+def tag_address(c: Column) -> Column:
+    """O-PRS4: struct of AddressNumber, StreetNamePreDirectional, StreetName,
+    StreetNamePostType, StreetNamePostDirectional, OccupancyType,
+    OccupancyIdentifier, PlaceName, StateName, ZipCode (NULL when absent).
+
+    Right to left: ZIP at the end, then a state code or name, then comma
+    parts: the last of several is the city, the first is the street line,
+    a middle part shaped like a unit is the unit. The street line is one
+    regex: number, pre-direction, name (shortest), suffix, post-direction,
+    unit.
+    """
+    pt = tagger_patterns()
+    s = F.trim(F.coalesce(c, F.lit("")))
+    zipc = F.regexp_extract(s, pt["zip"], 1)
+    s1 = F.regexp_replace(s, pt["zip"], "")
+    state = F.regexp_extract(s1, pt["state"], 1)
+    s2 = F.regexp_replace(s1, pt["state"], "")
+    parts = F.filter(F.transform(F.split(s2, ","), pystrip), lambda p: p != "")
+    n = F.size(parts)
+    street_line = F.coalesce(F.get(parts, 0), F.lit(""))
+    city = F.when(n >= 2, F.get(parts, n - 1))
+    middle = F.when(n >= 3, F.get(parts, 1))
+    m = street_line
+    g = {i: _nonempty(F.regexp_extract(m, pt["street"], i)) for i in range(1, 9)}
+    mu_type = _nonempty(F.regexp_extract(F.coalesce(middle, F.lit("")), pt["unit"], 1))
+    mu_hash = _nonempty(F.regexp_extract(F.coalesce(middle, F.lit("")), pt["unit"], 2))
+    mu_id = _nonempty(F.regexp_extract(F.coalesce(middle, F.lit("")), pt["unit"], 3))
+    occ_type = F.coalesce(g[6], g[7], mu_type, mu_hash)
+    occ_id = F.coalesce(g[8], mu_id)
+    return F.struct(
+        g[1].alias("AddressNumber"), g[2].alias("StreetNamePreDirectional"),
+        g[3].alias("StreetName"), g[4].alias("StreetNamePostType"),
+        g[5].alias("StreetNamePostDirectional"), occ_type.alias("OccupancyType"),
+        occ_id.alias("OccupancyIdentifier"), city.alias("PlaceName"),
+        _nonempty(state).alias("StateName"), _nonempty(zipc).alias("ZipCode"))

@@ -10,6 +10,7 @@ costs no extra shuffle. Top-1 per left row is a ``max_by`` aggregate
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +133,11 @@ def best_match(left: DataFrame, right: DataFrame, threshold: float = 0.8,
 
     Output: address1_id, address1, address2_id, address2, similarity.
     """
-    L = prepare_addresses(left, id_col, address_col)
-    R = prepare_addresses(right, id_col, address_col, right_order)
+    # both sides feed two small flag aggregates and the join: persist them
+    # so the standardization runs once (lost blocks recompute from lineage)
+    L = prepare_addresses(left, id_col, address_col).persist(StorageLevel.MEMORY_AND_DISK)
+    R = prepare_addresses(right, id_col, address_col, right_order) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     pairs = best_match_candidates(L, R, threshold)
     scored = pairs.withColumn("similarity", S.address_similarity_v1_std(
         F.col("l_std"), F.col("r_std"), F.col("l_comp"), F.col("r_comp")))

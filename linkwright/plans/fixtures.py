@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_parallelism
+
 # --- fixed fixture values (ours; ASCII only so the RE2 oracle agrees) -------
 STREETS = ["Main", "Oak", "Pine", "Maple", "Cedar", "Elm", "Washington", "Lake",
            "Hill", "Park", "River", "Sunset"]
@@ -68,8 +70,8 @@ def left_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     p["zipc"])
     lat = F.lit(30.0) + ((k * 7919) % 100000) / F.lit(10000.0)
     lon = F.lit(-120.0) + ((k * 104729) % 100000) / F.lit(10000.0)
-    return c.select(k.alias("id"), addr.alias("address"), lat.alias("latitude"),
-                    lon.alias("longitude"))
+    return ensure_parallelism(c.select(k.alias("id"), addr.alias("address"),
+                                       lat.alias("latitude"), lon.alias("longitude")))
 
 
 def right_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +89,8 @@ def right_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(", "), p["city"], F.lit(", "), tail)
     lat = F.lit(30.0) + ((k * 7919) % 100000) / F.lit(10000.0) + ((k % 3) - 1) * F.lit(0.0004)
     lon = F.lit(-120.0) + ((k * 104729) % 100000) / F.lit(10000.0) + ((k % 4) - 1) * F.lit(0.0003)
-    return c.select(k.alias("id"), addr.alias("address"), lat.alias("latitude"),
-                    lon.alias("longitude"))
+    return ensure_parallelism(c.select(k.alias("id"), addr.alias("address"),
+                                       lat.alias("latitude"), lon.alias("longitude")))
 
 
 def _sql_left_parts(k: str = "c_custkey", n: str = "c_nationkey") -> dict[str, str]:

@@ -85,3 +85,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ensure_parallelism(df, min_partitions: int | None = None):
+    """Spread a small input over the cluster before CPU-heavy row work.
+
+    A tiny file is one scan partition, so per-row string scoring would run
+    on one core. Repartition (round-robin) only when the plan has fewer
+    partitions than the cluster's default parallelism; large inputs already
+    have enough partitions and are returned untouched (no extra shuffle).
+    """
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
