@@ -237,3 +237,75 @@ def sql_messy_records() -> str:
           f"[{first}, {phone}, {city}, NULL, {phone}])")
     return (f"SELECT c_custkey AS pos, CASE c_custkey % 4 WHEN 0 THEN {m0} WHEN 1 THEN {m1} "
             f"WHEN 2 THEN {m2} ELSE {m3} END AS record FROM customer")
+
+
+# --- facility-style parents / atoms for the linkage queries -----------------
+# name = three letters from k + a facility kind from the market segment; the
+# atom copy varies the kind. The letters keep name-prefix blocks small.
+KINDS = {"AUTOMOBILE": "Hospital", "BUILDING": "Medical Center", "FURNITURE": "Clinic",
+         "HOUSEHOLD": "Health Care", "MACHINERY": "Saint Mary Hospital"}
+
+
+def _letters(k: Column) -> Column:
+    def ch(x: Column) -> Column:
+        return F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (x % 26 + 1).cast("int"), 1)
+    return F.concat(ch(k), F.lower(ch(F.floor(k / F.lit(26)))), F.lower(ch(F.floor(k / F.lit(676)))))
+
+
+def _kind(seg: Column) -> Column:
+    out = F.lit("Clinic")
+    for s, kd in KINDS.items():
+        out = F.when(seg == s, F.lit(kd)).otherwise(out)
+    return out
+
+
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, name, address, auth_id) from customer + the left address."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    a = left_addresses(spark, sf_dir).select("id", "address")
+    k = F.col("c_custkey")
+    named = c.select(k.alias("id"), F.concat(_letters(k.cast("long")), F.lit("ton "),
+                                              _kind(F.col("c_mktsegment"))).alias("name"),
+                     F.concat(F.lit("PHY"), _s(k)).alias("auth_id"))
+    return a.join(named, "id").select(_s(F.col("id")).alias("id"), "name", "address", "auth_id")
+
+
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atom copy: the varied address, 'The ' before the name when k % 3 = 0,
+    ' Lab' after it when k % 2 = 0, auth id missing when k % 4 = 0."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    a = right_addresses(spark, sf_dir).select("id", "address")
+    k = F.col("c_custkey")
+    base = F.concat(_letters(k.cast("long")), F.lit("ton "), _kind(F.col("c_mktsegment")))
+    name = F.concat(F.when(k % 3 == 0, F.lit("The ")).otherwise(F.lit("")), base,
+                    F.when(k % 2 == 0, F.lit(" Lab")).otherwise(F.lit("")))
+    named = c.select(k.alias("id"), name.alias("name"),
+                     F.when(k % 4 != 0, F.concat(F.lit("PHY"), _s(k))).alias("auth_id"))
+    return a.join(named, "id").select(_s(F.col("id")).alias("id"), "name", "address", "auth_id")
+
+
+def _sql_letters(k: str) -> str:
+    al = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+    return (f"substr({al}, CAST({k} % 26 + 1 AS INTEGER), 1) || "
+            f"lower(substr({al}, CAST(({k} // 26) % 26 + 1 AS INTEGER), 1)) || "
+            f"lower(substr({al}, CAST(({k} // 676) % 26 + 1 AS INTEGER), 1))")
+
+
+def _sql_kind() -> str:
+    return "CASE c_mktsegment " + " ".join(f"WHEN '{s}' THEN '{kd}'" for s, kd in KINDS.items()) \
+        + " ELSE 'Clinic' END"
+
+
+def sql_parents() -> str:
+    return (f"SELECT CAST(c.c_custkey AS VARCHAR) AS id, {_sql_letters('c.c_custkey')} || 'ton ' || "
+            f"{_sql_kind()} AS name, l.address, 'PHY' || CAST(c.c_custkey AS VARCHAR) AS auth_id "
+            f"FROM customer c JOIN ({sql_left_addresses()}) l ON l.id = c.c_custkey")
+
+
+def sql_atoms() -> str:
+    base = f"{_sql_letters('c.c_custkey')} || 'ton ' || {_sql_kind()}"
+    return (f"SELECT CAST(c.c_custkey AS VARCHAR) AS id, "
+            f"CASE WHEN c.c_custkey % 3 = 0 THEN 'The ' ELSE '' END || {base} || "
+            f"CASE WHEN c.c_custkey % 2 = 0 THEN ' Lab' ELSE '' END AS name, r.address, "
+            f"CASE WHEN c.c_custkey % 4 <> 0 THEN 'PHY' || CAST(c.c_custkey AS VARCHAR) END AS auth_id "
+            f"FROM customer c JOIN ({sql_right_addresses()}) r ON r.id = c.c_custkey")

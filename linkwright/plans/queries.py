@@ -430,3 +430,111 @@ def q_geo(spark, sf_dir):
     d = geo.geo_distance_m(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude"),
                            method="haversine")
     return j.select("id", F.round(d, 3).alias("distance_m"))
+
+
+# ----------------------------------------------- O-PRS4, O-STD3, O-BLK1, O-JOIN1
+_PARENTS = f"({X.sql_parents()})"
+_ATOMS = f"({X.sql_atoms()})"
+_PREP_P = f"({O.prepared_sql(X.sql_parents())})"
+_PREP_A = f"({O.prepared_sql(X.sql_atoms())})"
+
+SQL_USPS = f"""
+SELECT id, name, street_number, street_name, unit, city, state, zip5,
+       array_to_string(keys, ',') AS block_keys
+FROM {_PREP_A} t
+"""
+
+
+def _prepared(df: DataFrame) -> DataFrame:
+    from ..operators import linkage as LK
+    return LK.blocking_keys(LK.standardize_usps(df))
+
+
+@register("usps_blocking", SQL_USPS)
+def q_usps_blocking(spark, sf_dir):
+    """O-PRS4 tagger + O-STD3 USPS components + O-STD4 name + O-BLK1 keys
+    for every derived atom (the varied addresses)."""
+    a = _prepared(X.atoms(spark, sf_dir))
+    return a.select("id", "name", "street_number", "street_name", "unit", "city", "state", "zip5",
+                    F.array_join("keys", ",").alias("block_keys"))
+
+
+SQL_CANDIDATES = f"""
+WITH pk AS (SELECT id, unnest(keys) AS k FROM {_PREP_P} p),
+     ak AS (SELECT id, unnest(keys) AS k FROM {_PREP_A} a)
+SELECT DISTINCT pk.id AS parent_id, ak.id AS atom_id FROM pk JOIN ak ON pk.k = ak.k
+"""
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    from ..operators import linkage as LK
+    P = _prepared(X.parents(spark, sf_dir)).select("id", "keys")
+    A = _prepared(X.atoms(spark, sf_dir)).select("id", "keys")
+    return LK.candidate_pairs(P, A).select(F.col("p_id").alias("parent_id"),
+                                           F.col("a_id").alias("atom_id"))
+
+
+@register("candidate_pairs", SQL_CANDIDATES)
+def q_candidate_pairs(spark, sf_dir):
+    """O-JOIN1: parent/atom pairs sharing a blocking key, each once."""
+    return _candidates(spark, sf_dir)
+
+
+SQL_EVAL_BLOCKING = f"""
+WITH c AS ({SQL_CANDIDATES}),
+     t AS (SELECT id AS parent_id, id AS atom_id FROM {_ATOMS} a),
+     j AS (SELECT c.parent_id IS NOT NULL AS pred, t.parent_id IS NOT NULL AS tru
+           FROM c FULL OUTER JOIN t ON c.parent_id = t.parent_id AND c.atom_id = t.atom_id),
+     s AS (SELECT count(*) FILTER (WHERE pred AND tru) AS tp,
+                  count(*) FILTER (WHERE pred AND NOT tru) AS fp,
+                  count(*) FILTER (WHERE tru AND NOT pred) AS fn,
+                  count(*) FILTER (WHERE pred) AS np, count(*) FILTER (WHERE tru) AS nt FROM j)
+SELECT round(tp / greatest(np, 1), 6) AS precision, round(tp / greatest(nt, 1), 6) AS recall,
+       round(2 * (tp / greatest(np, 1)) * (tp / greatest(nt, 1)) /
+             greatest(tp / greatest(np, 1) + tp / greatest(nt, 1), 1e-5), 6) AS f1_score,
+       tp AS true_positives, fp AS false_positives, fn AS false_negatives
+FROM s
+"""
+
+
+@register("evaluate_blocking", SQL_EVAL_BLOCKING)
+def q_evaluate_blocking(spark, sf_dir):
+    """O-EVA1: blocking recall/precision of O-JOIN1 against the known truth
+    (each atom is the copy of the parent with the same key)."""
+    from ..operators import linkage as LK
+    truth = X.atoms(spark, sf_dir).select(F.col("id").alias("parent_id"), F.col("id").alias("atom_id"))
+    ev = LK.evaluate(_candidates(spark, sf_dir), truth)
+    return ev.select(r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"),
+                     r6(F.col("f1_score")).alias("f1_score"), "true_positives", "false_positives",
+                     "false_negatives")
+
+
+@register("linkage_features")
+def q_linkage_features(spark, sf_dir):
+    """O-FEA1 over every candidate pair (token ratios use the LCS Arrow UDF:
+    no SQL oracle)."""
+    from ..operators import linkage as LK
+    from . import linkage as PL
+    feats = PL.pair_features(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), with_geo=False)
+    return feats.select(F.col("p_id").alias("parent_id"), F.col("a_id").alias("atom_id"),
+                        *[r6(F.col(c)).alias(c) for c in LK.FEATURES_9])
+
+
+@register("link_records")
+def q_link_records(spark, sf_dir):
+    """O-LNK1 end to end on the derived parents/atoms: O-FEA1 features of the
+    candidate pairs are computed once and persisted; a forest (O-ML1, 100
+    trees, seed 42) is trained on them with label = same customer; the same
+    table is scored (O-ML3), classified (O-CLS1), explained (O-LNK3) and
+    presented (O-LNK4)."""
+    from pyspark import StorageLevel
+
+    from ..operators import linkage as LK
+    from ..operators import model as M
+    from . import linkage as PL
+    feats = PL.pair_features(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), with_geo=False)
+    feats = feats.withColumn("is_match", (F.col("p_id") == F.col("a_id")).cast("int")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    model = M.train_forest(feats, LK.FEATURES_9, "is_match")
+    scored = M.score_matches(feats, model, features=LK.FEATURES_9)
+    return LK.readable(LK.explain(LK.classify(scored)))
