@@ -538,3 +538,166 @@ def q_link_records(spark, sf_dir):
     model = M.train_forest(feats, LK.FEATURES_9, "is_match")
     scored = M.score_matches(feats, model, features=LK.FEATURES_9)
     return LK.readable(LK.explain(LK.classify(scored)))
+
+
+# ------------------------------------------------------------ O-NRM4..8 (full)
+def _sql_map(d: dict[str, str]) -> str:
+    return "MAP([" + ", ".join(O.q(k) for k in d) + "], [" + ", ".join(O.q(v) for v in d.values()) + "])"
+
+
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _sql_norm_value(tgt: str, v: str) -> str:
+    email = f"CASE WHEN {v} IS NULL OR {v} = '' THEN NULL ELSE {_STRIP.format(x='lower(' + v + ')')} END"
+    phone = f"CASE WHEN {v} IS NULL OR {v} = '' THEN NULL ELSE regexp_replace({v}, '[^0-9+]', '', 'g') END"
+    return (f"CASE WHEN {v} IS NULL THEN NULL WHEN {tgt} = 'email' THEN {email} "
+            f"WHEN {tgt} = 'phone' THEN {phone} ELSE {_STRIP.format(x=v)} END")
+
+
+_FULL_TARGETS = ["customer_id", "loyalty_level", "first_name", "last_name", "email", "phone", "address"]
+_REV_CUSTOMER = fields._reverse_map("customer", fields.FULL_MAPPINGS)
+SQL_NORMALIZE_FULL = f"""
+WITH r0 AS (SELECT pos, list_transform(map_entries(record), lambda e:
+             {{'key': e.key, 'value': e.value,
+               'tgt': {_sql_map(_REV_CUSTOMER)}[{_CLEAN}]}}) AS t0 FROM {_MESSY} m),
+r AS (SELECT pos, list_transform(t0, lambda e: {{'key': e.key, 'value': e.value, 'tgt': e.tgt,
+               'nv': {_sql_norm_value('e.tgt', 'e.value')}}}) AS t FROM r0),
+a AS (SELECT pos, t,
+  list_transform(t, lambda e, i: CASE WHEN e.tgt IS NULL THEN NULL
+    WHEN len(list_filter(t[1:i - 1], lambda x: x.tgt = e.tgt)) = 0 THEN 'mapped'
+    WHEN e.value IS NOT NULL AND len(list_filter(t[1:i - 1], lambda x: x.tgt = e.tgt AND x.nv IS NOT NULL)) = 0
+      THEN 'overwritten' ELSE 'skipped' END) AS acts
+  FROM r),
+v AS (SELECT pos, t, acts,
+  {", ".join(f"list_filter(t, lambda e: e.tgt = '{c}' AND e.nv IS NOT NULL)[1].nv AS v_{c}" for c in _FULL_TARGETS)},
+  {", ".join(f"len(list_filter(t, lambda e: e.tgt = '{c}')) > 0 AS p_{c}" for c in _FULL_TARGETS)}
+  FROM a)
+SELECT pos,
+  {", ".join(f"v_{c} AS {c}" for c in _FULL_TARGETS if c != "loyalty_level")},
+  coalesce(v_loyalty_level, 'standard') AS loyalty_level,
+  {" + ".join(f"CAST(p_{c} AS INTEGER)" for c in _FULL_TARGETS if c != "loyalty_level")}
+    + 1 AS n_fields,
+  len(list_filter(acts, lambda x: x = 'mapped')) AS n_mapped,
+  len(list_filter(acts, lambda x: x = 'overwritten')) AS n_overwritten,
+  len(list_filter(acts, lambda x: x = 'skipped')) AS n_skipped,
+  len(list_filter(t, lambda e: e.tgt IS NULL)) AS n_unmatched,
+  CASE WHEN v_loyalty_level IS NULL THEN 1 ELSE 0 END AS n_defaults,
+  CASE WHEN v_customer_id IS NULL THEN 1 ELSE 0 END + CASE WHEN v_email IS NULL THEN 1 ELSE 0 END
+    AS n_errors
+FROM v
+"""
+
+
+@register("normalize_full", SQL_NORMALIZE_FULL)
+def q_normalize_full(spark, sf_dir):
+    """O-NRM4..8 with mapping key 'customer': reverse alias map plus default
+    aliases, value rules (email, phone, strip), defaults, required fields,
+    full audit (counted per action)."""
+    out = fields.normalize_full(X.messy_records(spark, sf_dir), "customer")
+    n = F.col("normalized")
+    m = F.col("audit.matched")
+    cols = [n[c].alias(c) for c in _FULL_TARGETS]
+
+    def count(action):
+        return F.size(F.filter(m, lambda e: e["action"] == action))
+
+    return out.select("pos", *cols, F.size(n).alias("n_fields"),
+                      count(fields.ACTION_MAPPED).alias("n_mapped"),
+                      count(fields.ACTION_OVERWRITTEN).alias("n_overwritten"),
+                      count(fields.ACTION_SKIPPED).alias("n_skipped"),
+                      F.size("audit.unmatched").alias("n_unmatched"),
+                      F.size("audit.defaults_applied").alias("n_defaults"),
+                      F.size("audit.validation_errors").alias("n_errors"))
+
+
+# ------------------------------------------------------------ O-NRM2 / O-NRM3
+_FUZZY = fields.FUZZY_MAPPINGS["default"]
+
+
+def _sql_fuzzy_tgt(name: str) -> str:
+    parts = []
+    for tgt, aliases in _FUZZY.items():
+        al = "[" + ", ".join(O.q(a.lower()) for a in aliases) + "]"
+        parts.append(f"WHEN len(list_filter({al}, lambda a: contains({name}, a))) > 0 THEN '{tgt}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+SQL_FUZZY = f"""
+WITH r AS (SELECT pos, list_transform(map_entries(record), lambda e:
+             {{'value': e.value, 'tgt': {_sql_fuzzy_tgt(_CLEAN)}}}) AS t FROM {_MESSY} m)
+SELECT pos,
+  {", ".join(f"CASE WHEN len(list_filter(t, lambda e: e.tgt = '{c}')) > 0 THEN list_filter(t, lambda e: e.tgt = '{c}')[-1].value ELSE {O.q('n/a') if c == 'city' else 'NULL'} END AS {c}" for c in _FUZZY)}
+FROM r
+"""
+
+
+@register("normalize_fuzzy", SQL_FUZZY)
+def q_normalize_fuzzy(spark, sf_dir):
+    """O-NRM2: contains-match of aliases, first target wins, last source
+    wins, default for city 'n/a'."""
+    return fields.normalize_fields_fuzzy(X.messy_records(spark, sf_dir), "default",
+                                         default_values={"city": "n/a"})
+
+
+_FUZZY_C = fields.FUZZY_MAPPINGS["customer"]
+
+
+def _sql_fuzzy_tgt_c(name: str) -> str:
+    parts = []
+    for tgt, aliases in _FUZZY_C.items():
+        al = "[" + ", ".join(O.q(a.lower()) for a in aliases) + "]"
+        parts.append(f"WHEN len(list_filter({al}, lambda a: contains({name}, a))) > 0 THEN '{tgt}'")
+    return "CASE " + " ".join(parts) + " END"
+
+
+SQL_MODEL = f"""
+WITH r AS (SELECT pos, list_transform(map_entries(record), lambda e:
+             {{'value': e.value, 'tgt': {_sql_fuzzy_tgt_c(_CLEAN)}}}) AS t FROM {_MESSY} m),
+v AS (SELECT pos,
+  {", ".join(f"CASE WHEN len(list_filter(t, lambda e: e.tgt = '{c}')) > 0 THEN list_filter(t, lambda e: e.tgt = '{c}')[-1].value ELSE {O.q('Basic') if c == 'membership_level' else 'NULL'} END AS {c}" for c in _FUZZY_C)}
+  FROM r)
+SELECT *, CAST(customer_id IS NULL AS INTEGER) + CAST(email IS NULL AS INTEGER) AS n_errors FROM v
+"""
+
+
+@register("to_model", SQL_MODEL)
+def q_to_model(spark, sf_dir):
+    """O-NRM3: customer model (membership_level defaults to 'Basic'),
+    required customer_id and email."""
+    out = fields.to_model(X.messy_records(spark, sf_dir), "customer",
+                          required=["customer_id", "email"])
+    return out.select("pos", *_FUZZY_C.keys(), F.size("errors").alias("n_errors"))
+
+
+# ------------------------------------------------------ JSON records (O-SRC1)
+_EVENT_MAPPING = {"default": {"kind": ["event_type", "type"], "user": ["user_id", "uid"],
+                              "score": ["k", "score"]}}
+SQL_EVENTS = """
+WITH r AS (SELECT event_id AS pos,
+  list_concat(map_entries(CAST(json(props) AS MAP(VARCHAR, VARCHAR))),
+              [{'key': 'Event_Type', 'value': event_type},
+               {'key': 'user_id', 'value': CAST(user_id AS VARCHAR)}]) AS t FROM events)
+SELECT pos,
+  list_filter(t, lambda e: lower(e.key) IN ('event_type', 'type') AND e.value IS NOT NULL)[1].value AS kind,
+  list_filter(t, lambda e: lower(e.key) IN ('user_id', 'uid') AND e.value IS NOT NULL)[1].value AS "user",
+  list_filter(t, lambda e: lower(e.key) IN ('k', 'score') AND e.value IS NOT NULL)[1].value AS score,
+  len(list_filter(t, lambda e: lower(e.key) NOT IN ('event_type', 'type', 'user_id', 'uid', 'k', 'score')))
+    AS n_unmatched
+FROM r
+"""
+
+
+@register("normalize_event_props", SQL_EVENTS)
+def q_event_props(spark, sf_dir):
+    """O-SRC1 path for JSON text columns: ``events.props`` parsed into an
+    ordered record map, extended with two columns, then O-NRM1."""
+    from ..sources import records as R
+    ev = X.read(spark, sf_dir, "events")
+    recs = R.records_from_json_column(ev, "props", "event_id")
+    extra = ev.select(F.col("event_id").cast("long").alias("pos"),
+                      F.create_map(F.lit("Event_Type"), F.col("event_type"), F.lit("user_id"),
+                                   F.col("user_id").cast("string")).alias("x"))
+    recs = recs.join(extra, "pos").select("pos", F.map_concat("record", "x").alias("record"))
+    out = fields.normalize_fields(recs, mappings=_EVENT_MAPPING)
+    return out.select("pos", "kind", "user", "score", F.size("audit.unmatched").alias("n_unmatched"))
