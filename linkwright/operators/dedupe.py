@@ -35,44 +35,77 @@ from .spatial import near_join
 MAX_ROUNDS = 10_000
 
 
-def _char_tokens(s: Column) -> Column:
-    """Occurrence-indexed characters: 'aab' -> ['a\\x01 1', 'a\\x01 2', 'b\\x01 1']."""
-    chars = F.filter(F.split(s, ""), lambda ch: ch != "")
+def _token_table(nodes: DataFrame) -> DataFrame:
+    """(ord, k) -> (ord, k, len, toks sorted rarest first)."""
+    toks = nodes.withColumn("_c", F.filter(F.split(F.col("k"), ""), lambda ch: ch != ""))
+    toks = toks.withColumn("_t", _char_tokens_of("_c"))
+    freq = toks.select(F.explode("_t").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+    ex = toks.select("ord", "k", F.explode("_t").alias("tok")).join(freq, "tok")
+    w = ex.groupBy("ord", "k").agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("_s"))
+    return w.select("ord", "k", F.length("k").alias("len"),
+                    F.transform("_s", lambda s: s["tok"]).alias("toks"))
+
+
+def jw_min_overlap_factor(threshold: float, p: float = 0.1) -> float:
+    """c in  m/l1 + m/l2 >= c  implied by JW >= threshold (boost <= 4p(1-j))."""
+    jmin = (threshold - 4 * p) / (1 - 4 * p) if threshold > 4 * p else 0.0
+    return 3 * jmin - 1
+
+
+def jw_candidates(left: DataFrame, right: DataFrame, threshold: float,
+                  p: float = 0.1) -> DataFrame:
+    """Lossless candidate pairs for JW(l.k, r.k) >= threshold.
 
+    With x the shorter string, m >= c*|x|*|y|/(|x|+|y|) >= c*|x|/2 matched
+    characters are needed, so x shares a character with y among its first
+    |x| - ceil(c*|x|/2) + 1 occurrence-indexed characters (rarest first, one
+    global order). x's prefix is joined with all of y's characters, for both
+    orientations; equal lengths keep only the left-short orientation. Pairs
+    sharing several keys are kept once. Inputs: (ord, k); output: (l_ord,
+    l_k, r_ord, r_k).
+    """
+    c = jw_min_overlap_factor(threshold, p)
+    if c <= 0:
+        raise ValueError("no lossless character filter below this threshold")
+    both = left.select("ord", "k", F.lit(0).alias("_side")).unionByName(
+        right.select("ord", "k", F.lit(1).alias("_side")))
+    tt = _token_table(both.select(F.struct("ord", "_side").alias("ord"), "k"))
+    alpha = F.greatest(F.lit(1), F.ceil(F.lit(c / 2 - 1e-12) * F.col("len")).cast("int"))
+    tt = tt.withColumn("prefix", F.slice("toks", 1, F.greatest(F.col("len") - alpha + 1, F.lit(1))))
+    tt = tt.persist()
+    L = tt.where(F.col("ord._side") == 0).select(F.col("ord.ord").alias("ord"), "k", "len", "prefix", "toks")
+    R = tt.where(F.col("ord._side") == 1).select(F.col("ord.ord").alias("ord"), "k", "len", "prefix", "toks")
+    # orientation 1: left is the shorter (or equal) string
+    o1 = keyed_pairs(L.withColumnRenamed("prefix", "keys"), R.withColumnRenamed("toks", "keys"))
+    o1 = o1.where(F.col("l_len") <= F.col("r_len"))
+    # orientation 2: right strictly shorter
+    o2 = keyed_pairs(R.withColumnRenamed("prefix", "keys"), L.withColumnRenamed("toks", "keys"),
+                     lprefix="r_", rprefix="l_")
+    o2 = o2.where(F.col("r_len") < F.col("l_len"))
+    cols = [F.col("l_ord"), F.col("l_k"), F.col("r_ord"), F.col("r_k")]
+    out = o1.select(*cols).unionByName(o2.select(*cols))
+    # residual: the multiset overlap bounds m from above
+    return out
+
+
+def _char_tokens_of(chars_col: str) -> Column:
+    """Occurrence-indexed characters of an array column: a, a -> a#1, a#2."""
     def tag(ch: Column, i: Column) -> Column:
-        occ = F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch))
+        occ = F.size(F.filter(F.slice(F.col(chars_col), 1, i + 1), lambda x: x == ch))
         return F.concat(ch, F.lit("\u0001"), occ.cast("string"))
-    return F.transform(chars, tag)
+    return F.transform(F.col(chars_col), tag)
 
 
 def jw_candidate_pairs(nodes: DataFrame, threshold: float, p: float = 0.1) -> DataFrame:
-    """Pairs (src < dst by ``ord``) that can reach JW >= threshold; lossless.
-
-    ``nodes``: (ord LONG, k STRING). Output: (src, dst, src_k, dst_k).
-    """
-    jmin = (threshold - 4 * p) / (1 - 4 * p) if threshold > 4 * p else 0.0
-    c = 3 * jmin - 1
-    toks = nodes.withColumn("_t", _char_tokens(F.col("k")))
-    if c <= 1:
-        # the bound gives no required overlap: any shared character suffices
-        need = F.lit(1)
-    else:
-        need = F.greatest(F.lit(1), F.ceil(F.lit(c - 1 - 1e-12) * F.length("k")).cast("int"))
-    # global order: rarest token first (frequencies: one row per distinct token)
-    freq = toks.select(F.explode("_t").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
-    ex = toks.select("ord", "k", F.posexplode("_t").alias("_i", "tok")).join(freq, "tok")
-    w = ex.groupBy("ord", "k").agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("_s"))
-    plen = F.greatest(F.length("k") - need + 1, F.lit(1))
-    keyed = w.select("ord", "k", F.transform(F.slice("_s", 1, plen), lambda s: s["tok"]).alias("keys"),
-                     F.transform("_s", lambda s: s["tok"]).alias("all_toks"))
-    pairs = keyed_pairs(keyed, keyed.select("ord", "k", "keys", "all_toks"))
-    pairs = pairs.where(F.col("l_ord") < F.col("r_ord"))
-    # residual bound with the multiset overlap (upper bound of m)
-    ov = F.size(F.array_intersect("l_all_toks", "r_all_toks"))
-    l1, l2 = F.length("l_k"), F.length("r_k")
-    bound = ov / l1 + ov / l2 >= F.lit(c - 1e-9)
-    return pairs.where(bound).select(F.col("l_ord").alias("src"), F.col("r_ord").alias("dst"),
-                                     F.col("l_k").alias("src_k"), F.col("r_k").alias("dst_k"))
+    """Self-pairs (src < dst by ``ord``) that can reach JW >= threshold."""
+    cand = jw_candidates(nodes, nodes, threshold, p)
+    cand = cand.where(F.col("l_ord") != F.col("r_ord"))
+    src = F.least("l_ord", "r_ord")
+    dst = F.greatest("l_ord", "r_ord")
+    k_src = F.when(F.col("l_ord") < F.col("r_ord"), F.col("l_k")).otherwise(F.col("r_k"))
+    k_dst = F.when(F.col("l_ord") < F.col("r_ord"), F.col("r_k")).otherwise(F.col("l_k"))
+    return cand.select(src.alias("src"), dst.alias("dst"), k_src.alias("src_k"),
+                       k_dst.alias("dst_k")).dropDuplicates(["src", "dst"])
 
 
 def elect_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:

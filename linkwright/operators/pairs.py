@@ -170,3 +170,136 @@ def _numeric_order(df: DataFrame, c: str) -> bool:
     if t in ("long", "integer", "short", "byte", "double", "float", "decimal"):
         return True
     raise ValueError(f"order column {c} must be numeric for earliest-wins ties")
+
+
+def token_prefix_keys(c: Column, n: int = 2) -> Column:
+    """Distinct n-character prefixes of the lower-cased word tokens."""
+    toks = text.tokens(c)
+    return F.array_distinct(F.transform(toks, lambda t: F.substring(t, 1, n)))
+
+
+def rare_token_keys(left: DataFrame, right: DataFrame, col: str = "k", n_keys: int = 2,
+                    prefix_len: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Add ``keys``: each row's ``n_keys`` rarest word prefixes, rarity
+    counted over both sides together (one aggregate, joined back, never
+    collected). Every row keeps its keys; frequent words stop forming the
+    huge blocks that make token blocking quadratic."""
+    def exploded(df, side):
+        return df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_side", F.lit(side))
+
+    l, r = exploded(left, 0), exploded(right, 1)
+    cols = ["_rid", "_side", F.explode(token_prefix_keys(F.col(col), prefix_len)).alias("key")]
+    ex = l.select(*cols).unionByName(r.select(*cols))
+    freq = ex.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ranked = ex.join(freq, "key").groupBy("_side", "_rid").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("n", "key"))), 1, n_keys).alias("_k"))
+    ranked = ranked.select("_side", "_rid", F.transform("_k", lambda x: x["key"]).alias("keys"))
+    lo = l.join(ranked.where(F.col("_side") == 0).drop("_side"), "_rid", "left")
+    ro = r.join(ranked.where(F.col("_side") == 1).drop("_side"), "_rid", "left")
+    fill = F.coalesce(F.col("keys"), F.array().cast("array<string>"))
+    return (lo.withColumn("keys", fill).drop("_rid", "_side"),
+            ro.withColumn("keys", fill).drop("_rid", "_side"))
+
+
+def link_names(left: DataFrame, right: DataFrame, threshold: float = 0.8,
+               left_key: str = "customer", right_key: str = "customer",
+               id_col: str = "id", right_order: str | None = None,
+               mode: str = "blocked", prefix_len: int = 2, n_keys: int = 1) -> DataFrame:
+    """O-JOIN6: for each left row the right row with the highest
+    Jaro-Winkler of the lower-cased names, strictly above ``threshold``;
+    ties -> earliest right row.
+
+    ``mode='blocked'`` (default): candidates share one of each name's
+    ``n_keys`` rarest word prefixes (``prefix_len`` letters; rarity over both
+    sides; the default 1 keeps common words from forming large blocks).
+    JW >= 0.8 only needs half of the characters to agree, so no selective
+    lossless key exists: a true match without such a shared prefix is missed
+    (stated recall loss). ``mode='exact'``: the
+    lossless character-prefix filter (``dedupe.jw_candidates``); its cost
+    approaches all pairs on names sharing common letters, so it is meant
+    for small inputs.
+    """
+    L = left.select(F.col(id_col).alias("lid"), F.col(left_key).alias("lname"),
+                    F.lower(F.coalesce(F.col(left_key), F.lit(""))).alias("k"))
+    R = right.select(F.col(id_col).alias("rid"), F.col(right_key).alias("rname"),
+                     F.col(right_order or id_col).alias("rord"),
+                     F.lower(F.coalesce(F.col(right_key), F.lit(""))).alias("k"))
+    if mode == "blocked":
+        lk, rk = rare_token_keys(L, R, "k", n_keys, prefix_len)
+        cand = keyed_pairs(lk, rk)
+        scored = cand.select(F.col("l_lid").alias("lid"), F.col("l_lname").alias("lname"),
+                             F.col("r_rid").alias("rid"), F.col("r_rname").alias("rname"),
+                             F.col("r_rord").alias("rord"), F.col("l_k"), F.col("r_k"))
+    elif mode == "exact":
+        from .dedupe import jw_candidates
+        L = L.withColumn("ord", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        R = R.withColumn("ord", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        cand = jw_candidates(L.select("ord", "k"), R.select("ord", "k"), threshold)
+        scored = cand.join(L.select(F.col("ord").alias("l_ord"), "lid", "lname"), "l_ord") \
+            .join(R.select(F.col("ord").alias("r_ord"), "rid", "rname", "rord"), "r_ord")
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    sim = S.jaro_winkler(F.col("l_k"), F.col("r_k"), 0.1, cap=True)
+    scored = scored.withColumn("score", sim).where(F.col("score") > threshold)
+    return top1(scored, "lid", ["lname"], ["rid", "rname"], "score", "rord") \
+        .select(F.col("lid").alias("left_id"), F.col("lname").alias("left_name"),
+                F.col("rid").alias("right_id"), F.col("rname").alias("right_name"), "score")
+
+
+def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
+                   id_col: str = "id", address_col: str = "address",
+                   right_order: str | None = None) -> DataFrame:
+    """O-JOIN3: best right address per left address by O-SIM16 (literal
+    normalization, token components, Jaro-Winkler), strictly above
+    ``threshold``, ties -> earliest right row.
+
+    Blocked, not all pairs: candidates share the house number or the ZIP of
+    the token parser (O-PRS2). O-SIM16 has no lossless equality key (all of
+    its parts are Jaro-Winkler), so a true match whose house number and ZIP
+    both differ is missed: a stated recall loss against the all-pairs rule.
+    """
+    def prep(df, order):
+        s = text.normalize_address_literal(F.col(address_col))
+        out = df.select(F.col(id_col).alias("id"), F.col(address_col).alias("address"),
+                        F.col(order or id_col).alias("ord"), s.alias("norm"))
+        c = text.parse_components_tokens(F.col("norm"))
+        out = out.withColumn("comp", c)
+        keys = _keys((F.col("comp.house_number").isNotNull(), F.concat(F.lit("h:"), F.col("comp.house_number"))),
+                     (F.col("comp.zipcode").isNotNull(), F.concat(F.lit("z:"), F.col("comp.zipcode"))))
+        return out.withColumn("keys", keys)
+
+    pairs = keyed_pairs(prep(left, None), prep(right, right_order))
+    score = S.address_similarity_v2_std(F.col("l_norm"), F.col("r_norm"), F.col("l_comp"),
+                                        F.col("r_comp"))
+    scored = pairs.withColumn("similarity", score).where(F.col("similarity") > threshold)
+    return top1(scored, "l_id", ["l_address"], ["r_id", "r_address"], "similarity", "r_ord") \
+        .select(F.col("l_id").alias("record1_id"), F.col("l_address").alias("record1_address"),
+                F.col("r_id").alias("record2_id"), F.col("r_address").alias("record2_address"),
+                "similarity")
+
+
+MAX_LOOKUP_REFERENCE = 100_000
+
+
+def fuzzy_lookup(df: DataFrame, reference: DataFrame, col: str = "address",
+                 ref_col: str | None = None, cutoff: int = 70) -> DataFrame:
+    """O-JOIN4: best reference string per input by the weighted best-of
+    score (O-SIM19); below ``cutoff`` the row is kept with no match.
+
+    A lookup list is small by nature: its distinct size is checked and it is
+    broadcast; a list above ``MAX_LOOKUP_REFERENCE`` is refused (that would
+    be an all-pairs job, not a lookup)."""
+    ref_col = ref_col or reference.columns[0]
+    ref = reference.select(F.col(ref_col).alias("best_match")).where(F.col("best_match").isNotNull()) \
+        .distinct().withColumn("_rord", F.monotonically_increasing_id())
+    n = ref.count()
+    if n > MAX_LOOKUP_REFERENCE:
+        raise ValueError(f"reference list has {n} entries; fuzzy_lookup broadcasts at most "
+                         f"{MAX_LOOKUP_REFERENCE}")
+    inp = df.select(F.col(col).alias("input"), F.monotonically_increasing_id().alias("_iid"))
+    scored = inp.join(F.broadcast(ref), how="inner", on=F.lit(True)) \
+        .withColumn("confidence", S.best_of(F.col("input"), F.col("best_match")))
+    best = top1(scored, "_iid", ["input"], ["best_match"], "confidence", "_rord")
+    best = best.withColumn("best_match", F.when(F.col("confidence") >= cutoff, F.col("best_match"))) \
+        .withColumn("matched", F.col("confidence") >= cutoff)
+    return best.drop("_iid")

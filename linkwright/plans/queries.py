@@ -701,3 +701,174 @@ def q_event_props(spark, sf_dir):
     recs = recs.join(extra, "pos").select("pos", F.map_concat("record", "x").alias("record"))
     out = fields.normalize_fields(recs, mappings=_EVENT_MAPPING)
     return out.select("pos", "kind", "user", "score", F.size("audit.unmatched").alias("n_unmatched"))
+
+
+# ------------------------------------------------------------------ O-JOIN6
+_JW_LN = O.jaro_winkler_sql("l.k", "r.k")
+_TPK = "list_distinct(list_transform(regexp_extract_all(lower({x}), '\\w+'), lambda t: substr(t, 1, 2)))"
+SQL_LINK_NAMES = f"""
+WITH l AS (SELECT id, name, lower(name) AS k, {_TPK.format(x='name')} AS keys FROM {_PARENTS} p),
+r AS (SELECT id, name, lower(name) AS k, {_TPK.format(x='name')} AS keys FROM {_ATOMS} a),
+ex AS (SELECT 0 AS side, id, unnest(keys) AS key FROM l UNION ALL SELECT 1, id, unnest(keys) FROM r),
+fr AS (SELECT key, count(*) AS n FROM ex GROUP BY key),
+rk AS (SELECT side, id, key FROM (SELECT ex.side, ex.id, ex.key,
+         row_number() OVER (PARTITION BY ex.side, ex.id ORDER BY fr.n, ex.key) AS rn
+       FROM ex JOIN fr ON ex.key = fr.key) WHERE rn <= 1),
+c AS (SELECT DISTINCT a.id AS lid, b.id AS rid FROM rk a JOIN rk b ON a.key = b.key
+      WHERE a.side = 0 AND b.side = 1),
+s AS (SELECT l.id AS left_id, l.name AS left_name, r.id AS right_id, r.name AS right_name,
+             {_JW_LN} AS score FROM c JOIN l ON c.lid = l.id JOIN r ON c.rid = r.id),
+b AS (SELECT left_id, arg_max({{'right_id': right_id, 'right_name': right_name, 'score': score}},
+                              {{'s': score, 'o': -CAST(right_id AS BIGINT)}}) AS m, any_value(left_name) AS left_name
+      FROM s WHERE score > 0.8 GROUP BY left_id)
+SELECT left_id, left_name, m.right_id AS right_id, m.right_name AS right_name, round(m.score, 6) AS score
+FROM b
+"""
+
+
+@register("link_names", SQL_LINK_NAMES)
+def q_link_names(spark, sf_dir):
+    """O-JOIN6: best atom name per parent name by lower-cased Jaro-Winkler
+    > 0.8, blocked on each name's rarest 2-letter word prefix (same
+    blocking in the oracle)."""
+    p = X.parents(spark, sf_dir)
+    a = X.atoms(spark, sf_dir).withColumn("rord", F.col("id").cast("long"))
+    out = pairs.link_names(p, a, 0.8, "name", "name", "id", right_order="rord")
+    return out.withColumn("score", r6(F.col("score")))
+
+
+# ------------------------------------------------------------------ O-JOIN3
+def _sql_literal_norm(col: str) -> str:
+    s = f"lower({col})"
+    for full, abbr in text.LITERAL_ABBREVIATIONS:
+        for a, b in ((f" {full} ", f" {abbr} "), (f" {full},", f" {abbr},"),
+                     (f" {full}.", f" {abbr}."), (f" {abbr}.", f" {abbr} ")):
+            s = f"replace({s}, {O.q(a)}, {O.q(b)})"
+    s = f"translate({s}, ',.#-/\\', '      ')"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+
+
+def _sql_prs2(norm: str) -> dict[str, str]:
+    toks = f"list_filter(string_split({norm}, ' '), lambda t: t <> '')"
+    digits = f"list_filter({toks}, lambda t: regexp_full_match(t, '[0-9]+'))"
+    zips = f"list_filter({digits}, lambda t: length(t) = 5)"
+    idx = (f"list_filter(list_transform({toks}, lambda t, i: CASE WHEN t IN ('apt', 'unit', 'ste', "
+           f"'suite', '#') AND i < len({toks}) THEN i END), lambda x: x IS NOT NULL)")
+    return {"house": f"{digits}[1]", "zip": f"{zips}[-1]",
+            "unit": f"CASE WHEN len({idx}) > 0 THEN {toks}[{idx}[-1] + 1] END"}
+
+
+def _sql_v2_score() -> str:
+    jw = O.jaro_winkler_sql
+    parts = []
+    for comp, w in (("house", 0.4), ("unit", 0.1), ("zip", 0.1)):
+        a, b = f"l.{comp}", f"r.{comp}"
+        both = f"({a} IS NOT NULL AND {a} <> '' AND {b} IS NOT NULL AND {b} <> '')"
+        parts.append((f"CASE WHEN {both} THEN {jw(a, b)} * {w} ELSE 0 END",
+                      f"CASE WHEN {both} THEN {w} ELSE 0 END"))
+    num = " + ".join(p[0] for p in parts)
+    den = " + ".join(p[1] for p in parts)
+    overall = jw("l.norm", "r.norm")
+    return f"CASE WHEN ({den}) = 0 THEN {overall} ELSE 0.5 * {overall} + 0.5 * (({num}) / ({den})) END"
+
+
+def _sql_v2_side(src: str) -> str:
+    n = _sql_literal_norm("address")
+    pr = _sql_prs2("norm")
+    return (f"SELECT id, address, norm, {pr['house']} AS house, {pr['zip']} AS zip, {pr['unit']} AS unit "
+            f"FROM (SELECT id, address, {n} AS norm FROM {src} t) x")
+
+
+SQL_LINK_ADDRESSES = f"""
+WITH l AS ({_sql_v2_side(_LEFT)}), r AS ({_sql_v2_side(_RIGHT)}),
+c AS (SELECT DISTINCT l.id AS lid, r.id AS rid FROM l JOIN r
+      ON (l.house IS NOT NULL AND l.house = r.house) OR (l.zip IS NOT NULL AND l.zip = r.zip)),
+s AS (SELECT l.id AS record1_id, l.address AS record1_address, r.id AS record2_id,
+             r.address AS record2_address, {_sql_v2_score()} AS similarity
+      FROM c JOIN l ON c.lid = l.id JOIN r ON c.rid = r.id),
+b AS (SELECT record1_id, any_value(record1_address) AS record1_address,
+             arg_max({{'id': record2_id, 'a': record2_address, 's': similarity}},
+                     {{'s': similarity, 'o': -record2_id}}) AS m
+      FROM s WHERE similarity > 0.85 GROUP BY record1_id)
+SELECT record1_id, record1_address, m.id AS record2_id, m.a AS record2_address,
+       round(m.s, 6) AS similarity FROM b
+"""
+
+
+@register("link_addresses", SQL_LINK_ADDRESSES)
+def q_link_addresses(spark, sf_dir):
+    """O-JOIN3 / O-STD2 / O-PRS2 / O-SIM16: best varied address per customer
+    address above 0.85, blocked on house number or ZIP."""
+    out = pairs.link_addresses(X.left_addresses(spark, sf_dir), X.right_addresses(spark, sf_dir))
+    return out.withColumn("similarity", r6(F.col("similarity")))
+
+
+# ------------------------------------------------------------------ O-JOIN4
+@register("fuzzy_lookup")
+def q_fuzzy_lookup(spark, sf_dir):
+    """O-JOIN4 / O-SIM19: each atom's tagged city matched against the
+    reference list of parent cities (distinct, size-checked broadcast)."""
+    from ..operators import linkage as LK
+    a = LK.standardize_usps(X.atoms(spark, sf_dir)).select(F.initcap("city").alias("city"))
+    ref = X.parents(spark, sf_dir).select(
+        F.split_part(F.col("address"), F.lit(", "), F.lit(3)).alias("city"))
+    return pairs.fuzzy_lookup(a, ref, "city", cutoff=70)
+
+
+# ---------------------------------------------------------------- O-DED1/2
+def _sql_dedupe_names(t: float) -> str:
+    jw = O.jaro_winkler_sql("x.k", "n.k")
+    jw2 = O.jaro_winkler_sql("x.k", "lower(p.p_name)")
+    return f"""
+WITH RECURSIVE names AS (
+  SELECT lower(p_name) AS k, min(p_partkey) AS ord,
+         row_number() OVER (ORDER BY min(p_partkey)) AS rn
+  FROM part GROUP BY lower(p_name)),
+walk(rn, leaders) AS (
+  SELECT 0, []::STRUCT(k VARCHAR, ord BIGINT)[]
+  UNION ALL
+  SELECT n.rn, CASE WHEN len(list_filter(w.leaders, lambda x: {jw} >= {t})) = 0
+                    THEN list_append(w.leaders, {{'k': n.k, 'ord': n.ord}}) ELSE w.leaders END
+  FROM walk w JOIN names n ON n.rn = w.rn + 1),
+fin AS (SELECT leaders FROM walk WHERE rn = (SELECT max(rn) FROM walk))
+SELECT p.p_partkey, list_filter(fin.leaders, lambda x: {jw2} >= {t})[1].ord AS leader,
+       p.p_partkey = list_filter(fin.leaders, lambda x: {jw2} >= {t})[1].ord AS is_leader
+FROM part p, fin
+"""
+
+
+@register("dedupe_names", _sql_dedupe_names(0.85))
+def q_dedupe_names(spark, sf_dir):
+    """O-DED1: part names (lower-cased) deduplicated in part-key order with
+    Jaro-Winkler >= 0.85; leader = part key of the group's first row."""
+    from ..operators import dedupe
+    p = X.read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    out = dedupe.dedupe(p, "p_name", 0.85, order_col="p_partkey")
+    return out.select("p_partkey", "leader", "is_leader")
+
+
+SQL_DEDUPE_NEAR = f"""
+WITH RECURSIVE pts AS (SELECT id, latitude, longitude, row_number() OVER (ORDER BY id) AS rn
+                       FROM {_LEFT} t),
+walk(rn, leaders) AS (
+  SELECT 0, []::STRUCT(id BIGINT, la DOUBLE, lo DOUBLE)[]
+  UNION ALL
+  SELECT n.rn, CASE WHEN len(list_filter(w.leaders, lambda x: abs(x.la - n.latitude) < 0.05
+                                         AND abs(x.lo - n.longitude) < 0.05)) = 0
+                    THEN list_append(w.leaders, {{'id': n.id, 'la': n.latitude, 'lo': n.longitude}})
+                    ELSE w.leaders END
+  FROM walk w JOIN pts n ON n.rn = w.rn + 1),
+fin AS (SELECT leaders FROM walk WHERE rn = (SELECT max(rn) FROM walk))
+SELECT p.id, list_filter(fin.leaders, lambda x: abs(x.la - p.latitude) < 0.05
+                          AND abs(x.lo - p.longitude) < 0.05 AND x.id <= p.id)[1].id AS leader
+FROM pts p, fin
+"""
+
+
+@register("dedupe_near", SQL_DEDUPE_NEAR)
+def q_dedupe_near(spark, sf_dir):
+    """O-DED2: customer coordinates deduplicated in key order, |dlat| and
+    |dlon| < 0.05 (grid-binned equi-join edges, then leader rounds)."""
+    from ..operators import dedupe
+    a = X.left_addresses(spark, sf_dir).select("id", "latitude", "longitude")
+    return dedupe.dedupe_near(a, 0.05, order_col="id").select("id", "leader")
