@@ -340,3 +340,38 @@ def tag_address(c: Column) -> Column:
         g[5].alias("StreetNamePostDirectional"), occ_type.alias("OccupancyType"),
         occ_id.alias("OccupancyIdentifier"), city.alias("PlaceName"),
         _nonempty(state).alias("StateName"), _nonempty(zipc).alias("ZipCode"))
+
+
+def compare_parsers(c: Column) -> Column:
+    """O-PRS5: the three parsers side by side as one struct of structs with
+    common field names (number, street, city, state, zip_code)."""
+    p1 = parse_components(c)
+    p3 = parse_address_regex(c)
+    t = tag_address(c)
+    null = F.lit(None).cast("string")
+    s1 = F.struct(p1["house_number"].alias("number"), null.alias("street"), null.alias("city"),
+                  null.alias("state"), p1["zipcode"].alias("zip_code"))
+    s3 = F.struct(p3["number"].alias("number"), p3["street"].alias("street"),
+                  p3["city"].alias("city"), p3["state"].alias("state"),
+                  p3["zip_code"].alias("zip_code"))
+    street4 = F.when(t["StreetName"].isNotNull(), F.concat_ws(
+        " ", t["StreetNamePreDirectional"], t["StreetName"], t["StreetNamePostType"]))
+    s4 = F.struct(t["AddressNumber"].alias("number"), street4.alias("street"),
+                  t["PlaceName"].alias("city"), t["StateName"].alias("state"),
+                  t["ZipCode"].alias("zip_code"))
+    return F.struct(s1.alias("components"), s3.alias("regex"), s4.alias("tagger"))
+
+
+PARSER_FIELDS = ["number", "street", "city", "state", "zip_code"]
+PARSER_PAIRS = [("components", "regex"), ("components", "tagger"), ("regex", "tagger")]
+
+
+def parser_agreement(df, col: str = "parsers"):
+    """O-PRS5 summary: share of rows on which two parsers agree, per field
+    (null-safe equality), in one aggregate."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for a, b in PARSER_PAIRS:
+        for f in PARSER_FIELDS:
+            eq = F.col(col)[a][f].eqNullSafe(F.col(col)[b][f]).cast("double")
+            aggs.append(F.round(F.avg(eq), 6).alias(f"agree_{a}_{b}_{f}"))
+    return df.agg(*aggs)

@@ -18,7 +18,8 @@ def _cast_like(c: Column, dtype: T.DataType) -> Column:
     return c.try_cast(dtype)
 
 
-def insert_rows(base: DataFrame, new: DataFrame, key: str = "atom_id") -> DataFrame:
+def insert_rows(base: DataFrame, new: DataFrame, key: str = "atom_id",
+                order_col: str | None = None) -> DataFrame:
     """O-CHG1: append ``new`` to ``base``; rows without a key get
     ``max(key) + 1, + 2, ...`` in batch order (autoincrement); ISO date
     strings are cast to the base's date columns.
@@ -26,8 +27,10 @@ def insert_rows(base: DataFrame, new: DataFrame, key: str = "atom_id") -> DataFr
     Dense numbering without a global sort: per-partition row counts (one
     small aggregate, one row per partition) give each partition an offset;
     the row's index inside its partition comes from
-    ``monotonically_increasing_id``. The batch is checkpointed first so the
-    ids are computed over a fixed partitioning.
+    ``monotonically_increasing_id``. With ``order_col`` the batch is range-
+    partitioned and sorted on it first (a distributed sort, no single-task
+    window), so keys follow that order. The batch is checkpointed first so
+    the ids are computed over a fixed partitioning.
     """
     schema = base.schema
     cols = []
@@ -36,12 +39,16 @@ def insert_rows(base: DataFrame, new: DataFrame, key: str = "atom_id") -> DataFr
             cols.append(_cast_like(F.col(f.name), f.dataType).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    batch = new.select(*cols)
+    extra = [F.col(order_col).alias("_order")] if order_col else []
+    batch = new.select(*cols, *extra)
     needs = batch.where(F.col(key).isNull())
     has = batch.where(F.col(key).isNotNull())
     start = base.agg(F.max(key)).first()[0]
     start_has = has.agg(F.max(key)).first()[0]
     start = max([v for v in (start, start_has) if v is not None], default=0)
+    if order_col:
+        parts = max(1, needs.sparkSession.sparkContext.defaultParallelism)
+        needs = needs.repartitionByRange(parts, "_order").sortWithinPartitions("_order")
     needs = needs.checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
     tagged = needs.withColumn("_mid", mid).withColumn("_part", F.shiftright("_mid", 33))
@@ -56,7 +63,8 @@ def insert_rows(base: DataFrame, new: DataFrame, key: str = "atom_id") -> DataFr
     new_key = (F.lit(start) + F.coalesce(F.try_element_at(off_map, F.col("_part")), F.lit(0))
                + idx + 1).cast(schema[key].dataType)
     numbered = tagged.withColumn(key, new_key).drop("_mid", "_part")
-    return base.unionByName(has).unionByName(numbered.select(*schema.fieldNames()))
+    names = schema.fieldNames()
+    return base.unionByName(has.select(*names)).unionByName(numbered.select(*names))
 
 
 def patch_rows(base: DataFrame, changes: DataFrame, key: str = "atom_id",

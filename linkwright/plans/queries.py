@@ -872,3 +872,149 @@ def q_dedupe_near(spark, sf_dir):
     from ..operators import dedupe
     a = X.left_addresses(spark, sf_dir).select("id", "latitude", "longitude")
     return dedupe.dedupe_near(a, 0.05, order_col="id").select("id", "leader")
+
+
+# ------------------------------------------------------------------ O-CHG1
+SQL_INSERT = """
+WITH m AS (SELECT max(o_orderkey) AS mx FROM orders)
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+UNION ALL
+SELECT m.mx + row_number() OVER (ORDER BY c_custkey), c_custkey, 'N', c_acctbal, c_mktsegment
+FROM customer, m
+"""
+
+
+@register("insert_rows", SQL_INSERT)
+def q_insert(spark, sf_dir):
+    """O-CHG1: one new order per customer without a key; keys continue
+    after the largest order key in customer-key order."""
+    o = X.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                              "o_totalprice", "o_orderpriority")
+    c = X.read(spark, sf_dir, "customer")
+    new = c.select(F.col("c_custkey").alias("o_custkey"), F.lit("N").alias("o_orderstatus"),
+                   F.col("c_acctbal").alias("o_totalprice"),
+                   F.col("c_mktsegment").alias("o_orderpriority"), F.col("c_custkey").alias("_ord"))
+    return changes.insert_rows(o, new, key="o_orderkey", order_col="_ord")
+
+
+# ------------------------------------------------------------- O-PRS3 / PRS5
+def _sql_prs3(col: str) -> dict[str, str]:
+    s = f"coalesce({col}, '')"
+    zr = f"regexp_extract({s}, '(\\d{{5}})(?:-\\d{{4}})?', 0)"
+    s1 = f"replace({s}, {zr}, '')"
+    st = f"regexp_extract({s1}, '\\b([A-Z]{{2}})\\b', 0)"
+    s2 = f"replace({s1}, {st}, '')"
+    num = f"NULLIF(regexp_extract({s2}, '^\\s*(\\d+)', 1), '')"
+    s3 = f"regexp_replace({s2}, '^(\\s*)\\d+', '\\1')"
+    parts = f"list_filter(list_transform(string_split({s3}, ','), lambda p: {O.strip_sql('p')}), lambda p: p <> '')"
+    return {"number": num, "street": f"({parts})[1]",
+            "city": f"CASE WHEN len({parts}) > 1 THEN ({parts})[-1] END",
+            "state": f"NULLIF({st}, '')", "zip_code": f"NULLIF({zr}, '')"}
+
+
+def _sql_parsers() -> str:
+    c1 = O.components_sql("address")
+    p3 = _sql_prs3("address")
+    tg = O.tag_sql("address")
+    street4 = (f"CASE WHEN {tg['StreetName']} IS NOT NULL THEN concat_ws(' ', "
+               f"{tg['StreetNamePreDirectional']}, {tg['StreetName']}, {tg['StreetNamePostType']}) END")
+    cols = {
+        "components": {"number": c1["house_number"], "street": "NULL", "city": "NULL",
+                       "state": "NULL", "zip_code": c1["zipcode"]},
+        "regex": p3,
+        "tagger": {"number": tg["AddressNumber"], "street": street4, "city": tg["PlaceName"],
+                   "state": tg["StateName"], "zip_code": tg["ZipCode"]},
+    }
+    sel = ", ".join(f"{v} AS {p}_{f}" for p, d in cols.items() for f, v in d.items())
+    rows = f"SELECT {sel} FROM {_RIGHT} t"
+    aggs = ["count(*) AS n"]
+    for a, b in text.PARSER_PAIRS:
+        for f in text.PARSER_FIELDS:
+            aggs.append(f"round(avg(CASE WHEN {a}_{f} IS NOT DISTINCT FROM {b}_{f} THEN 1.0 ELSE 0.0 END), 6)"
+                        f" AS agree_{a}_{b}_{f}")
+    return f"SELECT {', '.join(aggs)} FROM ({rows}) r"
+
+
+@register("compare_parsers", _sql_parsers())
+def q_compare_parsers(spark, sf_dir):
+    """O-PRS5 (with O-PRS1, O-PRS3, O-PRS4): agreement of the three parsers
+    per field over every varied address."""
+    a = X.right_addresses(spark, sf_dir)
+    return text.parser_agreement(a.select(text.compare_parsers(F.col("address")).alias("parsers")))
+
+
+# ------------------------------------------------------------------ O-JOIN7
+SQL_GEOCODE = f"""
+WITH p1 AS (SELECT address AS k, latitude, longitude FROM {_LEFT} t WHERE id % 2 = 0),
+     p2 AS (SELECT address AS k, latitude, longitude FROM {_RIGHT} t WHERE id % 3 = 1),
+     a AS (SELECT * FROM {_ATOMS} x)
+SELECT a.id, coalesce(p1.latitude, p2.latitude) AS latitude,
+       coalesce(p1.longitude, p2.longitude) AS longitude,
+       coalesce(p1.latitude, p2.latitude) IS NOT NULL AS geocoded,
+       CASE WHEN p1.latitude IS NOT NULL THEN 'provider_1'
+            WHEN p2.latitude IS NOT NULL THEN 'provider_2' END AS geocoder
+FROM a LEFT JOIN p1 ON a.address = p1.k LEFT JOIN p2 ON a.address = p2.k
+"""
+
+
+@register("geocode_lookup", SQL_GEOCODE)
+def q_geocode(spark, sf_dir):
+    """O-JOIN7: atoms geocoded from two provider tables in priority order
+    (provider 1: even-keyed customer addresses; provider 2: a third of the
+    varied addresses)."""
+    from ..operators import linkage as LK
+    p1 = X.left_addresses(spark, sf_dir).where(F.col("id") % 2 == 0).select("address", "latitude", "longitude")
+    p2 = X.right_addresses(spark, sf_dir).where(F.col("id") % 3 == 1).select("address", "latitude", "longitude")
+    out = LK.geocode_lookup(X.atoms(spark, sf_dir), [p1, p2], "address")
+    return out.select("id", "latitude", "longitude", "geocoded", "geocoder")
+
+
+# ---------------------------------------------------------------- O-PRJ1..3
+def _sql_format() -> str:
+    tg = O.tag_sql("address")
+    e = lambda x: f"coalesce({x}, '')"
+    std = (f"trim({e(tg['AddressNumber'])} || ' ' || {e(tg['StreetName'])} || ' ' || "
+           f"{e(tg['StreetNamePostType'])} || ', ' || {e(tg['PlaceName'])} || ', ' || "
+           f"{e(tg['StateName'])} || ' ' || {e(tg['ZipCode'])})")
+    prep = f"({O.prepared_sql(X.sql_parents())})"
+    gq = ("concat_ws(', ', CASE WHEN street_number IS NOT NULL AND street_name IS NOT NULL "
+          "THEN street_number || ' ' || street_name ELSE address END, city, state, zip5, 'USA')")
+    return (f"SELECT id, street_number, zip5, {std} AS standardized_address, {gq} AS geocode_query "
+            f"FROM {prep} t")
+
+
+@register("format_addresses", _sql_format())
+def q_format(spark, sf_dir):
+    """O-PRJ1 (camelCase field selection), O-PRJ2 (formatted address from
+    the tags), O-PRJ3 (geocoder query text) for every parent."""
+    from ..operators import linkage as LK
+    p = X.parents(spark, sf_dir)
+    t = text.tag_address(F.col("address"))
+    std = text.format_address(t["AddressNumber"], t["StreetName"], t["StreetNamePostType"],
+                              t["PlaceName"], t["StateName"], t["ZipCode"])
+    u = LK.standardize_usps(p.withColumn("standardized_address", std))
+    u = u.withColumn("geocode_query", filters.geocode_query(
+        F.col("street_number"), F.col("street_name"), F.col("address"), F.col("city"),
+        F.col("state"), F.col("zip5")))
+    return filters.project(u, ["id", "streetNumber", "zip5", "standardizedAddress", "geocodeQuery"])
+
+
+# ------------------------------------------------------- O-SNK1 + O-SRC3 loop
+SQL_ROUNDTRIP = f"""
+WITH n AS ({SQL_NORMALIZE}) SELECT pos, first_name, last_name, email FROM n
+"""
+
+
+@register("records_roundtrip", SQL_ROUNDTRIP)
+def q_roundtrip(spark, sf_dir):
+    """O-SNK1 -> O-SRC3: normalized records written as JSON lines (NULLs
+    kept) under the shared checkpoint folder, read back as ordered records."""
+    from ..session import scratch_path
+    from ..sources import records as R
+    out = fields.normalize_fields(X.messy_records(spark, sf_dir), audit=False)
+    path = scratch_path(spark, "records") + ".json"
+    R.write_records(out, path)
+    back = R.read_records(spark, path, lines=True)
+    rec = F.col("record")
+    return back.select(rec["pos"].cast("long").alias("pos"), rec["first_name"].alias("first_name"),
+                       rec["last_name"].alias("last_name"), rec["email"].alias("email"))
