@@ -178,27 +178,29 @@ def token_prefix_keys(c: Column, n: int = 2) -> Column:
     return F.array_distinct(F.transform(toks, lambda t: F.substring(t, 1, n)))
 
 
-def rare_token_keys(left: DataFrame, right: DataFrame, col: str = "k", n_keys: int = 2,
-                    prefix_len: int = 2) -> tuple[DataFrame, DataFrame]:
+def rare_token_keys(left: DataFrame, right: DataFrame, col: str, left_id: str, right_id: str,
+                    n_keys: int = 2, prefix_len: int = 2) -> tuple[DataFrame, DataFrame]:
     """Add ``keys``: each row's ``n_keys`` rarest word prefixes, rarity
-    counted over both sides together (one aggregate, joined back, never
-    collected). Every row keeps its keys; frequent words stop forming the
-    huge blocks that make token blocking quadratic."""
-    def exploded(df, side):
-        return df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_side", F.lit(side))
-
-    l, r = exploded(left, 0), exploded(right, 1)
-    cols = ["_rid", "_side", F.explode(token_prefix_keys(F.col(col), prefix_len)).alias("key")]
-    ex = l.select(*cols).unionByName(r.select(*cols))
+    counted over both sides together (one aggregate, joined back on the
+    rows' own unique ids, never collected). Every row keeps its keys;
+    frequent words stop forming the huge blocks that make token blocking
+    quadratic."""
+    def side(df, idc, s):
+        return df.select(F.col(idc).cast("string").alias("_rid"), F.lit(s).alias("_side"),
+                         F.explode(token_prefix_keys(F.col(col), prefix_len)).alias("key"))
+
+    ex = side(left, left_id, 0).unionByName(side(right, right_id, 1))
     freq = ex.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     ranked = ex.join(freq, "key").groupBy("_side", "_rid").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("n", "key"))), 1, n_keys).alias("_k"))
     ranked = ranked.select("_side", "_rid", F.transform("_k", lambda x: x["key"]).alias("keys"))
-    lo = l.join(ranked.where(F.col("_side") == 0).drop("_side"), "_rid", "left")
-    ro = r.join(ranked.where(F.col("_side") == 1).drop("_side"), "_rid", "left")
-    fill = F.coalesce(F.col("keys"), F.array().cast("array<string>"))
-    return (lo.withColumn("keys", fill).drop("_rid", "_side"),
-            ro.withColumn("keys", fill).drop("_rid", "_side"))
+
+    def back(df, idc, s):
+        r = ranked.where(F.col("_side") == s).select(F.col("_rid"), "keys")
+        out = df.join(r, df[idc].cast("string") == r["_rid"], "left").drop("_rid")
+        return out.withColumn("keys", F.coalesce(F.col("keys"), F.array().cast("array<string>")))
+
+    return back(left, left_id, 0), back(right, right_id, 1)
 
 
 def link_names(left: DataFrame, right: DataFrame, threshold: float = 0.8,
@@ -225,15 +227,15 @@ def link_names(left: DataFrame, right: DataFrame, threshold: float = 0.8,
                      F.col(right_order or id_col).alias("rord"),
                      F.lower(F.coalesce(F.col(right_key), F.lit(""))).alias("k"))
     if mode == "blocked":
-        lk, rk = rare_token_keys(L, R, "k", n_keys, prefix_len)
+        lk, rk = rare_token_keys(L, R, "k", "lid", "rid", n_keys, prefix_len)
         cand = keyed_pairs(lk, rk)
         scored = cand.select(F.col("l_lid").alias("lid"), F.col("l_lname").alias("lname"),
                              F.col("r_rid").alias("rid"), F.col("r_rname").alias("rname"),
                              F.col("r_rord").alias("rord"), F.col("l_k"), F.col("r_k"))
     elif mode == "exact":
         from .dedupe import jw_candidates
-        L = L.withColumn("ord", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
-        R = R.withColumn("ord", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+        L = L.withColumn("ord", F.col("lid").cast("string"))
+        R = R.withColumn("ord", F.col("rid").cast("string"))
         cand = jw_candidates(L.select("ord", "k"), R.select("ord", "k"), threshold)
         scored = cand.join(L.select(F.col("ord").alias("l_ord"), "lid", "lname"), "l_ord") \
             .join(R.select(F.col("ord").alias("r_ord"), "rid", "rname", "rord"), "r_ord")
@@ -284,22 +286,29 @@ MAX_LOOKUP_REFERENCE = 100_000
 def fuzzy_lookup(df: DataFrame, reference: DataFrame, col: str = "address",
                  ref_col: str | None = None, cutoff: int = 70) -> DataFrame:
     """O-JOIN4: best reference string per input by the weighted best-of
-    score (O-SIM19); below ``cutoff`` the row is kept with no match.
+    score (O-SIM19); below ``cutoff`` the row is kept with no match; ties go
+    to the reference that sorts first.
+
+    Distinct input strings are scored once and joined back. A lookup list is
+    small by nature: its distinct size is checked before it is broadcast; a
+    list above ``MAX_LOOKUP_REFERENCE`` is refused (that would be an
+    all-pairs job, not a lookup)."""
+    from pyspark.sql import Window
 
-    A lookup list is small by nature: its distinct size is checked and it is
-    broadcast; a list above ``MAX_LOOKUP_REFERENCE`` is refused (that would
-    be an all-pairs job, not a lookup)."""
     ref_col = ref_col or reference.columns[0]
     ref = reference.select(F.col(ref_col).alias("best_match")).where(F.col("best_match").isNotNull()) \
-        .distinct().withColumn("_rord", F.monotonically_increasing_id())
+        .distinct()
     n = ref.count()
     if n > MAX_LOOKUP_REFERENCE:
         raise ValueError(f"reference list has {n} entries; fuzzy_lookup broadcasts at most "
                          f"{MAX_LOOKUP_REFERENCE}")
-    inp = df.select(F.col(col).alias("input"), F.monotonically_increasing_id().alias("_iid"))
+    # rank inside the bounded list (<= MAX_LOOKUP_REFERENCE rows) for the tie rule
+    ref = ref.withColumn("_rord", F.row_number().over(Window.orderBy("best_match")))
+    inp = df.select(F.col(col).alias("input")).where(F.col("input").isNotNull()).distinct()
     scored = inp.join(F.broadcast(ref), how="inner", on=F.lit(True)) \
         .withColumn("confidence", S.best_of(F.col("input"), F.col("best_match")))
-    best = top1(scored, "_iid", ["input"], ["best_match"], "confidence", "_rord")
-    best = best.withColumn("best_match", F.when(F.col("confidence") >= cutoff, F.col("best_match"))) \
-        .withColumn("matched", F.col("confidence") >= cutoff)
-    return best.drop("_iid")
+    best = top1(scored, "input", [], ["best_match"], "confidence", "_rord")
+    out = df.join(best, df[col].eqNullSafe(best["input"]), "left").drop("input")
+    ok = F.coalesce(F.col("confidence") >= cutoff, F.lit(False))
+    return out.withColumn("best_match", F.when(ok, F.col("best_match"))) \
+        .withColumn("matched", ok)

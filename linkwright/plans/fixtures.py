@@ -60,9 +60,8 @@ def _left_cols(k: Column, nation: Column) -> dict[str, Column]:
                 zipc=zipc)
 
 
-def left_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id LONG, address STRING, latitude, longitude) for every customer."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+def left_addresses_from(c: DataFrame) -> DataFrame:
+    """(id LONG, address, latitude, longitude) from customer rows."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     p = _left_cols(k, n)
     addr = F.concat(p["house"], F.lit(" "), p["street"], F.lit(" "), p["typ"], F.lit(", Suite "),
@@ -70,15 +69,21 @@ def left_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     p["zipc"])
     lat = F.lit(30.0) + ((k * 7919) % 100000) / F.lit(10000.0)
     lon = F.lit(-120.0) + ((k * 104729) % 100000) / F.lit(10000.0)
-    return ensure_parallelism(c.select(k.alias("id"), addr.alias("address"),
-                                       lat.alias("latitude"), lon.alias("longitude")))
+    extra = [x for x in c.columns if x.startswith("_")]
+    return c.select(k.alias("id"), addr.alias("address"), lat.alias("latitude"),
+                    lon.alias("longitude"), *extra)
 
 
-def right_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def left_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id LONG, address STRING, latitude, longitude) for every customer."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return ensure_parallelism(left_addresses_from(c))
+
+
+def right_addresses_from(c: DataFrame) -> DataFrame:
     """Varied copy for k % 5 <> 0: type abbreviated when k even, 'Suite' -> '#'
     when k % 3 = 0, zip dropped when k % 7 = 0; coordinates nudged."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey") \
-        .where((F.col("c_custkey") % 5) != 0)
+    c = c.where((F.col("c_custkey") % 5) != 0)
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     p = _left_cols(k, n)
     typ = F.when(k % 2 == 0, _pick(TYPES_ABBR, k % 7)).otherwise(p["typ"])
@@ -89,8 +94,14 @@ def right_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(", "), p["city"], F.lit(", "), tail)
     lat = F.lit(30.0) + ((k * 7919) % 100000) / F.lit(10000.0) + ((k % 3) - 1) * F.lit(0.0004)
     lon = F.lit(-120.0) + ((k * 104729) % 100000) / F.lit(10000.0) + ((k % 4) - 1) * F.lit(0.0003)
-    return ensure_parallelism(c.select(k.alias("id"), addr.alias("address"),
-                                       lat.alias("latitude"), lon.alias("longitude")))
+    extra = [x for x in c.columns if x.startswith("_")]
+    return c.select(k.alias("id"), addr.alias("address"), lat.alias("latitude"),
+                    lon.alias("longitude"), *extra)
+
+
+def right_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return ensure_parallelism(right_addresses_from(c))
 
 
 def _sql_left_parts(k: str = "c_custkey", n: str = "c_nationkey") -> dict[str, str]:
@@ -144,6 +155,11 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name",
                                                "c_mktsegment")
+    return facilities_from(c)
+
+
+def facilities_from(c: DataFrame) -> DataFrame:
+    """Facility rows from customer rows (batch or stream)."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     p = _left_cols(k, n)
     name = F.concat_ws(" ", F.col("c_mktsegment"), F.col("c_name"))
@@ -199,6 +215,11 @@ def messy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pos LONG, record MAP<STRING,STRING>) with key order preserved."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment",
                                                "c_nationkey")
+    return messy_records_from(c)
+
+
+def messy_records_from(c: DataFrame) -> DataFrame:
+    """Messy records from customer rows (batch or stream)."""
     k = F.col("c_custkey")
     first = F.concat(F.lit("Cust"), _s(k))
     last = F.initcap(F.col("c_mktsegment"))
@@ -259,29 +280,36 @@ def _kind(seg: Column) -> Column:
     return out
 
 
-def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, name, address, auth_id) from customer + the left address."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    a = left_addresses(spark, sf_dir).select("id", "address")
+def parents_from(c: DataFrame) -> DataFrame:
+    """(id, name, address, auth_id) from customer rows: one projection."""
     k = F.col("c_custkey")
-    named = c.select(k.alias("id"), F.concat(_letters(k.cast("long")), F.lit("ton "),
-                                              _kind(F.col("c_mktsegment"))).alias("name"),
-                     F.concat(F.lit("PHY"), _s(k)).alias("auth_id"))
-    return a.join(named, "id").select(_s(F.col("id")).alias("id"), "name", "address", "auth_id")
+    name = F.concat(_letters(k.cast("long")), F.lit("ton "), _kind(F.col("c_mktsegment")))
+    a = left_addresses_from(c.select("c_custkey", "c_nationkey", name.alias("_name")))
+    return a.select(_s(F.col("id")).alias("id"), F.col("_name").alias("name"), "address",
+                    F.concat(F.lit("PHY"), _s(F.col("id"))).alias("auth_id"))
 
 
-def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return ensure_parallelism(parents_from(c))
+
+
+def atoms_from(c: DataFrame) -> DataFrame:
     """Atom copy: the varied address, 'The ' before the name when k % 3 = 0,
     ' Lab' after it when k % 2 = 0, auth id missing when k % 4 = 0."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    a = right_addresses(spark, sf_dir).select("id", "address")
     k = F.col("c_custkey")
     base = F.concat(_letters(k.cast("long")), F.lit("ton "), _kind(F.col("c_mktsegment")))
     name = F.concat(F.when(k % 3 == 0, F.lit("The ")).otherwise(F.lit("")), base,
                     F.when(k % 2 == 0, F.lit(" Lab")).otherwise(F.lit("")))
-    named = c.select(k.alias("id"), name.alias("name"),
-                     F.when(k % 4 != 0, F.concat(F.lit("PHY"), _s(k))).alias("auth_id"))
-    return a.join(named, "id").select(_s(F.col("id")).alias("id"), "name", "address", "auth_id")
+    a = right_addresses_from(c.select("c_custkey", "c_nationkey", name.alias("_name")))
+    kk = F.col("id")
+    return a.select(_s(kk).alias("id"), F.col("_name").alias("name"), "address",
+                    F.when(kk % 4 != 0, F.concat(F.lit("PHY"), _s(kk))).alias("auth_id"))
+
+
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return ensure_parallelism(atoms_from(c))
 
 
 def _sql_letters(k: str) -> str:

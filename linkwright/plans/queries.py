@@ -1018,3 +1018,185 @@ def q_roundtrip(spark, sf_dir):
     rec = F.col("record")
     return back.select(rec["pos"].cast("long").alias("pos"), rec["first_name"].alias("first_name"),
                        rec["last_name"].alias("last_name"), rec["email"].alias("email"))
+
+
+# ------------------------------------------------------------------ O-STR1
+def _customer_schema(spark, sf_dir):
+    return X.read(spark, sf_dir, "customer").schema
+
+
+@register("validate_stream", SQL_VALIDATE)
+def q_validate_stream(spark, sf_dir):
+    """O-STR1: the customer table read as a file stream, facilities derived,
+    validated, written by two checkpointed parquet sinks (valid / invalid,
+    trigger availableNow), then read back."""
+    from ..session import scratch_path
+    from ..streaming import streams as ST
+    src = ST.read_table_stream(spark, sf_dir, "customer.parquet", _customer_schema(spark, sf_dir))
+    fac = X.facilities_from(src.select("c_custkey", "c_nationkey", "c_name", "c_mktsegment"))
+    base = scratch_path(spark, "validate-stream")
+    qs = ST.start_split_sinks(ST.validate_stream(fac), f"{base}/valid", f"{base}/invalid",
+                              f"{base}/_checkpoints")
+    for q in qs:
+        q.awaitTermination()
+    valid = spark.read.parquet(f"{base}/valid").withColumn(
+        "errors", F.array().cast("array<struct<field:string,error:string>>"))
+    invalid = spark.read.parquet(f"{base}/invalid")
+    v = valid.unionByName(invalid)
+    terms = F.array(*[F.lit(t) for t in validate.RESTRICTED_TERMS])
+    term = F.get(F.filter(terms, lambda t: F.instr(F.upper(F.col("facility_name")), t) > 0), 0)
+    return v.select("atom_id", (F.size("errors") == 0).alias("is_valid"),
+                    F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("error_fields"),
+                    term.alias("restricted_term"))
+
+
+SQL_NORMALIZE_STREAM = SQL_NORMALIZE
+
+
+@register("normalize_stream", SQL_NORMALIZE_STREAM)
+def q_normalize_stream(spark, sf_dir):
+    """O-STR1: messy records derived from a customer file stream, O-NRM1 per
+    arrival, written by a checkpointed parquet sink, read back."""
+    from ..session import scratch_path
+    from ..streaming import streams as ST
+    src = ST.read_table_stream(spark, sf_dir, "customer.parquet", _customer_schema(spark, sf_dir))
+    recs = X.messy_records_from(src)
+    out = ST.normalize_stream(recs)
+    m = F.col("audit.matched")
+    flat = out.select("pos", "first_name", "last_name", "email",
+                      F.size(m).alias("n_matched"),
+                      F.size(F.filter(m, lambda e: e["action"] == fields.ACTION_SKIPPED)).alias("n_skipped"),
+                      F.size("audit.unmatched").alias("n_unmatched"))
+    base = scratch_path(spark, "normalize-stream")
+    q = flat.writeStream.format("parquet").option("path", f"{base}/out") \
+        .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+# ------------------------------------------- O-SIM5, 9..13, 15, 19 (Arrow UDFs)
+@register("fuzzy_scores")
+def q_fuzzy_scores(spark, sf_dir):
+    """O-SIM5, 9, 10, 11, 12, 13, 15, 19 on every (customer, varied) address
+    pair (Python string metrics: rows-only check, unit tests pin values)."""
+    l = X.left_addresses(spark, sf_dir).select("id", F.col("address").alias("x"))
+    r = X.right_addresses(spark, sf_dir).select("id", F.col("address").alias("y"))
+    p = l.join(r, "id")
+    a, b = text.standardize_address(F.col("x")), text.standardize_address(F.col("y"))
+    return p.select("id",
+                    r6(S.jaro_winkler_gated(a, b)).alias("jaro_winkler_gated"),
+                    r6(S.seq_ratio(a, b)).alias("seq_ratio"),
+                    S.ratio(F.col("x"), F.col("y")).alias("ratio"),
+                    S.token_sort_ratio(F.col("x"), F.col("y")).alias("token_sort_ratio"),
+                    S.token_set_ratio(F.col("x"), F.col("y")).alias("token_set_ratio"),
+                    r6(S.hybrid(a, b)).alias("hybrid"),
+                    r6(S.address_similarity_v1(F.col("x"), F.col("y"))).alias("address_similarity_v1"),
+                    S.best_of(F.col("x"), F.col("y")).alias("best_of"))
+
+
+@register("address_pair_features")
+def q_pair_features(spark, sf_dir):
+    """O-FEA2: the 13 address-pair features for every (customer, varied) pair."""
+    from ..operators import model as M
+    l = X.left_addresses(spark, sf_dir).select("id", F.col("address").alias("addr1"))
+    r = X.right_addresses(spark, sf_dir).select("id", F.col("address").alias("addr2"))
+    f = M.address_pair_features(l.join(r, "id"))
+    return f.select("id", *[r6(F.col(c)).alias(c) for c in M.PAIR_FEATURES_13])
+
+
+_BOOSTED: dict = {}
+
+
+def _boosted(spark, sf_dir):
+    """O-ML9 -> O-FEA2 -> O-ML4 -> O-ML2, memoized per session and input."""
+    from pyspark import StorageLevel
+
+    from ..operators import model as M
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BOOSTED:
+        bases = X.left_addresses(spark, sf_dir).select(F.concat(F.lit("A"), F.col("id").cast("string"))
+                                                       .alias("id"), "address")
+        n = bases.count()
+        pairs_ = M.make_training_pairs(bases, n=n, levels=3, seed=42)
+        feats = M.address_pair_features(pairs_).persist(StorageLevel.MEMORY_AND_DISK)
+        train, test = M.split(feats, ["id1", "id2"], 0.8, 42)
+        model = M.train_boosted(train, M.PAIR_FEATURES_13, "is_match")
+        _BOOSTED[key] = (model, test)
+    return _BOOSTED[key]
+
+
+@register("boosted_report")
+def q_boosted_report(spark, sf_dir):
+    """O-ML9 (training pairs, one per customer address), O-FEA2, O-ML4 (hash
+    split 80/20), O-ML2 (boosted trees), O-ML3 scoring and O-ML6 report."""
+    from ..operators import model as M
+    model, test = _boosted(spark, sf_dir)
+    pred = model.transform(test)
+    return M.classification_report(pred, "is_match")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """O-ML7: top-10 feature importances of the boosted model."""
+    from ..operators import model as M
+    model, _ = _boosted(spark, sf_dir)
+    return M.feature_importance(model, M.PAIR_FEATURES_13, 10)
+
+
+# ------------------------------------------------------------------ O-LNK2
+def _forest_for_links(spark, sf_dir):
+    from pyspark import StorageLevel
+
+    from ..operators import linkage as LK
+    from ..operators import model as M
+    from . import linkage as PL
+    feats = PL.pair_features(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), with_geo=False)
+    feats = feats.withColumn("is_match", (F.col("p_id") == F.col("a_id")).cast("int")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    return M.train_forest(feats, LK.FEATURES_9, "is_match")
+
+
+@register("link_incremental")
+def q_link_incremental(spark, sf_dir):
+    """O-LNK2 + O-LNK5: a first run links the even-keyed atoms; the second
+    run links all atoms with the first run's scores as cache; returns the
+    second run's statistics (cache hits = pairs not scored again)."""
+    from . import linkage as PL
+    model = _forest_for_links(spark, sf_dir)
+    parents, atoms = X.parents(spark, sf_dir), X.atoms(spark, sf_dir)
+    _m1, scores1, _s1 = PL.link_incremental(parents, atoms.where(F.col("id").cast("long") % 2 == 0),
+                                            model, None, with_geo=False)
+    _m2, _scores2, stats = PL.link_incremental(parents, atoms, model, scores1, with_geo=False)
+    return stats.select("total_parents", "total_atoms", "comparison_count", "definite_match_count",
+                        "possible_match_count", "cache_hits")
+
+
+# ------------------------------------------------------------------ O-CHG5
+@register("insert_if_not_near")
+def q_insert_if_not_near(spark, sf_dir):
+    """O-CHG5 (with O-JOIN5 and O-DED2): varied-address coordinates offered as
+    new outlets against the customer coordinates (tolerance 0.001)."""
+    from ..operators import spatial
+    base = X.left_addresses(spark, sf_dir).select("id", "latitude", "longitude")
+    new = X.right_addresses(spark, sf_dir).select(F.col("id").alias("pos"), "latitude", "longitude")
+    return spatial.insert_if_not_near(base, new, 0.001, key="id", order_col="pos")
+
+
+# ------------------------------------------------------------------ O-STR2
+@register("link_stream")
+def q_link_stream(spark, sf_dir):
+    """O-STR2: atoms derived from a customer file stream (one file per
+    trigger) linked per micro-batch with foreachBatch + O-LNK2; the match
+    table written per batch id is read back."""
+    from ..operators import linkage as LK
+    from ..session import scratch_path
+    from ..streaming import streams as ST
+    model = _forest_for_links(spark, sf_dir)
+    src = ST.read_table_stream(spark, sf_dir, "customer.parquet", _customer_schema(spark, sf_dir))
+    arrivals = X.atoms_from(src.select("c_custkey", "c_nationkey", "c_mktsegment"))
+    base = scratch_path(spark, "link-stream")
+    q = ST.link_stream(arrivals, X.parents(spark, sf_dir), model, f"{base}/out",
+                       f"{base}/_checkpoint")
+    q.awaitTermination()
+    m = spark.read.parquet(f"{base}/out/matches")
+    return LK.readable(m)
