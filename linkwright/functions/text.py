@@ -187,20 +187,17 @@ def parse_components(c: Column) -> Column:
 
 def parse_components_tokens(c: Column) -> Column:
     """O-PRS2: whitespace tokens; first all-digit token = house, last 5-digit
-    token = zip, token after the last unit marker that has a next token = unit."""
-    toks = F.split(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")), " ")
-    toks = F.filter(toks, lambda t: t != "")
+    token = zip, token after the last unit marker that has a next token = unit.
+    No lambda refers to the outer token array (``zip_with`` over a shifted
+    copy instead), so the split runs a bounded number of times per row."""
+    toks = F.filter(F.split(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")), " "),
+                    lambda t: t != "")
     digits = F.filter(toks, lambda t: t.rlike(r"(?U)^\d+$"))
     house = F.get(digits, 0)
-    zips = F.filter(digits, lambda t: F.length(t) == 5)
-    zipcode = F.get(zips, F.size(zips) - 1)
-    n = F.size(toks)
-    idx = F.filter(
-        F.transform(toks, lambda t, i: F.when(
-            t.isin("apt", "unit", "ste", "suite", "#") & (i + 1 < n), i)),
-        lambda i: i.isNotNull())
-    last = F.get(idx, F.size(idx) - 1)
-    unit = F.when(last.isNotNull(), F.get(toks, last + 1))
+    zipcode = F.try_element_at(F.filter(digits, lambda t: F.length(t) == 5), F.lit(-1))
+    after_marker = F.zip_with(toks, F.slice(toks, 2, 1 << 30), lambda t, nxt: F.when(
+        t.isin("apt", "unit", "ste", "suite", "#") & nxt.isNotNull(), nxt))
+    unit = F.try_element_at(F.filter(after_marker, lambda x: x.isNotNull()), F.lit(-1))
     null = F.lit(None).cast("string")
     return F.struct(house.alias("house_number"), null.alias("street_name"),
                     unit.alias("unit"), null.alias("city"), zipcode.alias("zipcode"))
@@ -305,41 +302,77 @@ def tagger_patterns() -> dict[str, str]:
     return {"zip": zip_tail, "state": state_tail, "unit": unit_part, "street": street}
 
 
-def tag_address(c: Column) -> Column:
-    """O-PRS4: struct of AddressNumber, StreetNamePreDirectional, StreetName,
-    StreetNamePostType, StreetNamePostDirectional, OccupancyType,
-    OccupancyIdentifier, PlaceName, StateName, ZipCode (NULL when absent).
+_SEP = "\u0001"
 
-    Right to left: ZIP at the end, then a state code or name, then comma
-    parts: the last of several is the city, the first is the street line,
-    a middle part shaped like a unit is the unit. The street line is one
-    regex: number, pre-direction, name (shortest), suffix, post-direction,
-    unit.
-    """
+
+def regex_groups(c: Column, pattern: str, n: int) -> Column:
+    """All ``n`` groups of an anchored pattern in one regex pass: the match
+    is replaced by ``$1<SEP>$2...`` (Java leaves groups that did not take
+    part empty) and split. NULL when the pattern does not match."""
+    rep = _SEP.join(f"${i}" for i in range(1, n + 1))
+    return F.when(c.rlike(pattern), F.split(F.regexp_replace(c, pattern, rep), _SEP))
+
+
+def _tag_stage1(c: Column) -> Column:
+    """ZIP and state removed from the end: struct(rest, state, zip)."""
     pt = tagger_patterns()
     s = F.trim(F.coalesce(c, F.lit("")))
     zipc = F.regexp_extract(s, pt["zip"], 1)
     s1 = F.regexp_replace(s, pt["zip"], "")
     state = F.regexp_extract(s1, pt["state"], 1)
     s2 = F.regexp_replace(s1, pt["state"], "")
-    parts = F.filter(F.transform(F.split(s2, ","), pystrip), lambda p: p != "")
+    return F.struct(s2.alias("rest"), state.alias("state"), zipc.alias("zip"))
+
+
+def _tag_stage2(stage1: Column) -> Column:
+    """Comma parts of the rest: struct(street_line, city, middle, state, zip)."""
+    parts = F.filter(F.transform(F.split(stage1["rest"], ","), pystrip), lambda p: p != "")
     n = F.size(parts)
-    street_line = F.coalesce(F.get(parts, 0), F.lit(""))
-    city = F.when(n >= 2, F.get(parts, n - 1))
-    middle = F.when(n >= 3, F.get(parts, 1))
-    m = street_line
-    g = {i: _nonempty(F.regexp_extract(m, pt["street"], i)) for i in range(1, 9)}
-    mu_type = _nonempty(F.regexp_extract(F.coalesce(middle, F.lit("")), pt["unit"], 1))
-    mu_hash = _nonempty(F.regexp_extract(F.coalesce(middle, F.lit("")), pt["unit"], 2))
-    mu_id = _nonempty(F.regexp_extract(F.coalesce(middle, F.lit("")), pt["unit"], 3))
-    occ_type = F.coalesce(g[6], g[7], mu_type, mu_hash)
-    occ_id = F.coalesce(g[8], mu_id)
+    return F.struct(F.coalesce(F.get(parts, 0), F.lit("")).alias("street_line"),
+                    F.when(n >= 2, F.get(parts, n - 1)).alias("city"),
+                    F.coalesce(F.when(n >= 3, F.get(parts, 1)), F.lit("")).alias("middle"),
+                    stage1["state"].alias("state"), stage1["zip"].alias("zip"))
+
+
+def _tag_stage3(stage2: Column) -> Column:
+    pt = tagger_patterns()
+    g = regex_groups(stage2["street_line"], pt["street"], 8)
+    mu = regex_groups(stage2["middle"], pt["unit"], 3)
+
+    def gi(arr, i):
+        return _nonempty(F.get(arr, i - 1))
+
+    occ_type = F.coalesce(gi(g, 6), gi(g, 7), gi(mu, 1), gi(mu, 2))
+    occ_id = F.coalesce(gi(g, 8), gi(mu, 3))
     return F.struct(
-        g[1].alias("AddressNumber"), g[2].alias("StreetNamePreDirectional"),
-        g[3].alias("StreetName"), g[4].alias("StreetNamePostType"),
-        g[5].alias("StreetNamePostDirectional"), occ_type.alias("OccupancyType"),
-        occ_id.alias("OccupancyIdentifier"), city.alias("PlaceName"),
-        _nonempty(state).alias("StateName"), _nonempty(zipc).alias("ZipCode"))
+        gi(g, 1).alias("AddressNumber"), gi(g, 2).alias("StreetNamePreDirectional"),
+        gi(g, 3).alias("StreetName"), gi(g, 4).alias("StreetNamePostType"),
+        gi(g, 5).alias("StreetNamePostDirectional"), occ_type.alias("OccupancyType"),
+        occ_id.alias("OccupancyIdentifier"), stage2["city"].alias("PlaceName"),
+        _nonempty(stage2["state"]).alias("StateName"), _nonempty(stage2["zip"]).alias("ZipCode"))
+
+
+def tag_address(c: Column) -> Column:
+    """O-PRS4: struct of AddressNumber, StreetNamePreDirectional, StreetName,
+    StreetNamePostType, StreetNamePostDirectional, OccupancyType,
+    OccupancyIdentifier, PlaceName, StateName, ZipCode (NULL when absent).
+
+    Right to left: ZIP at the end, then a state code or name, then comma
+    parts: the last of several is the city, the first is the street line,
+    a middle part shaped like a unit is the unit. The street line is one
+    regex (number, pre-direction, shortest name, suffix, post-direction,
+    unit), all groups read in one pass. On a DataFrame prefer
+    ``with_tags``, which materializes the stages once.
+    """
+    return _tag_stage3(_tag_stage2(_tag_stage1(c)))
+
+
+def with_tags(df, col: str, out: str = "tags"):
+    """``tag_address`` as staged columns, so each stage runs once per row."""
+    staged = df.withColumn("_tg1", _tag_stage1(F.col(col))) \
+        .withColumn("_tg2", _tag_stage2(F.col("_tg1"))) \
+        .withColumn(out, _tag_stage3(F.col("_tg2")))
+    return staged.drop("_tg1", "_tg2")
 
 
 def compare_parsers(c: Column) -> Column:

@@ -312,3 +312,58 @@ def fuzzy_lookup(df: DataFrame, reference: DataFrame, col: str = "address",
     ok = F.coalesce(F.col("confidence") >= cutoff, F.lit(False))
     return out.withColumn("best_match", F.when(ok, F.col("best_match"))) \
         .withColumn("matched", ok)
+
+
+PAIR_METRICS = ("levenshtein", "levenshtein_sim", "jaro", "jaro_winkler", "jaro_winkler_gated",
+                "token_jaccard", "ngram_cosine", "bigram_jaccard", "seq_ratio", "ratio",
+                "token_sort_ratio", "token_set_ratio", "hybrid", "address_similarity_v1",
+                "address_similarity_v2", "best_of")
+
+
+def score_pairs(pairs: DataFrame, a: str, b: str, metrics=PAIR_METRICS,
+                standardize: bool = True) -> DataFrame:
+    """Score string pairs with the chosen metrics, each distinct (a, b) once.
+
+    The distinct pairs are scored (one shuffle; duplicated pairs are common
+    in address data) and joined back. The O-STD1 text and O-PRS1 components
+    are materialized as columns first, so no metric re-derives them.
+    ``standardize``: string metrics see the O-STD1 text (the address
+    similarities always standardize as their definitions require).
+    """
+    d = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
+    d = d.withColumn("_sa", text.standardize_address(F.col("_a"))) \
+        .withColumn("_sb", text.standardize_address(F.col("_b")))
+    need_c1 = "address_similarity_v1" in metrics
+    need_c2 = "address_similarity_v2" in metrics
+    if need_c1:
+        d = d.withColumn("_ca", text.parse_components(F.col("_sa"))) \
+            .withColumn("_cb", text.parse_components(F.col("_sb")))
+    if need_c2:
+        d = d.withColumn("_na", text.normalize_address_literal(F.col("_a"))) \
+            .withColumn("_nb", text.normalize_address_literal(F.col("_b")))
+        d = d.withColumn("_ta", text.parse_components_tokens(F.col("_na"))) \
+            .withColumn("_tb", text.parse_components_tokens(F.col("_nb")))
+    x, y = (F.col("_sa"), F.col("_sb")) if standardize else (F.col("_a"), F.col("_b"))
+    fns = {
+        "levenshtein": lambda: S.levenshtein(x, y),
+        "levenshtein_sim": lambda: S.levenshtein_sim(x, y),
+        "jaro": lambda: S.jaro(x, y),
+        "jaro_winkler": lambda: S.jaro_winkler(x, y),
+        "jaro_winkler_gated": lambda: S.jaro_winkler_gated(x, y),
+        "token_jaccard": lambda: S.token_jaccard(x, y),
+        "ngram_cosine": lambda: S.ngram_cosine(x, y),
+        "bigram_jaccard": lambda: S.bigram_jaccard(x, y),
+        "seq_ratio": lambda: S.seq_ratio(x, y),
+        "ratio": lambda: S.ratio(F.col("_a"), F.col("_b")),
+        "token_sort_ratio": lambda: S.token_sort_ratio(F.col("_a"), F.col("_b")),
+        "token_set_ratio": lambda: S.token_set_ratio(F.col("_a"), F.col("_b")),
+        "hybrid": lambda: S.hybrid(x, y),
+        "address_similarity_v1": lambda: S.address_similarity_v1_std(
+            F.col("_sa"), F.col("_sb"), F.col("_ca"), F.col("_cb")),
+        "address_similarity_v2": lambda: S.address_similarity_v2_std(
+            F.col("_na"), F.col("_nb"), F.col("_ta"), F.col("_tb")),
+        "best_of": lambda: S.best_of(F.col("_a"), F.col("_b")),
+    }
+    scored = d.select("_a", "_b", *[fns[m]().alias(m) for m in metrics])
+    return pairs.join(scored, (pairs[a].eqNullSafe(scored["_a"])) & (pairs[b].eqNullSafe(scored["_b"])),
+                      "left").drop("_a", "_b")

@@ -523,21 +523,14 @@ def q_linkage_features(spark, sf_dir):
 @register("link_records")
 def q_link_records(spark, sf_dir):
     """O-LNK1 end to end on the derived parents/atoms: O-FEA1 features of the
-    candidate pairs are computed once and persisted; a forest (O-ML1, 100
-    trees, seed 42) is trained on them with label = same customer; the same
-    table is scored (O-ML3), classified (O-CLS1), explained (O-LNK3) and
-    presented (O-LNK4)."""
-    from pyspark import StorageLevel
-
+    candidate pairs, a forest (O-ML1, 100 trees, seed 42) trained on them
+    with label = same customer, then score (O-ML3), classify (O-CLS1),
+    explain (O-LNK3) and present (O-LNK4)."""
     from ..operators import linkage as LK
-    from ..operators import model as M
     from . import linkage as PL
-    feats = PL.pair_features(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), with_geo=False)
-    feats = feats.withColumn("is_match", (F.col("p_id") == F.col("a_id")).cast("int")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    model = M.train_forest(feats, LK.FEATURES_9, "is_match")
-    scored = M.score_matches(feats, model, features=LK.FEATURES_9)
-    return LK.readable(LK.explain(LK.classify(scored)))
+    model = _forest_for_links(spark, sf_dir)
+    res = PL.link_records(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), model, with_geo=False)
+    return LK.readable(res)
 
 
 # ------------------------------------------------------------ O-NRM4..8 (full)
@@ -1077,21 +1070,17 @@ def q_normalize_stream(spark, sf_dir):
 # ------------------------------------------- O-SIM5, 9..13, 15, 19 (Arrow UDFs)
 @register("fuzzy_scores")
 def q_fuzzy_scores(spark, sf_dir):
-    """O-SIM5, 9, 10, 11, 12, 13, 15, 19 on every (customer, varied) address
-    pair (Python string metrics: rows-only check, unit tests pin values)."""
+    """O-SIM5, 9, 10, 11, 12, 13, 15, 16, 19 via ``score_pairs`` on every
+    (customer, varied) address pair (Python string metrics: rows-only check;
+    unit tests pin their values)."""
     l = X.left_addresses(spark, sf_dir).select("id", F.col("address").alias("x"))
     r = X.right_addresses(spark, sf_dir).select("id", F.col("address").alias("y"))
-    p = l.join(r, "id")
-    a, b = text.standardize_address(F.col("x")), text.standardize_address(F.col("y"))
-    return p.select("id",
-                    r6(S.jaro_winkler_gated(a, b)).alias("jaro_winkler_gated"),
-                    r6(S.seq_ratio(a, b)).alias("seq_ratio"),
-                    S.ratio(F.col("x"), F.col("y")).alias("ratio"),
-                    S.token_sort_ratio(F.col("x"), F.col("y")).alias("token_sort_ratio"),
-                    S.token_set_ratio(F.col("x"), F.col("y")).alias("token_set_ratio"),
-                    r6(S.hybrid(a, b)).alias("hybrid"),
-                    r6(S.address_similarity_v1(F.col("x"), F.col("y"))).alias("address_similarity_v1"),
-                    S.best_of(F.col("x"), F.col("y")).alias("best_of"))
+    metrics = ["jaro_winkler_gated", "seq_ratio", "ratio", "token_sort_ratio", "token_set_ratio",
+               "hybrid", "address_similarity_v1", "address_similarity_v2", "best_of"]
+    out = pairs.score_pairs(l.join(r, "id"), "x", "y", metrics)
+    rounded = {"jaro_winkler_gated", "seq_ratio", "hybrid", "address_similarity_v1",
+               "address_similarity_v2"}
+    return out.select("id", *[(r6(F.col(m)) if m in rounded else F.col(m)).alias(m) for m in metrics])
 
 
 @register("address_pair_features")
@@ -1144,7 +1133,19 @@ def q_feature_importance(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ O-LNK2
+_FOREST: dict = {}
+
+
 def _forest_for_links(spark, sf_dir):
+    """Forest (O-ML1) on the candidate-pair features, memoized per session
+    and input (three queries share it)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOREST:
+        _FOREST[key] = _train_forest_for_links(spark, sf_dir)
+    return _FOREST[key]
+
+
+def _train_forest_for_links(spark, sf_dir):
     from pyspark import StorageLevel
 
     from ..operators import linkage as LK

@@ -14,6 +14,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # string scoring is CPU-bound on small shuffled inputs: keep AQE from
+    # coalescing them below ~256 KB per task (no effect on large inputs)
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
 }
 
 
