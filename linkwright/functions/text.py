@@ -375,12 +375,13 @@ def with_tags(df, col: str, out: str = "tags"):
     return staged.drop("_tg1", "_tg2")
 
 
-def compare_parsers(c: Column) -> Column:
+def compare_parsers(c: Column, tags: Column | None = None) -> Column:
     """O-PRS5: the three parsers side by side as one struct of structs with
-    common field names (number, street, city, state, zip_code)."""
+    common field names (number, street, city, state, zip_code). Pass the
+    column made by ``with_tags`` as ``tags`` to avoid re-running the tagger."""
     p1 = parse_components(c)
     p3 = parse_address_regex(c)
-    t = tag_address(c)
+    t = tag_address(c) if tags is None else tags
     null = F.lit(None).cast("string")
     s1 = F.struct(p1["house_number"].alias("number"), null.alias("street"), null.alias("city"),
                   null.alias("state"), p1["zipcode"].alias("zip_code"))

@@ -16,7 +16,7 @@ from ..functions import geo
 from ..functions import similarity as S
 from ..functions import text
 from ..operators import changes, fields, filters, pairs, validate
-from ..session import ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 from . import fixtures as X
 from . import oracle as O
 
@@ -28,6 +28,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            ensure_checkpoint_dir(spark)
             return fn(spark, sf_dir)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -932,8 +933,9 @@ def _sql_parsers() -> str:
 def q_compare_parsers(spark, sf_dir):
     """O-PRS5 (with O-PRS1, O-PRS3, O-PRS4): agreement of the three parsers
     per field over every varied address."""
-    a = X.right_addresses(spark, sf_dir)
-    return text.parser_agreement(a.select(text.compare_parsers(F.col("address")).alias("parsers")))
+    a = text.with_tags(X.right_addresses(spark, sf_dir), "address", "_t")
+    return text.parser_agreement(
+        a.select(text.compare_parsers(F.col("address"), F.col("_t")).alias("parsers")))
 
 
 # ------------------------------------------------------------------ O-JOIN7
@@ -981,11 +983,11 @@ def q_format(spark, sf_dir):
     """O-PRJ1 (camelCase field selection), O-PRJ2 (formatted address from
     the tags), O-PRJ3 (geocoder query text) for every parent."""
     from ..operators import linkage as LK
-    p = X.parents(spark, sf_dir)
-    t = text.tag_address(F.col("address"))
+    p = text.with_tags(X.parents(spark, sf_dir), "address", "_t")
+    t = F.col("_t")
     std = text.format_address(t["AddressNumber"], t["StreetName"], t["StreetNamePostType"],
                               t["PlaceName"], t["StateName"], t["ZipCode"])
-    u = LK.standardize_usps(p.withColumn("standardized_address", std))
+    u = LK.standardize_usps(p.withColumn("standardized_address", std), tags_col="_t")
     u = u.withColumn("geocode_query", filters.geocode_query(
         F.col("street_number"), F.col("street_name"), F.col("address"), F.col("city"),
         F.col("state"), F.col("zip5")))
@@ -1173,14 +1175,55 @@ def q_link_incremental(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ O-CHG5
-@register("insert_if_not_near")
+SQL_INSERT_NEAR = f"""
+WITH RECURSIVE base AS (SELECT id, latitude, longitude FROM {_LEFT} t),
+r0 AS (SELECT * FROM {_RIGHT} t),
+nw AS (SELECT id * 2 AS pos,
+              CASE WHEN id % 49 = 0 THEN 0.0 WHEN id % 4 = 0 THEN latitude + 0.0105 ELSE latitude END
+                AS latitude, longitude FROM r0
+       UNION ALL
+       SELECT id * 2 + 1, latitude + 0.0105 + 0.0003, longitude + 0.0002 FROM r0 WHERE id % 8 = 0),
+rej AS (SELECT pos FROM nw WHERE latitude IS NULL OR longitude IS NULL OR latitude = 0 OR longitude = 0),
+ex AS (SELECT n.pos, min(b.id) AS existing_id FROM nw n JOIN base b
+       ON abs(n.latitude - b.latitude) < 0.001 AND abs(n.longitude - b.longitude) < 0.001
+       WHERE n.pos NOT IN (SELECT pos FROM rej) GROUP BY n.pos),
+fr AS (SELECT pos, latitude, longitude, row_number() OVER (ORDER BY pos) AS rn FROM nw
+       WHERE pos NOT IN (SELECT pos FROM rej) AND pos NOT IN (SELECT pos FROM ex)),
+walk(rn, leaders) AS (
+  SELECT 0, []::STRUCT(pos BIGINT, la DOUBLE, lo DOUBLE)[]
+  UNION ALL
+  SELECT f.rn, CASE WHEN len(list_filter(w.leaders, lambda x: abs(x.la - f.latitude) < 0.001
+                                         AND abs(x.lo - f.longitude) < 0.001)) = 0
+                    THEN list_append(w.leaders, {{'pos': f.pos, 'la': f.latitude, 'lo': f.longitude}})
+                    ELSE w.leaders END
+  FROM walk w JOIN fr f ON f.rn = w.rn + 1),
+fin AS (SELECT leaders FROM walk WHERE rn = (SELECT max(rn) FROM walk))
+SELECT pos, 'rejected' AS outcome, CAST(NULL AS BIGINT) AS existing_id FROM rej
+UNION ALL SELECT pos, 'existing', existing_id FROM ex
+UNION ALL SELECT f.pos, CASE WHEN list_contains(list_transform(fin.leaders, lambda x: x.pos), f.pos)
+                             THEN 'inserted' ELSE 'duplicate of new row' END, CAST(NULL AS BIGINT)
+          FROM fr f, fin
+"""
+
+
+@register("insert_if_not_near", SQL_INSERT_NEAR)
 def q_insert_if_not_near(spark, sf_dir):
     """O-CHG5 (with O-JOIN5 and O-DED2): varied-address coordinates offered as
-    new outlets against the customer coordinates (tolerance 0.001)."""
+    new outlets against the customer coordinates (tolerance 0.001): most are
+    near an existing row, every 4th is moved away (inserted), every 8th comes
+    twice (the second copy duplicates the first), every 49th has a zero latitude
+    (rejected)."""
     from ..operators import spatial
     base = X.left_addresses(spark, sf_dir).select("id", "latitude", "longitude")
-    new = X.right_addresses(spark, sf_dir).select(F.col("id").alias("pos"), "latitude", "longitude")
-    return spatial.insert_if_not_near(base, new, 0.001, key="id", order_col="pos")
+    r = X.right_addresses(spark, sf_dir)
+    k, lat = F.col("id"), F.col("latitude")
+    first = r.select((k * 2).alias("pos"),
+                     F.when(k % 49 == 0, F.lit(0.0)).when(k % 4 == 0, lat + 0.0105).otherwise(lat)
+                     .alias("latitude"), "longitude")
+    second = r.where(k % 8 == 0).select((k * 2 + 1).alias("pos"), (lat + 0.0105 + 0.0003).alias("latitude"),
+                                        (F.col("longitude") + 0.0002).alias("longitude"))
+    return spatial.insert_if_not_near(base, first.unionByName(second), 0.001, key="id",
+                                      order_col="pos")
 
 
 # ------------------------------------------------------------------ O-STR2

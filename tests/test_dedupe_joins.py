@@ -121,3 +121,13 @@ def test_fuzzy_lookup(spark):
     out = {r.address: (r.best_match, r.matched) for r in P.fuzzy_lookup(inp, ref).collect()}
     assert out["123 Main Street, New York NY"] == ("123 Main St, New York, NY 10001", True)
     assert out["zzzz"] == (None, False)
+
+
+def test_dedupe_blocked_mode(spark):
+    df = spark.createDataFrame(CUSTOMERS, "pos long, name string")
+    out = {r.pos: r.leader for r in D.dedupe(df, "name", 0.90, "pos", mode="blocked").collect()}
+    exact = {r.pos: r.leader for r in D.dedupe(df, "name", 0.90, "pos").collect()}
+    # blocked edges are a subset of the exact ones: every blocked leader row is
+    # either an exact leader or lost a similar earlier leader to the blocking
+    assert set(out) == set(exact)
+    assert out[1] == 1 and out[2] == 1  # john / jon smith share a rare word prefix
