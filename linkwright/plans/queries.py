@@ -1244,3 +1244,16 @@ def q_link_stream(spark, sf_dir):
     q.awaitTermination()
     m = spark.read.parquet(f"{base}/out/matches")
     return LK.readable(m)
+
+
+@register("geo_similarity")
+def q_geo_similarity(spark, sf_dir):
+    """O-SIM17 (Vincenty on WGS-84, column math) and O-SIM18 (distance decay)
+    between the two coordinates of each customer (rows-only: no ellipsoid
+    geodesy in the oracle; pytest pins published distances)."""
+    l = X.left_addresses(spark, sf_dir).select("id", F.col("latitude").alias("la"),
+                                               F.col("longitude").alias("lo"))
+    r = X.right_addresses(spark, sf_dir).select("id", "latitude", "longitude")
+    d = geo.geo_distance_m(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude"))
+    return l.join(r, "id").select("id", F.round(d, 3).alias("distance_m"),
+                                  r6(geo.geo_decay(d)).alias("geo_sim"))
