@@ -192,12 +192,21 @@ def dedupe(df: DataFrame, key_col: str, threshold: float = 0.85, order_col: str
 
 def dedupe_near(df: DataFrame, tol: float, order_col: str = "pos", lat: str = "latitude",
                 lon: str = "longitude") -> DataFrame:
-    """O-DED2: the same leader rule with |dlat| < tol and |dlon| < tol."""
-    nodes = df.select(F.col(order_col).alias("ord"), F.col(lat).alias("latitude"),
-                      F.col(lon).alias("longitude"))
-    pairs = near_join(nodes, nodes, tol)
+    """O-DED2: the same leader rule with |dlat| < tol and |dlon| < tol.
+
+    Identical coordinates are collapsed to their earliest row first (they
+    have identical neighbourhoods, so this is exact), so a hot spot of
+    repeated points costs one representative, not a quadratic edge set.
+    """
+    pts = df.select(F.col(order_col).alias("_o"), F.col(lat).alias("_la"), F.col(lon).alias("_lo"))
+    reps = pts.groupBy("_la", "_lo").agg(F.min("_o").alias("ord")) \
+        .select("ord", F.col("_la").alias("latitude"), F.col("_lo").alias("longitude"))
+    pairs = near_join(reps, reps, tol)
     edges = pairs.where(F.col("l_ord") < F.col("r_ord")).select(
         F.col("l_ord").alias("src"), F.col("r_ord").alias("dst"))
-    lead = elect_leaders(nodes.select("ord"), edges)
-    return df.join(lead.withColumnRenamed("ord", order_col), order_col) \
-        .withColumn("is_leader", F.col(order_col) == F.col("leader"))
+    lead = elect_leaders(reps.select("ord"), edges)
+    rep_lead = reps.join(lead, "ord").select(F.col("latitude").alias("_la"),
+                                             F.col("longitude").alias("_lo"), "leader", "rounds")
+    out = df.join(rep_lead, (df[lat].eqNullSafe(rep_lead["_la"])) & (df[lon].eqNullSafe(rep_lead["_lo"])),
+                  "left").drop("_la", "_lo")
+    return out.withColumn("is_leader", F.col(order_col) == F.col("leader"))

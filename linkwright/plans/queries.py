@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
             ensure_checkpoint_dir(spark)
-            return fn(spark, sf_dir)
+            return _widen_ints(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
@@ -39,6 +39,17 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _widen_ints(df: DataFrame) -> DataFrame:
+    """Integral outputs as BIGINT (SQL engines count in 64 bits)."""
+    from pyspark.sql import types as T
+    small = (T.ByteType, T.ShortType, T.IntegerType)
+    if not any(isinstance(f.dataType, small) for f in df.schema.fields):
+        return df
+    return df.select(*[F.col(f"`{f.name}`").cast("bigint").alias(f.name)
+                       if isinstance(f.dataType, small) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -570,15 +581,15 @@ v AS (SELECT pos, t, acts,
 SELECT pos,
   {", ".join(f"v_{c} AS {c}" for c in _FULL_TARGETS if c != "loyalty_level")},
   coalesce(v_loyalty_level, 'standard') AS loyalty_level,
-  {" + ".join(f"CAST(p_{c} AS INTEGER)" for c in _FULL_TARGETS if c != "loyalty_level")}
-    + 1 AS n_fields,
+  CAST({" + ".join(f"CAST(p_{c} AS INTEGER)" for c in _FULL_TARGETS if c != "loyalty_level")}
+    + 1 AS BIGINT) AS n_fields,
   len(list_filter(acts, lambda x: x = 'mapped')) AS n_mapped,
   len(list_filter(acts, lambda x: x = 'overwritten')) AS n_overwritten,
   len(list_filter(acts, lambda x: x = 'skipped')) AS n_skipped,
   len(list_filter(t, lambda e: e.tgt IS NULL)) AS n_unmatched,
-  CASE WHEN v_loyalty_level IS NULL THEN 1 ELSE 0 END AS n_defaults,
-  CASE WHEN v_customer_id IS NULL THEN 1 ELSE 0 END + CASE WHEN v_email IS NULL THEN 1 ELSE 0 END
-    AS n_errors
+  CAST(CASE WHEN v_loyalty_level IS NULL THEN 1 ELSE 0 END AS BIGINT) AS n_defaults,
+  CAST(CASE WHEN v_customer_id IS NULL THEN 1 ELSE 0 END + CASE WHEN v_email IS NULL THEN 1 ELSE 0 END
+    AS BIGINT) AS n_errors
 FROM v
 """
 
@@ -651,7 +662,8 @@ WITH r AS (SELECT pos, list_transform(map_entries(record), lambda e:
 v AS (SELECT pos,
   {", ".join(f"CASE WHEN len(list_filter(t, lambda e: e.tgt = '{c}')) > 0 THEN list_filter(t, lambda e: e.tgt = '{c}')[-1].value ELSE {O.q('Basic') if c == 'membership_level' else 'NULL'} END AS {c}" for c in _FUZZY_C)}
   FROM r)
-SELECT *, CAST(customer_id IS NULL AS INTEGER) + CAST(email IS NULL AS INTEGER) AS n_errors FROM v
+SELECT *, CAST(CAST(customer_id IS NULL AS INTEGER) + CAST(email IS NULL AS INTEGER) AS BIGINT) AS n_errors
+FROM v
 """
 
 

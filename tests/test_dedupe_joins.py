@@ -131,3 +131,10 @@ def test_dedupe_blocked_mode(spark):
     # either an exact leader or lost a similar earlier leader to the blocking
     assert set(out) == set(exact)
     assert out[1] == 1 and out[2] == 1  # john / jon smith share a rare word prefix
+
+
+def test_dedupe_near_hot_spot(spark):
+    pts = [(i, 5.0, 5.0) for i in range(1, 40)] + [(40, 5.0005, 5.0), (41, 5.0012, 5.0), (0, 9.0, 9.0)]
+    df = spark.createDataFrame(pts, "pos long, latitude double, longitude double")
+    out = {r.pos: r.leader for r in D.dedupe_near(df, 0.001).collect()}
+    assert out[0] == 0 and all(out[i] == 1 for i in range(1, 41)) and out[41] == 41
