@@ -69,43 +69,68 @@ def best_match_candidates(L: DataFrame, R: DataFrame, threshold: float) -> DataF
     without zip, <= .3; zip comparable and different without house, <= .375.
     Hence a match has an equal house, or an equal zip, or neither house nor
     zip comparable (then only the unit can score, and a unit score above 0
-    needs a shared character). For t >= .767 an equal zip with differing
-    houses scores at most .533, so the zip key is only needed where one side
-    lacks a house.
+    needs a shared character).
+
+    For t >= .767 it is tighter: an equal zip with differing houses scores at
+    most .533, so zip keys are only needed where a house is missing; and
+    with both house and zip comparable, equal houses with differing zips
+    give component <= 2/3, so the bigram Jaccard must exceed
+    (t - .3 - .5*2/3)/.2 (0.833 at t = .8): such pairs share one of the
+    first |B| - ceil(j*|B|) + 1 bigrams of each side (prefix filter, fixed
+    lexical order). The hot house-only key is kept only for rows without a
+    zip.
     """
     if threshold < 0.6875:
         raise ValueError("best_match: no lossless blocking below threshold 0.6875")
-    zip_only_without_house = threshold >= 0.767
+    tight = threshold >= 0.767
 
     def flags(df: DataFrame) -> dict[str, bool]:
         c = F.col("comp")
-        nh, nz, u = ~_present(c["house_number"]), ~_present(c["zipcode"]), _present(c["unit"])
+        hp, zp, u = _present(c["house_number"]), _present(c["zipcode"]), _present(c["unit"])
+        nh, nz = ~hp, ~zp
         row = df.agg(F.max(nh.cast("int")).alias("nh"), F.max(nz.cast("int")).alias("nz"),
+                     F.max((hp & nz).cast("int")).alias("hnz"),
                      F.max((nh & nz & u).cast("int")).alias("nhz"),
                      F.max((nh & u).cast("int")).alias("nhu"),
                      F.max((nz & u).cast("int")).alias("nzu")).first()
-        return {k: bool(row[k]) for k in ("nh", "nz", "nhz", "nhu", "nzu")}
+        return {k: bool(row[k]) for k in ("nh", "nz", "hnz", "nhz", "nhu", "nzu")}
 
     fl, fr = flags(L), flags(R)
+    jmin = (threshold - 0.3 - 0.5 * (2.0 / 3.0)) / 0.2 - 1e-9
 
     def side_keys(is_left: bool) -> Column:
         c = F.col("comp")
         h, z, u = c["house_number"], c["zipcode"], c["unit"]
         hp, zp, up = _present(h), _present(z), _present(u)
-        parts: list[tuple[Column, Column]] = [(hp, F.concat(F.lit("h:"), h))]
-        if zip_only_without_house:
-            # zA pairs a house-less left row with any right row of that zip; zB mirrors it
+        yes = F.lit(True)
+        if tight:
+            parts: list[tuple[Column, Column]] = [
+                (hp & zp, F.concat(F.lit("hz:"), h, F.lit("|"), z))]
+            # house equal, zip missing on one side: house-only keys, one type
+            # per side that can lack the zip
+            if fl["hnz"]:
+                parts.append(((hp & ~zp) if is_left else hp, F.concat(F.lit("hA:"), h)))
+            if fr["hnz"]:
+                parts.append((hp if is_left else (hp & ~zp), F.concat(F.lit("hB:"), h)))
+            # zip equal, house missing on one side
             if fl["nh"]:
-                parts.append(((~hp if is_left else F.lit(True)) & zp, F.concat(F.lit("zA:"), z)))
+                parts.append(((~hp if is_left else yes) & zp, F.concat(F.lit("zA:"), z)))
             if fr["nh"]:
-                parts.append(((F.lit(True) if is_left else ~hp) & zp, F.concat(F.lit("zB:"), z)))
+                parts.append(((yes if is_left else ~hp) & zp, F.concat(F.lit("zB:"), z)))
+            arr = _keys(*parts)
+            # house equal, both zips present and different: bigram prefix keys
+            bg = F.array_sort(F.array_distinct(text.ngrams(F.col("std"), 2)))
+            nb = F.size(bg)
+            plen = nb - F.ceil(F.lit(jmin) * nb).cast("int") + 1
+            pref = F.slice(bg, 1, F.greatest(plen, F.lit(1)))
+            hb = F.transform(pref, lambda b: F.concat(F.lit("hb:"), h, F.lit("|"), b))
+            arr = F.concat(arr, F.when(hp & zp & (nb > 0), hb).otherwise(F.array().cast("array<string>")))
         else:
-            parts.append((zp, F.concat(F.lit("z:"), z)))
-        arr = _keys(*parts)
+            arr = _keys((hp, F.concat(F.lit("h:"), h)), (zp, F.concat(F.lit("z:"), z)))
         # Fallback: neither house nor zip comparable and both sides have a unit:
         # (Lnh & Lnz) | (Lnh & Rnz) | (Rnh & Lnz) | (Rnh & Rnz). A key type is only
         # emitted when both of its restricted sides actually hold such rows.
-        nh, nz, yes = ~hp, ~zp, F.lit(True)
+        nh, nz = ~hp, ~zp
         combos = [
             ("u1:", (nh & nz) if is_left else yes, fl["nhz"]),
             ("u2:", nh if is_left else nz, fl["nhu"] and fr["nzu"]),

@@ -88,7 +88,7 @@ def test_lossless_candidates_vs_all_pairs(spark):
     random.seed(7)
     streets = ["Main Street", "Oak Ave", "Pine Rd", "Elm St"]
     rows = []
-    for i in range(40):
+    for i in range(60):
         parts = []
         if random.random() < 0.8:
             parts.append(str(random.choice([12, 34, 56, 78])))
@@ -98,12 +98,12 @@ def test_lossless_candidates_vs_all_pairs(spark):
             s += f", Apt {random.choice(['1', '2', '2b'])}"
         s += ", Springfield"
         if random.random() < 0.7:
-            s += f", IL {random.choice(['62701', '62702'])}"
+            s += f", IL {random.choice(['62701', '62702', '62703'])}"
         rows.append((f"r{i}", s))
-    L = _df(spark, rows[:20])
-    R = _df(spark, rows[20:])
+    L = _df(spark, rows[:30])
+    R = _df(spark, rows[30:])
     from linkwright.functions import similarity as S
-    for t in (0.7, 0.8):
+    for t in (0.7, 0.77, 0.8, 0.85):
         fast = {(r.address1_id, r.address2_id) for r in
                 pairs.best_match(L, R, t, right_order="pos").collect()}
         allp = L.alias("l").crossJoin(R.alias("r")).select(
