@@ -80,6 +80,16 @@ HEALTHCARE_TERMS = [
     ("MOUNT", "MT"), ("CENTER", "CTR"),
 ]
 NAME_STOP_WORDS = ["THE", "OF", "AND", "FOR"]
+
+# Component patterns (O-PRS1, O-PRS2, O-PRS3). Java regexes carry (?U) so
+# \w, \d and \b are Unicode-aware like Python's.
+ZIP_RE = r"(?U)\b\d{5}(?:-\d{4})?\b"
+UNIT_RE = r"(?iU)\b(?:apt|suite|ste|unit|bldg|floor|fl|#)\s*(?:[a-zA-Z0-9-]+)\b"
+HOUSE_RE = r"(?U)^\d+"
+TOKEN_UNIT_MARKERS = ["apt", "unit", "ste", "suite", "#"]
+REGEX_PARSER_ZIP = r"(?U)(\d{5})(?:-\d{4})?"
+REGEX_PARSER_STATE = r"(?U)\b([A-Z]{2})\b"
+REGEX_PARSER_NUMBER = r"(?U)^\s*(\d+)"
 # ---------------------------------------------------------------------------
 
 
@@ -160,10 +170,6 @@ def _nonempty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-ZIP_RE = r"(?U)\b\d{5}(?:-\d{4})?\b"
-UNIT_RE = r"(?iU)\b(?:apt|suite|ste|unit|bldg|floor|fl|#)\s*(?:[a-zA-Z0-9-]+)\b"
-
-
 def parse_components(c: Column) -> Column:
     """O-PRS1: struct(house_number, street_name, unit, city, state, zipcode).
 
@@ -178,7 +184,7 @@ def parse_components(c: Column) -> Column:
     s1 = F.replace(s, z, F.lit(""))
     u = F.regexp_extract(s1, UNIT_RE, 0)
     s2 = F.replace(s1, u, F.lit(""))
-    house = F.regexp_extract(s2, r"(?U)^\d+", 0)
+    house = F.regexp_extract(s2, HOUSE_RE, 0)
     null = F.lit(None).cast("string")
     return F.struct(_nonempty(house).alias("house_number"), null.alias("street_name"),
                     _nonempty(u).alias("unit"), null.alias("city"), null.alias("state"),
@@ -196,7 +202,7 @@ def parse_components_tokens(c: Column) -> Column:
     house = F.get(digits, 0)
     zipcode = F.try_element_at(F.filter(digits, lambda t: F.length(t) == 5), F.lit(-1))
     after_marker = F.zip_with(toks, F.slice(toks, 2, 1 << 30), lambda t, nxt: F.when(
-        t.isin("apt", "unit", "ste", "suite", "#") & nxt.isNotNull(), nxt))
+        t.isin(*TOKEN_UNIT_MARKERS) & nxt.isNotNull(), nxt))
     unit = F.try_element_at(F.filter(after_marker, lambda x: x.isNotNull()), F.lit(-1))
     null = F.lit(None).cast("string")
     return F.struct(house.alias("house_number"), null.alias("street_name"),
@@ -213,11 +219,11 @@ def parse_address_regex(c: Column) -> Column:
     everywhere), leading number (removed once), then split on commas:
     street = first part, city = last part when there are several."""
     s = F.coalesce(c, F.lit(""))
-    zip_raw = F.regexp_extract(s, r"(?U)(\d{5})(?:-\d{4})?", 0)
+    zip_raw = F.regexp_extract(s, REGEX_PARSER_ZIP, 0)
     s1 = F.replace(s, zip_raw, F.lit(""))
-    state_raw = F.regexp_extract(s1, r"(?U)\b([A-Z]{2})\b", 0)
+    state_raw = F.regexp_extract(s1, REGEX_PARSER_STATE, 0)
     s2 = F.replace(s1, state_raw, F.lit(""))
-    number = _nonempty(F.regexp_extract(s2, r"(?U)^\s*(\d+)", 1))
+    number = _nonempty(F.regexp_extract(s2, REGEX_PARSER_NUMBER, 1))
     s3 = F.regexp_replace(s2, r"(?U)^(\s*)\d+", "$1")
     zip_full, state = _nonempty(zip_raw), _nonempty(state_raw)
     parts = F.filter(F.transform(F.split(s3, ","), pystrip), lambda p: p != "")

@@ -20,6 +20,13 @@ FACILITY_FIELDS = ["atom_id", "source", "facility_name", "addr1", "addr2", "city
 OPTIONAL_FIELDS = {"addr2"}
 NOT_BLANK_FIELDS = ["facility_name", "addr1", "city", "state", "zip", "auth_id"]
 DATE_FIELDS = ["expire_date", "first_observed"]
+BLOCKED_ADDRESS_PREFIX = "PATIENT DELIVERY"
+MSG_RESTRICTED = "Facility name contains restricted term: "
+MSG_ADDRESS = "Address cannot start with 'PATIENT DELIVERY'"
+MSG_EMPTY = "Field {field} cannot be empty"
+MSG_DATE = ("Invalid date format: ", ". Use YYYY-MM-DD format.")
+MSG_REQUIRED = "Field required"
+MSG_INTEGER = "Input should be a valid integer"
 # ---------------------------------------------------------------------------
 
 
@@ -59,31 +66,29 @@ def validate_facilities(df: DataFrame) -> DataFrame:
                 bad = c.isNull()
             else:
                 bad = F.try_cast(c.cast("string"), "bigint").isNull()
-            errs.append(_err(f, bad, "Input should be a valid integer"))
+            errs.append(_err(f, bad, MSG_INTEGER))
         elif f in DATE_FIELDS:
             d = _as_date(c, types.get(f, "string"))
-            msg = F.when(c.isNull(), F.lit("Field required")).otherwise(
-                F.concat(F.lit("Invalid date format: "), c.cast("string"),
-                         F.lit(". Use YYYY-MM-DD format.")))
+            msg = F.when(c.isNull(), F.lit(MSG_REQUIRED)).otherwise(
+                F.concat(F.lit(MSG_DATE[0]), c.cast("string"), F.lit(MSG_DATE[1])))
             errs.append(_err(f, d.isNull(), msg))
         elif f == "facility_name":
             hit = F.get(F.filter(terms, lambda t: F.instr(F.upper(c), t) > 0), 0)
-            errs.append(_err(f, c.isNull(), "Field required"))
+            errs.append(_err(f, c.isNull(), MSG_REQUIRED))
             errs.append(_err(f, c.isNotNull() & hit.isNotNull(),
-                             F.concat(F.lit("Facility name contains restricted term: "), hit)))
+                             F.concat(F.lit(MSG_RESTRICTED), hit)))
             errs.append(_err(f, c.isNotNull() & hit.isNull() & _blank(c),
-                             f"Field {f} cannot be empty"))
+                             MSG_EMPTY.format(field=f)))
         elif f == "addr1":
-            starts = F.upper(c).startswith("PATIENT DELIVERY")
-            errs.append(_err(f, c.isNull(), "Field required"))
-            errs.append(_err(f, c.isNotNull() & starts,
-                             "Address cannot start with 'PATIENT DELIVERY'"))
-            errs.append(_err(f, c.isNotNull() & ~starts & _blank(c), f"Field {f} cannot be empty"))
+            starts = F.upper(c).startswith(BLOCKED_ADDRESS_PREFIX)
+            errs.append(_err(f, c.isNull(), MSG_REQUIRED))
+            errs.append(_err(f, c.isNotNull() & starts, MSG_ADDRESS))
+            errs.append(_err(f, c.isNotNull() & ~starts & _blank(c), MSG_EMPTY.format(field=f)))
         elif f in NOT_BLANK_FIELDS:
-            errs.append(_err(f, c.isNull(), "Field required"))
-            errs.append(_err(f, c.isNotNull() & _blank(c), f"Field {f} cannot be empty"))
+            errs.append(_err(f, c.isNull(), MSG_REQUIRED))
+            errs.append(_err(f, c.isNotNull() & _blank(c), MSG_EMPTY.format(field=f)))
         elif f not in OPTIONAL_FIELDS:
-            errs.append(_err(f, c.isNull(), "Field required"))
+            errs.append(_err(f, c.isNull(), MSG_REQUIRED))
     out = df
     for f in DATE_FIELDS:
         if f in types:
