@@ -67,3 +67,10 @@ def test_lookup_and_search(spark):
     assert got == exp
     proj = FL.project(b, ["atomId", "facilityName"])
     assert proj.columns == ["atom_id", "facility_name"]
+
+
+def test_by_city_state(spark):
+    b = base(spark)
+    assert [r.atom_id for r in FL.by_city(b, "SPRINGFIELD").collect()] == [1, 5]
+    assert [r.atom_id for r in FL.by_city(b, "springfield").collect()] == []  # case-sensitive
+    assert [r.atom_id for r in FL.by_state(b, "NY").collect()] == [2]

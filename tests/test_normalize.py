@@ -114,3 +114,18 @@ def test_fuzzy_and_model(spark):
     m = fields.to_model(_recs(spark, [{"Customer ID": "C1", "Email": "x@y"}]), "customer",
                         required=["customer_id", "email"]).first()
     assert m.customer_id == "C1" and m.membership_level == "Basic" and m.errors == []
+
+
+def test_json_duplicate_keys_and_nested(spark, tmp_path):
+    p = tmp_path / "dup.json"
+    p.write_text('[{"a": "1", "b": {"x": 2}, "a": "3", "c": 4.5, "e": null}]')
+    r = R.read_records(spark, str(p)).first().record
+    # Python's dict: first position, last value; nested values stay JSON text
+    assert list(r.items()) == [("a", "3"), ("b", '{"x":2}'), ("c", "4.5"), ("e", None)]
+
+
+def test_json_lines(spark, tmp_path):
+    p = tmp_path / "recs.jsonl"
+    p.write_text('{"fname": "A", "email": "a@x"}\n\n{"first": "B"}\n')
+    out = fields.normalize_fields(R.read_records(spark, str(p)), audit=False).orderBy("pos").collect()
+    assert [(r.first_name, r.email) for r in out] == [("A", "a@x"), ("B", None)]
