@@ -29,7 +29,7 @@ SAMPLE_CSV = ("FName,Surname,Email_Address,Extra_Field\n"
 
 
 def test_json_golden(spark, tmp_path):
-    p = tmp_path / "sample.json"
+    p = tmp_path / "records.json"
     p.write_text(json.dumps(SAMPLE_JSON, indent=2))
     recs = R.read_records(spark, str(p))
     out = fields.normalize_fields(recs).orderBy("pos").collect()
@@ -44,7 +44,7 @@ def test_json_golden(spark, tmp_path):
 
 
 def test_csv_golden(spark, tmp_path):
-    p = tmp_path / "sample.csv"
+    p = tmp_path / "records.csv"
     p.write_text(SAMPLE_CSV)
     out = fields.normalize_fields(R.read_records(spark, str(p)), audit=False).orderBy("pos").collect()
     assert [(r.first_name, r.last_name, r.email) for r in out][3] == ("delta", "", "")
@@ -58,7 +58,7 @@ def test_unknown_extension(spark):
 
 
 def test_summary(spark, tmp_path):
-    p = tmp_path / "sample.json"
+    p = tmp_path / "records.json"
     p.write_text(json.dumps(SAMPLE_JSON))
     s = fields.audit_summary(fields.normalize_fields(R.read_records(spark, str(p)))).first()
     assert (s.total_records, s.total_mapped, s.total_skipped, s.total_unmatched) == (4, 9, 1, 4)
