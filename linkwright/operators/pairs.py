@@ -18,13 +18,39 @@ from ..functions import similarity as S
 from ..functions import text
 
 
+HOT_KEY_ROWS = 100_000
+SALT_BUCKETS = 64
+SALT_MIN_BYTES = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's plan-time size estimate (no job runs)."""
+    try:
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    except Exception:  # estimate unavailable: assume large
+        return 1 << 62
+
+
 def keyed_pairs(left: DataFrame, right: DataFrame, lkeys: str = "keys",
-                rkeys: str = "keys", lprefix: str = "l_", rprefix: str = "r_") -> DataFrame:
+                rkeys: str = "keys", lprefix: str = "l_", rprefix: str = "r_",
+                hot_key_rows: int | None = HOT_KEY_ROWS,
+                salt_buckets: int = SALT_BUCKETS,
+                salt_min_bytes: int = SALT_MIN_BYTES) -> DataFrame:
     """Every (left, right) pair sharing at least one key, exactly once.
 
     ``left`` and ``right`` carry an ``array<string>`` of keys. Output columns
     are the inputs' columns prefixed, plus ``block_key``. The join is a plain
-    shuffle equi-join on the key; AQE's skew-join splits hot keys.
+    shuffle equi-join on the key.
+
+    Hot keys: one aggregate finds keys holding more than ``hot_key_rows``
+    rows on either side. For those, the larger side gets a salt in
+    ``[0, salt_buckets)`` from a hash of the row (deterministic, so a retried
+    task rebuilds the same split) and the other side is replicated once per
+    salt, so the block's pairs are produced by ``salt_buckets`` tasks instead
+    of one. Each pair is still produced exactly once. The detection pass
+    runs only when Catalyst estimates a side at ``salt_min_bytes`` or more
+    (plan statistics, no job); below that a block fits one task anyway.
+    AQE's skew join adds byte-based splitting on top.
     """
     lcols = [c for c in left.columns]
     rcols = [c for c in right.columns]
@@ -32,7 +58,38 @@ def keyed_pairs(left: DataFrame, right: DataFrame, lkeys: str = "keys",
                     F.explode(F.array_distinct(F.col(lkeys))).alias("block_key"))
     r = right.select(*[F.col(c).alias(rprefix + c) for c in rcols],
                      F.explode(F.array_distinct(F.col(rkeys))).alias("_rk"))
-    j = l.join(r, l["block_key"] == r["_rk"], "inner")
+    if hot_key_rows and max(estimated_bytes(l), estimated_bytes(r)) < salt_min_bytes:
+        hot_key_rows = None
+    if hot_key_rows:
+        # the count pass and the join read the same exploded rows: persist them
+        # so upstream standardization / tagging runs once
+        l = l.persist(StorageLevel.MEMORY_AND_DISK)
+        r = r.persist(StorageLevel.MEMORY_AND_DISK)
+        counts = l.select(F.col("block_key").alias("_hk"), F.lit(0).alias("_side")).unionByName(
+            r.select(F.col("_rk").alias("_hk"), F.lit(1).alias("_side")))
+        hot = counts.groupBy("_hk").agg(F.count_if(F.col("_side") == 0).alias("_nl"),
+                                        F.count_if(F.col("_side") == 1).alias("_nr")) \
+            .where((F.col("_nl") > hot_key_rows) | (F.col("_nr") > hot_key_rows)) \
+            .select("_hk", (F.col("_nl") >= F.col("_nr")).alias("_salt_left"))
+        salts = F.sequence(F.lit(0), F.lit(salt_buckets - 1))
+
+        def row_salt(cols):
+            return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets))
+
+        l = l.join(hot.withColumnRenamed("_hk", "block_key"), "block_key", "left")
+        l = l.withColumn("_salt", F.explode(
+            F.when(F.col("_salt_left").isNull(), F.array(F.lit(0).cast("long")))
+            .when(F.col("_salt_left"), F.array(row_salt([lprefix + c for c in lcols])))
+            .otherwise(salts.cast("array<bigint>")))).drop("_salt_left")
+        r = r.join(hot.withColumnRenamed("_hk", "_rk"), "_rk", "left")
+        r = r.withColumn("_rsalt", F.explode(
+            F.when(F.col("_salt_left").isNull(), F.array(F.lit(0).cast("long")))
+            .when(~F.col("_salt_left"), F.array(row_salt([rprefix + c for c in rcols])))
+            .otherwise(salts.cast("array<bigint>")))).drop("_salt_left")
+        j = l.join(r, (l["block_key"] == r["_rk"]) & (l["_salt"] == r["_rsalt"]), "inner") \
+            .drop("_salt", "_rsalt")
+    else:
+        j = l.join(r, l["block_key"] == r["_rk"], "inner")
     first_shared = F.array_min(F.array_intersect(F.col(lprefix + lkeys), F.col(rprefix + rkeys)))
     return j.where(F.col("block_key") == first_shared).drop("_rk")
 

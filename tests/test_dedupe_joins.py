@@ -138,3 +138,16 @@ def test_dedupe_near_hot_spot(spark):
     df = spark.createDataFrame(pts, "pos long, latitude double, longitude double")
     out = {r.pos: r.leader for r in D.dedupe_near(df, 0.001).collect()}
     assert out[0] == 0 and all(out[i] == 1 for i in range(1, 41)) and out[41] == 41
+
+
+def test_keyed_pairs_salting_is_exact(spark):
+    random.seed(3)
+    left = [(i, [f"k{random.choice([0, 0, 0, 1, 2])}", f"x{random.randint(0, 3)}"]) for i in range(60)]
+    right = [(i, [f"k{random.choice([0, 0, 1, 3])}", f"x{random.randint(0, 3)}"]) for i in range(50)]
+    L = spark.createDataFrame(left, "id long, keys array<string>")
+    R = spark.createDataFrame(right, "id long, keys array<string>")
+    plain = sorted((r.l_id, r.r_id) for r in P.keyed_pairs(L, R, hot_key_rows=None).collect())
+    salted = sorted((r.l_id, r.r_id) for r in
+                    P.keyed_pairs(L, R, hot_key_rows=5, salt_buckets=7, salt_min_bytes=0).collect())
+    exp = sorted((a, b) for a, ka in left for b, kb in right if set(ka) & set(kb))
+    assert plain == salted == exp
