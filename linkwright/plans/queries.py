@@ -1309,3 +1309,83 @@ def q_geo_similarity(spark, sf_dir):
     d = geo.geo_distance_m(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude"))
     return l.join(r, "id").select("id", F.round(d, 3).alias("distance_m"),
                                   r6(geo.geo_decay(d)).alias("geo_sim"))
+
+
+# ------------------------------------------- O-FEA1 oracle: LCS in SQL
+def _sql_fp(x: str) -> str:
+    """Ratio preprocessing: drop non-ASCII, non-alphanumerics to space, lower, trim."""
+    return (f"trim(lower(regexp_replace(regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g'), "
+            f"'[^A-Za-z0-9_]', ' ', 'g')))")
+
+
+def _sql_toks(x: str) -> str:
+    return f"list_sort(list_filter(string_split({_sql_fp(x)}, ' '), lambda t: t <> ''))"
+
+
+def _sql_feature_rows() -> str:
+    """Candidate pairs with the strings each ratio compares."""
+    num = lambda s: f"coalesce({s}, '')"
+    t1, t2 = _sql_toks("coalesce(p.name, '')"), _sql_toks("coalesce(a.name, '')")
+    d1, d2 = f"list_distinct({t1})", f"list_distinct({t2})"
+    sect = f"array_to_string(list_sort(list_intersect({d1}, {d2})), ' ')"
+    r12 = f"array_to_string(list_sort(list_filter({d1}, lambda t: NOT list_contains({d2}, t))), ' ')"
+    r21 = f"array_to_string(list_sort(list_filter({d2}, lambda t: NOT list_contains({d1}, t))), ' ')"
+    return f"""
+SELECT c.parent_id, c.atom_id,
+  CASE WHEN p.zip5 IS NOT DISTINCT FROM a.zip5 THEN 1.0 ELSE 0.0 END AS zip_match,
+  CASE WHEN p.street_number IS NOT DISTINCT FROM a.street_number THEN 1.0 ELSE 0.0 END AS number_match,
+  CASE WHEN p.state IS NOT DISTINCT FROM a.state THEN 1.0 ELSE 0.0 END AS state_match,
+  CASE WHEN p.auth_id IS NOT DISTINCT FROM a.auth_id THEN 1.0 ELSE 0.0 END AS auth_match,
+  array_to_string({_sql_toks("coalesce(p.street_name, '')")}, ' ') AS st1,
+  array_to_string({_sql_toks("coalesce(a.street_name, '')")}, ' ') AS st2,
+  array_to_string({_sql_toks("coalesce(p.unit, '')")}, ' ') AS un1,
+  array_to_string({_sql_toks("coalesce(a.unit, '')")}, ' ') AS un2,
+  array_to_string({_sql_toks("coalesce(p.city, '')")}, ' ') AS ci1,
+  array_to_string({_sql_toks("coalesce(a.city, '')")}, ' ') AS ci2,
+  len({d1}) = 0 OR len({d2}) = 0 AS name_empty,
+  {sect} AS ns, trim(concat_ws(' ', {sect}, {r12})) AS n12, trim(concat_ws(' ', {sect}, {r21})) AS n21,
+  concat_ws(' ', {num('p.street_number')}, {num('p.street_name')}, {num('p.unit')}) AS ad1,
+  concat_ws(' ', {num('a.street_number')}, {num('a.street_name')}, {num('a.unit')}) AS ad2
+FROM ({SQL_CANDIDATES}) c JOIN {_PREP_P} p ON c.parent_id = p.id JOIN {_PREP_A} a ON c.atom_id = a.id
+"""
+
+
+_RATIO_PAIRS = [("st1", "st2"), ("un1", "un2"), ("ci1", "ci2"), ("ns", "n12"), ("ns", "n21"),
+                ("n12", "n21"), ("ad1", "ad2")]
+
+
+def _sql_ratio(x: str, y: str) -> str:
+    lcs = f"(SELECT lcs FROM lcs WHERE lcs.x = {x} AND lcs.y = {y})"
+    return (f"CASE WHEN {x} = {y} THEN 100 WHEN {x} = '' OR {y} = '' THEN 0 "
+            f"ELSE round_even(100.0 * 2 * {lcs} / (length({x}) + length({y})), 0) END")
+
+
+def _sql_linkage_features() -> str:
+    pairs_union = " UNION ".join(f"SELECT {a} AS x, {b} AS y FROM fr" for a, b in _RATIO_PAIRS)
+    mask = ("CAST(list_sum(list_transform(range(length(x)), lambda i: CASE WHEN x[i + 1] = y[k + 1] "
+            "THEN (1::UBIGINT << CAST(i AS INTEGER)) ELSE 0::UBIGINT END)) AS UBIGINT)")
+    full = "((1::UBIGINT << CAST(length(x) AS INTEGER)) - 1::UBIGINT)"
+    feats = {
+        "street_sim": _sql_ratio("st1", "st2"), "unit_sim": _sql_ratio("un1", "un2"),
+        "city_sim": _sql_ratio("ci1", "ci2"),
+        "name_sim": (f"CASE WHEN name_empty THEN 0 ELSE greatest({_sql_ratio('ns', 'n12')}, "
+                     f"{_sql_ratio('ns', 'n21')}, {_sql_ratio('n12', 'n21')}) END"),
+        "address_sim": _sql_ratio("ad1", "ad2"),
+    }
+    sel = ", ".join(f"round(({v}) / 100.0, 6) AS {k}" for k, v in feats.items())
+    return f"""
+WITH RECURSIVE fr AS ({_sql_feature_rows()}),
+sp AS (SELECT DISTINCT x, y FROM ({pairs_union}) u WHERE x <> '' AND y <> '' AND x <> y),
+it(x, y, k, v) AS (
+  SELECT x, y, 0, {full} FROM sp
+  UNION ALL
+  SELECT x, y, k + 1, ((v + (v & m)) | (v - (v & m))) & {full}
+  FROM (SELECT x, y, k, v, {mask} AS m FROM it WHERE k < length(y)) s),
+lcs AS (SELECT x, y, length(x) - bit_count(v) AS lcs FROM it WHERE k = length(y))
+SELECT parent_id, atom_id, round(zip_match, 6) AS zip_match, round(number_match, 6) AS number_match,
+       round(state_match, 6) AS state_match, round(auth_match, 6) AS auth_match, {sel}
+FROM fr
+"""
+
+
+ORACLE["linkage_features"] = _sql_linkage_features()
