@@ -62,9 +62,6 @@ ACTION_SKIPPED = "skipped (already set)"
 ACTION_OVERWRITTEN = "overwritten"
 # ---------------------------------------------------------------------------
 
-ENTRY_SCHEMA = "array<struct<key:string,value:string>>"
-
-
 def clean_name(c: Column) -> Column:
     """``name.strip().lower()`` (Unicode whitespace, like Python)."""
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))

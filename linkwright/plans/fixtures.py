@@ -45,7 +45,9 @@ def _s(c: Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table (O-SRC4 typed parquet scan)."""
+    from ..sources.records import read_table
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _left_cols(k: Column, nation: Column) -> dict[str, Column]:

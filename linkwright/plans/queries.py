@@ -206,14 +206,6 @@ def q_audit_summary(spark, sf_dir):
     return fields.audit_summary(fields.normalize_fields(X.messy_records(spark, sf_dir)))
 
 
-SQL_EVENT_PROPS = """
-SELECT event_id AS pos,
-  list_filter(map_entries(CAST(json(props) AS MAP(VARCHAR, VARCHAR))), lambda e: lower(e.key) = 'k' AND e.value IS NOT NULL)[1].value AS k_value,
-  len(list_filter(map_entries(CAST(json(props) AS MAP(VARCHAR, VARCHAR))), lambda e: lower(e.key) <> 'k')) AS n_unmatched
-FROM events
-"""
-
-
 # ------------------------------------------------------------------- O-VAL1..3
 _FAC = f"({X.sql_facilities()})"
 _TERMS = "[" + ", ".join(O.q(t) for t in validate.RESTRICTED_TERMS) + "]"

@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENTRIES = "array<struct<key:string,value:string>>"
-
-
 def _last_value_per_key(entries):
     """Python's dict keeps the *last* value of a repeated key at the *first*
     key's position; Spark's map_from_entries rejects duplicates. Keep the
@@ -52,10 +49,6 @@ def read_records_json(spark: SparkSession, path: str, lines: bool = False) -> Da
     return ex.select(*cols)
 
 
-def _paths(path: str) -> list[str]:
-    return [path] if isinstance(path, str) else list(path)
-
-
 def read_records_csv(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """O-SRC2: header CSV; an empty cell is '' (Spark reads it as NULL, the
     reference as ''), so NULLs are coalesced to ''. ``wide=True`` returns the

@@ -39,3 +39,9 @@ def test_bad_date_and_xx(spark):
     fields = [e.field for e in v.errors]
     assert fields == ["facility_name", "first_observed"]
     assert v.errors[0].error.endswith("XX")
+
+
+def test_rule_counts(spark):
+    v = V.validate_facilities(spark.createDataFrame(ROWS, COLS))
+    counts = {r.field: r.n for r in V.validation_rule_counts(v).collect()}
+    assert counts == {"facility_name": 3, "addr1": 1, "city": 1}
