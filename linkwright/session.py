@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     # string scoring is CPU-bound on small shuffled inputs: keep AQE from
     # coalescing them below ~256 KB per task (no effect on large inputs)
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+    # reliable checkpoints (dedupe rounds, inserts) are removed from the shared
+    # folder once their DataFrames are garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
