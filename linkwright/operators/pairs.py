@@ -141,18 +141,16 @@ def best_match_candidates(L: DataFrame, R: DataFrame, threshold: float) -> DataF
         raise ValueError("best_match: no lossless blocking below threshold 0.6875")
     tight = threshold >= 0.767
 
-    def flags(df: DataFrame) -> dict[str, bool]:
-        c = F.col("comp")
-        hp, zp, u = _present(c["house_number"]), _present(c["zipcode"]), _present(c["unit"])
-        nh, nz = ~hp, ~zp
-        row = df.agg(F.max(nh.cast("int")).alias("nh"), F.max(nz.cast("int")).alias("nz"),
-                     F.max((hp & nz).cast("int")).alias("hnz"),
-                     F.max((nh & nz & u).cast("int")).alias("nhz"),
-                     F.max((nh & u).cast("int")).alias("nhu"),
-                     F.max((nz & u).cast("int")).alias("nzu")).first()
-        return {k: bool(row[k]) for k in ("nh", "nz", "hnz", "nhz", "nhu", "nzu")}
-
-    fl, fr = flags(L), flags(R)
+    # which row shapes exist on each side: one small aggregate over both sides
+    c = F.col("comp")
+    hp, zp, u = _present(c["house_number"]), _present(c["zipcode"]), _present(c["unit"])
+    nh, nz = ~hp, ~zp
+    shapes = {"nh": nh, "nz": nz, "hnz": hp & nz, "nhz": nh & nz & u, "nhu": nh & u, "nzu": nz & u}
+    both = L.select("comp", F.lit(0).alias("_side")).unionByName(R.select("comp", F.lit(1).alias("_side")))
+    row = both.agg(*[F.max((cond & (F.col("_side") == s)).cast("int")).alias(f"{k}_{s}")
+                     for k, cond in shapes.items() for s in (0, 1)]).first()
+    fl = {k: bool(row[f"{k}_0"]) for k in shapes}
+    fr = {k: bool(row[f"{k}_1"]) for k in shapes}
     jmin = (threshold - 0.3 - 0.5 * (2.0 / 3.0)) / 0.2 - 1e-9
 
     def side_keys(is_left: bool) -> Column:
