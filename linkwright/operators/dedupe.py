@@ -122,8 +122,10 @@ def elect_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUN
     dst) with src < dst. Returns (ord, leader) where leader == ord for leaders."""
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
+    # edges are scored once (the similarity UDFs run here) and cut from lineage
+    edges = edges.select("src", "dst").checkpoint(eager=True)
     state = nodes.select("ord", F.lit("U").alias("st")).checkpoint(eager=True)
-    live = edges.select("src", "dst")
+    live = edges
     rounds = 0
     while True:
         rounds += 1
@@ -144,9 +146,10 @@ def elect_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUN
         state = nxt
         if undecided == 0:
             break
-        # drop edges into decided nodes (they no longer influence anything)
-        live = live.join(state.where(F.col("st") == "U").select(F.col("ord").alias("dst")), "dst",
-                         "left_semi").checkpoint(eager=True)
+        # only edges into undecided nodes still matter; derived from the
+        # checkpointed edges and the checkpointed state, so lineage stays short
+        live = edges.join(state.where(F.col("st") == "U").select(F.col("ord").alias("dst")), "dst",
+                          "left_semi")
     leaders = state.where(F.col("st") == "L").select(F.col("ord").alias("src"))
     follow = edges.select("src", "dst").join(leaders, "src", "left_semi") \
         .groupBy(F.col("dst").alias("ord")).agg(F.min("src").alias("leader"))
