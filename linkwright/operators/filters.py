@@ -83,9 +83,11 @@ def _substrings_of_len(c: Column, k: int):
         F.array().cast("array<string>"))
 
 
-def substring_keys(c: Column, max_len: int = 3) -> Column:
-    """Distinct substrings of length 1..max_len, tagged with their length."""
-    return F.array_distinct(F.concat(*[_substrings_of_len(c, k) for k in range(1, max_len + 1)]))
+def substring_keys(c: Column, max_len: int = 3, lengths: list[int] | None = None) -> Column:
+    """Distinct substrings of the given lengths (default 1..max_len), tagged
+    with their length."""
+    lengths = lengths or list(range(1, max_len + 1))
+    return F.array_distinct(F.concat(*[_substrings_of_len(c, k) for k in sorted(lengths)]))
 
 
 def search_batch(df: DataFrame, requests: DataFrame, name_col: str = "facility_name",
@@ -97,8 +99,8 @@ def search_batch(df: DataFrame, requests: DataFrame, name_col: str = "facility_n
     Requests are grouped by which criteria they set (at most 16 patterns,
     read back with one tiny aggregate). Each group is an equi-join on its
     set equality criteria; a name criterion joins without loss on its first
-    min(L, 3) lower-cased characters against the names' distinct 1..3
-    character substrings, then the exact ``instr`` residual applies.
+    min(L, 3) lower-cased characters against the names' distinct substrings
+    of the lengths the terms need, then the exact ``instr`` residual applies.
     A request with no criterion matches every row by definition; such
     requests are refused unless ``allow_match_all``.
     """
@@ -109,6 +111,9 @@ def search_batch(df: DataFrame, requests: DataFrame, name_col: str = "facility_n
     req = requests.select(F.col(request_id), *[setv(F.col(c)).alias(c) for c in crit])
     flags = [F.col(c).isNotNull().alias(f"_has_{c}") for c in crit]
     patterns = req.select(*flags).distinct().collect()
+    # substring lengths the name terms need (at most max_gram values)
+    gram_lengths = sorted(r[0] for r in req.where(F.col(name_col).isNotNull()).select(
+        F.least(F.length(name_col), F.lit(max_gram)).alias("n")).distinct().collect())
     outs = []
     for p in patterns:
         has = {c: bool(p[f"_has_{c}"]) for c in crit}
@@ -124,7 +129,8 @@ def search_batch(df: DataFrame, requests: DataFrame, name_col: str = "facility_n
             rq = rq.withColumn("_tkey", F.concat(
                 F.least(F.length(term), F.lit(max_gram)).cast("string"), F.lit(":"),
                 F.substring(term, 1, max_gram)))
-            t = t.withColumn("_tkey", F.explode(substring_keys(F.lower(F.col(name_col)), max_gram)))
+            t = t.withColumn("_tkey", F.explode(
+                substring_keys(F.lower(F.col(name_col)), max_gram, gram_lengths)))
             keys = keys + ["_tkey"]
         rq = rq.select(F.col(request_id), F.col(name_col).alias("_term"),
                        *[F.col(k).alias(f"_rq_{k}") for k in keys])
