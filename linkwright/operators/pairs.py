@@ -360,7 +360,7 @@ def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
                 "similarity")
 
 
-MAX_LOOKUP_REFERENCE = 100_000
+MAX_LOOKUP_REFERENCE = 10_000
 
 
 def fuzzy_lookup(df: DataFrame, reference: DataFrame, col: str = "address",
