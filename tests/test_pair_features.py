@@ -115,3 +115,20 @@ def test_pair_features_match_rule(spark):
         exp = py_features(r.addr1, r.addr2)
         for k in M.PAIR_FEATURES_13:
             assert r[k] == pytest.approx(exp[k], abs=1e-12), (k, r.addr1, r.addr2)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_WORDS = (list(T.STREET_TYPES) + list(T.STREET_TYPES.values()) + list(T.UNIT_TYPES)
+          + list(T.DIRECTIONALS) + list(T.US_STATES) + ["main", "oak", "12", "4b", "new", "york"])
+_SEPS = [" ", ", ", ". ", " #", "  ", "-", " # "]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(_WORDS), st.sampled_from(_SEPS), st.booleans()),
+                min_size=1, max_size=8))
+def test_one_pass_standardization_property(spark, parts):
+    s = "".join((w.title() if up else w) + sep for w, sep, up in parts)
+    got = spark.createDataFrame([(s,)], "a string").select(T.standardize_address(F.col("a"))).first()[0]
+    assert got == py_standardize(s)
