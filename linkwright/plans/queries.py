@@ -1299,8 +1299,9 @@ def q_geo_similarity(spark, sf_dir):
                                                F.col("longitude").alias("lo"))
     r = X.right_addresses(spark, sf_dir).select("id", "latitude", "longitude")
     d = geo.geo_distance_m(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude"))
-    return l.join(r, "id").select("id", F.round(d, 3).alias("distance_m"),
-                                  r6(geo.geo_decay(d)).alias("geo_sim"))
+    j = l.join(r, "id").withColumn("_d", d)  # one Vincenty evaluation per row
+    return j.select("id", F.round("_d", 3).alias("distance_m"),
+                    r6(geo.geo_decay(F.col("_d"))).alias("geo_sim"))
 
 
 # ------------------------------------------- O-FEA1 oracle: LCS in SQL
