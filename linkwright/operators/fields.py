@@ -254,8 +254,11 @@ def normalize_full(df: DataFrame, mapping_key: str = "default", mappings: dict |
                                                 final_value(t).alias("v"))),
         lambda s: s["i"] > 0)
     present = F.array_sort(present)
-    norm_entries = F.transform(present, lambda s: F.struct(s["k"].alias("key"),
-                                                           s["v"].alias("value")))
+    # staged columns: each array below is referenced several times, and a
+    # higher-order function inside one projection would be re-evaluated per use
+    base = base.withColumn("_norm", F.transform(present, lambda s: F.struct(
+        s["k"].alias("key"), s["v"].alias("value"))))
+    norm_entries = F.col("_norm")
     applied_defaults = {}
     if apply_defaults and mapping_key != "default":
         applied_defaults = dict(defaults)
@@ -272,6 +275,8 @@ def normalize_full(df: DataFrame, mapping_key: str = "default", mappings: dict |
         merged = F.when(has, F.transform(merged, _fill_default(f, v))).otherwise(
             F.concat(merged, F.array(F.struct(F.lit(f).alias("key"), F.lit(v).alias("value")))))
 
+    base = base.withColumn("_merged", merged)
+    merged = F.col("_merged")
     req: list[str] = []
     if validate_required:
         req = list(required.get(mapping_key, []))
