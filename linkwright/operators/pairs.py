@@ -174,7 +174,7 @@ def best_match_candidates(L: DataFrame, R: DataFrame, threshold: float) -> DataF
                 parts.append(((yes if is_left else ~hp) & zp, F.concat(F.lit("zB:"), z)))
             arr = _keys(*parts)
             # house equal, both zips present and different: bigram prefix keys
-            bg = F.array_sort(F.array_distinct(text.ngrams(F.col("std"), 2)))
+            bg = F.col("_bg")
             nb = F.size(bg)
             plen = nb - F.ceil(F.lit(jmin) * nb).cast("int") + 1
             pref = F.slice(bg, 1, F.greatest(plen, F.lit(1)))
@@ -199,8 +199,13 @@ def best_match_candidates(L: DataFrame, R: DataFrame, threshold: float) -> DataF
                 arr = F.concat(arr, extra)
         return arr
 
+    if tight:  # sorted distinct word bigrams, staged once per row
+        bigrams = F.array_sort(F.array_distinct(text.ngrams(F.col("std"), 2)))
+        L, R = L.withColumn("_bg", bigrams), R.withColumn("_bg", bigrams)
     lk = L.withColumn("keys", side_keys(True))
     rk = R.withColumn("keys", side_keys(False))
+    if tight:
+        lk, rk = lk.drop("_bg"), rk.drop("_bg")
     return keyed_pairs(lk, rk)
 
 
