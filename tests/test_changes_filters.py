@@ -74,3 +74,20 @@ def test_by_city_state(spark):
     assert [r.atom_id for r in FL.by_city(b, "SPRINGFIELD").collect()] == [1, 5]
     assert [r.atom_id for r in FL.by_city(b, "springfield").collect()] == []  # case-sensitive
     assert [r.atom_id for r in FL.by_state(b, "NY").collect()] == [2]
+
+
+def test_search_batch_term_lengths_vs_brute_force(spark):
+    import pytest as _pytest
+    b = base(spark)
+    reqs = [("t1", "h", None, None, None), ("t2", "Al", None, None, None), ("t3", "mart", None, "IL", None),
+            ("t4", "%", None, None, None), ("t5", "zz", None, None, None), ("t6", None, "METROPOLIS", None, None)]
+    req = spark.createDataFrame(reqs, "request_id string, facility_name string, city string, state string, auth_type string")
+    got = sorted((r.request_id, r.atom_id) for r in FL.search_batch(b, req).collect())
+    exp = sorted((rid, x[0]) for rid, nm, city, st, at in reqs for x in BASE
+                 if (not nm or nm.lower() in x[1].lower()) and (not city or city == x[2])
+                 and (not st or st == x[3]) and (not at or at == x[4]))
+    assert got == exp
+    everything = spark.createDataFrame([("all", None, None, None, None)], req.schema)
+    with _pytest.raises(ValueError):
+        FL.search_batch(b, everything)
+    assert FL.search_batch(b, everything, allow_match_all=True).count() == len(BASE)
