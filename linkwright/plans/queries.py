@@ -527,14 +527,16 @@ def q_linkage_features(spark, sf_dir):
 @register("link_records")
 def q_link_records(spark, sf_dir):
     """O-LNK1 end to end on the derived parents/atoms: O-FEA1 features of the
-    candidate pairs, a forest (O-ML1, 100 trees, seed 42) trained on them
-    with label = same customer, then score (O-ML3), classify (O-CLS1),
-    explain (O-LNK3) and present (O-LNK4)."""
+    candidate pairs (computed and persisted once, shared with the training
+    of the forest, O-ML1: 100 trees, seed 42, label = same customer), then
+    score (O-ML3), classify (O-CLS1), explain (O-LNK3) and present (O-LNK4).
+    The same steps composed as ``plans.linkage.link_records`` are tested in
+    pytest."""
     from ..operators import linkage as LK
-    from . import linkage as PL
-    model = _forest_for_links(spark, sf_dir)
-    res = PL.link_records(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), model, with_geo=False)
-    return LK.readable(res)
+    from ..operators import model as M
+    model, feats = _forest_and_features(spark, sf_dir)
+    scored = M.score_matches(feats, model, features=LK.FEATURES_9)
+    return LK.readable(LK.explain(LK.classify(scored)))
 
 
 # ------------------------------------------------------------ O-NRM4..8 (full)
@@ -1142,25 +1144,25 @@ def q_feature_importance(spark, sf_dir):
 _FOREST: dict = {}
 
 
-def _forest_for_links(spark, sf_dir):
-    """Forest (O-ML1) on the candidate-pair features, memoized per session
-    and input (three queries share it)."""
+def _forest_and_features(spark, sf_dir):
+    """Candidate-pair features (persisted) and the forest (O-ML1) trained on
+    them, memoized per session and input (several queries share them)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FOREST:
-        _FOREST[key] = _train_forest_for_links(spark, sf_dir)
+        from pyspark import StorageLevel
+
+        from ..operators import linkage as LK
+        from ..operators import model as M
+        from . import linkage as PL
+        feats = PL.pair_features(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), with_geo=False)
+        feats = feats.withColumn("is_match", (F.col("p_id") == F.col("a_id")).cast("int")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        _FOREST[key] = (M.train_forest(feats, LK.FEATURES_9, "is_match"), feats)
     return _FOREST[key]
 
 
-def _train_forest_for_links(spark, sf_dir):
-    from pyspark import StorageLevel
-
-    from ..operators import linkage as LK
-    from ..operators import model as M
-    from . import linkage as PL
-    feats = PL.pair_features(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), with_geo=False)
-    feats = feats.withColumn("is_match", (F.col("p_id") == F.col("a_id")).cast("int")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    return M.train_forest(feats, LK.FEATURES_9, "is_match")
+def _forest_for_links(spark, sf_dir):
+    return _forest_and_features(spark, sf_dir)[0]
 
 
 @register("link_incremental")
