@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.llm import bpe, gam, minhash, mixing, pii
-from linkwright.llm.common import prepare, staged
+from linkwright.llm.common import prepare, staged, take_columns
 from linkwright.llm.queries import split_pattern, table, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,33 +20,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores below the threshold."""
     model = gam.fit(docs, table(spark, sf_dir, "labels"))
-    return gam.score(docs.select(*COLUMNS), model, "__score").where(
+    return gam.score(take_columns(docs, COLUMNS), model, "__score").where(
         F.col("__score") >= gam.THRESHOLD).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return take_columns(docs, COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates; n_chars follows the new text."""
-    return pii.pseudonymize(docs.select(*COLUMNS)).withColumn(
+    return pii.pseudonymize(take_columns(docs, COLUMNS)).withColumn(
         "n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     ).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes every document as often as the mix does: not at all, once or twice."""
-    picks = mixing.mix(docs)
-    return mixing.mixed_documents(docs.select(*COLUMNS), picks).select(*COLUMNS)
+    docs = take_columns(docs, COLUMNS)
+    return mixing.mixed_documents(docs, mixing.mix(docs)).select(*COLUMNS)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids, decoded again; digests per document."""
     path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern()
-    encoded = bpe.encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    encoded = bpe.encode(take_columns(docs, ["doc_id", "text"]), path, pattern).select("doc_id", "ids")
     return bpe.digests(bpe.decode(encoded, path, pattern))
 
 

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, prepare, text_list
+from .common import TwoAges, add_column, prepare, text_list
 
 MAX_MOVES = 500_000
 MAX_PAIRS = 300_000
 #: bytes of one match after which settled tokens are emitted
 SETTLE_BYTES = 256
-MAX_UNITS = 200_000
+MAX_UNITS = 300_000
 CHUNK_IDS = 8192
 
 
@@ -226,21 +226,17 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.machine = Transducer(load_ranks(path))
         self.split = regex.compile(_exact_classes(pattern))
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
+        self.spaced, self.bare, self.matches = (TwoAges(MAX_UNITS) for _ in range(3))
 
     def _ids(self, text: str) -> bytes:
         out = []
         for m in self.split.findall(text):
-            ids = self.matches.get(m)
+            ids = self.matches.young.get(m) or self.matches.again(m)
             if ids is None:
                 t = self.machine.encode(m.encode("utf-8"))
                 ids = struct.pack(f"<{len(t)}I", *t)
                 if len(m) <= 64:
-                    if len(self.matches) > MAX_UNITS:
-                        self.matches.clear()
-                    self.matches[m] = ids
+                    self.matches.put(m, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -251,12 +247,12 @@ class Codec:
         first = parts[0]
         if not first or first[-1].isspace():
             return self._ids(text)
-        out = list(map(self.spaced.get, parts))
-        head = self.bare.get(first)
+        out = list(map(self.spaced.young.get, parts))
+        head = self.bare.young.get(first) or self.bare.again(first)
         if head is None:
-            if len(self.bare) > MAX_UNITS:
-                self.bare.clear()
-            head = self.bare[first] = self._ids(first)
+            head = self._ids(first)
+            if len(first) <= 64:
+                self.bare.put(first, head)
         out[0] = head
         if None in out:
             for i in range(1, len(parts)):
@@ -264,13 +260,11 @@ class Codec:
                     p = parts[i]
                     if not p or p[0].isspace() or p[-1].isspace():
                         return self._ids(text)
-                    known = self.spaced.get(p)
+                    known = self.spaced.young.get(p) or self.spaced.again(p)
                     if known is None:
                         known = self._ids(" " + p)
                         if len(p) <= 64:
-                            if len(self.spaced) > MAX_UNITS:
-                                self.spaced.clear()
-                            self.spaced[p] = known
+                            self.spaced.put(p, known)
                     out[i] = known
         return b"".join(out)
 

@@ -31,12 +31,15 @@ extra columns are dropped; a damaged block raises an error.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +49,13 @@ MAGIC = b"IDB1"
 BLOCK_IDS = 1 << 16
 MAX_LANES = 256
 LANE_IDS = 128
-BATCH_BLOCKS = 24
+BATCH_BLOCKS = 16
 SLOTS = 1 << 16
 GAIN = 24
 MIX_LIMIT = 4096
-MAX_UNITS = 300_000
+MAX_UNITS = 400_000
+#: printable ASCII and Latin-1 letters: composed already, lower case is by character
+_PLAIN = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U48 = np.uint64(16), np.uint64(48)
 
@@ -63,33 +68,70 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # a task is one thread; Spark runs several tasks beside each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.cache = TwoAges(MAX_UNITS)
-
-    def encode(self, text: bytes) -> bytes:
-        parts = text.split()
-        out = list(map(self.cache.young.get, parts))
-        if None in out:
-            new: dict[bytes, bytes] = {}
-            for i, got in enumerate(out):
-                if got is None:
-                    got = out[i] = self.cache.again(parts[i])
-                    if got is None:
-                        new[parts[i]] = b""
-            if new:
-                keys = list(new)
-                for k, e in zip(keys, self.tok.encode_batch_fast([k.decode("utf-8") for k in keys],
-                                                                 add_special_tokens=False)):
-                    ids = e.ids
-                    new[k] = struct.pack(f"<{len(ids)}I", *ids)
-                    if len(k) <= 64:
-                        self.cache.put(k, new[k])
-                for i, got in enumerate(out):
-                    if got is None:
-                        out[i] = new[parts[i]]
-        return b"".join(out)
+        self.cache, self.pieces = TwoAges(MAX_UNITS), TwoAges(MAX_UNITS)
+        self.split = None
+        if self._lower_case_split():
+            self.split = regex.compile(self._lower_case_split())
+
+    def _lower_case_split(self) -> str | None:
+        """The file's split pattern, if it lower-cases and drops what lies between matches."""
+        spec = json.loads(self.tok.to_str())
+        norm = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if norm == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in pre] == ["Split", "ByteLevel"] \
+                and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and not pre[1].get("use_regex", True):
+            return pre[0]["pattern"].get("Regex")
+        return None
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Packed ids of every text; what the cache lacks is encoded in one call."""
+        get, again = self.cache.young.get, self.cache.again
+        split = [t.split() for t in texts]
+        new: dict[bytes, bytes] = {}
+        for parts in split:
+            for p, known in zip(parts, map(get, parts)):
+                if known is None and p not in new:
+                    old = again(p)
+                    new[p] = old if old is not None else b""
+        # stretches of plain Latin letters and signs fall into matches of the file's own
+        # split pattern, which are encoded alone and cached too
+        lack, cut, todo = [p for p, ids in new.items() if not ids], {}, {}
+        for p in lack:
+            text = p.decode("utf-8")
+            parts = self.split.findall(text.lower()) if self.split and _PLAIN.fullmatch(text) else [text]
+            cut[p] = parts
+            for m in parts:
+                if m not in self.pieces.young and self.pieces.again(m) is None:
+                    todo[m] = b""
+        names = list(todo)
+        for at in range(0, len(names), 10_000):
+            some = names[at:at + 10_000]
+            for m, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                ids = e.ids
+                todo[m] = struct.pack(f"<{len(ids)}I", *ids)
+        for p, parts in cut.items():
+            new[p] = b"".join([todo[m] if m in todo else self.pieces.young.get(m) or self.pieces.old.get(m, b"")
+                               for m in parts])
+        for m, ids in todo.items():
+            if len(m) <= 64:
+                self.pieces.put(m, ids)
+        for p in lack:
+            if len(p) <= 64:
+                self.cache.put(p, new[p])
+        # entries may have aged meanwhile: young, new, then old
+        out = []
+        young, old = self.cache.young, self.cache.old
+        for parts in split:
+            got = list(map(young.get, parts))
+            if None in got:
+                got = [g if g is not None else new[p] if p in new else old[p] for p, g in zip(parts, got)]
+            out.append(b"".join(got))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -104,64 +146,71 @@ def encoder(path: str) -> Encoder:
 
 # -------------------------------------------------------------------- model
 class _Model:
-    """Predictions of order 0 to 2 for many blocks, each with its own tables."""
+    """Predictions of order 0 to 2 for many blocks, each with its own tables.
+    A slot of the order-1 and order-2 tables holds 4 * id + confidence."""
 
     def __init__(self, blocks: int, alphabet: int):
         self.n, self.alphabet = blocks, alphabet
-        self.id2 = np.zeros(blocks * SLOTS, np.int32)
-        self.cf2 = np.zeros(blocks * SLOTS, np.int8)
-        self.id1 = np.zeros(blocks * SLOTS, np.int32)
-        self.cf1 = np.zeros(blocks * SLOTS, np.int8)
+        self.t2 = np.zeros(blocks * SLOTS, np.int32)
+        self.t1 = np.zeros(blocks * SLOTS, np.int32)
         self.mix = np.tile(np.array([1, 1, 2], np.int64), (blocks * 16, 1))
-        self.hist = np.ones(blocks * alphabet, np.int64)
-        self.far = np.int64(1 << 40)
+        self.hist = np.ones(blocks * alphabet, np.int32)
+        self.base = np.arange(blocks, dtype=np.int64) << 40
+        self._cuts()
         self.refresh(0)
 
+    def _cuts(self) -> None:
+        total = self.mix.sum(axis=1)
+        self.cut2 = (self.mix[:, 0] << 16) // total
+        self.cut1 = self.cut2 + (self.mix[:, 1] << 16) // total
+
     def refresh(self, step: int) -> None:
-        """Order-0 distribution after steps 0, 1, 2, 4, 8, 16 and every 16th."""
-        if step & (step - 1) and step % 16:
+        """Order-0 distribution after steps 0, 1, 2, 4 ... 64 and every 64th."""
+        if step & (step - 1) and step % 64:
             return
         h = self.hist.reshape(self.n, self.alphabet)
-        cum = np.zeros_like(h)
-        np.cumsum(h[:, :-1], axis=1, out=cum[:, 1:])
-        self.total = cum[:, -1] + h[:, -1]
-        cum += (np.arange(self.n) * self.far)[:, None]
-        self.cum, self.freq = cum.reshape(-1), self.hist.copy()
+        cum = np.empty((self.n, self.alphabet + 1), np.int64)
+        cum[:, 0] = self.base
+        np.cumsum(h, axis=1, out=cum[:, 1:])
+        cum[:, 1:] += self.base[:, None]
+        self.total = cum[:, -1] - self.base
+        self.cum, self.width = cum.reshape(-1), self.alphabet + 1
 
     def predict(self, b, c1, c2):
         """Slots and predictions, and the cuts of the unit interval in 2**16."""
+        row = b * SLOTS
         self.b = b
-        self.s1 = b * SLOTS + (c1 & (SLOTS - 1))
-        self.s2 = b * SLOTS + ((c1 * 40503 + c2 * 60493 + (c2 >> 5)) & (SLOTS - 1))
-        self.p1, self.p2 = self.id1[self.s1], self.id2[self.s2]
-        self.k1, self.k2 = self.cf1[self.s1], self.cf2[self.s2]
-        self.ctx = b * 16 + self.k2.astype(np.int64) * 4 + self.k1
-        m = self.mix[self.ctx]
-        tot = m[:, 0] + m[:, 1] + m[:, 2]
-        self.f2 = (m[:, 0] << 16) // tot
-        self.f1 = (m[:, 1] << 16) // tot
+        self.s1 = row + (c1 & (SLOTS - 1))
+        self.s2 = row + ((c1 * 40503 + c2 * 60493 + (c2 >> 5)) & (SLOTS - 1))
+        self.v1, self.v2 = self.t1.take(self.s1), self.t2.take(self.s2)
+        self.p1, self.p2 = self.v1 >> 2, self.v2 >> 2
+        self.ctx = b * 16 + ((self.v2 & 3) << 2 | (self.v1 & 3))
+        self.f2, self.f1 = self.cut2.take(self.ctx), self.cut1.take(self.ctx)
 
     def choose(self, x):
         """0, 1 or 2: x is the order-2 prediction, the order-1 one, neither."""
-        return np.where((x == self.p2) & (self.k2 > 0), 0, np.where((x == self.p1) & (self.k1 > 0), 1, 2))
+        # an empty slot (0) predicts nothing
+        first = (x == self.p2) & (self.v2 > 0)
+        second = (x == self.p1) & (self.v1 > 0)
+        return np.where(first, 0, 2 - second)
 
     def cut(self, choice):
-        edge = self.f2 + self.f1
-        low = np.where(choice == 0, 0, np.where(choice == 1, self.f2, edge))
-        size = np.where(choice == 0, self.f2, np.where(choice == 1, self.f1, 65536 - edge))
-        return low.astype(np.uint64), size.astype(np.uint64)
+        low = np.where(choice == 2, self.f1, np.where(choice == 1, self.f2, 0))
+        high = np.where(choice == 2, 65536, np.where(choice == 1, self.f1, self.f2))
+        return low.astype(np.uint64), (high - low).astype(np.uint64)
 
     def update(self, x, choice):
         self.mix += np.bincount(self.ctx * 3 + choice, minlength=self.n * 48).reshape(-1, 3)
         over = self.mix.sum(axis=1) > MIX_LIMIT
         if over.any():
             self.mix[over] = (self.mix[over] + 1) >> 1
+        self._cuts()
         x32 = x.astype(np.int32)
-        for ids, cfs, slot, pred, conf in ((self.id2, self.cf2, self.s2, self.p2, self.k2),
-                                           (self.id1, self.cf1, self.s1, self.p1, self.k1)):
-            same = pred == x32
-            ids[slot] = np.where(same | (conf > 1), pred, x32)
-            cfs[slot] = np.where(same, np.minimum(conf + 1, 3), np.maximum(conf - 1, 1))
+        for table, slot, v, pred in ((self.t2, self.s2, self.v2, self.p2), (self.t1, self.s1, self.v1, self.p1)):
+            conf = v & 3
+            same = np.where(conf < 3, v + 1, v)
+            other = np.where(conf > 1, v - 1, (x32 << 2) | 1)
+            table[slot] = np.where((pred == x32) & (conf > 0), same, other)
         np.add.at(self.hist, self.b * self.alphabet + x, GAIN)
 
 
@@ -227,10 +276,11 @@ def compress(blocks: list[np.ndarray], alphabet: int) -> list[list[np.ndarray]]:
             esc = np.flatnonzero(choice == 2)
             if len(esc):
                 be = blk[esc]
-                at = be * alphabet + x[esc]
+                at = be * m.width + x[esc]
                 r = rng[esc] // m.total[be].astype(np.uint64)
-                low[esc] += (m.cum[at] - be * m.far).astype(np.uint64) * r
-                rng[esc] = m.freq[at].astype(np.uint64) * r
+                c = m.cum.take(at)
+                low[esc] += (c - m.base[be]).astype(np.uint64) * r
+                rng[esc] = (m.cum.take(at + 1) - c).astype(np.uint64) * r
                 settle(esc)
             m.update(x, choice)
             m.refresh(i + 1)
@@ -293,7 +343,7 @@ def decompress(words: list[list[np.ndarray]], sizes: list[int], alphabet: int) -
             m.predict(b, c1, c2)
             r = rng[:k] >> _U16
             value = np.minimum((code[:k] - low[:k]) // r, np.uint64(65535)).astype(np.int64)
-            choice = np.where(value < m.f2, 0, np.where(value < m.f2 + m.f1, 1, 2))
+            choice = np.where(value < m.f2, 0, np.where(value < m.f1, 1, 2))
             cum, size = m.cut(choice)
             low[:k] += cum * r
             rng[:k] = size * r
@@ -305,10 +355,11 @@ def decompress(words: list[list[np.ndarray]], sizes: list[int], alphabet: int) -
                 total = m.total[be]
                 r = rng[esc] // total.astype(np.uint64)
                 value = np.minimum(((code[esc] - low[esc]) // r).astype(np.int64), total - 1)
-                hit = np.searchsorted(m.cum, value + be * m.far, side="right") - 1
-                x[esc] = hit - be * alphabet
-                low[esc] += (m.cum[hit] - be * m.far).astype(np.uint64) * r
-                rng[esc] = m.freq[hit].astype(np.uint64) * r
+                hit = np.searchsorted(m.cum, value + m.base[be], side="right") - 1
+                x[esc] = hit - be * m.width
+                c = m.cum.take(hit)
+                low[esc] += (c - m.base[be]).astype(np.uint64) * r
+                rng[esc] = (m.cum.take(hit + 1) - c).astype(np.uint64) * r
                 settle(esc)
             ids[i, :k] = x
             m.update(x, choice)
@@ -395,9 +446,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
             return out
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, packed in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
                 names.append(doc_id)
-                ids.append(np.frombuffer(enc.encode(text) + end, "<u4"))
+                ids.append(np.frombuffer(packed + end, "<u4"))
                 fill += len(ids[-1])
                 if fill >= block_ids:
                     ready.append((names, ids))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, prepare, staged
+from .common import add_column, prepare, staged, take_columns
 
 DEFAULT_KEY = "linkwright-surrogates"
 BROADCAST_ROWS = 100_000
@@ -325,7 +325,7 @@ def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
         return [[{"kind": k, "canonical": c, "gender": _gender_of(k, g)}
                  for k, c, g in sorted({x[2:] for x in find(t)})] if t else [] for t in col.to_pylist()]
 
-    found = add_column(df.select("doc_id", F.col(text_col).alias("text")), "e", T.ArrayType(item), "text", make)
+    found = add_column(take_columns(df, ["doc_id", text_col]).toDF("doc_id", "text"), "e", T.ArrayType(item), "text", make)
     return found.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e.*")
 
 

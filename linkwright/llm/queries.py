@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from . import bpe, ego, gam, idcoder, minhash, mixing, pii, rules, unigram_count, warc
-from .common import add_column, prepare
+from .common import add_column, prepare, take_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,7 +59,7 @@ def op1_minhash_dedup(spark, sf_dir):
 @_register
 def op2_pii_surrogates(spark, sf_dir):
     """Surrogates in all documents: doc_id, text, n_entities, kinds."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = take_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return pii.pseudonymize(docs)
 
 
@@ -95,7 +95,7 @@ def op5_token_id_files(spark, sf_dir):
 @_register
 def op6_token_counts(spark, sf_dir):
     """Unigram token counts of all documents: doc_id, n_tokens."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = take_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return unigram_count.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
@@ -104,7 +104,7 @@ def op7_quality_classifier(spark, sf_dir):
     """Quality scores of all documents by the additive model."""
     docs = table(spark, sf_dir, "documents")
     model = gam.fit(docs, table(spark, sf_dir, "labels"))
-    scored = gam.score(docs.select("doc_id", "text"), model)
+    scored = gam.score(take_columns(docs, ["doc_id", "text"]), model)
     return scored.select(
         "doc_id", F.coalesce(gam.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= gam.THRESHOLD).cast("int").alias("predicted"))
@@ -114,7 +114,7 @@ def op7_quality_classifier(spark, sf_dir):
 def op8_byte_bpe(spark, sf_dir):
     """All documents encoded by rank file and decoded again."""
     path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = take_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     encoded = bpe.encode(docs, path, pattern).select("doc_id", "ids")
     return bpe.digests(bpe.decode(encoded, path, pattern))
 
