@@ -7,7 +7,7 @@ path, or MERGE it with a table format that supports it).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ def insert_rows(base: DataFrame, new: DataFrame, key: str = "atom_id",
     strings are cast to the base's date columns.
 
     Dense numbering without a global sort: per-partition row counts (one
-    small aggregate, one row per partition) give each partition an offset;
+    small table, one row per partition, joined back) give each partition an offset;
     the row's index inside its partition comes from
     ``monotonically_increasing_id``. With ``order_col`` the batch is range-
     partitioned and sorted on it first (a distributed sort, no single-task
@@ -47,22 +47,18 @@ def insert_rows(base: DataFrame, new: DataFrame, key: str = "atom_id",
     start_has = has.agg(F.max(key)).first()[0]
     start = max([v for v in (start, start_has) if v is not None], default=0)
     if order_col:
-        parts = max(1, needs.sparkSession.sparkContext.defaultParallelism)
-        needs = needs.repartitionByRange(parts, "_order").sortWithinPartitions("_order")
+        # as many ranges as Spark's shuffles have, which adaptive execution sizes by bytes
+        needs = needs.repartitionByRange("_order").sortWithinPartitions("_order")
     needs = needs.checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
     tagged = needs.withColumn("_mid", mid).withColumn("_part", F.shiftright("_mid", 33))
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()
-    offsets, run = {}, 0
-    for r in counts:
-        offsets[int(r["_part"])] = run
-        run += int(r["n"])
-    off_map = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]) \
-        if offsets else F.create_map().cast("map<bigint,bigint>")
+    # one row per partition: rows of all partitions before it
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tagged.groupBy("_part").agg(F.count("*").alias("n")).select(
+        "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_off"))
     idx = F.col("_mid") - F.shiftleft(F.col("_part"), 33)
-    new_key = (F.lit(start) + F.coalesce(F.try_element_at(off_map, F.col("_part")), F.lit(0))
-               + idx + 1).cast(schema[key].dataType)
-    numbered = tagged.withColumn(key, new_key).drop("_mid", "_part")
+    new_key = (F.lit(start) + F.col("_off") + idx + 1).cast(schema[key].dataType)
+    numbered = tagged.join(offsets, "_part").withColumn(key, new_key).drop("_mid", "_part", "_off")
     names = schema.fieldNames()
     return base.unionByName(has.select(*names)).unionByName(numbered.select(*names))
 
@@ -72,7 +68,8 @@ def patch_rows(base: DataFrame, changes: DataFrame, key: str = "atom_id",
     """O-CHG2: partial update. ``changes`` holds (key, change MAP<STRING,STRING>
     [, seq]): only fields *present* in the map are set, a present NULL sets
     NULL. Several changes per key apply in ``seq`` order, per field the last
-    present value wins. Changing the key itself is rejected.
+    present value wins; without ``seq_col`` they are rejected. Changing the key
+    itself is rejected.
 
     Returns (new table, report with ``found`` per changed key).
     """
@@ -82,7 +79,10 @@ def patch_rows(base: DataFrame, changes: DataFrame, key: str = "atom_id",
     if bad:
         raise ValueError(f"a change may not set the key column {key!r}")
     per_field = e.groupBy(key, F.col("e.key").alias("field")).agg(
-        F.max_by(F.col("e.value"), F.col("_seq")).alias("value"))
+        F.max_by(F.struct(F.col("e.value").alias("v")), F.col("_seq")).alias("_v"),
+        F.count("*").alias("n")).select(key, "field", "n", F.col("_v.v").alias("value"))
+    if seq_col is None and not per_field.where("n > 1").isEmpty():
+        raise ValueError("several changes set one field of a key: name a seq_col that orders them")
     merged = per_field.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_m"))
     j = base.join(merged, key, "left")
@@ -99,9 +99,17 @@ def patch_rows(base: DataFrame, changes: DataFrame, key: str = "atom_id",
     return j.select(*out), report
 
 
-def replace_rows(base: DataFrame, changes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+def replace_rows(base: DataFrame, changes: DataFrame, key: str = "id",
+                 seq_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """O-CHG3: full replacement of the non-key fields of existing keys
-    (unknown keys are reported, not inserted)."""
+    (unknown keys are reported, not inserted). Of several changes for one key
+    the last by ``seq_col`` counts; without it, the largest by its values, so
+    that a rerun gives the same rows."""
+    names = [c for c in changes.columns if c != seq_col]
+    whole = F.struct(*[F.col(c) for c in names])
+    order = F.struct(F.col(seq_col), whole) if seq_col else whole
+    changes = changes.groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, order).alias("_r")).select(
+        *[F.col("_r")[c].alias(c) for c in names])
     r = changes.select(*[F.col(c).alias(f"_n_{c}") for c in changes.columns])
     j = base.join(r, base[key] == r[f"_n_{key}"], "left")
     matched = F.col(f"_n_{key}").isNotNull()

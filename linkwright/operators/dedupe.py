@@ -7,13 +7,11 @@ leader. Not transitive.
 Spark plan:
 1. Collapse equal keys to one representative (smallest order): equal keys
    have identical neighbourhoods, so this is exact.
-2. Similar pairs (i < j) as edges: equi-join candidates, exact score,
-   threshold. For Jaro-Winkler the candidates come from *prefix filtering*
-   on occurrence-indexed characters: JW >= t forces jaro >= (t-.4)/.6, so the
-   matched-character count m satisfies m/l1 + m/l2 >= c with c = 3j-1, which
-   needs m >= ceil((c-1)*l) for a string of length l. Two strings sharing
-   that many characters share one among the first l - need + 1 characters
-   of each in any fixed global order (rarest first). Lossless.
+2. Similar pairs (i < j) as edges: candidates from an equi-join, exact score,
+   threshold. For Jaro-Winkler the join is split by the number of common
+   leading characters and uses a prefix filter on occurrence-indexed characters
+   (:func:`jw_candidates`); bounds on lengths and shared characters cut the
+   candidates before scoring. Lossless.
 3. Leader election in rounds: an undecided node with a leader among its
    smaller neighbours is a follower; one with no undecided or leader smaller
    neighbour is a leader. Rounds equal the longest dependency chain; the
@@ -32,92 +30,105 @@ from ..session import ensure_checkpoint_dir
 from .pairs import keyed_pairs
 from .spatial import near_join
 
-MAX_ROUNDS = 10_000
+def _char_tokens(chars: Column) -> Column:
+    """Occurrence-indexed characters: a, a -> a#1, a#2 (a multiset as a set)."""
+    def tag(ch: Column, i: Column) -> Column:
+        occ = F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch))
+        return F.concat(ch, F.lit("\u0001"), occ.cast("string"))
+    return F.transform(chars, tag)
 
 
-def _token_table(nodes: DataFrame) -> DataFrame:
-    """(ord, k) -> (ord, k, len, toks sorted rarest first)."""
-    toks = nodes.withColumn("_c", F.filter(F.split(F.col("k"), ""), lambda ch: ch != ""))
-    toks = toks.withColumn("_t", _char_tokens_of("_c"))
-    freq = toks.select(F.explode("_t").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
-    ex = toks.select("ord", "k", F.explode("_t").alias("tok")).join(freq, "tok")
-    w = ex.groupBy("ord", "k").agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("_s"))
-    return w.select("ord", "k", F.length("k").alias("len"),
-                    F.transform("_s", lambda s: s["tok"]).alias("toks"))
+def min_jaro(threshold: float, prefix: int, p: float = 0.1) -> float:
+    """Jaro that JW >= threshold needs when ``prefix`` leading characters agree."""
+    return max(0.0, (threshold - prefix * p) / (1 - prefix * p))
 
 
-def jw_min_overlap_factor(threshold: float, p: float = 0.1) -> float:
-    """c in  m/l1 + m/l2 >= c  implied by JW >= threshold (boost <= 4p(1-j))."""
-    jmin = (threshold - 4 * p) / (1 - 4 * p) if threshold > 4 * p else 0.0
-    return 3 * jmin - 1
+def _token_rows(nodes: DataFrame) -> DataFrame:
+    """(side, ord, k, len, toks rarest first) of (side, ord, k)."""
+    cut = nodes.withColumn("_c", F.filter(F.split("k", ""), lambda ch: ch != ""))
+    cut = cut.withColumn("_t", _char_tokens(F.col("_c")))
+    rare = cut.select(F.explode("_t").alias("tok")).groupBy("tok").agg(F.count("*").alias("f"))
+    ex = cut.select("side", "ord", "k", F.explode("_t").alias("tok")).join(rare, "tok")
+    rows = ex.groupBy("side", "ord", "k").agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("_s"))
+    return rows.select("side", "ord", "k", F.length("k").alias("len"),
+                       F.transform("_s", lambda x: x["tok"]).alias("toks"))
 
 
-def jw_candidates(left: DataFrame, right: DataFrame, threshold: float,
-                  p: float = 0.1) -> DataFrame:
-    """Lossless candidate pairs for JW(l.k, r.k) >= threshold.
+def _prefix_keys(threshold: float, p: float, shorter: bool) -> Column:
+    """Keys of one row for every possible number of common leading characters.
 
-    With x the shorter string, m >= c*|x|*|y|/(|x|+|y|) >= c*|x|/2 matched
-    characters are needed, so x shares a character with y among its first
-    |x| - ceil(c*|x|/2) + 1 occurrence-indexed characters (rarest first, one
-    global order). x's prefix is joined with all of y's characters, for both
-    orientations; equal lengths keep only the left-short orientation. Pairs
-    sharing several keys are kept once. Inputs: (ord, k); output: (l_ord,
-    l_k, r_ord, r_k).
+    With c = 3j-1 for the Jaro j that JW >= threshold needs at that number,
+    m matched characters satisfy m/l1 + m/l2 >= c, so the shorter string needs
+    m >= c*l/2 and the longer one m >= (c-1)*l. Two strings that share m tokens
+    share one among the first l-m+1 of each in one global order.
     """
-    c = jw_min_overlap_factor(threshold, p)
-    if c <= 0:
-        raise ValueError("no lossless character filter below this threshold")
-    both = left.select("ord", "k", F.lit(0).alias("_side")).unionByName(
-        right.select("ord", "k", F.lit(1).alias("_side")))
-    tt = _token_table(both.select(F.struct("ord", "_side").alias("ord"), "k"))
-    alpha = F.greatest(F.lit(1), F.ceil(F.lit(c / 2 - 1e-12) * F.col("len")).cast("int"))
-    tt = tt.withColumn("prefix", F.slice("toks", 1, F.greatest(F.col("len") - alpha + 1, F.lit(1))))
-    tt = tt.persist()
-    L = tt.where(F.col("ord._side") == 0).select(F.col("ord.ord").alias("ord"), "k", "len", "prefix", "toks")
-    R = tt.where(F.col("ord._side") == 1).select(F.col("ord.ord").alias("ord"), "k", "len", "prefix", "toks")
-    # orientation 1: left is the shorter (or equal) string
-    o1 = keyed_pairs(L.withColumnRenamed("prefix", "keys"), R.withColumnRenamed("toks", "keys"))
-    o1 = o1.where(F.col("l_len") <= F.col("r_len"))
-    # orientation 2: right strictly shorter
-    o2 = keyed_pairs(R.withColumnRenamed("prefix", "keys"), L.withColumnRenamed("toks", "keys"),
-                     lprefix="r_", rprefix="l_")
-    o2 = o2.where(F.col("r_len") < F.col("l_len"))
-    cols = [F.col("l_ord"), F.col("l_k"), F.col("r_ord"), F.col("r_k")]
-    out = o1.select(*cols).unionByName(o2.select(*cols))
-    # residual: the multiset overlap bounds m from above
-    return out
-
-
-def _char_tokens_of(chars_col: str) -> Column:
-    """Occurrence-indexed characters of an array column: a, a -> a#1, a#2."""
-    def tag(ch: Column, i: Column) -> Column:
-        occ = F.size(F.filter(F.slice(F.col(chars_col), 1, i + 1), lambda x: x == ch))
-        return F.concat(ch, F.lit("\u0001"), occ.cast("string"))
-    return F.transform(F.col(chars_col), tag)
+    out = []
+    for n in range(5):
+        c = 3 * min_jaro(threshold, n, p) - 1
+        if c <= 0:
+            raise ValueError("no lossless character filter below this threshold")
+        share = c / 2 if shorter else c - 1
+        need = F.greatest(F.lit(1), F.ceil(F.lit(share - 1e-9) * F.col("len")).cast("int"))
+        head = F.concat(F.lit(f"{n}\u0002"), F.substring("k", 1, n), F.lit("\u0002"))
+        keys = F.transform(F.slice("toks", 1, F.greatest(F.lit(1), F.col("len") - need + 1)),
+                           lambda t: F.concat(head, t))
+        out.append(F.when(F.col("len") >= n, keys).otherwise(F.array().cast("array<string>")))
+    return F.concat(*out)
+
+
+def _common_prefix(a: Column, b: Column) -> Column:
+    same = F.lit(0)
+    for n in (1, 2, 3, 4):
+        same = F.when((F.length(a) >= n) & (F.substring(a, 1, n) == F.substring(b, 1, n)), F.lit(n)).otherwise(same)
+    return same
+
+
+def _jw_possible(threshold: float, p: float) -> Column:
+    """Can l_k and r_k reach the threshold, by their common prefix, lengths
+    and shared characters (which bound the matched ones from above)?"""
+    shared = F.size(F.array_intersect("l_toks", "r_toks"))
+    ways = shared / F.col("l_len") + shared / F.col("r_len")
+    ok = F.lit(False)
+    for n in range(5):
+        c = 3 * min_jaro(threshold, n, p) - 1
+        ok = F.when(F.col("_same") == n, ways >= c - 1e-9).otherwise(ok)
+    return ok
+
+
+def jw_candidates(left: DataFrame, right: DataFrame, threshold: float, p: float = 0.1) -> DataFrame:
+    """Lossless candidates for JW(l.k, r.k) >= threshold, unequal strings only.
+
+    Pairs are found per number of common leading characters (0 to 4), because
+    the prefix boost lowers the Jaro that is needed: the join key is those
+    characters and one of the rarest characters of both strings. The length
+    and character-multiset bounds then cut pairs before any scoring. Inputs:
+    (ord, k) with distinct non-empty k per side; output: (l_ord, l_k, r_ord,
+    r_k), each pair once.
+    """
+    both = left.select(F.lit(0).alias("side"), "ord", "k").unionByName(
+        right.select(F.lit(1).alias("side"), "ord", "k"))
+    rows = _token_rows(both.where(F.coalesce("k", F.lit("")) != ""))
+    rows = rows.select("*", _prefix_keys(threshold, p, True).alias("short"),
+                       _prefix_keys(threshold, p, False).alias("long"))
+    L, R = (rows.where(F.col("side") == i).drop("side") for i in (0, 1))
+    one = keyed_pairs(L.drop("long").withColumnRenamed("short", "keys"),
+                      R.drop("short").withColumnRenamed("long", "keys")).where("l_len <= r_len")
+    two = keyed_pairs(L.drop("short").withColumnRenamed("long", "keys"),
+                      R.drop("long").withColumnRenamed("short", "keys")).where("r_len < l_len")
+    cols = ["l_ord", "l_k", "l_len", "l_toks", "r_ord", "r_k", "r_len", "r_toks"]
+    pairs = one.select(*cols).unionByName(two.select(*cols)).where("l_k <> r_k")
+    pairs = pairs.withColumn("_same", _common_prefix(F.col("l_k"), F.col("r_k")))
+    return pairs.where(_jw_possible(threshold, p)).select("l_ord", "l_k", "r_ord", "r_k")
 
 
 def jw_candidate_pairs(nodes: DataFrame, threshold: float, p: float = 0.1) -> DataFrame:
     """Self-pairs (src < dst by ``ord``) that can reach JW >= threshold."""
-    cand = jw_candidates(nodes, nodes, threshold, p)
-    cand = cand.where(F.col("l_ord") != F.col("r_ord"))
-    src = F.least("l_ord", "r_ord")
-    dst = F.greatest("l_ord", "r_ord")
-    k_src = F.when(F.col("l_ord") < F.col("r_ord"), F.col("l_k")).otherwise(F.col("r_k"))
-    k_dst = F.when(F.col("l_ord") < F.col("r_ord"), F.col("r_k")).otherwise(F.col("l_k"))
-    return cand.select(src.alias("src"), dst.alias("dst"), k_src.alias("src_k"),
-                       k_dst.alias("dst_k")).dropDuplicates(["src", "dst"])
+    cand = jw_candidates(nodes, nodes, threshold, p).where("l_ord < r_ord")
+    return cand.select(F.col("l_ord").alias("src"), F.col("r_ord").alias("dst"),
+                       F.col("l_k").alias("src_k"), F.col("r_k").alias("dst_k"))
 
 
-def _blocked_self_pairs(reps: DataFrame, prefix_len: int) -> DataFrame:
-    from .pairs import rare_token_keys
-
-    lk, _ = rare_token_keys(reps, reps.limit(0), "k", "ord", "ord", 1, prefix_len)
-    pairs = keyed_pairs(lk, lk).where(F.col("l_ord") < F.col("r_ord"))
-    return pairs.select(F.col("l_ord").alias("src"), F.col("r_ord").alias("dst"),
-                        F.col("l_k").alias("src_k"), F.col("r_k").alias("dst_k"))
-
-
-def elect_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def elect_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Sequential leader rule on a graph. ``nodes``: (ord); ``edges``: (src,
     dst) with src < dst. Returns (ord, leader) where leader == ord for leaders."""
     spark = nodes.sparkSession
@@ -127,10 +138,8 @@ def elect_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUN
     state = nodes.select("ord", F.lit("U").alias("st")).checkpoint(eager=True)
     live = edges
     rounds = 0
-    while True:
+    while True:  # every round decides at least the smallest undecided node
         rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"dedupe did not converge within {max_rounds} rounds")
         src_st = live.join(state.withColumnRenamed("ord", "src").withColumnRenamed("st", "sst"), "src")
         agg = src_st.groupBy("dst").agg(
             F.max((F.col("sst") == "L").cast("int")).alias("has_l"),
@@ -159,29 +168,18 @@ def elect_leaders(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUN
 
 
 def dedupe(df: DataFrame, key_col: str, threshold: float = 0.85, order_col: str = "pos",
-           p: float = 0.1, mode: str = "exact", prefix_len: int = 2) -> DataFrame:
+           p: float = 0.1) -> DataFrame:
     """O-DED1: Jaro-Winkler (lower-cased key, missing -> '') leader rule.
 
     Returns the input rows plus ``leader`` (order value of the group's
     leader) and ``is_leader``. Unique rows = ``is_leader``; groups = rows
     grouped by ``leader`` having more than one member.
-
-    ``mode='exact'``: lossless character-prefix candidates (equal to the
-    sequential rule; candidate volume grows towards all pairs for long keys
-    sharing common letters). ``mode='blocked'``: candidates share the keys'
-    rarest word prefix (as in ``pairs.link_names``) - bounded blocks on large
-    inputs, with a stated recall loss; the leader rounds are the same.
     """
     k = F.lower(F.coalesce(F.col(key_col).cast("string"), F.lit("")))
     rows = df.withColumn("_k", k)
     reps = rows.groupBy(F.col("_k").alias("k")).agg(F.min(order_col).alias("ord"))
     reps = reps.checkpoint(eager=True)
-    if mode == "exact":
-        cand = jw_candidate_pairs(reps, threshold, p)
-    elif mode == "blocked":
-        cand = _blocked_self_pairs(reps, prefix_len)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
+    cand = jw_candidate_pairs(reps, threshold, p)
     sim = S.jaro_winkler(F.col("src_k"), F.col("dst_k"), p, cap=True)
     edges = cand.where(sim >= threshold).select("src", "dst")
     lead = elect_leaders(reps.select("ord"), edges)

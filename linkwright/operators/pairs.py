@@ -10,7 +10,6 @@ costs no extra shuffle. Top-1 per left row is a ``max_by`` aggregate
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,78 +17,52 @@ from ..functions import similarity as S
 from ..functions import text
 
 
-HOT_KEY_ROWS = 100_000
-SALT_BUCKETS = 64
-SALT_MIN_BYTES = 1 << 30
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's plan-time size estimate (no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-    except Exception:  # estimate unavailable: assume large
-        return 1 << 62
+#: rows of one key on one side that a single task may pair
+KEY_ROWS = 4_096
+#: the same where every pair is scored in Python
+LOOKUP_BLOCK = 256
 
 
 def keyed_pairs(left: DataFrame, right: DataFrame, lkeys: str = "keys",
                 rkeys: str = "keys", lprefix: str = "l_", rprefix: str = "r_",
-                hot_key_rows: int | None = HOT_KEY_ROWS,
-                salt_buckets: int = SALT_BUCKETS,
-                salt_min_bytes: int = SALT_MIN_BYTES) -> DataFrame:
+                key_rows: int = KEY_ROWS) -> DataFrame:
     """Every (left, right) pair sharing at least one key, exactly once.
 
     ``left`` and ``right`` carry an ``array<string>`` of keys. Output columns
     are the inputs' columns prefixed, plus ``block_key``. The join is a plain
     shuffle equi-join on the key.
 
-    Hot keys: one aggregate finds keys holding more than ``hot_key_rows``
-    rows on either side. For those, the larger side gets a salt in
-    ``[0, salt_buckets)`` from a hash of the row (deterministic, so a retried
-    task rebuilds the same split) and the other side is replicated once per
-    salt, so the block's pairs are produced by ``salt_buckets`` tasks instead
-    of one. Each pair is still produced exactly once. The detection pass
-    runs only when Catalyst estimates a side at ``salt_min_bytes`` or more
-    (plan statistics, no job); below that a block fits one task anyway.
-    AQE's skew join adds byte-based splitting on top.
+    Hot keys: the rows of every key are counted on both sides (one partial
+    aggregate over the keys alone). A key with more than ``key_rows`` rows on
+    a side is split there into as many buckets as its count asks for, by a
+    hash of the row; its pairs are dealt into the grid of left and right
+    buckets, so a task pairs at most about ``key_rows`` squared rows whatever
+    the key's size. Each row is repeated once per bucket of the other side and
+    each pair is still produced exactly once.
     """
-    lcols = [c for c in left.columns]
-    rcols = [c for c in right.columns]
+    lcols, rcols = list(left.columns), list(right.columns)
     l = left.select(*[F.col(c).alias(lprefix + c) for c in lcols],
                     F.explode(F.array_distinct(F.col(lkeys))).alias("block_key"))
     r = right.select(*[F.col(c).alias(rprefix + c) for c in rcols],
                      F.explode(F.array_distinct(F.col(rkeys))).alias("_rk"))
-    if hot_key_rows and max(estimated_bytes(l), estimated_bytes(r)) < salt_min_bytes:
-        hot_key_rows = None
-    if hot_key_rows:
-        # the count pass and the join read the same exploded rows: persist them
-        # so upstream standardization / tagging runs once
-        l = l.persist(StorageLevel.MEMORY_AND_DISK)
-        r = r.persist(StorageLevel.MEMORY_AND_DISK)
-        counts = l.select(F.col("block_key").alias("_hk"), F.lit(0).alias("_side")).unionByName(
-            r.select(F.col("_rk").alias("_hk"), F.lit(1).alias("_side")))
-        hot = counts.groupBy("_hk").agg(F.count_if(F.col("_side") == 0).alias("_nl"),
-                                        F.count_if(F.col("_side") == 1).alias("_nr")) \
-            .where((F.col("_nl") > hot_key_rows) | (F.col("_nr") > hot_key_rows)) \
-            .select("_hk", (F.col("_nl") >= F.col("_nr")).alias("_salt_left"))
-        salts = F.sequence(F.lit(0), F.lit(salt_buckets - 1))
-
-        def row_salt(cols):
-            return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets))
-
-        l = l.join(hot.withColumnRenamed("_hk", "block_key"), "block_key", "left")
-        l = l.withColumn("_salt", F.explode(
-            F.when(F.col("_salt_left").isNull(), F.array(F.lit(0).cast("long")))
-            .when(F.col("_salt_left"), F.array(row_salt([lprefix + c for c in lcols])))
-            .otherwise(salts.cast("array<bigint>")))).drop("_salt_left")
-        r = r.join(hot.withColumnRenamed("_hk", "_rk"), "_rk", "left")
-        r = r.withColumn("_rsalt", F.explode(
-            F.when(F.col("_salt_left").isNull(), F.array(F.lit(0).cast("long")))
-            .when(~F.col("_salt_left"), F.array(row_salt([rprefix + c for c in rcols])))
-            .otherwise(salts.cast("array<bigint>")))).drop("_salt_left")
-        j = l.join(r, (l["block_key"] == r["_rk"]) & (l["_salt"] == r["_rsalt"]), "inner") \
-            .drop("_salt", "_rsalt")
-    else:
-        j = l.join(r, l["block_key"] == r["_rk"], "inner")
+    counts = l.select(F.col("block_key").alias("_hk"), F.lit(0).alias("_side")).unionByName(
+        r.select(F.col("_rk").alias("_hk"), F.lit(1).alias("_side")))
+    hot = counts.groupBy("_hk").agg(F.count_if(F.col("_side") == 0).alias("_nl"),
+                                    F.count_if(F.col("_side") == 1).alias("_nr")) \
+        .where((F.col("_nl") > key_rows) | (F.col("_nr") > key_rows)) \
+        .select("_hk", F.ceil(F.col("_nl") / key_rows).cast("int").alias("_bl"),
+                F.ceil(F.col("_nr") / key_rows).cast("int").alias("_br"))
+
+    def deal(df, key, cols, own, other, mine, theirs):
+        d = df.join(hot.withColumnRenamed("_hk", key), key, "left")
+        n_own, n_other = F.greatest(F.coalesce(own, F.lit(1)), F.lit(1)), F.greatest(F.coalesce(other, F.lit(1)), F.lit(1))
+        return d.withColumn(mine, F.pmod(F.xxhash64(*[F.col(c) for c in cols]), n_own).cast("int")) \
+            .withColumn(theirs, F.explode(F.sequence(F.lit(0), n_other - 1))).drop("_bl", "_br")
+
+    l = deal(l, "block_key", [lprefix + c for c in lcols], F.col("_bl"), F.col("_br"), "_s1", "_s2")
+    r = deal(r, "_rk", [rprefix + c for c in rcols], F.col("_br"), F.col("_bl"), "_t2", "_t1")
+    j = l.join(r, (F.col("block_key") == F.col("_rk")) & (F.col("_s1") == F.col("_t1"))
+               & (F.col("_s2") == F.col("_t2"))).drop("_s1", "_s2", "_t1", "_t2")
     first_shared = F.array_min(F.array_intersect(F.col(lprefix + lkeys), F.col(rprefix + rkeys)))
     return j.where(F.col("block_key") == first_shared).drop("_rk")
 
@@ -118,7 +91,8 @@ def prepare_addresses(df: DataFrame, id_col: str = "id", address_col: str = "add
 
 
 def best_match_candidates(L: DataFrame, R: DataFrame, threshold: float) -> DataFrame:
-    """Lossless candidates for O-JOIN2 at ``threshold >= 0.6875``.
+    """Lossless candidates for O-JOIN2. Below 0.6875 no key is lossless, so
+    every pair is one; :func:`keyed_pairs` deals them into a grid of blocks.
 
     score = .3*overall + .5*component + .2*bigram <= .5 + .5*component, so a
     match needs component > 2t-1. With house and zip both comparable and
@@ -137,8 +111,9 @@ def best_match_candidates(L: DataFrame, R: DataFrame, threshold: float) -> DataF
     lexical order). The hot house-only key is kept only for rows without a
     zip.
     """
-    if threshold < 0.6875:
-        raise ValueError("best_match: no lossless blocking below threshold 0.6875")
+    if threshold < 0.6875:  # any pair may match: all pairs, dealt in blocks
+        every = F.array(F.lit("all"))
+        return keyed_pairs(L.withColumn("keys", every), R.withColumn("keys", every))
     tight = threshold >= 0.767
 
     # which row shapes exist on each side: one small aggregate over both sides
@@ -218,11 +193,10 @@ def best_match(left: DataFrame, right: DataFrame, threshold: float = 0.8,
 
     Output: address1_id, address1, address2_id, address2, similarity.
     """
-    # both sides feed two small flag aggregates and the join: persist them
-    # so the standardization runs once (lost blocks recompute from lineage)
-    L = prepare_addresses(left, id_col, address_col).persist(StorageLevel.MEMORY_AND_DISK)
-    R = prepare_addresses(right, id_col, address_col, right_order) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # both sides feed flag and key counts and the join: checkpointed, so the
+    # standardization runs once and nothing stays in executor storage
+    L = prepare_addresses(left, id_col, address_col).checkpoint(eager=True)
+    R = prepare_addresses(right, id_col, address_col, right_order).checkpoint(eager=True)
     pairs = best_match_candidates(L, R, threshold)
     scored = pairs.withColumn("similarity", S.address_similarity_v1_std(
         F.col("l_std"), F.col("r_std"), F.col("l_comp"), F.col("r_comp")))
@@ -257,94 +231,68 @@ def _numeric_order(df: DataFrame, c: str) -> bool:
     raise ValueError(f"order column {c} must be numeric for earliest-wins ties")
 
 
-def token_prefix_keys(c: Column, n: int = 2) -> Column:
-    """Distinct n-character prefixes of the lower-cased word tokens."""
-    toks = text.tokens(c)
-    return F.array_distinct(F.transform(toks, lambda t: F.substring(t, 1, n)))
-
-
-def rare_token_keys(left: DataFrame, right: DataFrame, col: str, left_id: str, right_id: str,
-                    n_keys: int = 2, prefix_len: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Add ``keys``: each row's ``n_keys`` rarest word prefixes, rarity
-    counted over both sides together (one aggregate, joined back on the
-    rows' own unique ids, never collected). Every row keeps its keys;
-    frequent words stop forming the huge blocks that make token blocking
-    quadratic."""
-    def side(df, idc, s):
-        return df.select(F.col(idc).cast("string").alias("_rid"), F.lit(s).alias("_side"),
-                         F.explode(token_prefix_keys(F.col(col), prefix_len)).alias("key"))
-
-    ex = side(left, left_id, 0).unionByName(side(right, right_id, 1))
-    freq = ex.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ex.join(freq, "key").groupBy("_side", "_rid").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("n", "key"))), 1, n_keys).alias("_k"))
-    ranked = ranked.select("_side", "_rid", F.transform("_k", lambda x: x["key"]).alias("keys"))
-
-    def back(df, idc, s):
-        r = ranked.where(F.col("_side") == s).select(F.col("_rid"), "keys")
-        out = df.join(r, df[idc].cast("string") == r["_rid"], "left").drop("_rid")
-        return out.withColumn("keys", F.coalesce(F.col("keys"), F.array().cast("array<string>")))
-
-    return back(left, left_id, 0), back(right, right_id, 1)
+#: score bands of O-JOIN6, high to low; the threshold itself comes last
+NAME_BANDS = (0.95, 0.9, 0.85)
 
 
 def link_names(left: DataFrame, right: DataFrame, threshold: float = 0.8,
                left_key: str = "customer", right_key: str = "customer",
-               id_col: str = "id", right_order: str | None = None,
-               mode: str = "blocked", prefix_len: int = 2, n_keys: int = 1) -> DataFrame:
+               id_col: str = "id", right_order: str | None = None) -> DataFrame:
     """O-JOIN6: for each left row the right row with the highest
     Jaro-Winkler of the lower-cased names, strictly above ``threshold``;
-    ties -> earliest right row.
-
-    ``mode='blocked'`` (default): candidates share one of each name's
-    ``n_keys`` rarest word prefixes (``prefix_len`` letters; rarity over both
-    sides; the default 1 keeps common words from forming large blocks).
-    JW >= 0.8 only needs half of the characters to agree, so no selective
-    lossless key exists: a true match without such a shared prefix is missed
-    (stated recall loss). ``mode='exact'``: the
-    lossless character-prefix filter (``dedupe.jw_candidates``); its cost
-    approaches all pairs on names sharing common letters, so it is meant
-    for small inputs.
+    ties -> earliest right row. Equal to scoring all pairs.
+
+    Equal names collapse on both sides first and match with score 1. The rest
+    goes through score bands from high to low, each with lossless candidates
+    for its lower bound (``dedupe.jw_candidates``): a name that finds its best
+    partner in a band is final and leaves the later, costlier bands.
     """
+    from .dedupe import jw_candidates
+
     L = left.select(F.col(id_col).alias("lid"), F.col(left_key).alias("lname"),
                     F.lower(F.coalesce(F.col(left_key), F.lit(""))).alias("k"))
-    R = right.select(F.col(id_col).alias("rid"), F.col(right_key).alias("rname"),
-                     F.col(right_order or id_col).alias("rord"),
-                     F.lower(F.coalesce(F.col(right_key), F.lit(""))).alias("k"))
-    if mode == "blocked":
-        lk, rk = rare_token_keys(L, R, "k", "lid", "rid", n_keys, prefix_len)
-        cand = keyed_pairs(lk, rk)
-        scored = cand.select(F.col("l_lid").alias("lid"), F.col("l_lname").alias("lname"),
-                             F.col("r_rid").alias("rid"), F.col("r_rname").alias("rname"),
-                             F.col("r_rord").alias("rord"), F.col("l_k"), F.col("r_k"))
-    elif mode == "exact":
-        from .dedupe import jw_candidates
-        L = L.withColumn("ord", F.col("lid").cast("string"))
-        R = R.withColumn("ord", F.col("rid").cast("string"))
-        cand = jw_candidates(L.select("ord", "k"), R.select("ord", "k"), threshold)
-        scored = cand.join(L.select(F.col("ord").alias("l_ord"), "lid", "lname"), "l_ord") \
-            .join(R.select(F.col("ord").alias("r_ord"), "rid", "rname", "rord"), "r_ord")
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    sim = S.jaro_winkler(F.col("l_k"), F.col("r_k"), 0.1, cap=True)
-    scored = scored.withColumn("score", sim).where(F.col("score") > threshold)
-    return top1(scored, "lid", ["lname"], ["rid", "rname"], "score", "rord") \
-        .select(F.col("lid").alias("left_id"), F.col("lname").alias("left_name"),
-                F.col("rid").alias("right_id"), F.col("rname").alias("right_name"), "score")
+    R = right.select(F.lower(F.coalesce(F.col(right_key), F.lit(""))).alias("k"), F.struct(
+        F.col(right_order or id_col).alias("o"), F.col(id_col).alias("rid"),
+        F.col(right_key).alias("rname")).alias("r"))
+    # of equal right names only the earliest can win
+    names = R.groupBy("k").agg(F.min("r").alias("r")).checkpoint(eager=True)
+    todo = L.select("k").distinct().checkpoint(eager=True)
+    found = todo.join(names, "k").select("k", "r", F.lit(1.0).alias("score"))
+    if threshold >= 1.0:
+        found = found.limit(0)
+    rights = names.select(F.col("k").alias("ord"), "k")
+    for low in [b for b in NAME_BANDS if b > threshold] + [threshold]:
+        todo = todo.join(found, "k", "left_anti")
+        cand = jw_candidates(todo.select(F.col("k").alias("ord"), "k"), rights, low)
+        scored = cand.select(F.col("l_k").alias("k"), F.col("r_k"), S.jaro_winkler(
+            F.col("l_k"), F.col("r_k"), 0.1, cap=True).alias("score"))
+        scored = scored.where((F.col("score") >= low) & (F.col("score") > threshold))
+        best = scored.join(names.withColumnRenamed("k", "r_k"), "r_k").groupBy("k").agg(
+            F.min(F.struct((-F.col("score")).alias("s"), "r")).alias("m"))
+        found = found.unionByName(best.select("k", F.col("m.r").alias("r"), (-F.col("m.s")).alias("score")))
+        found = found.checkpoint(eager=True)
+    return L.join(found, "k").select(
+        F.col("lid").alias("left_id"), F.col("lname").alias("left_name"),
+        F.col("r.rid").alias("right_id"), F.col("r.rname").alias("right_name"), "score")
 
 
 def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
                    id_col: str = "id", address_col: str = "address",
-                   right_order: str | None = None) -> DataFrame:
+                   right_order: str | None = None, mode: str = "exact") -> DataFrame:
     """O-JOIN3: best right address per left address by O-SIM16 (literal
     normalization, token components, Jaro-Winkler), strictly above
     ``threshold``, ties -> earliest right row.
 
-    Blocked, not all pairs: candidates share the house number or the ZIP of
-    the token parser (O-PRS2). O-SIM16 has no lossless equality key (all of
-    its parts are Jaro-Winkler), so a true match whose house number and ZIP
-    both differ is missed: a stated recall loss against the all-pairs rule.
+    ``mode='exact'`` (default) compares the left rows, a query set, with all
+    right rows in a grid of blocks: O-SIM16 has no lossless key, as all of its
+    parts are Jaro-Winkler. The parts of the components, which are short
+    strings, are scored first, and whole addresses only where the bound
+    0.5 + 0.5 * components exceeds the threshold. ``mode='blocked'`` is a
+    cheaper operator of its own: best match among rows that share the house
+    number or the ZIP.
     """
+    if mode not in ("exact", "blocked"):
+        raise ValueError(f"unknown mode {mode!r}")
     def prep(df, order):
         s = text.normalize_address_literal(F.col(address_col))
         out = df.select(F.col(id_col).alias("id"), F.col(address_col).alias("address"),
@@ -353,9 +301,10 @@ def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
         out = out.withColumn("comp", c)
         keys = _keys((F.col("comp.house_number").isNotNull(), F.concat(F.lit("h:"), F.col("comp.house_number"))),
                      (F.col("comp.zipcode").isNotNull(), F.concat(F.lit("z:"), F.col("comp.zipcode"))))
-        return out.withColumn("keys", keys)
+        return out.withColumn("keys", keys if mode == "blocked" else F.array(F.lit("all")))
 
     pairs = keyed_pairs(prep(left, None), prep(right, right_order))
+    pairs = pairs.where(S.component_bound_v2(F.col("l_comp"), F.col("r_comp")) > threshold)
     score = S.address_similarity_v2_std(F.col("l_norm"), F.col("r_norm"), F.col("l_comp"),
                                         F.col("r_comp"))
     scored = pairs.withColumn("similarity", score).where(F.col("similarity") > threshold)
@@ -365,34 +314,25 @@ def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
                 "similarity")
 
 
-MAX_LOOKUP_REFERENCE = 10_000
-
-
 def fuzzy_lookup(df: DataFrame, reference: DataFrame, col: str = "address",
                  ref_col: str | None = None, cutoff: int = 70) -> DataFrame:
     """O-JOIN4: best reference string per input by the weighted best-of
     score (O-SIM19); below ``cutoff`` the row is kept with no match; ties go
     to the reference that sorts first.
 
-    Distinct input strings are scored once and joined back. A lookup list is
-    small by nature: its distinct size is checked before it is broadcast; a
-    list above ``MAX_LOOKUP_REFERENCE`` is refused (that would be an
-    all-pairs job, not a lookup)."""
-    from pyspark.sql import Window
-
+    Distinct inputs are a query set against all distinct reference strings, in
+    a grid of blocks (:func:`keyed_pairs` on one key), whatever their number;
+    the best of every input is a partial aggregate, and results are joined back."""
     ref_col = ref_col or reference.columns[0]
+    every = F.array(F.lit("all")).alias("keys")
     ref = reference.select(F.col(ref_col).alias("best_match")).where(F.col("best_match").isNotNull()) \
-        .distinct()
-    n = ref.count()
-    if n > MAX_LOOKUP_REFERENCE:
-        raise ValueError(f"reference list has {n} entries; fuzzy_lookup broadcasts at most "
-                         f"{MAX_LOOKUP_REFERENCE}")
-    # rank inside the bounded list (<= MAX_LOOKUP_REFERENCE rows) for the tie rule
-    ref = ref.withColumn("_rord", F.row_number().over(Window.orderBy("best_match")))
-    inp = df.select(F.col(col).alias("input")).where(F.col("input").isNotNull()).distinct()
-    scored = inp.join(F.broadcast(ref), how="inner", on=F.lit(True)) \
-        .withColumn("confidence", S.best_of(F.col("input"), F.col("best_match")))
-    best = top1(scored, "input", [], ["best_match"], "confidence", "_rord")
+        .distinct().select("best_match", every)
+    inp = df.select(F.col(col).alias("input")).where(F.col("input").isNotNull()).distinct().select("input", every)
+    scored = keyed_pairs(inp, ref, key_rows=LOOKUP_BLOCK).select(
+        F.col("l_input").alias("input"), F.col("r_best_match").alias("best_match"),
+        S.best_of(F.col("l_input"), F.col("r_best_match")).alias("confidence"))
+    best = scored.groupBy("input").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "best_match")).alias("m")) \
+        .select("input", F.col("m.best_match").alias("best_match"), (-F.col("m.c")).alias("confidence"))
     out = df.join(best, df[col].eqNullSafe(best["input"]), "left").drop("input")
     ok = F.coalesce(F.col("confidence") >= cutoff, F.lit(False))
     return out.withColumn("best_match", F.when(ok, F.col("best_match"))) \

@@ -694,30 +694,20 @@ def q_event_props(spark, sf_dir):
     ordered record map, extended with two columns, then O-NRM1."""
     from ..sources import records as R
     ev = X.read(spark, sf_dir, "events")
-    recs = R.records_from_json_column(ev, "props", "event_id")
-    extra = ev.select(F.col("event_id").cast("long").alias("pos"),
-                      F.create_map(F.lit("Event_Type"), F.col("event_type"), F.lit("user_id"),
-                                   F.col("user_id").cast("string")).alias("x"))
-    recs = recs.join(extra, "pos").select("pos", F.map_concat("record", "x").alias("record"))
+    recs = R.records_from_json_column(ev, "props", "event_id", keep=["event_type", "user_id"])
+    recs = recs.select("pos", F.map_concat("record", F.create_map(
+        F.lit("Event_Type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string"))).alias("record"))
     out = fields.normalize_fields(recs, mappings=_EVENT_MAPPING)
     return out.select("pos", "kind", "user", "score", F.size("audit.unmatched").alias("n_unmatched"))
 
 
 # ------------------------------------------------------------------ O-JOIN6
 _JW_LN = O.jaro_winkler_sql("l.k", "r.k")
-_TPK = "list_distinct(list_transform(regexp_extract_all(lower({x}), '\\w+'), lambda t: substr(t, 1, 2)))"
 SQL_LINK_NAMES = f"""
-WITH l AS (SELECT id, name, lower(name) AS k, {_TPK.format(x='name')} AS keys FROM {_PARENTS} p),
-r AS (SELECT id, name, lower(name) AS k, {_TPK.format(x='name')} AS keys FROM {_ATOMS} a),
-ex AS (SELECT 0 AS side, id, unnest(keys) AS key FROM l UNION ALL SELECT 1, id, unnest(keys) FROM r),
-fr AS (SELECT key, count(*) AS n FROM ex GROUP BY key),
-rk AS (SELECT side, id, key FROM (SELECT ex.side, ex.id, ex.key,
-         row_number() OVER (PARTITION BY ex.side, ex.id ORDER BY fr.n, ex.key) AS rn
-       FROM ex JOIN fr ON ex.key = fr.key) WHERE rn <= 1),
-c AS (SELECT DISTINCT a.id AS lid, b.id AS rid FROM rk a JOIN rk b ON a.key = b.key
-      WHERE a.side = 0 AND b.side = 1),
+WITH l AS (SELECT id, name, lower(name) AS k FROM {_PARENTS} p),
+r AS (SELECT id, name, lower(name) AS k FROM {_ATOMS} a),
 s AS (SELECT l.id AS left_id, l.name AS left_name, r.id AS right_id, r.name AS right_name,
-             {_JW_LN} AS score FROM c JOIN l ON c.lid = l.id JOIN r ON c.rid = r.id),
+             {_JW_LN} AS score FROM l CROSS JOIN r),
 b AS (SELECT left_id, arg_max({{'right_id': right_id, 'right_name': right_name, 'score': score}},
                               {{'s': score, 'o': -CAST(right_id AS BIGINT)}}) AS m, any_value(left_name) AS left_name
       FROM s WHERE score > 0.8 GROUP BY left_id)
@@ -729,8 +719,7 @@ FROM b
 @register("link_names", SQL_LINK_NAMES)
 def q_link_names(spark, sf_dir):
     """O-JOIN6: best atom name per parent name by lower-cased Jaro-Winkler
-    > 0.8, blocked on each name's rarest 2-letter word prefix (same
-    blocking in the oracle)."""
+    > 0.8 over all pairs (the oracle scores every pair)."""
     p = X.parents(spark, sf_dir)
     a = X.atoms(spark, sf_dir).withColumn("rord", F.col("id").cast("long"))
     out = pairs.link_names(p, a, 0.8, "name", "name", "id", right_order="rord")
@@ -799,20 +788,28 @@ SELECT record1_id, record1_address, m.id AS record2_id, m.a AS record2_address,
 def q_link_addresses(spark, sf_dir):
     """O-JOIN3 / O-STD2 / O-PRS2 / O-SIM16: best varied address per customer
     address above 0.85, blocked on house number or ZIP."""
-    out = pairs.link_addresses(X.left_addresses(spark, sf_dir), X.right_addresses(spark, sf_dir))
+    out = pairs.link_addresses(X.left_addresses(spark, sf_dir), X.right_addresses(spark, sf_dir),
+                               mode="blocked")
     return out.withColumn("similarity", r6(F.col("similarity")))
 
 
 # ------------------------------------------------------------------ O-JOIN4
 @register("fuzzy_lookup")
 def q_fuzzy_lookup(spark, sf_dir):
-    """O-JOIN4 / O-SIM19: each atom's tagged city matched against the
-    reference list of parent cities (distinct, size-checked broadcast)."""
+    """O-JOIN4 / O-SIM19: each atom's city, misspelt (a letter dropped, two
+    swapped or a word added, by the id), against all parent cities."""
     from ..operators import linkage as LK
-    a = LK.standardize_usps(X.atoms(spark, sf_dir)).select(F.initcap("city").alias("city"))
+    a = LK.standardize_usps(X.atoms(spark, sf_dir)).select("id", F.initcap("city").alias("c"))
+    n = F.length("c")
+    at = F.greatest(F.lit(2), F.pmod(F.xxhash64("id"), F.greatest(n - 1, F.lit(1))).cast("int") + 1)
+    head, tail = F.substring("c", F.lit(1), at - 1), F.substring(F.col("c"), at + 1, n)
+    wrong = F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0, F.concat(head, tail)) \
+        .when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 1, F.concat(
+            head, F.substring(F.col("c"), at + 1, F.lit(1)), F.substring(F.col("c"), at, F.lit(1)),
+            F.substring(F.col("c"), at + 2, n))).otherwise(F.concat(F.col("c"), F.lit(" Area")))
     ref = X.parents(spark, sf_dir).select(
         F.split_part(F.col("address"), F.lit(", "), F.lit(3)).alias("city"))
-    return pairs.fuzzy_lookup(a, ref, "city", cutoff=70)
+    return pairs.fuzzy_lookup(a.select("id", wrong.alias("city")), ref, "city", cutoff=70)
 
 
 # ---------------------------------------------------------------- O-DED1/2
@@ -1101,30 +1098,24 @@ def q_pair_features(spark, sf_dir):
     return f.select("id", *[r6(F.col(c)).alias(c) for c in M.PAIR_FEATURES_13])
 
 
-_BOOSTED: dict = {}
+#: labelled pairs of the boosted model, whatever the size of the input
+TRAINING_PAIRS = 2000
 
 
 def _boosted(spark, sf_dir):
-    """O-ML9 -> O-FEA2 -> O-ML4 -> O-ML2, memoized per session and input."""
-    from pyspark import StorageLevel
-
+    """O-ML9 -> O-FEA2 -> O-ML4 -> O-ML2: (model, test features)."""
     from ..operators import model as M
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BOOSTED:
-        bases = X.left_addresses(spark, sf_dir).select(F.concat(F.lit("A"), F.col("id").cast("string"))
-                                                       .alias("id"), "address")
-        n = bases.count()
-        pairs_ = M.make_training_pairs(bases, n=n, levels=3, seed=42)
-        feats = M.address_pair_features(pairs_).persist(StorageLevel.MEMORY_AND_DISK)
-        train, test = M.split(feats, ["id1", "id2"], 0.8, 42)
-        model = M.train_boosted(train, M.PAIR_FEATURES_13, "is_match")
-        _BOOSTED[key] = (model, test)
-    return _BOOSTED[key]
+    bases = X.left_addresses(spark, sf_dir).select(F.concat(F.lit("A"), F.col("id").cast("string"))
+                                                   .alias("id"), "address")
+    pairs_ = M.make_training_pairs(bases, n=TRAINING_PAIRS, levels=3, seed=42)
+    feats = M.address_pair_features(pairs_).checkpoint(eager=True)
+    train, test = M.split(feats, ["id1", "id2"], 0.8, 42)
+    return M.train_boosted(train, M.PAIR_FEATURES_13, "is_match"), test
 
 
 @register("boosted_report")
 def q_boosted_report(spark, sf_dir):
-    """O-ML9 (training pairs, one per customer address), O-FEA2, O-ML4 (hash
+    """O-ML9 (a bounded sample of training pairs), O-FEA2, O-ML4 (hash
     split 80/20), O-ML2 (boosted trees), O-ML3 scoring and O-ML6 report."""
     from ..operators import model as M
     model, test = _boosted(spark, sf_dir)
@@ -1141,24 +1132,14 @@ def q_feature_importance(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ O-LNK2
-_FOREST: dict = {}
-
-
 def _forest_and_features(spark, sf_dir):
-    """Candidate-pair features (persisted) and the forest (O-ML1) trained on
-    them, memoized per session and input (several queries share them)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FOREST:
-        from pyspark import StorageLevel
-
-        from ..operators import linkage as LK
-        from ..operators import model as M
-        from . import linkage as PL
-        feats = PL.pair_features(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), with_geo=False)
-        feats = feats.withColumn("is_match", (F.col("p_id") == F.col("a_id")).cast("int")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        _FOREST[key] = (M.train_forest(feats, LK.FEATURES_9, "is_match"), feats)
-    return _FOREST[key]
+    """Candidate-pair features and the forest (O-ML1) trained on them."""
+    from ..operators import linkage as LK
+    from ..operators import model as M
+    from . import linkage as PL
+    feats = PL.pair_features(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), with_geo=False)
+    feats = feats.withColumn("is_match", (F.col("p_id") == F.col("a_id")).cast("int")).checkpoint(eager=True)
+    return M.train_forest(feats, LK.FEATURES_9, "is_match"), feats
 
 
 def _forest_for_links(spark, sf_dir):
@@ -1242,7 +1223,8 @@ def q_link_stream(spark, sf_dir):
     from ..session import scratch_path
     from ..streaming import streams as ST
     model = _forest_for_links(spark, sf_dir)
-    src = ST.read_table_stream(spark, sf_dir, "customer.parquet", _customer_schema(spark, sf_dir))
+    src = ST.read_table_stream(spark, sf_dir, "customer.parquet", _customer_schema(spark, sf_dir),
+                               max_files_per_trigger=1)
     arrivals = X.atoms_from(src.select("c_custkey", "c_nationkey", "c_mktsegment"))
     base = scratch_path(spark, "link-stream")
     q = ST.link_stream(arrivals, X.parents(spark, sf_dir), model, f"{base}/out",
@@ -1384,3 +1366,113 @@ FROM fr
 
 
 ORACLE["linkage_features"] = _sql_linkage_features()
+
+
+# --------------------------------------------------- sinks, reports and hashes
+@register("by_state", f"SELECT atom_id, state FROM {_FAC} t WHERE state = 'CT'")
+def q_by_state(spark, sf_dir):
+    """O-FIL3 on the derived facilities."""
+    return filters.by_state(X.facilities(spark, sf_dir), "CT").select("atom_id", "state")
+
+
+@register("split_valid", f"""
+WITH v AS ({SQL_VALIDATE})
+SELECT atom_id, is_valid, CASE WHEN NOT is_valid THEN error_fields END AS error_fields FROM v
+""")
+def q_split_valid(spark, sf_dir):
+    """O-VAL2: valid rows and invalid rows with their fields in error."""
+    valid, invalid = validate.split_valid(validate.validate_facilities(X.facilities(spark, sf_dir)))
+    return valid.select("atom_id", F.lit(True).alias("is_valid"), F.lit(None).cast("string").alias("error_fields")) \
+        .unionByName(invalid.select(F.col("record_index").alias("atom_id"), F.lit(False).alias("is_valid"),
+                                    F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("error_fields")))
+
+
+@register("change_reports", """
+WITH p AS (SELECT DISTINCT l_orderkey + CASE WHEN l_linenumber > 5 THEN 100000000 ELSE 0 END AS k FROM lineitem),
+d AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' UNION SELECT -c_custkey FROM customer)
+SELECT 'patch' AS op, k, k IN (SELECT o_orderkey FROM orders) AS found FROM p
+UNION ALL SELECT 'replace', c_custkey, c_custkey IN (SELECT o_orderkey FROM orders) FROM customer
+UNION ALL SELECT 'delete', k, k IN (SELECT o_orderkey FROM orders) FROM d
+""")
+def q_change_reports(spark, sf_dir):
+    """O-CHG2 to O-CHG4: which keys of a change batch the table knows."""
+    o = X.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    li = X.read(spark, sf_dir, "lineitem")
+    c = X.read(spark, sf_dir, "customer")
+    late = F.when(F.col("l_linenumber") > 5, F.lit(100000000)).otherwise(0)
+    ch = li.select((F.col("l_orderkey") + late).cast("long").alias("o_orderkey"), F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("seq"),
+        F.create_map(F.lit("o_orderstatus"), F.col("l_returnflag")).alias("change"))
+    _, patch = changes.patch_rows(o, ch, key="o_orderkey", seq_col="seq")
+    _, replace = changes.replace_rows(o, c.select(F.col("c_custkey").cast("long").alias("o_orderkey"),
+                                                  F.col("c_name").alias("o_orderstatus")), key="o_orderkey")
+    _, delete = changes.delete_rows(o, li.where(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").cast("long")).union(c.select((-F.col("c_custkey")).cast("long"))), key="o_orderkey")
+    out = [r.select(F.lit(op).alias("op"), F.col("o_orderkey").alias("k"), "found")
+           for op, r in (("patch", patch), ("replace", replace), ("delete", delete))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _sql_part(c: str) -> str:
+    return f"CASE WHEN coalesce({c}, '') = '' THEN '-' ELSE length({c}) || ':' || {c} END"
+
+
+@register("record_hash", f"""
+SELECT id, md5('i|' || {_sql_part('id')} || '|' || {_sql_part('auth_id')}) AS id_hash,
+  md5('f|' || {_sql_part('address')} || '|' || {_sql_part('name')} || '|-|-|-|-|-|-') AS field_hash,
+  md5({_sql_part('id')} || '|' || {_sql_part('auth_id')} || '#' || {_sql_part('address')} || '|' || {_sql_part('name')}
+      || '|-|-|-|-|-|-') AS content_hash
+FROM {_ATOMS} a
+""")
+def q_record_hash(spark, sf_dir):
+    """O-HSH1: hash by id, by fields where no id is set, and of the content."""
+    from ..operators import linkage as LK
+    a = X.atoms(spark, sf_dir).select("id", "auth_id", "address", "name")
+    with_id = LK.record_hash(a).withColumnRenamed("record_hash", "id_hash")
+    no_id = LK.record_hash(a.select(F.col("id").alias("_id"), "address", "name"), by_id=True)
+    return with_id.join(no_id.select(F.col("_id").alias("id"), F.col("record_hash").alias("field_hash")), "id") \
+        .select("id", "id_hash", "field_hash", "content_hash")
+
+
+@register("csv_roundtrip", f"SELECT CAST(id AS VARCHAR) AS id, address FROM {_LEFT} t")
+def q_csv_roundtrip(spark, sf_dir):
+    """O-SNK1 -> O-SRC2: addresses written as CSV with header, read back as records."""
+    from ..session import scratch_path
+    from ..sources import records as R
+    path = scratch_path(spark, "records") + ".csv"
+    R.write_records(X.left_addresses(spark, sf_dir).select("id", "address"), path)
+    rec = F.col("record")
+    return R.read_records(spark, path).select(rec["id"].alias("id"), rec["address"].alias("address"))
+
+
+@register("sink_roundtrips", f"""
+WITH v AS ({SQL_VALIDATE})
+SELECT 'matches' AS sink, CAST(l.id AS VARCHAR) AS k, r.address AS value FROM {_LEFT} l JOIN {_RIGHT} r ON l.id = r.id
+UNION ALL SELECT 'valid', CAST(v.atom_id AS VARCHAR), t.facility_name FROM v JOIN {_FAC} t ON v.atom_id = t.atom_id WHERE is_valid
+UNION ALL SELECT 'audit', CAST(atom_id AS VARCHAR), error_fields FROM v WHERE NOT is_valid
+""")
+def q_sink_roundtrips(spark, sf_dir):
+    """O-SNK2 (audit log in two appends), O-SNK3 (match file), O-SNK4 (valid
+    rows), each written under the shared folder and read back."""
+    from ..session import scratch_path
+    from ..sources import records as R
+    base = scratch_path(spark, "sinks")
+    l, r = X.left_addresses(spark, sf_dir), X.right_addresses(spark, sf_dir)
+    R.write_matches(l.select("id", F.col("id").alias("address1_id"), F.col("address").alias("address1")).join(
+        r.select("id", F.col("id").alias("address2_id"), F.col("address").alias("address2")), "id")
+        .withColumn("similarity", F.lit(1.0)), f"{base}/matches")
+    checked = validate.validate_facilities(X.facilities(spark, sf_dir))
+    R.write_valid(checked, f"{base}/valid")
+    _, invalid = validate.split_valid(checked)
+    audit = invalid.select(F.col("record_index").cast("string").alias("k"),
+                           F.array_join(F.transform("errors", lambda e: e["field"]), ",").alias("value"))
+    even = F.pmod(F.col("k").cast("long"), F.lit(2)) == 0
+    R.append_audit(audit.where(even), f"{base}/audit")
+    R.append_audit(audit.where(~even), f"{base}/audit")
+    m = spark.read.option("header", True).csv(f"{base}/matches")
+    v = spark.read.schema("atom_id long, facility_name string").json(f"{base}/valid")
+    return m.select(F.lit("matches").alias("sink"), F.col("address1_id").alias("k"), F.col("address2").alias("value")) \
+        .unionByName(v.select(F.lit("valid").alias("sink"), F.col("atom_id").cast("string").alias("k"),
+                              F.col("facility_name").alias("value"))) \
+        .unionByName(R.read_audit(spark, f"{base}/audit", "k string, value string")
+                     .select(F.lit("audit").alias("sink"), "k", "value"))

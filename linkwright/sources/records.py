@@ -83,10 +83,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return r.load(path)
 
 
-def records_from_json_column(df: DataFrame, json_col: str, pos_col: str) -> DataFrame:
-    """JSON object text per row (e.g. ``events.props``) -> (pos, record)."""
+def records_from_json_column(df: DataFrame, json_col: str, pos_col: str,
+                             keep: list[str] | None = None) -> DataFrame:
+    """JSON object text per row (e.g. ``events.props``) -> (pos, record), and
+    the columns ``keep``."""
     m = F.from_json(F.col(json_col), "map<string,string>")
-    return df.select(F.col(pos_col).cast("long").alias("pos"), m.alias("record"))
+    return df.select(F.col(pos_col).cast("long").alias("pos"), m.alias("record"), *(keep or []))
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -154,7 +154,7 @@ def _py_token_parts(s):
 
 
 def _py_sim_v2(a, b):
-    from linkwright.functions.similarity import jaro_winkler_py
+    from .oracles import jaro_winkler as jaro_winkler_py
     n1, n2 = _py_literal_norm(a), _py_literal_norm(b)
     overall = jaro_winkler_py(n1, n2, 0.1)
     c1, c2 = _py_token_parts(n1), _py_token_parts(n2)

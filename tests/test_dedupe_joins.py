@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkwright.functions.similarity import jaro_winkler_py
+from .oracles import jaro_winkler as jaro_winkler_py
 from linkwright.operators import dedupe as D
 from linkwright.operators import pairs as P
 from linkwright.operators import spatial as SP
@@ -104,13 +104,43 @@ def test_link_names_fixture(spark):
                 best = (j, s)
         if best:
             exp[i] = best[0]
-    for mode in ("exact", "blocked"):
-        got = {r.left_id: r.right_id for r in
-               P.link_names(L, R, 0.8, right_order="pos", mode=mode).collect()}
-        if mode == "exact":
-            assert got == exp
-        else:
-            assert set(got.items()) <= set(exp.items())
+    got = {r.left_id: r.right_id for r in P.link_names(L, R, 0.8, right_order="pos").collect()}
+    assert got == exp
+
+
+def _names(n, seed):
+    rnd = random.Random(seed)
+    parts = ["al", "ber", "cor", "dan", "el", "fer", "gan", "hol", "is", "jor", "kel", "lun"]
+    return sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(2, 4))) + " "
+                   + "".join(rnd.choice(parts) for _ in range(rnd.randint(2, 5))) for _ in range(n)})
+
+
+@pytest.mark.parametrize("t", [0.8, 0.88, 0.95])
+def test_link_names_equals_all_pairs(spark, t):
+    ls, rs = _names(60, 1) + ["", "ab", "a"], _names(80, 2) + ["", "abc", "b", "ab"]
+    L = spark.createDataFrame(list(enumerate(ls)) + [(900, None), (901, ls[0].upper())], "id long, customer string")
+    R = spark.createDataFrame(list(enumerate(rs)), "id long, customer string")
+    got = {r.left_id: (r.right_id, round(r.score, 9)) for r in P.link_names(L, R, t).collect()}
+    exp = {}
+    for i, a in list(enumerate(ls)) + [(900, ""), (901, ls[0])]:
+        best = max(((jaro_winkler_py(a, b), -j) for j, b in enumerate(rs)))
+        if best[0] > t:
+            exp[i] = (-best[1], round(best[0], 9))
+    assert got == exp
+
+
+def test_jw_candidates_are_lossless_and_selective(spark):
+    rnd = random.Random(8)
+    names = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(8, 14))) for _ in range(5000)})
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "ord long, k string")
+    n = D.jw_candidate_pairs(df, 0.9).count()
+    assert n < 0.02 * len(names) * (len(names) - 1) / 2
+    few = df.limit(250).collect()
+    sub = spark.createDataFrame(few, "ord long, k string")
+    for t in (0.75, 0.85):
+        got = {(r.src, r.dst) for r in D.jw_candidate_pairs(sub, t).collect()}
+        exp = {(a.ord, b.ord) for a in few for b in few if a.ord < b.ord and jaro_winkler_py(a.k, b.k) >= t}
+        assert exp <= got
 
 
 def test_fuzzy_lookup(spark):
@@ -123,16 +153,6 @@ def test_fuzzy_lookup(spark):
     assert out["zzzz"] == (None, False)
 
 
-def test_dedupe_blocked_mode(spark):
-    df = spark.createDataFrame(CUSTOMERS, "pos long, name string")
-    out = {r.pos: r.leader for r in D.dedupe(df, "name", 0.90, "pos", mode="blocked").collect()}
-    exact = {r.pos: r.leader for r in D.dedupe(df, "name", 0.90, "pos").collect()}
-    # blocked edges are a subset of the exact ones: every blocked leader row is
-    # either an exact leader or lost a similar earlier leader to the blocking
-    assert set(out) == set(exact)
-    assert out[1] == 1 and out[2] == 1  # john / jon smith share a rare word prefix
-
-
 def test_dedupe_near_hot_spot(spark):
     pts = [(i, 5.0, 5.0) for i in range(1, 40)] + [(40, 5.0005, 5.0), (41, 5.0012, 5.0), (0, 9.0, 9.0)]
     df = spark.createDataFrame(pts, "pos long, latitude double, longitude double")
@@ -146,8 +166,8 @@ def test_keyed_pairs_salting_is_exact(spark):
     right = [(i, [f"k{random.choice([0, 0, 1, 3])}", f"x{random.randint(0, 3)}"]) for i in range(50)]
     L = spark.createDataFrame(left, "id long, keys array<string>")
     R = spark.createDataFrame(right, "id long, keys array<string>")
-    plain = sorted((r.l_id, r.r_id) for r in P.keyed_pairs(L, R, hot_key_rows=None).collect())
+    plain = sorted((r.l_id, r.r_id) for r in P.keyed_pairs(L, R).collect())
     salted = sorted((r.l_id, r.r_id) for r in
-                    P.keyed_pairs(L, R, hot_key_rows=5, salt_buckets=7, salt_min_bytes=0).collect())
+                    P.keyed_pairs(L, R, key_rows=5).collect())
     exp = sorted((a, b) for a, ka in left for b, kb in right if set(ka) & set(kb))
     assert plain == salted == exp

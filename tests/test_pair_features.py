@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from .oracles import jaro_winkler, levenshtein
 from linkwright.functions import similarity as S
 from linkwright.functions import text as T
 from linkwright.operators import model as M
@@ -76,8 +77,8 @@ def py_features(a1, a2):
     mx = max(len(s1), len(s2))
     t1, t2 = set(py_tokens(s1)), set(py_tokens(s2))
     f = {
-        "levenshtein_sim": 1 - (S.levenshtein_py(s1, s2) / mx if mx > 0 else 0),
-        "jaro_winkler_sim": S.jaro_winkler_py(s1, s2),
+        "levenshtein_sim": 1 - (levenshtein(s1, s2) / mx if mx > 0 else 0),
+        "jaro_winkler_sim": jaro_winkler(s1, s2),
         "jaccard_sim": len(t1 & t2) / len(t1 | t2) if t1 | t2 else 0.0,
         "cosine_sim": py_cosine(s1, s2),
         "seq_matcher_sim": difflib.SequenceMatcher(None, s1, s2).ratio(),
@@ -89,11 +90,11 @@ def py_features(a1, a2):
 
     h1, h2 = c1["house_number"], c2["house_number"]
     f["house_num_match"] = float(h1 == h2) if both("house_number") else 0.0
-    f["house_num_sim"] = (1 - S.levenshtein_py(h1, h2) / max(len(h1), len(h2))) if both("house_number") else 0.0
+    f["house_num_sim"] = (1 - levenshtein(h1, h2) / max(len(h1), len(h2))) if both("house_number") else 0.0
     f["unit_match"] = float(c1["unit"] == c2["unit"]) if both("unit") else 0.0
-    f["unit_sim"] = S.jaro_winkler_py(c1["unit"], c2["unit"]) if both("unit") else 0.0
+    f["unit_sim"] = jaro_winkler(c1["unit"], c2["unit"]) if both("unit") else 0.0
     f["zipcode_match"] = float(c1["zipcode"] == c2["zipcode"]) if both("zipcode") else 0.0
-    f["zipcode_sim"] = (1 - S.levenshtein_py(c1["zipcode"], c2["zipcode"]) / 5) if both("zipcode") else 0.0
+    f["zipcode_sim"] = (1 - levenshtein(c1["zipcode"], c2["zipcode"]) / 5) if both("zipcode") else 0.0
     f["len_diff"] = abs(len(s1) - len(s2)) / mx if mx > 0 else 0.0
     n1, n2 = len(py_tokens(s1)), len(py_tokens(s2))
     f["token_count_diff"] = abs(n1 - n2) / max(n1, n2) if max(n1, n2) > 0 else 0.0
