@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoAges, add_column, prepare, text_list
+from .common import TwoAges, add_column, prepare, take_columns, text_list
 
 MAX_MOVES = 500_000
 MAX_PAIRS = 300_000
@@ -315,6 +315,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids",
 
 def digests(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """doc_id with the count of ids and the SHA-256 of ids and decoded bytes."""
+    df = take_columns(df, ["doc_id", ids_col, out_col])
     return df.select("doc_id", (F.octet_length(ids_col) / 4).cast("long").alias("n_tokens"),
                      F.sha2(F.col(ids_col), 256).alias("ids_sha256"),
                      F.sha2(F.col(out_col), 256).alias("decoded_sha256"))

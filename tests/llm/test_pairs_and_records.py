@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkwright.llm import ego, gam, minhash, pii, warc
-from linkwright.llm.common import components
+from linkwright.llm.common import components, take_columns
 
 from .data import documents, frame, sentence
 
@@ -232,9 +232,9 @@ def test_surrogates_are_distinct_by_collision_check(spark, monkeypatch):
 
 def test_many_later_attempts_are_joined(spark, monkeypatch):
     rows = [(1, PII, "en", "a", 1), (None, PII, "en", "a", 1)]
-    a = pii.pseudonymize(frame(spark, rows)).select("text").collect()
+    a = take_columns(pii.pseudonymize(frame(spark, rows)), ["text"]).collect()
     monkeypatch.setattr(pii, "BROADCAST_ROWS", -1)
-    b = pii.pseudonymize(frame(spark, rows)).select("text").collect()
+    b = take_columns(pii.pseudonymize(frame(spark, rows)), ["text"]).collect()
     assert a == b and a[0] == a[1]
     assert pii.pseudonymize(frame(spark, [])).count() == 0
 
@@ -247,18 +247,19 @@ def test_classifier_learns_held_out_quality(spark):
     docs = frame(spark, rows)
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(300)] + [(None, 1, 0), (5, None, 0), (9999, 1, 0)],
                                    "doc_id long, quality int, toxic int")
-    scored = gam.score(docs, gam.fit(docs, labels)).select("doc_id", "score", (gam.fold(F.col("doc_id")) == 0).alias("held")).collect()
+    scored = take_columns(gam.score(docs, gam.fit(docs, labels)), ["doc_id", "score"]).withColumn(
+        "held", gam.fold(F.col("doc_id")) == 0).collect()
     held = [r for r in scored if r.held]
     assert held and all((r.score >= 0.5) == (r.doc_id % 4 > 0) for r in held)
     flipped = labels.withColumn("quality", F.when(gam.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
-    again = gam.score(docs, gam.fit(docs, flipped)).select("doc_id", "score").collect()
+    again = take_columns(gam.score(docs, gam.fit(docs, flipped)), ["doc_id", "score"]).collect()
     assert {r.doc_id: r.score for r in again} == {r.doc_id: r.score for r in scored}  # held-out labels are never read
 
 
 def test_classifier_degenerate_inputs(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = frame(spark)
-    out = gam.score(docs, gam.fit(docs, labels)).select("doc_id", "score").collect()
+    out = take_columns(gam.score(docs, gam.fit(docs, labels)), ["doc_id", "score"]).collect()
     assert len(out) == len(documents()) and all(r.score == 0.5 for r in out)
     one = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert all(0.5 < r.score < 1 for r in gam.score(docs, gam.fit(docs, one)).collect())

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from linkwright.llm import bpe, idcoder, mixing, rules, unigram_count
+from linkwright.llm.common import take_columns
 
 from .data import LONG, documents, frame
 
@@ -111,7 +112,7 @@ def tik():
 
 def test_bpe_against_library(spark, tik):
     df = bpe.decode(bpe.encode(frame(spark), RANKS, P.PATTERN), RANKS, P.PATTERN)
-    got = Counter(tuple(r) for r in bpe.digests(df.select("doc_id", "ids", "decoded")).collect())
+    got = Counter(tuple(r) for r in bpe.digests(df).collect())
     want = Counter()
     for doc_id, text, *_ in documents():
         ids = tik.encode_ordinary(text or "")
@@ -155,8 +156,8 @@ def test_unigram_counts_against_library(spark):
     from tokenizers import Tokenizer, models
 
     tok = Tokenizer(models.Unigram(unigram_count.load_pieces(PIECES), unk_id=0, byte_fallback=True))
-    got = Counter((r.doc_id, r.n_tokens) for r in unigram_count.count_tokens(frame(spark), PIECES)
-                  .select("doc_id", "n_tokens").collect())
+    got = Counter((r.doc_id, r.n_tokens) for r in take_columns(
+        unigram_count.count_tokens(frame(spark), PIECES), ["doc_id", "n_tokens"]).collect())
     want = Counter()
     for doc_id, text, *_ in documents():
         t = text or ""
