@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 
 from .common import TwoAges, add_column, prepare, take_columns, text_list
 
-MAX_MOVES = 500_000
-MAX_PAIRS = 300_000
+MAX_MOVES = 250_000
+MAX_PAIRS = 200_000
 #: bytes of one match after which settled tokens are emitted
 SETTLE_BYTES = 256
-MAX_UNITS = 300_000
+MAX_UNITS = 120_000
 CHUNK_IDS = 8192
 
 
