@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkwright.llm import bpe, gam, minhash, mixing, pii
-from linkwright.llm.common import prepare, staged, take_columns
-from linkwright.llm.queries import split_pattern, table, vocabulary
+from linkwright.llm.common import prepare, split_pattern, staged, table, take_columns, vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

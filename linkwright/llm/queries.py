@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch_path
 from . import bpe, ego, gam, idcoder, minhash, mixing, pii, rules, unigram_count, warc
-from .common import add_column, prepare, take_columns
+from .common import add_column, prepare, split_pattern, table, take_columns, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,23 +33,6 @@ def _register(fn):
     return run
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file; it is installed on every executor."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def split_pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
 @_register
 def op1_minhash_dedup(spark, sf_dir):
     """ICWS near-duplicates of all documents: doc_id, class_id, n_same, kept."""
