@@ -4,7 +4,8 @@
 Catalyst would plan it as a nested-loop join. Instead both sides are binned
 on a ``tol``-sized grid: two points within ``tol`` on both axes lie in the
 same or adjacent cells, so one side explodes into its 3x3 neighbourhood and
-the join is an equi-join on the cell, followed by the exact predicate.
+the join is an equi-join on the cell (dense cells are split by
+``pairs.keyed_pairs``), followed by the exact predicate.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pairs import keyed_pairs
+
 
 def _cell(c: Column, tol: float) -> Column:
     return F.floor(c / F.lit(tol)).cast("long")
@@ -20,21 +23,17 @@ def _cell(c: Column, tol: float) -> Column:
 def near_join(a: DataFrame, b: DataFrame, tol: float, lat: str = "latitude",
               lon: str = "longitude", lprefix: str = "l_", rprefix: str = "r_") -> DataFrame:
     """All (a, b) pairs with |dlat| < tol and |dlon| < tol, columns prefixed."""
-    la = a.select(*[F.col(c).alias(lprefix + c) for c in a.columns]) \
-        .where(F.col(lprefix + lat).isNotNull() & F.col(lprefix + lon).isNotNull()) \
-        .withColumn("_cy", _cell(F.col(lprefix + lat), tol)) \
-        .withColumn("_cx", _cell(F.col(lprefix + lon), tol))
-    offs = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-                     for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    rb = b.select(*[F.col(c).alias(rprefix + c) for c in b.columns]) \
-        .where(F.col(rprefix + lat).isNotNull() & F.col(rprefix + lon).isNotNull()) \
-        .withColumn("_o", F.explode(offs)) \
-        .withColumn("_cy", _cell(F.col(rprefix + lat), tol) + F.col("_o.dy")) \
-        .withColumn("_cx", _cell(F.col(rprefix + lon), tol) + F.col("_o.dx")).drop("_o")
-    j = la.join(rb, ["_cy", "_cx"], "inner")
+    def cell(dy: int = 0, dx: int = 0) -> Column:
+        return F.concat_ws(":", _cell(F.col(lat), tol) + dy, _cell(F.col(lon), tol) + dx)
+
+    here = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    around = F.array(*[cell(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    # one cell per left row, so a pair meets once; a dense cell is dealt into a grid
+    j = keyed_pairs(a.where(here).withColumn("_cells", F.array(cell())),
+                    b.where(here).withColumn("_cells", around), "_cells", "_cells", lprefix, rprefix)
     cond = (F.abs(F.col(lprefix + lat) - F.col(rprefix + lat)) < tol) & \
            (F.abs(F.col(lprefix + lon) - F.col(rprefix + lon)) < tol)
-    return j.where(cond).drop("_cy", "_cx")
+    return j.where(cond).drop("block_key", lprefix + "_cells", rprefix + "_cells")
 
 
 def insert_if_not_near(base: DataFrame, new: DataFrame, tol: float = 0.001, key: str = "id",

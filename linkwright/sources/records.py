@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +43,11 @@ def read_records_json(spark: SparkSession, path: str, lines: bool = False) -> Da
     ex = arr.select("_file", F.posexplode("_arr").alias("_i", "record"))
     ex = ex.withColumn("record", F.map_from_entries(
         _last_value_per_key(F.map_entries("record"))))
-    # pos orders records inside one file; several files also carry their name
-    cols = [F.col("_i").cast("long").alias("pos"), "record"]
+    # pos orders records by file name, then inside the file (one row per file is ranked)
+    files = arr.select("_file").distinct().select(
+        "_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_rank"))
+    ex = ex.join(F.broadcast(files), "_file")
+    cols = [(F.shiftleft("_rank", 33) + F.col("_i")).alias("pos"), "record"]
     if not isinstance(path, str) or any(ch in path for ch in "*?["):
         cols.append(F.col("_file").alias("source_file"))
     return ex.select(*cols)

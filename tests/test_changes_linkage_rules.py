@@ -132,3 +132,12 @@ def test_nothing_stays_persisted(spark):
     sf = "/root/testdata/sf0.001"
     pairs.best_match(X.left_addresses(spark, sf), X.right_addresses(spark, sf)).count()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_record_positions_do_not_collide_across_files(spark, tmp_path):
+    from linkwright.sources import records
+    (tmp_path / "r.json").mkdir()
+    (tmp_path / "r.json" / "a.json").write_text('[{"k": "a0"}, {"k": "a1"}]')
+    (tmp_path / "r.json" / "b.json").write_text('[{"k": "b0"}]')
+    got = [r.record["k"] for r in records.read_records_json(spark, str(tmp_path / "r.json")).orderBy("pos").collect()]
+    assert got == ["a0", "a1", "b0"]
