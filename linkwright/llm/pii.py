@@ -72,11 +72,14 @@ _FIRST = "|".join(sorted({re.escape(f) for ns in NAMES.values() for n in ns for
                          key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERNS = {
-    "email": re.compile(r"[^\W_][\w.+%-]{0,63}@(?:[^\W_](?:[\w-]{0,62}[^\W_])?\.)+[^\W\d_]{2,24}"),
+    # what follows the local part; _emails walks back over that
+    "email": re.compile(r"@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}"),
     "secret": re.compile(
-        r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b\"?\s{0,3}[=:]\s{0,3})"
-        r"(?P<q>[\"'])(?P<v>[^\"'\s]{6,256})(?P=q)|(?<![0-9A-Za-z])(?P<h>[0-9a-fA-F]{32,128})(?![0-9A-Za-z])"
-        r"|(?<![0-9A-Za-z])(?P<k>(?:AKIA|ASIA)[0-9A-Z]{16}|sk-[0-9A-Za-z_-]{16,128}|gh[pousr]_[0-9A-Za-z]{20,128})"
+        r"(?i:(?<![^\W_])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)(?!\w)[\"']?)"
+        r"\s*+(?P<op>[=:]{1,3}>?)(?:\s*+(?P<q>[\"'])(?P<v>[^\"'\s]{6,}+)(?P=q)"
+        r"|[^\S\r\n]*+(?!(?<=[^\S\r\n])\w[\w.]*+\()(?P<u>(?:[^\s\"'`<>&]|&(?![\w.-]++=)){6,}+))"
+        r"|(?<![0-9A-Za-z])(?P<h>[0-9a-fA-F]{32,}+)(?![0-9A-Za-z])"
+        r"|(?<![0-9A-Za-z])(?P<k>(?:AKIA|ASIA)[0-9A-Z]{16}|sk-[0-9A-Za-z_-]{16,}+|gh[pousr]_[0-9A-Za-z]{20,}+)"
         r"(?![0-9A-Za-z])"),
     "iban": re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"),
     "ipv6": re.compile(r"(?<![\w:.])(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}(?![\w:.])"),
@@ -91,6 +94,12 @@ _PATTERNS = {
         rf"|(?P<n2>(?:{_FIRST})[ ]{_CAP}))(?!\w)"),
 }
 _DIGIT = re.compile(r"\d")
+#: one of these, a digit or a hex run of letters alone is in every text with a secret
+_SECRET_SIGNS = ("=", ":", "sk-", "_", "AKIA", "ASIA")
+_LETTERS_HEX = re.compile(r"[a-fA-F]{32}")
+#: after "password:" a lone word in usual case is prose
+_PROSE = re.compile(r"(?:[^\W\d_][^\W\d_A-ZÀ-Þ]*|[A-ZÀ-Þ]+)(?:[-’][^\W\d_]+)*")
+_LOCAL = "_.+%-"
 _HEX = re.compile(r"[0-9a-fA-F]*\Z")
 _names = None
 
@@ -129,6 +138,31 @@ def _canonical(kind: str, value: str) -> str:
     return value.lower()
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the addresses, local parts of any length."""
+    end = 0
+    for m in _PATTERNS["email"].finditer(text):
+        a = m.start()
+        while a > end and (text[a - 1].isalnum() or text[a - 1] in _LOCAL):
+            a -= 1
+        while not text[a].isalnum() and a < m.start():
+            a += 1
+        if a < m.start():
+            end = m.end()
+            yield a, end
+
+
+def _secret(m: re.Match) -> tuple[int, int] | None:
+    """Span of the value; an unquoted one ends before closing punctuation."""
+    a, b = next(m.span(g) for g in ("v", "u", "h", "k") if m.group(g) is not None)
+    if m.group("u") is not None:
+        value = m.group("u").rstrip(".,;:!?)]}")
+        if len(value) < 6 or (m.group("op") == ":" and _PROSE.fullmatch(value)):
+            return None
+        b = a + len(value)
+    return a, b
+
+
 def find(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, canonical, gender) of every entity of a text."""
     got = []
@@ -137,21 +171,25 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
         if kind == "email":
             if "@" not in text:
                 continue
-        elif kind == "secret":
-            if not digits and "=" not in text and ":" not in text:
-                continue
+            got += [(a, -b, rank, kind, "") for a, b in _emails(text)]
+            continue
         elif kind == "ipv6":
             if ":" not in text:
                 continue
         elif kind == "person":
             if not _maybe_name(text):
                 continue
+        elif kind == "secret":
+            if not digits and not any(x in text for x in _SECRET_SIGNS) and not _LETTERS_HEX.search(text):
+                continue
         elif not digits:
             continue
         for m in _PATTERNS[kind].finditer(text):
             a, b, gender = m.start(), m.end(), ""
             if kind == "secret":
-                a, b = next(m.span(g) for g in ("v", "h", "k") if m.group(g) is not None)
+                if (span := _secret(m)) is None:
+                    continue
+                a, b = span
             elif kind == "ipv6":
                 try:
                     ipaddress.IPv6Address(m.group())

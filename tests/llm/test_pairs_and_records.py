@@ -239,6 +239,35 @@ def test_many_later_attempts_are_joined(spark, monkeypatch):
     assert pii.pseudonymize(frame(spark, [])).count() == 0
 
 
+def test_long_secrets_and_addresses_are_found_whole():
+    b62 = ("aB3dE5gH7jK9" * 60)[:700]
+    hexa = ("0f1e2d3c4b5a" * 40)[:400]
+    for before, value, after in [
+            ('token = "', b62, '"'), ("password:'", b62, "'"), ('api_key      =        "', b62[:20], '"'),
+            ("API_KEY=", "value-of-it", " and"), ("MY_API_KEY=", b62, "\nnext"), ("?token=", b62, "&page=2"),
+            ("password: ", "hunter2hunter2", ", then"), ("sum ", hexa, "."), ("key ", "sk-proj-" + b62, ""),
+            ("see ", "ghp_" + b62, ";"), ("", "sk-" + "a" * 40, " without digits"),
+            ("Secret=", "ab(c)&d#ef", "."), ("", "abcdef" * 6, ""), ("", "AKIA" + "B" * 16, "")]:
+        got = [(text[a:b], k) for text in [before + value + after] for a, b, k, *_ in pii.find(text)]
+        assert got == [(value, "secret")], (before, got)
+    for local, domain in [("j" * 80, "mail.example"), ("a.b+" * 50 + "c", "x" * 70 + ".org"), ("x", "y.z." + "q" * 30)]:
+        text = f"write to __{local}@{domain}, or b@c@{local}@{domain}"
+        assert [(x[2], x[3]) for x in pii.find(text)] == [("email", f"{local}@{domain}".lower())] * 2
+    assert [x[3] for x in pii.find("a@b.com.x@y.org")] == ["a@b.com", "x@y.org"]
+    for plain in ("the secret: everyone knew it", "Password: Required.", "token = get_token(x)", "token: a1"):
+        assert pii.find(plain) == []
+
+
+def test_secret_patterns_take_linear_time():
+    import time
+
+    for text in ("a" * 300_000, "token=" * 50_000, "token:" * 50_000, "sk-" * 100_000, "a@" * 150_000, "a.-@" * 75_000,
+                 "password" + " " * 300_000, "x@" + "a." * 150_000 + "1", "password='" * 30_000, "0a" * 150_000 + "z"):
+        start = time.process_time()
+        pii.find(text)
+        assert time.process_time() - start < 5, text[:12]
+
+
 def test_classifier_learns_held_out_quality(spark):
     rows = []
     for i in range(300):
