@@ -23,7 +23,8 @@ Block format, little endian: magic ``IDB1``; u32 alphabet; u64 ids; u32
 documents; u32 lanes; per document u8 null flag, i64 doc_id, u64 ids; per lane
 u32 words; the lanes' u16 words; u32 CRC-32 of all before it.
 
-Defined results: a null text is empty; every document ends with ``end_id``
+Defined results: ids are those of the library with add_special_tokens=False, so an
+added token such as <|endoftext|> that stands in a text is its own id; a null text is empty; every document ends with ``end_id``
 (so an empty text has one id); a null doc_id is kept as null and comes first;
 repeated rows are written one after the other; an empty table writes no block;
 extra columns are dropped; a damaged block raises an error.
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -71,8 +73,10 @@ class Encoder:
         # a task is one thread; Spark runs several tasks beside each other
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
+        #: stretches with one of these go to the library uncut
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"\Z.").search
         self.cache, self.pieces = TwoAges(MAX_UNITS), TwoAges(MAX_UNITS)
         self.split = None
         if self._lower_case_split():
@@ -103,7 +107,8 @@ class Encoder:
         lack, cut, todo = [p for p, ids in new.items() if not ids], {}, {}
         for p in lack:
             text = p.decode("utf-8")
-            parts = self.split.findall(text.lower()) if self.split and _PLAIN.fullmatch(text) else [text]
+            cuttable = self.split and _PLAIN.fullmatch(text) and not self.added(text)
+            parts = self.split.findall(text.lower()) if cuttable else [text]
             cut[p] = parts
             for m in parts:
                 if m not in self.pieces.young and self.pieces.again(m) is None:

@@ -205,6 +205,28 @@ def test_id_files_round_trip(spark, tmp_path):
     assert ids[0] is None and zlib.crc32(got[0][3]) >= 0
 
 
+def test_added_tokens_in_texts_are_their_own_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["abc <|endoftext|> def", "abc<|endoftext|>def", "<|endoftext|>", "a <|ENDOFTEXT|> <|endoftext |> b",
+             "x<|startoftext|><|endoftext|>'s can'<|endoftext|>t", "é<|endoftext|>\u0301b", "\x1c<|endoftext|>\u00a012",
+             "|endoftext| endoftext <|endoftext <| endoftext |>", "plain", "<|endoftext|>" * 40 + "y" * 80]
+    tok = Tokenizer.from_file(WORDPIECE)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49_407 in want[0] and 49_406 in want[4]
+    for order in (1, -1):  # whatever the caches hold already
+        enc = idcoder.Encoder(WORDPIECE)
+        for _ in range(2):
+            got = enc.encode([t.encode() for t in texts[::order]])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == want[::order]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    idcoder.write_ids(frame(spark, rows), str(tmp_path / "ids"), WORDPIECE)
+    got = sorted((r.start, r.doc_id, np.frombuffer(r.ids, "<u4").tolist())
+                 for r in idcoder.read_documents(spark, str(tmp_path / "ids")).collect())
+    assert [r[2] for r in got] == [w + [1] for w in want]
+    assert [r[0] for r in got] == np.cumsum([0] + [len(w) + 1 for w in want[:-1]]).tolist()
+
+
 def test_id_files_empty_table(spark, tmp_path):
     idcoder.write_ids(frame(spark, []), str(tmp_path / "none"), WORDPIECE)
     assert idcoder.read_documents(spark, str(tmp_path / "none")).count() == 0
