@@ -285,8 +285,9 @@ def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
 
     ``mode='exact'`` (default) compares the left rows, a query set, with all
     right rows in a grid of blocks: O-SIM16 has no lossless key, as all of its
-    parts are Jaro-Winkler. The parts of the components, which are short
-    strings, are scored first, and whole addresses only where the bound
+    parts are Jaro-Winkler. Equal normalized addresses collapse first; a bound
+    from character counts leaves out most pairs, then the components, which are
+    short strings, are scored, and whole addresses only where the bound
     0.5 + 0.5 * components exceeds the threshold. ``mode='blocked'`` is a
     cheaper operator of its own: best match among rows that share the house
     number or the ZIP.
@@ -303,7 +304,10 @@ def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
                      (F.col("comp.zipcode").isNotNull(), F.concat(F.lit("z:"), F.col("comp.zipcode"))))
         return out.withColumn("keys", keys if mode == "blocked" else F.array(F.lit("all")))
 
-    pairs = keyed_pairs(prep(left, None), prep(right, right_order))
+    L, R = prep(left, None), prep(right, right_order)
+    if mode == "exact":
+        return _link_all_addresses(L, R, threshold)
+    pairs = keyed_pairs(L, R)
     pairs = pairs.where(S.component_bound_v2(F.col("l_comp"), F.col("r_comp")) > threshold)
     score = S.address_similarity_v2_std(F.col("l_norm"), F.col("r_norm"), F.col("l_comp"),
                                         F.col("r_comp"))
@@ -314,6 +318,33 @@ def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
                 "similarity")
 
 
+def _link_all_addresses(L: DataFrame, R: DataFrame, threshold: float) -> DataFrame:
+    """``link_addresses`` over all pairs. Equal normalized addresses score alike
+    against anything, so each is compared once; of equal right ones only the
+    earliest can win."""
+    parts = max(1, int(L.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    comps = [c for c in S.COMPONENT_WEIGHTS_V2 if c not in ("street_name", "city")]
+
+    def collapse(df, *more):
+        one = df.where(F.col("norm").isNotNull()).groupBy("norm").agg(F.first("comp").alias("comp"), *more)
+        sketches = F.struct(S.sketch("norm").alias("norm"), *[S.sketch(F.col("comp")[c]).alias(c) for c in comps])
+        return one.repartition(parts, "norm").select("*", sketches.alias("sk"), F.array(F.lit("all")).alias("keys")) \
+            .checkpoint(eager=True)
+
+    l, R = collapse(L), collapse(R, F.min(F.struct("ord", "id", "address")).alias("r"))
+    pairs = keyed_pairs(l, R, key_rows=LOOKUP_BLOCK)
+    pairs = pairs.where(S.address_bound_v2(F.col("l_sk"), F.col("r_sk")) > threshold)
+    pairs = pairs.where(S.component_bound_v2(F.col("l_comp"), F.col("r_comp")) > threshold)
+    score = S.address_similarity_v2_std(F.col("l_norm"), F.col("r_norm"), F.col("l_comp"), F.col("r_comp"))
+    scored = pairs.withColumn("similarity", score).where(F.col("similarity") > threshold)
+    best = scored.groupBy(F.col("l_norm").alias("norm")).agg(
+        F.min(F.struct((-F.col("similarity")).alias("s"), F.col("r_r").alias("r"))).alias("m"))
+    return L.join(best, "norm").select(
+        F.col("id").alias("record1_id"), F.col("address").alias("record1_address"),
+        F.col("m.r.id").alias("record2_id"), F.col("m.r.address").alias("record2_address"),
+        (-F.col("m.s")).alias("similarity"))
+
+
 def fuzzy_lookup(df: DataFrame, reference: DataFrame, col: str = "address",
                  ref_col: str | None = None, cutoff: int = 70) -> DataFrame:
     """O-JOIN4: best reference string per input by the weighted best-of

@@ -784,10 +784,33 @@ SELECT record1_id, record1_address, m.id AS record2_id, m.a AS record2_address,
 """
 
 
-@register("link_addresses", SQL_LINK_ADDRESSES)
+#: the same over all pairs
+SQL_LINK_ADDRESSES_ALL = f"""
+WITH l AS ({_sql_v2_side(_LEFT)}), r AS ({_sql_v2_side(_RIGHT)}),
+s AS (SELECT l.id AS record1_id, l.address AS record1_address, r.id AS record2_id,
+             r.address AS record2_address, {_sql_v2_score()} AS similarity
+      FROM l CROSS JOIN r),
+b AS (SELECT record1_id, any_value(record1_address) AS record1_address,
+             arg_max({{'id': record2_id, 'a': record2_address, 's': similarity}},
+                     {{'s': similarity, 'o': -record2_id}}) AS m
+      FROM s WHERE similarity > 0.85 GROUP BY record1_id)
+SELECT record1_id, record1_address, m.id AS record2_id, m.a AS record2_address,
+       round(m.s, 6) AS similarity FROM b
+"""
+
+
+@register("link_addresses", SQL_LINK_ADDRESSES_ALL)
 def q_link_addresses(spark, sf_dir):
     """O-JOIN3 / O-STD2 / O-PRS2 / O-SIM16: best varied address per customer
-    address above 0.85, blocked on house number or ZIP."""
+    address above 0.85, over all pairs."""
+    out = pairs.link_addresses(X.left_addresses(spark, sf_dir), X.right_addresses(spark, sf_dir))
+    return out.withColumn("similarity", r6(F.col("similarity")))
+
+
+@register("link_addresses_blocked", SQL_LINK_ADDRESSES)
+def q_link_addresses_blocked(spark, sf_dir):
+    """The house-or-ZIP form of O-JOIN3: best varied address per customer
+    address above 0.85 among those of equal house number or ZIP."""
     out = pairs.link_addresses(X.left_addresses(spark, sf_dir), X.right_addresses(spark, sf_dir),
                                mode="blocked")
     return out.withColumn("similarity", r6(F.col("similarity")))

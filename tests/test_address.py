@@ -189,3 +189,45 @@ def test_link_addresses_fixture(spark):
         if best:
             exp[i] = best[0]
     assert got == exp  # blocking on house/zip loses nothing on this fixture
+
+
+def test_link_addresses_query_compares_all_pairs(spark, monkeypatch):
+    """Pairs above the threshold that share neither house number nor ZIP."""
+    import random
+
+    from linkwright.functions import similarity as S
+    from linkwright.functions import text as T
+    from linkwright.plans import queries as Q
+
+    rnd = random.Random(3)
+    streets = ["Elm Street", "Oak Avenue", "Main St", "Eclair Way"]
+
+    def some(n, step):
+        return [(i, f"{1230 + rnd.randrange(9)} {streets[i % 4]} Apt {i % 3}, Springfield, IL"
+                    + ("" if i % 5 == 0 else f" 6270{(i + step) % 9}")) for i in range(n)]
+
+    left = [(900, "1234 Elm Street Apt 5, Springfield, IL 62701"), (901, ""), (902, "Nowhere"), *some(30, 0)]
+    right = [(1, "1235 Elm Street Apt 5, Springfield, IL 62702"), (2, ""), *[(i + 10, a) for i, a in some(40, 3)],
+             *[(i + 100, a) for i, a in some(5, 3)]]
+    L, R = (spark.createDataFrame(x, "id long, address string") for x in (left, right))
+    monkeypatch.setattr(Q.X, "left_addresses", lambda *_: L)
+    monkeypatch.setattr(Q.X, "right_addresses", lambda *_: R)
+    got = {r.record1_id: (r.record2_id, r.similarity) for r in Q.QUERIES["link_addresses"](spark, "").collect()}
+    want = {}
+    for i, a in left:
+        score, j = max((round(_py_sim_v2(a, b), 9), -j) for j, b in right)
+        if score > 0.85:
+            want[i] = (-j, pytest.approx(score, abs=1e-6))
+    assert got == want and got[900][0] == 1
+    blocked = Q.QUERIES["link_addresses_blocked"](spark, "").collect()
+    assert 900 not in {r.record1_id for r in blocked if r.record2_id == 1}
+    # the bound is never below the score
+    def side(df, p):
+        n = T.normalize_address_literal(F.col("address"))
+        c = T.parse_components_tokens(n)
+        parts = [S.sketch(c[x]).alias(x) for x in S.COMPONENT_WEIGHTS_V2 if x not in ("street_name", "city")]
+        return df.select(F.col("address").alias(p), F.struct(S.sketch(n).alias("norm"), *parts).alias(p + "_sk"))
+
+    for r in side(L, "a").crossJoin(side(R, "b")).select(
+            "a", "b", S.address_bound_v2(F.col("a_sk"), F.col("b_sk")).alias("bound")).collect():
+        assert r.bound >= _py_sim_v2(r.a, r.b), (r.a, r.b)
