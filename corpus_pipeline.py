@@ -24,9 +24,40 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return take_columns(docs, COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of each near-duplicate class, as one row per text.
+
+    Of rows with equal doc_id and text the one with the smallest other columns stays.
+    A row without doc_id is a document of its own, numbered after all ids in the
+    order of text hashes, so it stays only if no document with an id is like it.
+    Rows whose text has no words are never duplicates.
+    """
+    docs = take_columns(docs, COLUMNS)
+    words = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    keyed = docs.withColumn("_h", F.when(words, F.sha2("text", 256)))
+    many = staged(keyed.where("_h is not null").groupBy("doc_id", "_h").count().where("count > 1").select(
+        F.col("doc_id").alias("_d"), F.col("_h").alias("_t")), "dedup-repeats")
+    loose = staged(keyed.where("doc_id is null and _h is not null").select("_h").distinct().orderBy("_h").select(
+        F.col("_h").alias("_t"), F.monotonically_increasing_id().alias("_n")), "dedup-loose")
+    one, any_loose = keyed, not loose.isEmpty()
+    if not many.isEmpty():
+        same = keyed["doc_id"].eqNullSafe(many["_d"]) & (keyed["_h"] == many["_t"])
+        rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+        repeated = keyed.join(many, same, "left_semi").groupBy("doc_id", "_h").agg(
+            F.min(F.struct(*rest)).alias("_r"), F.first("text").alias("text"))
+        one = keyed.join(many, same, "left_anti").unionByName(
+            repeated.select("doc_id", "text", "_h", *[F.col("_r")[c].alias(c) for c in rest]))
+    one = one.withColumn("_id", F.col("doc_id").cast("long"))
+    if any_loose:
+        top = docs.agg(F.max(F.col("doc_id").cast("long")).alias("m")).first()["m"]
+        bare = F.col("doc_id").isNull() & F.col("_h").isNotNull()
+        numbered = one.where(bare).join(loose, F.col("_h") == F.col("_t")).withColumn(
+            "_id", F.col("_n") + F.lit(max(-1 if top is None else top, -1) + 1))
+        one = one.where(~bare).unionByName(numbered.select(*one.columns))
+    if any_loose or not many.isEmpty():
+        one = staged(one, "dedup-rows")
+    gone = minhash.near_duplicates(one.select(F.col("_id").alias("doc_id"), "text")).where("not kept").select(
+        F.col("doc_id").alias("_id"))
+    return one.join(gone, "_id", "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

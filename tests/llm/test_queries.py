@@ -61,3 +61,22 @@ def stage_input(spark, texts):
 
 def test_pipeline_runs(spark):
     assert QUERIES["pipeline"](spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_dedup_stage_keeps_one_row_of_repeated_and_nameless_documents(spark):
+    import corpus_pipeline
+
+    from .data import frame, sentence
+
+    a, b, c = (sentence(900 + i, 80) for i in range(3))
+    near = a.split()
+    near[40] = "changed"
+    rows = [(7, a, "en", "b", 2), (7, a, "en", "a", 1), (7, a, "en", "a", 1), (8, " ".join(near), "en", "a", 1),
+            (None, a, "en", "a", 1), (None, b, "en", "z", 1), (None, b, "en", "a", 1), (9, c, "en", "a", 1),
+            (None, c + " end", "en", "a", 1), (None, None, None, None, 1), (None, None, None, None, 1),
+            (10, "", "en", "a", 1), (10, "", "en", "a", 1)]
+    got = sorted((tuple(r) for r in corpus_pipeline.dedup_stage(spark, frame(spark, rows), "").collect()), key=repr)
+    assert got == sorted([(7, a, "en", "a", 1), (9, c, "en", "a", 1), (None, b, "en", "a", 1), *rows[9:]], key=repr)
+    plain = [(1, a, "en", "a", 1), (2, a, "en", "a", 1), (3, b, "en", "a", 1)]
+    got = corpus_pipeline.dedup_stage(spark, frame(spark, plain), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
