@@ -48,7 +48,8 @@ KINDS = ("email", "secret", "iban", "ipv6", "ipv4", "ssn", "phone", "card", "per
 TITLES = {"mr": "m", "mister": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "don": "m",
           "господин": "m", "κύριος": "m",
           "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "mlle": "f",
-          "señora": "f", "sra": "f", "srta": "f", "doña": "f", "госпожа": "f", "κυρία": "f"}
+          "señora": "f", "sra": "f", "srta": "f", "doña": "f", "госпожа": "f", "κυρία": "f",
+          "dr": "", "doctor": "", "doktor": "", "prof": "", "professor": "", "mx": "", "sir": "m", "lady": "f"}
 NAMES = {
     ("latin", "m"): "James John Robert Michael William David Richard Joseph Thomas Charles Peter Hans Karl "
                     "Pierre Jean Louis Carlos José Juan Luis Miguel Antonio Paul Daniel Mark".split(),
@@ -59,7 +60,20 @@ NAMES = {
     ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Παναγιώτης Σπύρος Ανδρέας".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ιωάννα Δήμητρα Βασιλική".split(),
 }
-_GENDER = {n.lower(): (script, g) for (script, g), ns in NAMES.items() for n in ns}
+#: found like NAMES, but no surrogate takes them; names that are common words or places are left out
+MORE_NAMES = {
+    "m": "Kevin Brian Steven Edward Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott "
+         "Brandon Benjamin Samuel Gregory Patrick Frank Alexander Raymond Jack Dennis Jerry Aaron Adam Henry Nathan "
+         "Douglas Zachary Kyle Walter Ethan Jeremy Harold Roger Keith Christian Anthony Matthew Andrew Joshua "
+         "Kenneth George Timothy Ronald Donald Christopher Bob Tom Mike Jim Steve Dave Stefan Andreas Klaus Jürgen "
+         "Wolfgang François Jacques Philippe Javier Diego Pablo Giovanni Marco Luca Mohammed Ahmed Omar Ali Wei Raj".split(),
+    "f": "Jane Nancy Lisa Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah "
+         "Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine "
+         "Christine Debra Rachel Carolyn Janet Catherine Maria Heather Diane Olivia Julie Joyce Kelly Christina Joan "
+         "Evelyn Judith Megan Andrea Hannah Jacqueline Martha Gloria Teresa Sara Monika Petra Sabine Ingrid Isabelle "
+         "Camille Nathalie Ana Sofía Marta Giulia Chiara Francesca Fatima Aisha Priya Mei".split(),
+}
+_GENDER = {n.lower(): ("latin", g) for g, ns in MORE_NAMES.items() for n in ns} | {n.lower(): (script, g) for (script, g), ns in NAMES.items() for n in ns}
 _SYLLABLES = {"latin": ("bar del fen gor hal kin lam mor nes pol ric sal tan ver wil".split(),
                         "ton ley man ner son den berg ford er mann".split()),
               "cyrillic": ("бор вар гор дом кир лав мел ник пав сав".split(), "ов ев ин ский енко".split()),
@@ -68,7 +82,7 @@ _SYLLABLES = {"latin": ("bar del fen gor hal kin lam mor nes pol ric sal tan ver
 _CAP = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 _TITLE = "|".join(sorted({re.escape(f) for t in TITLES for f in (t.capitalize(), t.upper())},
                          key=len, reverse=True))
-_FIRST = "|".join(sorted({re.escape(f) for ns in NAMES.values() for n in ns for f in (n, n.upper())},
+_FIRST = "|".join(sorted({re.escape(f) for ns in [*NAMES.values(), *MORE_NAMES.values()] for n in ns for f in (n, n.upper())},
                          key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _PATTERNS = {
@@ -87,10 +101,10 @@ _PATTERNS = {
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(
         r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
-        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"),
-    "card": re.compile(r"(?<![\w.-])(?:\d{4}([ -]))(?:\d{4}\1){2}\d{1,7}(?![\w-])|(?<![\w.])\d{13,19}(?!\w)"),
+        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?:\(0\d{1,4}\) ?|0\d{1,4}[ /-])\d{3,8}(?:[ -]\d{2,5}){0,2})(?!\w)"),
+    "card": re.compile(r"(?<![\w.-])(?:\d{4}([ -]))(?:\d{4}\1){2}\d{1,7}(?![\w-])|(?<![\w.-])\d{4}([ -])\d{6}\2\d{5}(?![\w-])|(?<![\w.])\d{13,19}(?!\w)"),
     "person": re.compile(
-        rf"(?<!\w)(?:(?P<t>{_TITLE})\.?[ ]+(?P<n1>{_CAP}(?:[ ]{_CAP}){{0,1}})"
+        rf"(?<!\w)(?:(?P<t>{_TITLE})\.?[ ]+(?:(?:{_TITLE})\.?[ ]+)*+(?P<n1>{_CAP}(?:[ ]{_CAP}){{0,1}})"
         rf"|(?P<n2>(?:{_FIRST})[ ]{_CAP}))(?!\w)"),
 }
 _DIGIT = re.compile(r"\d")
@@ -200,8 +214,7 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
             elif kind == "person":
                 a, b = m.span("n1") if m.group("n1") else m.span("n2")
                 first = text[a:b].split()[0].lower()
-                gender = (TITLES[m.group("t").lower()] if m.group("t")
-                          else _GENDER.get(first, ("", ""))[1])
+                gender = (TITLES[m.group("t").lower()] if m.group("t") else "") or _GENDER.get(first, ("", ""))[1]
             elif kind == "phone" and len(re.sub(r"\D", "", m.group())) < 7:
                 continue
             if kind == "person" and any(x[0] < b and a < -x[1] for x in got):
@@ -339,10 +352,10 @@ def _gender_of(kind: str, gender: str) -> str:
     return gender if kind == "person" else ""
 
 
-def replace(text: str, key: str, table: dict) -> tuple[str, int, str]:
+def replace(text: str, key: str, table: dict, detect=find) -> tuple[str, int, str]:
     """(text with surrogates, number of entities, kinds); ``table`` has gender and
     attempt of the entities for which they aren't the text's own and 0."""
-    spans = find(text)
+    spans = detect(text)
     if not spans:
         return text, 0, ""
     out, at = [], 0
@@ -353,7 +366,7 @@ def replace(text: str, key: str, table: dict) -> tuple[str, int, str]:
     return "".join(out) + text[at:], len(spans), ",".join(sorted({s[2] for s in spans}))
 
 
-def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
+def entities(df: DataFrame, text_col: str = "text", detect=find) -> DataFrame:
     """(doc_id, kind, canonical, gender) of every entity of every document."""
     prepare(df.sparkSession)
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("canonical", T.StringType()),
@@ -361,7 +374,7 @@ def entities(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def make(col: pa.Array) -> list:
         return [[{"kind": k, "canonical": c, "gender": _gender_of(k, g)}
-                 for k, c, g in sorted({x[2:] for x in find(t)})] if t else [] for t in col.to_pylist()]
+                 for k, c, g in sorted({x[2:] for x in detect(t)})] if t else [] for t in col.to_pylist()]
 
     found = add_column(take_columns(df, ["doc_id", text_col]).toDF("doc_id", "text"), "e", T.ArrayType(item), "text", make)
     return found.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e.*")
@@ -391,11 +404,12 @@ def attempts(found: DataFrame, key: str, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("surrogates did not become distinct")
 
 
-def pseudonymize(df: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
-    """``df`` with surrogates in ``text_col``, and n_entities and kinds."""
+def pseudonymize(df: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", detect=find) -> DataFrame:
+    """``df`` with surrogates in ``text_col``, and n_entities and kinds; ``detect``
+    stands in for :func:`find`, with kinds of ``KINDS``."""
     spark = df.sparkSession
     prepare(spark)
-    found = staged(entities(df, text_col), "pii-entities")
+    found = staged(entities(df, text_col, detect), "pii-entities")
     table = attempts(found, key)
     # a gender that one document knows holds for the entity everywhere
     later = staged(table.where("attempt > 0 or gender <> ''").select(
@@ -423,7 +437,7 @@ def pseudonymize(df: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text")
             new, n, kinds = [], [], []
             for t, e in zip(texts, own):
                 table = {(x["kind"], x["canonical"]): (x["gender"], x["attempt"]) for x in e} if e else base
-                r = (None, 0, "") if t is None else replace(t, key, table)
+                r = (None, 0, "") if t is None else replace(t, key, table, detect)
                 new.append(r[0])
                 n.append(r[1])
                 kinds.append(r[2])

@@ -267,6 +267,28 @@ def test_long_secrets_and_addresses_are_found_whole():
         assert pii.find(plain) == []
 
 
+def test_more_names_phones_and_cards_are_found():
+    for text, value, kind, gender in [
+            ("saw Dr. Jane Miller there", "Jane Miller", "person", "f"), ("Prof. Dr. Ortega said", "Ortega", "person", ""),
+            ("by Kevin Smith, 1999", "Kevin Smith", "person", "m"), ("call 555 123 4567 now", "555 123 4567", "phone", ""),
+            ("call 030 1234567 now", "030 1234567", "phone", ""), ("(030) 123 45 67", "(030) 123 45 67", "phone", ""),
+            ("0151/23456789", "0151/23456789", "phone", ""), ("3782 822463 10005", "3782 822463 10005", "card", "")]:
+        assert [(text[a:b], k, g) for a, b, k, _, g in pii.find(text)] == [(value, kind, gender)], text
+    for plain in ("on 2024-01-05 at 10 20 30", "007 agents", "The Doctor Who", "0 100 200"):
+        assert [x for x in pii.find(plain) if x[2] != "person"] == []
+
+
+def test_another_detector(spark):
+    def detect(text):
+        return [(0, 5, "person", "zorba", "")] if text.startswith("Zorba") else []
+
+    rows = [(1, "Zorba danced", "en", "a", 1), (2, "Mr. John Doe", "en", "a", 1)]
+    out = {r[0]: r for r in pii.pseudonymize(frame(spark, rows, extra=False), detect=detect).select(
+        "doc_id", "text", "n_entities").collect()}
+    assert "Zorba" not in out[1].text and out[1].text.endswith(" danced") and out[1].n_entities == 1
+    assert out[2].text == "Mr. John Doe" and out[2].n_entities == 0
+
+
 def test_secret_patterns_take_linear_time():
     import time
 
