@@ -17,6 +17,8 @@ from ..session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: rows of one Arrow batch; texts may be long, so batches are short
 BATCH_ROWS = 1000
+#: bytes of one Arrow batch, plus one row: long texts make short batches
+BATCH_BYTES = 8 << 20
 #: characters that separate words: \x20 and \x09-\x0D
 WORD_BREAKS = (9, 10, 11, 12, 13, 32)
 #: Java pattern of the separators
@@ -29,6 +31,7 @@ def prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

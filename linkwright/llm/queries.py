@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from . import bpe, ego, gam, idcoder, minhash, mixing, pii, rules, unigram_count, warc
+from . import alignment, bpe, ego, fingerprints, gam, idcoder, interactions, minhash, mixing, pii, rules, unigram_count, warc
 from .common import add_column, prepare, split_pattern, table, take_columns, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,25 @@ def op10_embedding_dedup(spark, sf_dir):
     return ego.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@_register
+def op11_document_fingerprints(spark, sf_dir):
+    """Threshold-scaled sketches of all documents and of their edited texts."""
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_tokenizer_alignment(spark, sf_dir):
+    """All documents cut into groups where tokens of two tokenizers end together."""
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                           vocabulary("piece_bpe_32k.model"))
+
+
+@_register
+def op13_filter_audit(spark, sf_dir):
+    """What five filters remove from all documents in each of 120 orders."""
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 ORACLE["op4_quality_rules"] = f"""
@@ -189,6 +208,43 @@ FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 
+ORACLE["op13_filter_audit"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), g AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), m AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM g GROUP BY part, fails
+), p(o, used) AS (
+  SELECT '', []::INT[] UNION ALL
+  SELECT o || chr((64 + i)::INT), list_append(used, i::INT) FROM p, range(1, 6) r(i) WHERE NOT list_contains(used, i)
+), s AS (
+  SELECT o AS filter_order, step, used[step] AS f, used[1:step - 1] AS earlier, list_filter([1, 2, 3, 4, 5], lambda x: x <> used[step]) AS others
+  FROM p, range(1, 6) r(step) WHERE len(used) = 5
+), q AS (
+  SELECT part, filter_order, step::INT AS step, f,
+    sum(CASE WHEN fails[f] OR len(list_filter(earlier, lambda x: fails[x])) > 0 THEN 0 ELSE n END) AS kept,
+    sum(CASE WHEN fails[f] AND len(list_filter(earlier, lambda x: fails[x])) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails[f] AND len(list_filter(earlier, lambda x: fails[x])) > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails[f] AND len(list_filter(others, lambda x: fails[x])) = 0 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails[f] AND len(list_filter(earlier, lambda x: fails[x])) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN fails[f] AND len(list_filter(earlier, lambda x: fails[x])) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m, s GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM q
+"""
+
+
 def _add_pipeline() -> None:
     """The pipeline at the repository's top, registered as a query."""
     import corpus_pipeline

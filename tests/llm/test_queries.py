@@ -23,7 +23,7 @@ def sql():
 
 
 def test_one_query_per_operator_and_the_pipeline():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
