@@ -128,31 +128,27 @@ def fingerprint_rows(df: DataFrame, scale: int = SCALE, floor: int = FLOOR) -> D
 
 # ------------------------------------------------------- order of documents
 def neighbours(keys: DataFrame) -> DataFrame:
-    """k, nk (key of the next row), pn (n of the row before), pk (its key) of
-    distinct ``keys`` (k, doc_id, n) by doc_id descending, nulls last, k; the
-    last row is followed by the first.
+    """``keys`` (distinct k, with doc_id and n) and pk, pn: k and n of the row
+    before by doc_id descending, nulls last, k; the last row stands before the
+    first.
 
-    Ranges are sorted apart; only their first and last rows, one each, are
-    brought together to link a range to the next.
+    Ranges are sorted apart; only the last row of each is brought to the next.
     """
     parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 math.ceil(keys.count() / RANGE_ROWS))
     order = [F.col("doc_id").desc_nulls_last(), F.col("k").asc()]
     ranged = staged(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "fp-order")
     here = Window.partitionBy("part").orderBy(*order)
-    row = F.struct("k", "n")
-    linked = ranged.select("part", "k", "n", F.lead("k").over(here).alias("nk"), F.lag(row).over(here).alias("p"))
+    linked = ranged.select("*", F.lag(F.struct("k", "n")).over(here).alias("p"),
+                           F.lead("n").over(here).isNull().alias("is_last"))
     # one row per range, in the order of ranges: their number is fixed above
     across, ends = Window.orderBy("part"), Window.orderBy("part").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
-    first = linked.where("p is null").select("part", F.col("k").alias("head"))
-    last = linked.where("nk is null").select("part", F.struct("k", "n").alias("tail"))
-    edge = first.join(last, "part").select(
-        "part", F.coalesce(F.lead("head").over(across), F.first("head").over(ends)).alias("after"),
-        F.coalesce(F.lag("tail").over(across), F.last("tail").over(ends)).alias("before"))
-    return linked.join(edge, "part").select(
-        "k", F.coalesce("nk", "after").alias("nk"), F.coalesce("p", "before").alias("p")).select(
-        "k", "nk", F.col("p.k").alias("pk"), F.col("p.n").alias("pn"))
+    last = linked.where("is_last").select("part", F.struct("k", "n").alias("tail"))
+    edge = last.select("part", F.coalesce(
+        F.lag("tail").over(across), F.last("tail").over(ends)).alias("before"))
+    return linked.join(edge, "part").withColumn("p", F.coalesce("p", "before")).select(
+        *keys.columns, F.col("p.k").alias("pk"), F.col("p.n").alias("pn"))
 
 
 def compare_with_next(df: DataFrame, scale: int = SCALE, floor: int = FLOOR) -> DataFrame:
@@ -164,23 +160,24 @@ def compare_with_next(df: DataFrame, scale: int = SCALE, floor: int = FLOOR) ->
     near_next (likeness), in_edited, in_next (share of the text's shingles
     found there).
 
-    Whole texts are shuffled once, by a key of id and text; at most half of a
-    text, the part its predecessor needs, is shuffled a second time.
+    Whole texts are shuffled once, by a key of id and text (both uses of
+    ``one`` read one exchange); at most half of a text, the part its
+    predecessor needs, is shuffled a second time.
     """
     text = F.coalesce("text", F.lit(""))
     docs = take_columns(df, ["doc_id", "text"]).select("doc_id", text.alias("text")).select(
-        "doc_id", "text", F.unhex(F.sha2(F.concat_ws(
-            ":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2("text", 256)), 256)).alias("k"))
-    keys = staged(docs.select("k", "doc_id", F.length("text").alias("n")).distinct(), "fp-keys")
-    links = staged(neighbours(keys), "fp-links")
+        "doc_id", "text", F.substring(F.unhex(F.sha2(F.concat_ws(
+            ":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2("text", 256)), 256)), 1, 16).alias("k"))
     # equal rows are one row with a count, combined before the shuffle
-    one = docs.withColumn("sk", sketch(F.col("text"), scale, floor)).groupBy("k").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("sk").alias("sk"),
-        F.count("*").alias("c"))
-    linked = one.join(links, "k")
-    gifts = linked.select(
-        F.col("pk").alias("k"), F.expr("substring(text, 1, pn div 2)").alias("piece"), F.col("sk").alias("next_sk"))
-    met = one.join(gifts, "k").withColumn("n", F.length("text"))
+    keys = staged(docs.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first(F.length("text")).alias("n"),
+                                        F.count("*").alias("c")), "fp-keys")
+    links = staged(neighbours(keys), "fp-links")
+    one = docs.groupBy("k").agg(F.first("text").alias("text"))
+    gifts = one.join(links.select("k", "pk", "pn"), "k").select(
+        F.col("pk").alias("k"), F.expr("substring(text, 1, pn div 2)").alias("piece"),
+        sketch(F.col("text"), scale, floor).alias("next_sk"))
+    met = one.join(links.select("k", "doc_id", "n", "c"), "k").join(gifts, "k").withColumn(
+        "sk", sketch(F.col("text"), scale, floor))
     half = F.expr("n div 2")
     follow = F.struct(F.col("piece"), F.col("next_sk"), F.lit(1).cast("long").alias("times"))
     itself = F.struct(F.expr("substring(text, 1, n div 2)").alias("piece"), F.col("sk").alias("next_sk"),
