@@ -7,164 +7,96 @@ leader. Not transitive.
 Spark plan:
 1. Collapse equal keys to one representative (smallest order): equal keys
    have identical neighbourhoods, so this is exact.
-2. Similar pairs (i < j) as edges: candidates from an equi-join, exact score,
-   threshold. For Jaro-Winkler the join is split by the number of common
-   leading characters and uses a prefix filter on occurrence-indexed characters
-   (:func:`jw_candidates`); bounds on lengths and shared characters cut the
-   candidates before scoring. Lossless.
-3. Leader election in rounds: an undecided node with a leader among its
-   smaller neighbours is a follower; one with no undecided or leader smaller
-   neighbour is a leader. Rounds equal the longest dependency chain; the
-   node state is checkpointed every round (reliable checkpoint under
-   ``spark.checkpoint.dir``), edges shrink as nodes get decided.
-4. Follower -> smallest leader among its smaller neighbours.
+2. Similar pairs (i < j) as edges. For Jaro-Winkler they come from the
+   block search by upper bounds (:mod:`.search`), lossless at any threshold.
+3. Connected components of the edges. Nothing crosses a component, so those of
+   at most ``TASK_EDGES`` edges are walked in order inside one bounded task
+   each, many to a task, whatever the length of their chains.
+4. Larger components run leader election in rounds: an undecided node with a
+   leader among its smaller neighbours is a follower; one with no undecided or
+   leader smaller neighbour is a leader. Each round's node state is a reliable
+   checkpoint under ``spark.checkpoint.dir``; edges shrink as nodes get decided.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import similarity as S
 from ..session import ensure_checkpoint_dir
-from .pairs import keyed_pairs
+from . import search
+from .graph import components
 from .spatial import near_join
 
-def _char_tokens(chars: Column) -> Column:
-    """Occurrence-indexed characters: a, a -> a#1, a#2 (a multiset as a set)."""
-    def tag(ch: Column, i: Column) -> Column:
-        occ = F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch))
-        return F.concat(ch, F.lit("\u0001"), occ.cast("string"))
-    return F.transform(chars, tag)
-
-
-def min_jaro(threshold: float, prefix: int, p: float = 0.1) -> float:
-    """Jaro that JW >= threshold needs when ``prefix`` leading characters agree."""
-    return max(0.0, (threshold - prefix * p) / (1 - prefix * p))
+#: edges of the largest component that one task may walk
+TASK_EDGES = 200_000
 
 
-def _token_rows(nodes: DataFrame) -> DataFrame:
-    """(side, ord, k, len, toks rarest first) of (side, ord, k)."""
-    cut = nodes.withColumn("_c", F.filter(F.split("k", ""), lambda ch: ch != ""))
-    cut = cut.withColumn("_t", _char_tokens(F.col("_c")))
-    rare = cut.select(F.explode("_t").alias("tok")).groupBy("tok").agg(F.count("*").alias("f"))
-    ex = cut.select("side", "ord", "k", F.explode("_t").alias("tok")).join(rare, "tok")
-    rows = ex.groupBy("side", "ord", "k").agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("_s"))
-    return rows.select("side", "ord", "k", F.length("k").alias("len"),
-                       F.transform("_s", lambda x: x["tok"]).alias("toks"))
+def _walk(edges: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule on whole components: (ord, leader) of every node
+    with a smaller neighbour; all other nodes lead."""
+    leader: dict[int, int] = {}  # of followers
+    edges = edges.sort_values(["dst", "src"])
+    for src, dst in zip(edges["src"].tolist(), edges["dst"].tolist()):
+        # edges into a node come together, smallest neighbour first; all of its
+        # smaller neighbours are decided by then
+        if dst not in leader and src not in leader:
+            leader[dst] = src
+    return pd.DataFrame({"ord": list(leader), "leader": list(leader.values())}, dtype="int64")
 
 
-def _prefix_keys(threshold: float, p: float, shorter: bool) -> Column:
-    """Keys of one row for every possible number of common leading characters.
-
-    With c = 3j-1 for the Jaro j that JW >= threshold needs at that number,
-    m matched characters satisfy m/l1 + m/l2 >= c, so the shorter string needs
-    m >= c*l/2 and the longer one m >= (c-1)*l. Two strings that share m tokens
-    share one among the first l-m+1 of each in one global order.
-    """
-    out = []
-    for n in range(5):
-        c = 3 * min_jaro(threshold, n, p) - 1
-        if c <= 0:
-            raise ValueError("no lossless character filter below this threshold")
-        share = c / 2 if shorter else c - 1
-        need = F.greatest(F.lit(1), F.ceil(F.lit(share - 1e-9) * F.col("len")).cast("int"))
-        head = F.concat(F.lit(f"{n}\u0002"), F.substring("k", 1, n), F.lit("\u0002"))
-        keys = F.transform(F.slice("toks", 1, F.greatest(F.lit(1), F.col("len") - need + 1)),
-                           lambda t: F.concat(head, t))
-        out.append(F.when(F.col("len") >= n, keys).otherwise(F.array().cast("array<string>")))
-    return F.concat(*out)
-
-
-def _common_prefix(a: Column, b: Column) -> Column:
-    same = F.lit(0)
-    for n in (1, 2, 3, 4):
-        same = F.when((F.length(a) >= n) & (F.substring(a, 1, n) == F.substring(b, 1, n)), F.lit(n)).otherwise(same)
-    return same
-
-
-def _jw_possible(threshold: float, p: float) -> Column:
-    """Can l_k and r_k reach the threshold, by their common prefix, lengths
-    and shared characters (which bound the matched ones from above)?"""
-    shared = F.size(F.array_intersect("l_toks", "r_toks"))
-    ways = shared / F.col("l_len") + shared / F.col("r_len")
-    ok = F.lit(False)
-    for n in range(5):
-        c = 3 * min_jaro(threshold, n, p) - 1
-        ok = F.when(F.col("_same") == n, ways >= c - 1e-9).otherwise(ok)
-    return ok
-
-
-def jw_candidates(left: DataFrame, right: DataFrame, threshold: float, p: float = 0.1) -> DataFrame:
-    """Lossless candidates for JW(l.k, r.k) >= threshold, unequal strings only.
-
-    Pairs are found per number of common leading characters (0 to 4), because
-    the prefix boost lowers the Jaro that is needed: the join key is those
-    characters and one of the rarest characters of both strings. The length
-    and character-multiset bounds then cut pairs before any scoring. Inputs:
-    (ord, k) with distinct non-empty k per side; output: (l_ord, l_k, r_ord,
-    r_k), each pair once.
-    """
-    both = left.select(F.lit(0).alias("side"), "ord", "k").unionByName(
-        right.select(F.lit(1).alias("side"), "ord", "k"))
-    rows = _token_rows(both.where(F.coalesce("k", F.lit("")) != ""))
-    rows = rows.select("*", _prefix_keys(threshold, p, True).alias("short"),
-                       _prefix_keys(threshold, p, False).alias("long"))
-    L, R = (rows.where(F.col("side") == i).drop("side") for i in (0, 1))
-    one = keyed_pairs(L.drop("long").withColumnRenamed("short", "keys"),
-                      R.drop("short").withColumnRenamed("long", "keys")).where("l_len <= r_len")
-    two = keyed_pairs(L.drop("short").withColumnRenamed("long", "keys"),
-                      R.drop("long").withColumnRenamed("short", "keys")).where("r_len < l_len")
-    cols = ["l_ord", "l_k", "l_len", "l_toks", "r_ord", "r_k", "r_len", "r_toks"]
-    pairs = one.select(*cols).unionByName(two.select(*cols)).where("l_k <> r_k")
-    pairs = pairs.withColumn("_same", _common_prefix(F.col("l_k"), F.col("r_k")))
-    return pairs.where(_jw_possible(threshold, p)).select("l_ord", "l_k", "r_ord", "r_k")
-
-
-def jw_candidate_pairs(nodes: DataFrame, threshold: float, p: float = 0.1) -> DataFrame:
-    """Self-pairs (src < dst by ``ord``) that can reach JW >= threshold."""
-    cand = jw_candidates(nodes, nodes, threshold, p).where("l_ord < r_ord")
-    return cand.select(F.col("l_ord").alias("src"), F.col("r_ord").alias("dst"),
-                       F.col("l_k").alias("src_k"), F.col("r_k").alias("dst_k"))
-
-
-def elect_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def elect_leaders(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """Sequential leader rule on a graph. ``nodes``: (ord); ``edges``: (src,
-    dst) with src < dst. Returns (ord, leader) where leader == ord for leaders."""
-    spark = nodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    # edges are scored once (the similarity UDFs run here) and cut from lineage
-    edges = edges.select("src", "dst").checkpoint(eager=True)
+    dst) with src < dst, whole numbers. Returns (ord, leader, rounds) where
+    leader == ord for leaders; rounds counts those of the largest components."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    # edges are scored once and cut from lineage
+    edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")) \
+        .checkpoint(eager=True)
+    comp = components(edges)
+    placed = edges.join(comp, edges["src"] == comp["id"]).select("src", "dst", "component").checkpoint(eager=True)
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).checkpoint(eager=True)
+    large = sizes.where(F.col("n") > task_edges)
+    total = sizes.where(F.col("n") <= task_edges).agg(F.sum("n")).first()[0] or 0
+    # components are dealt into tasks of about task_edges edges
+    pack = F.pmod(F.xxhash64("component"), F.lit(-(-total // task_edges) or 1))
+    small = placed.join(large, "component", "left_anti").withColumn("pack", pack)
+    walked = small.select("pack", "src", "dst").groupBy("pack").applyInPandas(_walk, "ord long, leader long")
+    followers, rounds = walked, 0
+    if not large.isEmpty():
+        rest = placed.join(large, "component", "left_semi").select("src", "dst").checkpoint(eager=True)
+        late, rounds = _elect_in_rounds(rest)
+        followers = walked.unionByName(late)
+    return nodes.join(followers, "ord", "left").select(
+        "ord", F.coalesce("leader", F.col("ord")).alias("leader"), F.lit(rounds).alias("rounds"))
+
+
+def _elect_in_rounds(edges: DataFrame) -> tuple[DataFrame, int]:
+    """((ord, leader) of followers, number of rounds) by rounds over all edges."""
+    nodes = edges.select(F.col("src").alias("ord")).unionByName(edges.select(F.col("dst").alias("ord"))).distinct()
     state = nodes.select("ord", F.lit("U").alias("st")).checkpoint(eager=True)
-    live = edges
-    rounds = 0
-    while True:  # every round decides at least the smallest undecided node
+    live, rounds, undecided = edges, 0, True
+    while undecided:  # every round decides at least the smallest undecided node
         rounds += 1
-        src_st = live.join(state.withColumnRenamed("ord", "src").withColumnRenamed("st", "sst"), "src")
-        agg = src_st.groupBy("dst").agg(
+        agg = live.join(state.select(F.col("ord").alias("src"), F.col("st").alias("sst")), "src").groupBy("dst").agg(
             F.max((F.col("sst") == "L").cast("int")).alias("has_l"),
             F.max((F.col("sst") == "U").cast("int")).alias("has_u"))
-        nxt = state.join(agg.withColumnRenamed("dst", "ord"), "ord", "left").select(
+        state = state.join(agg.withColumnRenamed("dst", "ord"), "ord", "left").select(
             "ord",
             F.when(F.col("st") != "U", F.col("st"))
             .when(F.coalesce(F.col("has_l"), F.lit(0)) == 1, F.lit("F"))
             .when(F.coalesce(F.col("has_u"), F.lit(0)) == 0, F.lit("L"))
-            .otherwise(F.lit("U")).alias("st"))
-        nxt = nxt.checkpoint(eager=True)
-        undecided = nxt.where(F.col("st") == "U").limit(1).count()
-        state = nxt
-        if undecided == 0:
-            break
-        # only edges into undecided nodes still matter; derived from the
-        # checkpointed edges and the checkpointed state, so lineage stays short
-        live = edges.join(state.where(F.col("st") == "U").select(F.col("ord").alias("dst")), "dst",
-                          "left_semi")
+            .otherwise(F.lit("U")).alias("st")).checkpoint(eager=True)
+        undecided = not state.where(F.col("st") == "U").isEmpty()
+        # only edges into undecided nodes still matter
+        live = edges.join(state.where(F.col("st") == "U").select(F.col("ord").alias("dst")), "dst", "left_semi")
     leaders = state.where(F.col("st") == "L").select(F.col("ord").alias("src"))
-    follow = edges.select("src", "dst").join(leaders, "src", "left_semi") \
-        .groupBy(F.col("dst").alias("ord")).agg(F.min("src").alias("leader"))
-    out = state.join(follow, "ord", "left").select(
-        "ord", F.when(F.col("st") == "L", F.col("ord")).otherwise(F.col("leader")).alias("leader"))
-    return out.withColumn("rounds", F.lit(rounds))
+    follow = edges.join(leaders, "src", "left_semi").groupBy(F.col("dst").alias("ord")).agg(
+        F.min("src").alias("leader"))
+    return follow.join(state.where(F.col("st") == "F").select("ord"), "ord"), rounds
 
 
 def dedupe(df: DataFrame, key_col: str, threshold: float = 0.85, order_col: str = "pos",
@@ -179,9 +111,10 @@ def dedupe(df: DataFrame, key_col: str, threshold: float = 0.85, order_col: str
     rows = df.withColumn("_k", k)
     reps = rows.groupBy(F.col("_k").alias("k")).agg(F.min(order_col).alias("ord"))
     reps = reps.checkpoint(eager=True)
-    cand = jw_candidate_pairs(reps, threshold, p)
-    sim = S.jaro_winkler(F.col("src_k"), F.col("dst_k"), p, cap=True)
-    edges = cand.where(sim >= threshold).select("src", "dst")
+    named = reps.where("k <> ''").select("k", F.col("ord").alias("o"))
+    pairs = search.all_partners(named.select("k"), named, threshold, search.Name(p))
+    ids = reps.select("k", F.col("ord").alias("src")), reps.select(F.col("k").alias("r_k"), F.col("ord").alias("dst"))
+    edges = pairs.join(ids[0], "k").join(ids[1], "r_k").where("src < dst").select("src", "dst")
     lead = elect_leaders(reps.select("ord"), edges)
     rep_lead = reps.join(lead, "ord").select(F.col("k").alias("_k"), F.col("ord").alias("_rep"),
                                              "leader", "rounds")

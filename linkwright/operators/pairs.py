@@ -231,10 +231,6 @@ def _numeric_order(df: DataFrame, c: str) -> bool:
     raise ValueError(f"order column {c} must be numeric for earliest-wins ties")
 
 
-#: score bands of O-JOIN6, high to low; the threshold itself comes last
-NAME_BANDS = (0.95, 0.9, 0.85)
-
-
 def link_names(left: DataFrame, right: DataFrame, threshold: float = 0.8,
                left_key: str = "customer", right_key: str = "customer",
                id_col: str = "id", right_order: str | None = None) -> DataFrame:
@@ -243,11 +239,10 @@ def link_names(left: DataFrame, right: DataFrame, threshold: float = 0.8,
     ties -> earliest right row. Equal to scoring all pairs.
 
     Equal names collapse on both sides first and match with score 1. The rest
-    goes through score bands from high to low, each with lossless candidates
-    for its lower bound (``dedupe.jw_candidates``): a name that finds its best
-    partner in a band is final and leaves the later, costlier bands.
+    is searched by upper bounds (:mod:`.search`): blocks of right names whose
+    character counts cannot beat a name's best score so far are never joined.
     """
-    from .dedupe import jw_candidates
+    from . import search
 
     L = left.select(F.col(id_col).alias("lid"), F.col(left_key).alias("lname"),
                     F.lower(F.coalesce(F.col(left_key), F.lit(""))).alias("k"))
@@ -256,21 +251,13 @@ def link_names(left: DataFrame, right: DataFrame, threshold: float = 0.8,
         F.col(right_key).alias("rname")).alias("r"))
     # of equal right names only the earliest can win
     names = R.groupBy("k").agg(F.min("r").alias("r")).checkpoint(eager=True)
-    todo = L.select("k").distinct().checkpoint(eager=True)
-    found = todo.join(names, "k").select("k", "r", F.lit(1.0).alias("score"))
-    if threshold >= 1.0:
-        found = found.limit(0)
-    rights = names.select(F.col("k").alias("ord"), "k")
-    for low in [b for b in NAME_BANDS if b > threshold] + [threshold]:
-        todo = todo.join(found, "k", "left_anti")
-        cand = jw_candidates(todo.select(F.col("k").alias("ord"), "k"), rights, low)
-        scored = cand.select(F.col("l_k").alias("k"), F.col("r_k"), S.jaro_winkler(
-            F.col("l_k"), F.col("r_k"), 0.1, cap=True).alias("score"))
-        scored = scored.where((F.col("score") >= low) & (F.col("score") > threshold))
-        best = scored.join(names.withColumnRenamed("k", "r_k"), "r_k").groupBy("k").agg(
-            F.min(F.struct((-F.col("score")).alias("s"), "r")).alias("m"))
-        found = found.unionByName(best.select("k", F.col("m.r").alias("r"), (-F.col("m.s")).alias("score")))
-        found = found.checkpoint(eager=True)
+    same = L.select("k").distinct().join(names, "k").select("k", "r", F.lit(1.0).alias("score"))
+    # an empty name scores 0 against any other
+    todo = L.select("k").distinct().join(names, "k", "left_anti").where("k <> ''")
+    best = search.best_partners(todo, names.where("k <> ''").select("k", F.col("r.o").alias("o")), threshold,
+                                search.Name())
+    found = best.join(names.withColumnRenamed("k", "r_k"), "r_k").select("k", "r", "score")
+    found = same.unionByName(found).where(F.col("score") > threshold)
     return L.join(found, "k").select(
         F.col("lid").alias("left_id"), F.col("lname").alias("left_name"),
         F.col("r.rid").alias("right_id"), F.col("r.rname").alias("right_name"), "score")
@@ -283,12 +270,10 @@ def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
     normalization, token components, Jaro-Winkler), strictly above
     ``threshold``, ties -> earliest right row.
 
-    ``mode='exact'`` (default) compares the left rows, a query set, with all
-    right rows in a grid of blocks: O-SIM16 has no lossless key, as all of its
-    parts are Jaro-Winkler. Equal normalized addresses collapse first; a bound
-    from character counts leaves out most pairs, then the components, which are
-    short strings, are scored, and whole addresses only where the bound
-    0.5 + 0.5 * components exceeds the threshold. ``mode='blocked'`` is a
+    ``mode='exact'`` (default) equals scoring all pairs: O-SIM16 has no
+    lossless key, as all of its parts are Jaro-Winkler, so zones of blocks,
+    sorted by house number, ZIP and length, bound the score a left address can
+    reach there, and blocks below its best so far are never joined. ``mode='blocked'`` is a
     cheaper operator of its own: best match among rows that share the house
     number or the ZIP.
     """
@@ -319,30 +304,29 @@ def link_addresses(left: DataFrame, right: DataFrame, threshold: float = 0.85,
 
 
 def _link_all_addresses(L: DataFrame, R: DataFrame, threshold: float) -> DataFrame:
-    """``link_addresses`` over all pairs. Equal normalized addresses score alike
-    against anything, so each is compared once; of equal right ones only the
-    earliest can win."""
-    parts = max(1, int(L.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    comps = [c for c in S.COMPONENT_WEIGHTS_V2 if c not in ("street_name", "city")]
+    """``link_addresses`` over all pairs, by :mod:`.search`. Equal normalized
+    addresses score alike against anything, so each is compared once; of equal
+    right ones only the earliest can win."""
+    from . import search
+
+    metric = search.Blend({c: w for c, w in S.COMPONENT_WEIGHTS_V2.items() if c not in ("street_name", "city")})
 
     def collapse(df, *more):
-        one = df.where(F.col("norm").isNotNull()).groupBy("norm").agg(F.first("comp").alias("comp"), *more)
-        sketches = F.struct(S.sketch("norm").alias("norm"), *[S.sketch(F.col("comp")[c]).alias(c) for c in comps])
-        return one.repartition(parts, "norm").select("*", sketches.alias("sk"), F.array(F.lit("all")).alias("keys")) \
+        parts = [F.first(F.col("comp")[c]).alias(c) for c in metric.fields[1:]]
+        return df.where(F.col("norm").isNotNull()).groupBy(F.col("norm").alias("k")).agg(*parts, *more) \
             .checkpoint(eager=True)
 
-    l, R = collapse(L), collapse(R, F.min(F.struct("ord", "id", "address")).alias("r"))
-    pairs = keyed_pairs(l, R, key_rows=LOOKUP_BLOCK)
-    pairs = pairs.where(S.address_bound_v2(F.col("l_sk"), F.col("r_sk")) > threshold)
-    pairs = pairs.where(S.component_bound_v2(F.col("l_comp"), F.col("r_comp")) > threshold)
-    score = S.address_similarity_v2_std(F.col("l_norm"), F.col("r_norm"), F.col("l_comp"), F.col("r_comp"))
-    scored = pairs.withColumn("similarity", score).where(F.col("similarity") > threshold)
-    best = scored.groupBy(F.col("l_norm").alias("norm")).agg(
-        F.min(F.struct((-F.col("similarity")).alias("s"), F.col("r_r").alias("r"))).alias("m"))
-    return L.join(best, "norm").select(
+    l, r = collapse(L), collapse(R, F.min(F.struct("ord", "id", "address")).alias("r"))
+    # blocks of like house numbers and ZIPs have tight zones
+    sort = [F.col("house_number"), F.col("zipcode"), F.length("k"), F.col("k")]
+    real = F.col("k") != ""
+    best = search.best_partners(l.where(real), r.where(real).withColumn("o", F.col("r.ord")), threshold, metric, sort, sort)
+    equal = l.where(~real).join(r.select("k"), "k").select("k", F.col("k").alias("r_k"), F.lit(1.0).alias("score"))
+    best = best.unionByName(equal).where(F.col("score") > threshold)
+    return L.join(best, L["norm"] == best["k"]).drop("k").join(r.select(F.col("k").alias("r_k"), "r"), "r_k").select(
         F.col("id").alias("record1_id"), F.col("address").alias("record1_address"),
-        F.col("m.r.id").alias("record2_id"), F.col("m.r.address").alias("record2_address"),
-        (-F.col("m.s")).alias("similarity"))
+        F.col("r.id").alias("record2_id"), F.col("r.address").alias("record2_address"),
+        F.col("score").alias("similarity"))
 
 
 def fuzzy_lookup(df: DataFrame, reference: DataFrame, col: str = "address",
