@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import prepare, staged, take_columns, text_list
 
 #: text of one chunk
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: text handed to a tokenizer at once
 SLICE_CHARS = 1 << 18
 #: id pairs are a * PAIR + b
@@ -48,6 +49,25 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def byte_ranks(tokenizer) -> dict[bytes, int] | None:
+    """Bytes -> id of a byte-level BPE file whose ids follow its merges, None
+    for any other. Such a vocabulary is a table of merge ranks."""
+    import json
+
+    j = json.loads(tokenizer.to_str())
+    model, pre, byte = j["model"], j["pre_tokenizer"] or {}, _byte_of_char()
+    plain = (model["type"] == "BPE" and j["normalizer"] is None and pre.get("type") == "ByteLevel"
+             and pre["use_regex"] and not pre["add_prefix_space"] and not model["dropout"]
+             and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"]
+             and not model.get("ignore_merges"))
+    special = {x["content"] for x in j["added_tokens"]}
+    ids = {e: i for e, i in model["vocab"].items() if e not in special}
+    if not plain or any(ids["".join(m.split(" ") if isinstance(m, str) else m)] != i
+                        for i, m in enumerate(model["merges"], len(byte))):
+        return None
+    return {bytes(byte[c] for c in e): i for e, i in ids.items()}
+
+
 class Tokenizers:
     """Both tokenizers, with the bytes and lengths of every token."""
 
@@ -56,20 +76,27 @@ class Tokenizers:
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
+        from .common import split_pattern
+
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte = _byte_of_char()
+        byte, vocab = _byte_of_char(), self.a.get_vocab()
         self.bytes_a = [b""] * self.a.get_vocab_size()
-        for entry, i in self.a.get_vocab().items():
+        for entry, i in vocab.items():
             self.bytes_a[i] = bytes(byte[c] for c in entry)
         self.bytes_b = [
             bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i)
             else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(len(self.b))]
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        # the same merges on the same pattern, four times as fast
+        ranks = byte_ranks(self.a)
+        self.ranked = ranks and tiktoken.Encoding(
+            "a", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={})
         # what a token writes into the digest, by whether it ends its side of a group
         self.shown = [f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"] + [
             f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"]
@@ -80,17 +107,26 @@ class Tokenizers:
             cls._loaded = {(path_a, path_b): cls(path_a, path_b)}
         return cls._loaded[path_a, path_b]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both tokenizers per text; none where they don't spell it."""
         out_a, out_b = [], []
+        none = np.zeros(0, np.int64)
         for part in _slices(texts):
-            ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in part], add_special_tokens=False)]
-            for t, a, b in zip(part, ids_a, self.b.encode(part, num_threads=1)):
-                want = (" " + t).encode()
-                whole = t and b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(
-                    map(self.bytes_b.__getitem__, b)) == want
-                out_a.append(a if whole else [])
-                out_b.append(b if whole else [])
+            spaced = [" " + t for t in part]
+            if self.ranked:
+                ids_a = [self.ranked.encode_to_numpy(t, disallowed_special=()).astype(np.int64) for t in spaced]
+            else:
+                ids_a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+            ids_b = self.b.encode(part, num_threads=1)
+            flat = np.fromiter(chain.from_iterable(ids_b), np.int64)
+            ends = np.cumsum([len(x) for x in ids_b])
+            for t, a, b, end in zip(spaced, ids_a, ids_b, ends):
+                want = t.encode()
+                # ranked bytes always spell the text
+                whole = len(t) > 1 and b"".join(map(self.bytes_b.__getitem__, b)) == want and (
+                    self.ranked or b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want)
+                out_a.append(a if whole else none)
+                out_b.append(flat[end - len(b):end] if whole else none)
         return out_a, out_b
 
 
@@ -127,8 +163,7 @@ def align_chunk(tok: Tokenizers, texts: list[str]) -> dict[str, object]:
     lists_a, lists_b = tok.encode(texts)
     n_a = np.array([len(x) for x in lists_a], np.int64)
     n_b = np.array([len(x) for x in lists_b], np.int64)
-    a = np.fromiter((i for x in lists_a for i in x), np.int64, int(n_a.sum()))
-    b = np.fromiter((i for x in lists_b for i in x), np.int64, int(n_b.sum()))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (lists_a, lists_b))
     first_a, first_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
     if not len(a):
         zero = np.zeros(len(texts), np.int64)

@@ -193,6 +193,26 @@ def test_alignment_does_not_depend_on_chunks(spark, monkeypatch):
     assert np.array_equal(alignment._unpack(alignment._pack(places), len(places)), places)
 
 
+def test_ranked_encoder_equals_the_library():
+    """Every code point, alone, in words, before endings and between spaces."""
+    tok = alignment.Tokenizers.load(*encoders())
+    assert tok.ranked
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for k in range(0, len(points), 4000):
+        part = [" a{0}b {0} {0}{0}1{0} 2 {0}'s{0}\n{0}  {0}!".replace("{0}", chr(c)) for c in points[k:k + 4000]]
+        want = [e.ids for e in tok.a.encode_batch_fast(part, add_special_tokens=False)]
+        assert [tok.ranked.encode_to_numpy(t, disallowed_special=()).tolist() for t in part] == want
+
+
+def test_alignment_without_ranks_is_the_same(monkeypatch):
+    tok = alignment.Tokenizers.load(*encoders())
+    texts = [r[1] or "" for r in alignment_rows()]
+    fast = alignment.align_chunk(tok, texts)
+    monkeypatch.setattr(tok, "ranked", None)
+    slow = alignment.align_chunk(tok, texts)
+    assert fast["digest"] == slow["digest"] and fast["places"].tolist() == slow["places"].tolist()
+
+
 def test_alignment_of_empty_tables(spark):
     assert alignment.align(frame(spark, []), *encoders()).count() == 0
     got = alignment.align(frame(spark, [(1, None, "", "", 1), (2, "", "", "", 1)]), *encoders()).collect()
