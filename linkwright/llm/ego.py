@@ -25,9 +25,10 @@ only what is skipped for being provably distant, never what is linked.
 Defined results: vectors that are null, empty, zero, or hold null or
 non-finite components, and rows whose label is null, link with nothing; so do
 vectors of different length; a vec_id that occurs in several rows is one node
-per row (each row counts as a vector; the rows share their id in the graph),
-a null vec_id is its own component (null) and is not kept; an empty table gives no
-rows; extra columns are dropped.
+per row (each row counts as a vector; the rows share their id in the graph);
+a vector without vec_id links and connects its neighbours like any other, its
+component is the smallest id reached (null if there is none) and it is not
+kept; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, prepare, staged, take_columns
@@ -46,6 +47,8 @@ BLOCK = 1024
 LEAF = 128
 DIMS = 6
 FIT_ROWS = 4096
+#: nodes of vectors without id are numbered from here on; ids lie below
+NAMELESS = 1 << 62
 
 
 def _rows(col: pa.Array) -> np.ndarray:
@@ -164,7 +167,8 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, dims: int = DIMS,
     valid = valid.withColumn("vkey", F.concat(F.col("label").cast("string"), F.lit(":"), key))
     classes = staged(valid.groupBy("vkey").agg(
         F.first("label").alias("label"), F.first("vec").alias("vec"),
-        F.min(F.coalesce("vec_id", F.lit(2 ** 63 - 1))).alias("rep"), F.count("*").alias("n")), "ego-classes")
+        F.coalesce(F.min(F.col("vec_id").cast("long")), _nameless(F.col("vkey"))).alias("rep"),
+        F.count("*").alias("n")), "ego-classes")
     axes = fit_axes(classes, dims)
     k = min([dims] + [a.shape[1] for a in axes.values()]) if axes else 1
     eps = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
@@ -236,12 +240,21 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, dims: int = DIMS,
         "vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     edges = found.where("a <> b").select("a", "b").unionByName(same_class)
     comp = components(edges)
-    per_class = (classes.select("vkey", (F.col("n") - 1).alias("links"))
-                 .unionByName(found.select("vkey", "links")).groupBy("vkey").agg(F.sum("links").alias("links")))
-    linked = valid.select("vec_id", "vkey").join(per_class, "vkey").select("vec_id", F.col("links").alias("n_links"))
-    base = linked.unionByName(rows.where(~F.coalesce("ok", F.lit(False)))
-                              .select("vec_id", F.lit(0).cast("long").alias("n_links")))
-    out = base.join(comp, base["vec_id"] == comp["id"], "left")
-    comp_id = F.coalesce("component_id", "vec_id")
+    per_class = (classes.select("vkey", "rep", (F.col("n") - 1).alias("links"))
+                 .unionByName(found.select("vkey", F.lit(None).cast("long").alias("rep"), "links"))
+                 .groupBy("vkey").agg(F.max("rep").alias("rep"), F.sum("links").alias("links")))
+    linked = valid.select("vec_id", "vkey").join(per_class, "vkey").select(
+        "vec_id", F.coalesce("vec_id", "rep").alias("node"), F.col("links").alias("n_links"))
+    base = linked.unionByName(rows.where(~F.coalesce("ok", F.lit(False))).select(
+        "vec_id", F.col("vec_id").alias("node"), F.lit(0).cast("long").alias("n_links")))
+    out = base.join(comp, base["node"] == comp["id"], "left")
+    comp_id = F.coalesce("component_id", "node")
+    comp_id = F.when(comp_id < F.lit(NAMELESS), comp_id)
     return out.select("vec_id", "n_links", comp_id.alias("component_id"),
                       F.coalesce(comp_id == F.col("vec_id"), F.lit(False)).alias("kept"))
+
+
+def _nameless(vkey: Column) -> Column:
+    """Node of a vector without id: above all ids, so it links its neighbours
+    but never names their component."""
+    return F.lit(NAMELESS) + F.xxhash64(vkey).bitwiseAND(F.lit(NAMELESS - 1))

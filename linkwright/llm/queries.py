@@ -189,22 +189,25 @@ FROM f
 
 ORACLE["op10_embedding_dedup"] = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, coalesce(vec_id, 4611686018427387904 + row_number() OVER ()) AS node, label,
+    list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), ok AS (
   SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
     AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), link AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
-  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  SELECT a.node AS a, b.node AS b FROM ok a JOIN ok b
+  ON a.label = b.label AND a.node <> b.node AND len(a.e) = len(b.e)
     AND list_cosine_similarity(a.e, b.e) >= 0.93
 ), reach(id, c) AS (
-  SELECT vec_id, vec_id FROM v
+  SELECT node, node FROM v
   UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.c = l.a
 ), comp AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id),
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
-SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, component_id = v.vec_id AS kept
-FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links,
+  CASE WHEN component_id < 4611686018427387904 THEN component_id END AS component_id,
+  coalesce(component_id = v.vec_id, false) AS kept
+FROM v JOIN comp ON comp.id = v.node LEFT JOIN n ON n.a = v.node
 """
 
 
