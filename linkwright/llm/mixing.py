@@ -158,7 +158,7 @@ def plan_takes(hist: DataFrame, max_repeats: float) -> DataFrame:
 
 def mix(df: DataFrame, weights: dict | None = None, budget_ratio: float = 1.5,
         max_repeats: int = 2, seed: int = SEED) -> DataFrame:
-    """For every row of ``df`` its doc_id, tie (hash of the text), size,
+    """For every row of ``df`` its doc_id, tie (hash of the text), source, size,
     source_size, target, taken (words that the mix takes of it, repeats
     counted) and times. ``weights``: by source (a missing
     one weighs 1); default: 3, 1, 2 repeating over the sources in order."""
@@ -178,7 +178,7 @@ def mix(df: DataFrame, weights: dict | None = None, budget_ratio: float = 1.5,
         [(i, r["source"], sizes[i], float(targets[i])) for i, r in enumerate(sources)],
         "src long, source string, source_size long, target double")
     rows = narrow.join(F.broadcast(table), narrow["source"].eqNullSafe(table["source"])).select(
-        "doc_id", "src", "size", "tie", "source_size", "target")
+        "doc_id", "src", table["source"], "size", "tie", "source_size", "target")
     hist = rows.groupBy("src", "size").agg(F.count("*").alias("n"), F.first("target").alias("target"))
     plan = staged(plan_takes(hist, max_repeats), "mix-plan")
     return _select(rows, plan, seed)
@@ -190,7 +190,7 @@ def _select(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     keyed = rows.join(plan.select("src", "size", "passes", "extra", F.col("n").alias("cnt")),
                       ["src", "size"])
     whole = keyed.where("extra = 0 or extra = cnt").select(
-        "doc_id", "tie", "src", "size", "source_size", "target",
+        "doc_id", "tie", "source", "size", "source_size", "target",
         (F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).alias("times"))
     part = keyed.where("extra > 0 and extra < cnt").withColumn("h", h).withColumn(
         "bucket", F.floor((F.shiftrightunsigned("h", 1) / F.lit(float(2 ** 63)))
@@ -204,28 +204,39 @@ def _select(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
                     .alias("room"), "c"))
     cut = part.join(cuts, ["src", "size", "bucket"])
     clear = cut.where("room = 0 or room = c").select(
-        "doc_id", "tie", "src", "size", "source_size", "target",
+        "doc_id", "tie", "source", "size", "source_size", "target",
         (F.col("passes") + F.when(F.col("room") > 0, 1).otherwise(0)).alias("times"))
     rank = F.row_number().over(Window.partitionBy("src", "size", "bucket").orderBy("h", "doc_id", "tie"))
     edge = cut.where("room > 0 and room < c").withColumn("rk", rank).select(
-        "doc_id", "tie", "src", "size", "source_size", "target",
+        "doc_id", "tie", "source", "size", "source_size", "target",
         (F.col("passes") + F.when(F.col("rk") <= F.col("room"), 1).otherwise(0)).alias("times"))
     out = whole.unionByName(clear).unionByName(edge)
-    return out.select("doc_id", "tie", "size", "source_size", "target",
+    return out.select("doc_id", "tie", "source", "size", "source_size", "target",
                       (F.col("size") * F.col("times")).alias("taken"), "times")
 
 
 def mixed_documents(df: DataFrame, picks: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as :func:`mix` takes it.
-    Documents of size 0 stay once."""
-    keys = ["doc_id", "tie"]
-    often = picks.groupBy(*keys).agg(
-        F.sum(F.when(F.col("size") > 0, F.col("times")).otherwise(1)).alias("__times"))
-    cols = df.columns
-    once = df.withColumn("tie", F.xxhash64("text")).dropDuplicates(keys).alias("d")
-    o = often.alias("o")
-    same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.tie") == F.col("o.tie"))
-    return (once.join(o, same).where("__times > 0")
-            .select(*[F.col(f"d.`{c}`") for c in cols],
-                    F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__n"))
-            .drop("__n"))
+    """The mix itself: every row as often as :func:`mix` takes it. Documents of
+    size 0 stay once. Rows of one doc_id, text and source share what the mix
+    takes of them evenly, the first ones by their other columns first."""
+    cols, rest = df.columns, [c for c in df.columns if c not in ("doc_id", "text", "source")]
+    flat = df.toDF(*[f"_{i}" for i in range(len(cols))])
+    at = {c: F.col(f"_{cols.index(c)}") for c in ("doc_id", "text", "source")}
+    key = F.xxhash64(F.coalesce(at["doc_id"].cast("string"), F.lit("-")), F.xxhash64(at["text"]),
+                     F.coalesce(F.concat(F.lit("+"), at["source"].cast("string")), F.lit("-")))
+    often = staged(picks.groupBy(F.xxhash64(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "tie",
+        F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-"))).alias("_key")).agg(
+        F.sum("times").alias("_sum"), F.count("*").alias("_rows"), F.max("size").alias("_size")), "mix-often")
+    even = F.when(F.col("_size") == 0, F.col("_rows")).otherwise(F.col("_sum"))
+    keyed = flat.withColumn("_key", key)
+    uneven = often.where((F.col("_size") > 0) & (F.col("_sum") % F.col("_rows") > 0))
+    times = keyed.join(often, "_key").where((F.col("_size") == 0) | (F.col("_sum") % F.col("_rows") == 0)).withColumn(
+        "_times", F.floor(even / F.col("_rows")))
+    if not uneven.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("_key").orderBy(*[f"_{cols.index(c)}" for c in rest] or ["_key"]))
+        shared = keyed.join(uneven, "_key").withColumn("_rank", rank)
+        times = times.unionByName(shared.withColumn("_times", F.floor(F.col("_sum") / F.col("_rows")) + F.when(
+            F.col("_rank") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)).drop("_rank"))
+    return times.where("_times > 0").select(
+        *flat.columns, F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_n")).drop("_n").toDF(*cols)

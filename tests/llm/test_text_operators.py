@@ -76,6 +76,26 @@ def test_mix_targets_and_determinism(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixed_documents_of_equal_id_and_text(spark):
+    """Rows that differ in source or other columns only keep their own values."""
+    rows = [(1, "a b c", "en", "x", 7), (1, "a b c", "en", "y", 8), (2, "d e", "en", "x", 1), (2, "d e", "fr", "x", 2),
+            (2, "d e", "de", "x", 3), (3, None, "en", "x", 1), (3, None, "fr", "x", 2), (None, "f g h", "en", "y", 1),
+            (4, "i", "en", "x", 1), (5, "j k l m", "en", "y", 4)]
+    df = frame(spark, rows)
+    picks = mixing.mix(df)
+    out = mixing.mixed_documents(df, picks)
+    assert out.columns == df.columns
+    want, got = Counter(), Counter()
+    for r in picks.collect():
+        want[r.doc_id, r.source] += r.times if r.size else 1
+    taken = Counter(tuple(r) for r in take_columns(out, ["doc_id", "text", "lang", "source", "n_chars"]).collect())
+    for (d, _, _, s, _), n in taken.items():
+        got[d, s] += n
+    assert got == +want and set(taken) <= set(rows)
+    of_two = [taken[r] for r in rows if r[0] == 2]
+    assert max(of_two) - min(of_two) <= 1 and taken[rows[5]] == taken[rows[6]] == 1
+
+
 def test_mixed_documents_repeat_as_taken(spark):
     df = frame(spark, extra=False).where("doc_id is not null").dropDuplicates(["doc_id"])
     often = {r.doc_id: r.taken // r["size"] for r in mixing.mix(df).collect() if r["size"]}
