@@ -93,6 +93,49 @@ def test_minhash_hot_buckets_are_split(spark, monkeypatch):
     assert got == {1}
 
 
+def test_minhash_set_products_equal_weighted_jaccard():
+    rng = np.random.default_rng(4)
+    idf = rng.uniform(1, 1.5, minhash.DF_BUCKETS).astype(np.float32)
+    pool = rng.integers(1, 2 ** 63, 60).astype(np.uint64)
+    sets = []
+    for i in range(25):
+        u = np.unique(rng.choice(pool, int(rng.integers(0, 50))))
+        sets.append((u, rng.integers(1, 5, len(u)).astype("<u4")))
+    for columns in (7, minhash.COLUMNS):
+        minhash_columns, minhash.COLUMNS = minhash.COLUMNS, columns
+        got = minhash.set_similarities(sets, idf)
+        minhash.COLUMNS = minhash_columns
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                want = minhash.weighted_jaccard(*[(x[0], x[1] * idf[minhash._bucket(x[0])]) for x in (a, b)])
+                assert i == j or abs(got[i, j] - want) < 1e-5
+
+
+@pytest.mark.parametrize("part", [4, 1000])
+def test_minhash_hot_buckets_of_many_classes(spark, monkeypatch, part):
+    """Edited copies of one text, most below the threshold to each other, one
+    bucket's worth of pairs: the same classes as all pairs."""
+    monkeypatch.setattr(minhash, "PART", part)
+    monkeypatch.setattr(minhash, "HOT", 2 * part)
+    rng = np.random.default_rng(6)
+    base = sentence(21, 160).split()
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in rng.choice(160, int(rng.integers(0, 5)), replace=False):
+            w[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w), "en", "a", 1))
+    df = frame(spark, rows)
+    n, dfq = minhash.document_frequencies(df)
+    idf = minhash.idf_table(n, dfq)
+    u, c, first = minhash._shingles(pa.array([r[1] for r in rows], pa.string()))
+    sets = [(u[a:b], c[a:b] * idf[minhash._bucket(u[a:b])]) for a, b in zip(first[:-1], first[1:])]
+    edges = [(i, j) for i in range(90) for j in range(i) if minhash.weighted_jaccard(sets[i], sets[j]) >= 0.8]
+    want = _classes(edges, set(range(90)))
+    assert len(set(want.values())) > 10
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == want
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
@@ -118,6 +161,11 @@ def _vectors():
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] + [1.0] * 15, 1), (503, [None] + [1.0] * 15, 1),
              (504, rows[0][1], None), (505, [], 1), (506, [1.0, 2.0], 1), (507, [2.0, 4.0], 1), (508, [float("inf")] * 16, 1),
              (509, [-0.0, 1.0], 2), (510, [0.0, 1.0], 2), (None, rows[1][1], 1), (511, [1e300] * 16, 3), (512, [1e-300] * 16, 3)]
+    # orthogonal vectors, each with a neighbour without id; a path through one; two nameless ones alone
+    e = [[float(i == j) for j in range(16)] for i in range(6)]
+    rows += [(600, e[0], 9), (None, e[0], 9), (601, e[1], 9), (None, [0.01] + e[1][1:], 9), (602, e[2], 9),
+             (None, [0.0, 0.0, 1.0, 0.37] + [0.0] * 12, 9), (603, [0.0, 0.0, 1.0, 0.8] + [0.0] * 12, 9),
+             (None, e[4], 9), (None, e[4], 9)]
     return rows
 
 
@@ -126,6 +174,7 @@ def test_embeddings_against_all_pairs(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n", F.lit(1)).withColumn("rep", F.lit(2))
     good = [(k, np.array(v, float)) for k, (i, v, l) in enumerate(rows)
             if v and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)]
+    node = [10 ** 6 + k if r[0] is None else r[0] for k, r in enumerate(rows)]
     links, edges = Counter(), []
     for x, (k, a) in enumerate(good):
         for m, b in good[:x]:
@@ -134,13 +183,12 @@ def test_embeddings_against_all_pairs(spark):
                 if p @ q / np.sqrt((p @ p) * (q @ q)) >= 0.93:
                     links[k] += 1
                     links[m] += 1
-                    if rows[k][0] is not None and rows[m][0] is not None:
-                        edges.append((rows[k][0], rows[m][0]))
-    comp = _classes(edges, {r[0] for r in rows if r[0] is not None})
+                    edges.append((node[k], node[m]))
+    comp = {k: v if v < 10 ** 6 else None for k, v in _classes(edges, set(node)).items()}
+    assert comp[600] == 600 and comp[601] == 601 and comp[603] == 602
+    want = Counter((r[0], links[k], comp[node[k]], comp[node[k]] == r[0] and r[0] is not None) for k, r in enumerate(rows))
     for block in (7, 1024):
-        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ego.near_duplicates(df, block=block).collect()}
-        want = {r[0]: (links[k], comp.get(r[0]), comp.get(r[0]) == r[0] and r[0] is not None) for k, r in enumerate(rows)}
-        assert got == want
+        assert Counter(tuple(r) for r in ego.near_duplicates(df, block=block).collect()) == want
     assert ego.near_duplicates(df.limit(0)).count() == 0
 
 
