@@ -19,8 +19,6 @@ from ..functions import text
 
 #: rows of one key on one side that a single task may pair
 KEY_ROWS = 4_096
-#: the same where every pair is scored in Python
-LOOKUP_BLOCK = 256
 
 
 def keyed_pairs(left: DataFrame, right: DataFrame, lkeys: str = "keys",
@@ -333,25 +331,23 @@ def fuzzy_lookup(df: DataFrame, reference: DataFrame, col: str = "address",
                  ref_col: str | None = None, cutoff: int = 70) -> DataFrame:
     """O-JOIN4: best reference string per input by the weighted best-of
     score (O-SIM19); below ``cutoff`` the row is kept with no match; ties go
-    to the reference that sorts first.
+    to the reference that sorts first. Adds best_match, confidence, matched.
+
+    Distinct inputs are searched against the distinct reference strings by
+    upper bounds (:mod:`.search`, :mod:`.lookup`): blocks of references whose
+    characters and tokens cannot beat an input's best score are never joined.
+    """
+    from . import lookup, search
 
-    Distinct inputs are a query set against all distinct reference strings, in
-    a grid of blocks (:func:`keyed_pairs` on one key), whatever their number;
-    the best of every input is a partial aggregate, and results are joined back."""
     ref_col = ref_col or reference.columns[0]
-    every = F.array(F.lit("all")).alias("keys")
-    ref = reference.select(F.col(ref_col).alias("best_match")).where(F.col("best_match").isNotNull()) \
-        .distinct().select("best_match", every)
-    inp = df.select(F.col(col).alias("input")).where(F.col("input").isNotNull()).distinct().select("input", every)
-    scored = keyed_pairs(inp, ref, key_rows=LOOKUP_BLOCK).select(
-        F.col("l_input").alias("input"), F.col("r_best_match").alias("best_match"),
-        S.best_of(F.col("l_input"), F.col("r_best_match")).alias("confidence"))
-    best = scored.groupBy("input").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "best_match")).alias("m")) \
-        .select("input", F.col("m.best_match").alias("best_match"), (-F.col("m.c")).alias("confidence"))
-    out = df.join(best, df[col].eqNullSafe(best["input"]), "left").drop("input")
-    ok = F.coalesce(F.col("confidence") >= cutoff, F.lit(False))
-    return out.withColumn("best_match", F.when(ok, F.col("best_match"))) \
-        .withColumn("matched", ok)
+    ref = reference.select(F.col(ref_col).alias("k")).where(F.col("k").isNotNull()).distinct().withColumn("o", F.col("k"))
+    inp = df.select(F.col(col).alias("k")).where(F.col("k").isNotNull()).distinct()
+    # both sides are read several times
+    ref, inp = ref.checkpoint(eager=True), inp.checkpoint(eager=True)
+    best = search.best_partners(inp, ref, float(cutoff), lookup.BestOf()).select(
+        F.col("k").alias("_input"), F.col("r_k").alias("best_match"), F.col("score").cast("int").alias("confidence"))
+    out = df.join(best, df[col] == best["_input"], "left").drop("_input")
+    return out.withColumn("matched", F.col("best_match").isNotNull())
 
 
 PAIR_METRICS = ("levenshtein", "levenshtein_sim", "jaro", "jaro_winkler", "jaro_winkler_gated",

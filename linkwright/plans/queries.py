@@ -817,22 +817,35 @@ def q_link_addresses_blocked(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ O-JOIN4
+def _misspelt(c, id_col="id"):
+    """``c`` with a letter dropped, two swapped or a word added, by the id."""
+    n = F.length(c)
+    at = F.greatest(F.lit(2), F.pmod(F.xxhash64(id_col), F.greatest(n - 1, F.lit(1))).cast("int") + 1)
+    kind = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(3))
+    head, here = F.substring(c, F.lit(1), at - 1), F.substring(c, at, F.lit(1))
+    return F.when(kind == 0, F.concat(head, F.substring(c, at + 1, n))) \
+        .when(kind == 1, F.concat(head, F.substring(c, at + 1, F.lit(1)), here, F.substring(c, at + 2, n))) \
+        .otherwise(F.concat(c, F.lit(" Area")))
+
+
 @register("fuzzy_lookup")
 def q_fuzzy_lookup(spark, sf_dir):
     """O-JOIN4 / O-SIM19: each atom's city, misspelt (a letter dropped, two
     swapped or a word added, by the id), against all parent cities."""
     from ..operators import linkage as LK
-    a = LK.standardize_usps(X.atoms(spark, sf_dir)).select("id", F.initcap("city").alias("c"))
-    n = F.length("c")
-    at = F.greatest(F.lit(2), F.pmod(F.xxhash64("id"), F.greatest(n - 1, F.lit(1))).cast("int") + 1)
-    head, tail = F.substring("c", F.lit(1), at - 1), F.substring(F.col("c"), at + 1, n)
-    wrong = F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0, F.concat(head, tail)) \
-        .when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 1, F.concat(
-            head, F.substring(F.col("c"), at + 1, F.lit(1)), F.substring(F.col("c"), at, F.lit(1)),
-            F.substring(F.col("c"), at + 2, n))).otherwise(F.concat(F.col("c"), F.lit(" Area")))
+    # the tagger's expression is used once: cut before the misspelling repeats it
+    a = LK.standardize_usps(X.atoms(spark, sf_dir)).select("id", F.initcap("city").alias("c")).checkpoint(eager=True)
     ref = X.parents(spark, sf_dir).select(
         F.split_part(F.col("address"), F.lit(", "), F.lit(3)).alias("city"))
-    return pairs.fuzzy_lookup(a.select("id", wrong.alias("city")), ref, "city", cutoff=70)
+    return pairs.fuzzy_lookup(a.select("id", _misspelt(F.col("c")).alias("city")), ref, "city", cutoff=70)
+
+
+@register("fuzzy_lookup_names")
+def q_fuzzy_lookup_names(spark, sf_dir):
+    """O-JOIN4 / O-SIM19: each atom's name, misspelt the same way, against all
+    parent names (as many references as customers)."""
+    a = X.atoms(spark, sf_dir).select("id", _misspelt(F.col("name")).alias("name"))
+    return pairs.fuzzy_lookup(a, X.parents(spark, sf_dir).select("name"), "name", cutoff=70)
 
 
 # ---------------------------------------------------------------- O-DED1/2
