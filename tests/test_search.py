@@ -76,15 +76,9 @@ def test_few_pairs_are_scored(spark):
     ns = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(8, 14))) for _ in range(4000)})
     R = spark.createDataFrame([(x, i) for i, x in enumerate(ns)], "k string, o long")
     L = spark.createDataFrame([(x[:4] + "q" + x[5:],) for x in ns[::4]], "k string").distinct()
-    blocks = search.right_blocks(R, search.Name(), [F.col("k")])
-    L = L.withColumn("best", F.lit(0.8))
-    chunks = search.left_chunks(L, search.Name(), [F.col("k")])
-    seeds = search._joined_scores(search._promising(chunks, blocks, search.Name(), True), blocks, search.Name(), False)
-    first = seeds.agg(F.sum("scored")).first()[0]
-    best = L.drop("best").join(seeds.groupBy("k").agg(F.max("score").alias("best")), "k")
-    chunks = search.left_chunks(best, search.Name(), [F.col("k")])
-    rest = search._joined_scores(search._promising(chunks, blocks, search.Name(), False), blocks, search.Name(), False)
-    assert first + rest.agg(F.sum("scored")).first()[0] < 0.02 * best.count() * len(ns)
+    stats = {}
+    search.best_partners(L, R, 0.8, search.Name(), stats=stats)
+    assert 0 < stats["scored"] < 0.01 * L.count() * len(ns)
 
 
 def sequential(n, edges):
