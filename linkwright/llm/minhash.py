@@ -487,7 +487,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, estimate: f
         texts = (texts.withColumn("k", F.sha2("text", 256)).groupBy("doc_id")
                  .agg(F.min_by("text", "k").alias("text")))
     # the only pass that moves texts: those that share a bucket
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-wanted")
     sets = staged(shingle_sets(texts.join(wanted, "doc_id", "left_semi")), "minhash-sets")
     edges = tested = None
     labelled = members.withColumn("cls", F.col("rep"))
