@@ -24,7 +24,9 @@ the longest text of a batch.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -75,7 +77,8 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = rank
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.pair_ok: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -85,13 +88,14 @@ class Transducer:
         self.ends = [-1]
         self.moves: dict[int, int] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """BPE by definition: join the pair of lowest rank, leftmost first."""
+    def merge(self, data: bytes, stop: int = 1) -> list[int]:
+        """BPE by definition: join the pair of lowest rank, leftmost first,
+        until none is left or only ``stop`` parts are."""
         get = self.ranks.get
         parts = [data[i:i + 1] for i in range(len(data))]
         none = len(self.vocab)
         pairs = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while pairs:
+        while len(pairs) >= stop:
             best = min(pairs)
             if best == none:
                 break
@@ -104,20 +108,54 @@ class Transducer:
                 pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
+    def _halves(self, tok: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``tok``; None for a single byte, and
+        (-1, -1) for a token that merging its bytes does not lead to."""
+        if tok not in self.halves:
+            data = self.vocab[tok]
+            parts = self.merge(data, 2) if len(data) > 1 else None
+            made = parts and len(parts) == 2 and self.ranks.get(self.vocab[parts[0]] + self.vocab[parts[1]]) == tok
+            self.halves[tok] = tuple(parts) if made else None if parts is None else (-1, -1)
+        return self.halves[tok]
+
     def _stable(self, left: int, right: int) -> bool:
         """Does BPE leave ``left`` and ``right`` side by side?"""
-        key = (left, right)
+        key = left << 32 | right
         ok = self.pair_ok.get(key)
         if ok is None:
             if left < 0:
-                ok = self.merge(self.vocab[right]) == [right]
+                ok = self._halves(right) != (-1, -1)
             else:
-                ok = self.merge(self.vocab[left] + self.vocab[right]) == [left, right]
+                ok = self._side_by_side(left, right)
             if len(self.pair_ok) > MAX_PAIRS:
                 self.pair_ok.clear()
             self.pair_ok[key] = ok
         return ok
 
+    def _side_by_side(self, left: int, right: int) -> bool:
+        """Both tokens grow by merges of rising rank. Walk back through the
+        pairs (last part of ``left``, first part of ``right``) that meet at the
+        border meanwhile: the tokens stay apart unless such a pair's own merge
+        has a lower rank than the merges that take its parts in (at equal rank
+        the one further left comes first)."""
+        get, vocab = self.ranks.get, self.vocab
+        end_a = end_b = len(vocab)  # ranks of the merges that take the parts in
+        a, b = left, right
+        while True:
+            joint = get(vocab[a] + vocab[b])
+            if joint is not None and joint < end_a and joint <= end_b:
+                return False
+            x, y = self._halves(a), self._halves(b)
+            if x == (-1, -1) or y == (-1, -1):  # not made by merges
+                return self.merge(vocab[left] + vocab[right]) == [left, right]
+            if x is None and y is None:
+                return True
+            # the part that was made last came from its own parts
+            if y is None or x is not None and a > b:
+                a, end_a = x[1], a
+            else:
+                b, end_b = y[0], b
+
     def _move(self, state: int, byte: int) -> int:
         """The state after ``byte``; -1 if no token can end there."""
         live, chosen = [], -1
@@ -282,13 +320,18 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per Python worker."""
+    """The codec of a task; :func:`release` drops it when the task has ended."""
     key = (path, pattern)
     if key not in _codecs:
         _codecs[key] = Codec(path, pattern)
     return _codecs[key]
 
 
+def release() -> None:
+    """Workers outlive their tasks; other operators' tasks need the memory."""
+    _codecs.clear()
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text",
            ids_col: str = "ids") -> DataFrame:
     """Add ``ids_col``: the ids of every whole text as packed uint32 values."""
@@ -298,7 +341,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text",
         c = codec(path, pattern)
         return [c.encode(t) for t in text_list(col)]
 
-    return add_column(df, ids_col, T.BinaryType(), text_col, make)
+    return add_column(df, ids_col, T.BinaryType(), text_col, make, release)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids",
@@ -310,7 +353,26 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids",
         c = codec(path, pattern)
         return [b"" if x is None else c.decode(x) for x in col.to_pylist()]
 
-    return add_column(df, out_col, T.BinaryType(), ids_col, make)
+    return add_column(df, out_col, T.BinaryType(), ids_col, make, release)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and its
+    ids decoded again where it is read, so that no ids travel."""
+    prepare(df.sparkSession)
+    kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+                         T.StructField("decoded_sha256", T.StringType())])
+
+    def make(col: pa.Array) -> list[dict]:
+        c, out = codec(path, pattern), []
+        for t in text_list(col):
+            ids = c.encode(t)
+            out.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(),
+                        "decoded_sha256": hashlib.sha256(c.decode(ids)).hexdigest()})
+        return out
+
+    docs = take_columns(df, ["doc_id", "text"])
+    return add_column(docs, "r", kind, "text", make, release).select("doc_id", "r.*")
 
 
 def digests(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -97,9 +97,7 @@ def op7_quality_classifier(spark, sf_dir):
 def op8_byte_bpe(spark, sf_dir):
     """All documents encoded by rank file and decoded again."""
     path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern()
-    docs = take_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
-    encoded = bpe.encode(docs, path, pattern).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(encoded, path, pattern))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
 
 
 @_register

@@ -273,3 +273,32 @@ def test_damaged_block_is_noticed_and_repetition_shrinks():
 
 def test_long_text_is_whole():
     assert len(LONG) > 200_000
+
+
+def test_border_walk_equals_merging():
+    """Two tokens stay side by side exactly where merging their bytes leaves them so."""
+    import random
+
+    import public_tokenizers
+
+    m = bpe.Transducer(bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    rnd = random.Random(1)
+    known = [i for i, t in enumerate(m.vocab) if t]
+    short = [i for i in known if len(m.vocab[i]) <= 3]
+    for k in range(6000):
+        a, b = rnd.choice(short if k % 2 else known), rnd.choice(short if k % 2 else known)
+        if k % 5 == 0:  # neighbours in a real encoding
+            ids = m.merge(m.vocab[a] + m.vocab[b])
+            a, b = ids[-2:] if len(ids) > 1 else (a, b)
+        assert m._side_by_side(a, b) == (m.merge(m.vocab[a] + m.vocab[b]) == [a, b])
+
+
+def test_round_trip_equals_encode_decode_digests(spark):
+    from linkwright.llm.common import split_pattern, vocabulary
+
+    path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern()
+    df = frame(spark)
+    steps = bpe.digests(bpe.decode(bpe.encode(take_columns(df, ["doc_id", "text"]), path, pattern), path, pattern))
+    one = bpe.round_trip(df, path, pattern)
+    assert Counter(map(tuple, one.collect())) == Counter(map(tuple, steps.collect())) and one.columns == steps.columns
+    assert bpe.round_trip(frame(spark, []), path, pattern).count() == 0
