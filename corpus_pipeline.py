@@ -76,8 +76,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids, decoded again; digests per document."""
     path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern()
-    encoded = bpe.encode(take_columns(docs, ["doc_id", "text"]), path, pattern).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(encoded, path, pattern))
+    return bpe.round_trip(docs, path, pattern)
 
 
 STAGES = [
