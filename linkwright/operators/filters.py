@@ -75,21 +75,6 @@ def search(df: DataFrame, facility_name: str | None = None, city: str | None = N
 EXACT_CRITERIA = ("city", "state", "auth_type")
 
 
-def _substrings_of_len(c: Column, k: int):
-    def at(i: Column) -> Column:
-        return F.concat(F.lit(f"{k}:"), F.substring(c, i, k))
-    return F.when(F.length(c) >= k, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), at)).otherwise(
-        F.array().cast("array<string>"))
-
-
-def substring_keys(c: Column, max_len: int = 3, lengths: list[int] | None = None) -> Column:
-    """Distinct substrings of the given lengths (default 1..max_len), tagged
-    with their length."""
-    lengths = lengths or list(range(1, max_len + 1))
-    return F.array_distinct(F.concat(*[_substrings_of_len(c, k) for k in sorted(lengths)]))
-
-
 def search_batch(df: DataFrame, requests: DataFrame, name_col: str = "facility_name",
                  request_id: str = "request_id", max_gram: int = 3,
                  allow_match_all: bool = False) -> DataFrame:
@@ -97,54 +82,64 @@ def search_batch(df: DataFrame, requests: DataFrame, name_col: str = "facility_n
     per (request, hit).
 
     Requests are grouped by which criteria they set (at most 16 patterns,
-    read back with one tiny aggregate). Each group is an equi-join on its
-    set equality criteria; a name criterion joins without loss on its first
-    min(L, 3) lower-cased characters against the names' distinct substrings
-    of the lengths the terms need, then the exact ``instr`` residual applies.
+    read back with one tiny aggregate). A group with a name criterion is joined
+    over posting lists: each term is looked up by the one of its
+    ``max_gram``-letter runs that fewest names hold (:func:`rarest_grams`; a
+    shorter term is its own run) and joined on it and the equality criteria to
+    the names that hold it; the exact ``instr`` follows. Other groups are joined
+    on their equality criteria. A key that many rows share on either side is
+    dealt into a grid of parts (:func:`.pairs.keyed_pairs`).
     A request with no criterion matches every row by definition; such
     requests are refused unless ``allow_match_all``.
     """
+    from .pairs import keyed_pairs
+
     def setv(c: Column) -> Column:
         return F.when(c.isNotNull() & (c != ""), c)
 
     crit = (name_col,) + EXACT_CRITERIA
-    req = requests.select(F.col(request_id), *[setv(F.col(c)).alias(c) for c in crit])
-    flags = [F.col(c).isNotNull().alias(f"_has_{c}") for c in crit]
+    # requests and rows are read once per pattern
+    req = requests.select(F.col(request_id).alias("id"), *[setv(F.col(c)).alias(f"c{i}") for i, c in enumerate(crit)])
+    req = req.withColumn("c0", F.lower("c0")).checkpoint(eager=True)
+    flags = [F.col(f"c{i}").isNotNull().alias(f"h{i}") for i in range(len(crit))]
     patterns = req.select(*flags).distinct().collect()
-    # substring lengths the name terms need (at most max_gram values)
-    gram_lengths = sorted(r[0] for r in req.where(F.col(name_col).isNotNull()).select(
-        F.least(F.length(name_col), F.lit(max_gram)).alias("n")).distinct().collect())
+    rows = df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns])).select(
+        "_row", F.lower(F.col(name_col)).alias("name"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(crit)])
+    grams = None
+    if any(p["h0"] for p in patterns):
+        grams = rarest_grams(req.where("c0 is not null").select(F.col("c0").alias("term")).distinct(),
+                             rows.select("name"), max_gram).checkpoint(eager=True)
+        lengths = sorted(r[0] for r in grams.select(F.length("gram")).distinct().collect())
     outs = []
     for p in patterns:
-        has = {c: bool(p[f"_has_{c}"]) for c in crit}
-        rq = req
-        for c in crit:
-            rq = rq.where(F.col(c).isNotNull() if has[c] else F.col(c).isNull())
-        keys = [c for c in EXACT_CRITERIA if has[c]]
-        t = df
-        for c in keys:
-            t = t.where(F.col(c).isNotNull())
-        if has[name_col]:
-            term = F.lower(F.col(name_col))
-            rq = rq.withColumn("_tkey", F.concat(
-                F.least(F.length(term), F.lit(max_gram)).cast("string"), F.lit(":"),
-                F.substring(term, 1, max_gram)))
-            t = t.withColumn("_tkey", F.explode(
-                substring_keys(F.lower(F.col(name_col)), max_gram, gram_lengths)))
-            keys = keys + ["_tkey"]
-        rq = rq.select(F.col(request_id), F.col(name_col).alias("_term"),
-                       *[F.col(k).alias(f"_rq_{k}") for k in keys])
-        if keys:
-            cond = [rq[f"_rq_{k}"] == t[k] for k in keys]
-            j = rq.join(t, cond, "inner")
+        have = [i for i in range(len(crit)) if p[f"h{i}"]]
+        rq, exact = req, [i for i in have if i]
+        for i in range(len(crit)):
+            rq = rq.where(F.col(f"c{i}").isNotNull() if i in have else F.col(f"c{i}").isNull())
+        t = rows
+        for i in exact:
+            t = t.where(F.col(f"c{i}").isNotNull())
+        # one key per request: the term's run and the equality criteria
+        parts = [F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)) for c in [f"c{i}" for i in exact]]
+        if 0 in have:
+            wanted = grams.select("gram").distinct()
+            if grams.count() <= BROADCAST_GRAMS:
+                wanted = F.broadcast(wanted)
+            rq = rq.join(grams, rq["c0"] == grams["term"]).drop("term")
+            t = t.withColumn("gram", F.explode(substring_runs(F.col("name"), lengths))).join(wanted, "gram", "left_semi")
+            parts = [F.col("gram"), *parts]
+        if parts:
+            key = F.array(F.concat_ws("\u0001", *parts))
+            both = keyed_pairs(rq.withColumn("keys", key), t.withColumn("keys", key))
+            if 0 in have:
+                both = both.where(F.instr(F.col("r_name"), F.col("l_c0")) > 0)
         elif allow_match_all:
-            j = rq.crossJoin(t)
+            every = F.array(F.lit("all"))
+            both = keyed_pairs(rq.withColumn("keys", every), t.withColumn("keys", every))
         else:
             raise ValueError("search request without any criterion matches every row; "
                              "pass allow_match_all=True")
-        j = j.where(F.col("_term").isNull() |
-                    (F.instr(F.lower(F.col(name_col)), F.lower(F.col("_term"))) > 0))
-        outs.append(j.select(F.col(request_id), *[F.col(c) for c in df.columns]))
+        outs.append(both.select(F.col("l_id").alias(request_id), "r__row.*"))
     if not outs:
         rid = F.lit(None).cast(requests.schema[request_id].dataType).alias(request_id)
         return df.limit(0).select(rid, *[F.col(c) for c in df.columns])
@@ -154,6 +149,33 @@ def search_batch(df: DataFrame, requests: DataFrame, name_col: str = "facility_n
     return out
 
 
+#: runs of letters that may be broadcast to thin out the names' posting lists
+BROADCAST_GRAMS = 100_000
+
+
+def substring_runs(c: Column, lengths: list[int]) -> Column:
+    """Distinct runs of the given numbers of characters."""
+    def runs(n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(
+            F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in lengths]))
+
+
+def rarest_grams(terms: DataFrame, names: DataFrame, max_gram: int = 3) -> DataFrame:
+    """(term, gram): of the ``max_gram``-letter runs of each distinct ``term``
+    the one that fewest ``names`` (column ``name``) hold; the term itself where
+    it is shorter. A run no name holds is the best of all."""
+    n = F.least(F.length("term"), F.lit(max_gram))
+    runs = terms.select("term", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("term") - n + 1), lambda i: F.substring("term", i, n)))).alias("gram"))
+    held = names.select(F.explode(substring_runs(F.col("name"), [max_gram])).alias("gram")).groupBy("gram").agg(
+        F.count("*").alias("f"))
+    return runs.join(held, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "gram")).alias("m")).select("term", F.col("m.gram").alias("gram"))
+
+
 def camel_to_snake(name: str) -> str:
     return re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
 

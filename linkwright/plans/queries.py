@@ -1404,6 +1404,80 @@ FROM fr
 ORACLE["linkage_features"] = _sql_linkage_features()
 
 
+# ------------------------- O-CLS1, O-LNK1, 3, 4, 5 and O-ML5 without a model
+def _sql_scored() -> str:
+    from ..operators import linkage as LK
+    total = " + ".join(f"CAST({c} AS DOUBLE)" for c in LK.FEATURES_9)
+    return f"SELECT *, ({total}) / 9.0 AS score FROM ({ORACLE['linkage_features']}) f"
+
+
+def _sql_explained() -> str:
+    from ..operators import linkage as LK
+
+    def pct(c):
+        return f"CAST(CAST(round_even({c} * 100, 0) AS BIGINT) AS VARCHAR)"
+
+    names, streets = LK.REASON_NAMES, LK.REASON_STREETS
+    reasons = f"""list_filter([
+      CASE WHEN p.zip5 = a.zip5 THEN {O.q(LK.REASON_SAME_ZIP)} || p.zip5 END,
+      CASE WHEN name_sim > 0.8 THEN {O.q(names[0])} || {pct('name_sim')} || {O.q(names[1])} END,
+      CASE WHEN street_sim > 0.8 THEN {O.q(streets[0])} || {pct('street_sim')} || {O.q(streets[1])} END,
+      CASE WHEN p.street_number = a.street_number THEN {O.q(LK.REASON_SAME_NUMBER)} || p.street_number END,
+      CASE WHEN p.auth_id = a.auth_id THEN {O.q(LK.REASON_AUTH)} || p.auth_id END], lambda x: x IS NOT NULL)"""
+    return f"""
+WITH s AS ({_sql_scored()}),
+r AS (SELECT s.parent_id, s.atom_id, p.name AS parent_name, a.name AS atom_name, p.address AS parent_address,
+        a.address AS atom_address, score, {reasons} AS reasons
+      FROM s JOIN {_PREP_P} p ON s.parent_id = p.id JOIN {_PREP_A} a ON s.atom_id = a.id WHERE score > 0.4)
+SELECT parent_id, coalesce(parent_name, 'unknown') AS parent_name, coalesce(parent_address, 'unknown') AS parent_address,
+  atom_id, coalesce(atom_name, 'unknown') AS atom_name, coalesce(atom_address, 'unknown') AS atom_address,
+  round_even(score, 4) AS match_score, CASE WHEN score > 0.85 THEN 'definite' ELSE 'possible' END AS match_class,
+  CASE WHEN len(reasons) = 0 AND score > 0.7 THEN {O.q(LK.REASON_GENERIC)} ELSE array_to_string(reasons, '; ') END AS reasons
+FROM r
+"""
+
+
+@register("link_explained", _sql_explained())
+def q_link_explained(spark, sf_dir):
+    """O-LNK1 scored by the mean of the features: O-CLS1 classes, O-LNK3
+    reasons and the O-LNK4 presentation of every match."""
+    from ..operators import linkage as LK
+    from . import linkage as PL
+    out = LK.readable(PL.link_records(X.parents(spark, sf_dir), X.atoms(spark, sf_dir), PL.mean_score, with_geo=False))
+    return out.withColumn("reasons", F.array_join("match_reasons", "; ")).drop("match_reasons")
+
+
+@register("link_counts", f"""
+WITH s AS ({_sql_scored()})
+SELECT (SELECT count(*) FROM {_PARENTS} p) AS total_parents, (SELECT count(*) FROM {_ATOMS} a) AS total_atoms,
+  count(*) AS comparison_count, count(*) FILTER (WHERE score > 0.85) AS definite_match_count,
+  count(*) FILTER (WHERE score > 0.4 AND score <= 0.85) AS possible_match_count,
+  count(*) FILTER (WHERE CAST(atom_id AS BIGINT) % 2 = 0) AS cache_hits
+FROM s
+""")
+def q_link_counts(spark, sf_dir):
+    """O-LNK5 of an O-LNK2 run over all atoms after one over the even ones,
+    scored by the mean of the features: counts observed as the run writes."""
+    from . import linkage as PL
+    parents = X.parents(spark, sf_dir)
+    atoms = X.atoms(spark, sf_dir).withColumn("id", F.concat(F.lit("A"), "id"))  # ids of their own
+    even = F.substring("id", 2, 20).cast("long") % 2 == 0
+    _, scores, _ = PL.link_incremental(parents, atoms.where(even), PL.mean_score, None, with_geo=False)
+    return PL.link_incremental(parents, atoms, PL.mean_score, scores, with_geo=False)[2]
+
+
+@register("stratified_folds", f"""
+SELECT parent_id, atom_id, is_match, CAST((row_number() OVER (
+    PARTITION BY is_match ORDER BY md5(parent_id || '|' || atom_id || '|42'), parent_id, atom_id) - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT parent_id, atom_id, CAST(parent_id = atom_id AS INTEGER) AS is_match FROM ({SQL_CANDIDATES}) c) t
+""")
+def q_stratified_folds(spark, sf_dir):
+    """O-ML5: five folds of all labelled candidate pairs, stratified by label."""
+    from ..operators import model as M
+    pairs_ = _candidates(spark, sf_dir).withColumn("is_match", (F.col("parent_id") == F.col("atom_id")).cast("int"))
+    return M.stratified_folds(pairs_, ["parent_id", "atom_id"])
+
+
 # --------------------------------------------------- sinks, reports and hashes
 @register("by_state", f"SELECT atom_id, state FROM {_FAC} t WHERE state = 'CT'")
 def q_by_state(spark, sf_dir):

@@ -91,3 +91,26 @@ def test_search_batch_term_lengths_vs_brute_force(spark):
     with _pytest.raises(ValueError):
         FL.search_batch(b, everything)
     assert FL.search_batch(b, everything, allow_match_all=True).count() == len(BASE)
+
+
+def test_search_batch_of_a_hot_run(spark, monkeypatch):
+    """A run of letters that a third of the names hold: dealt into parts, and a
+    term is looked up by its rarest run."""
+    from linkwright.operators import pairs as P
+
+    monkeypatch.setattr(P, "KEY_ROWS", 10)
+    monkeypatch.setattr(P.keyed_pairs, "__defaults__", (*P.keyed_pairs.__defaults__[:-1], 10))
+    names = [f"Hospital {i}" if i % 3 == 0 else f"Clinic {i:03d}" for i in range(120)] + [None, "", "ab"]
+    rows = [(i, n, "XY"[i % 2], "CT", None) for i, n in enumerate(names)]
+    base = spark.createDataFrame(rows, "atom_id long, facility_name string, city string, state string, auth_type string")
+    terms = [("q1", "hospital", None), ("q2", "OSP", "X"), ("q3", "c 0", None), ("q4", "b", None), ("q5", None, "Y"), ("q6", "zzz", None)]
+    req = spark.createDataFrame([(q, t, c, None, None) for q, t, c in terms],
+                                "request_id string, facility_name string, city string, state string, auth_type string")
+    got = sorted((r.request_id, r.atom_id) for r in FL.search_batch(base, req).collect())
+    want = sorted((q, i) for q, t, c in terms for i, n, city, _, _ in rows
+                  if (t is None or n and t.lower() in n.lower()) and (c is None or c == city))
+    assert got == want
+    grams = {r.term: r.gram for r in FL.rarest_grams(
+        spark.createDataFrame([("hospital 33",), ("ab",), ("clinic 1",)], "term string"),
+        base.select(F.lower("facility_name").alias("name"))).collect()}
+    assert grams["hospital 33"] == " 33" and grams["ab"] == "ab" and grams["clinic 1"] == "c 1"
