@@ -1478,6 +1478,85 @@ def q_stratified_folds(spark, sf_dir):
     return M.stratified_folds(pairs_, ["parent_id", "atom_id"])
 
 
+# ------------------------------------------------- O-PRS4 without commas
+def _sql_tag_sequences() -> str:
+    from ..operators import tagger as G
+    tags, letters = O.tag_sql("address"), list(G.TAGS.values())
+    name, n = list(G.TAGS), len(G.TAGS)
+
+    def toks(c):
+        return f"regexp_extract_all(coalesce({c}, ''), {O.q(G.TOKEN)})"
+
+    def listed(words):
+        return "(" + ", ".join(O.q(w.upper()) for w in words) + ")"
+
+    def kind(t):
+        u = f"upper(rtrim({t}, '.'))"
+        return (f"CASE WHEN regexp_full_match({u}, '[0-9]+') THEN 0 WHEN {u} = '#' OR {u} IN {listed(text.TAG_UNITS)} THEN 1 "
+                f"WHEN {u} IN {listed(text.TAG_DIRECTIONS)} THEN 2 WHEN {u} IN {listed(text.TAG_SUFFIXES)} THEN 3 "
+                f"WHEN regexp_matches({u}, '[0-9]') THEN 4 ELSE 5 END")
+
+    def bucket(t):
+        return f"CAST('0x' || substring(md5(lower({t})), 1, 3) AS INTEGER)"
+
+    seq = "list_concat(" * (n - 1) + ", ".join(
+        f"list_transform({toks(f't.{c}')}, lambda w: {{'tag': {i}, 'w': w}})" + (")" if i > 1 else "")
+        for i, c in enumerate(name, 1))
+    sel = ", ".join(f"{tags[c]} AS {c}" for c in [*name, "StateName", "ZipCode"])
+    picked = ", ".join(
+        f"CASE WHEN PlaceName IS NOT NULL THEN {c} WHEN contains(path, {O.q(x)}) THEN array_to_string(list_filter(toks, "
+        f"lambda t, i: path[i] = {O.q(x)}), ' ') END AS {c}" for c, x in G.TAGS.items())
+    # states 1 to 8; 0 before the first token, 9 after the last
+    return f"""
+WITH RECURSIVE tr AS (SELECT {sel} FROM {_PARENTS} p),
+s AS (SELECT {seq} AS seq FROM tr t WHERE PlaceName IS NOT NULL AND StreetName IS NOT NULL),
+sx AS (SELECT list_concat(list_concat([0], list_transform(seq, lambda e: e.tag)), [9]) AS x FROM s),
+mv AS (SELECT x[i] AS a, x[i + 1] AS b, count(*) AS n FROM sx, range(1, 1000) r(i) WHERE i < len(x) GROUP BY ALL),
+ws AS (SELECT unnest(seq) AS e FROM s),
+wk AS (SELECT e.tag AS a, e.w AS w, {kind('e.w')} AS k FROM ws),
+kn AS (SELECT a, k, count(*) AS n FROM wk GROUP BY ALL),
+bn AS (SELECT a, {bucket('w')} AS b, count(*) AS n FROM wk WHERE k = 5 AND a IN (3, 8) GROUP BY ALL),
+m1 AS (SELECT a.a, b.b, ln((coalesce(mv.n, 0) + 1.0::DOUBLE) / (sum(coalesce(mv.n, 0)) OVER (PARTITION BY a.a) + 9)) AS v
+       FROM range(0, 9) a(a) CROSS JOIN range(1, 10) b(b) LEFT JOIN mv ON mv.a = a.a AND mv.b = b.b),
+step AS (SELECT list(v ORDER BY a, b) AS v FROM m1),
+k1 AS (SELECT a.a, k.k, ln((coalesce(kn.n, 0) + 1.0::DOUBLE) / (sum(coalesce(kn.n, 0)) OVER (PARTITION BY a.a) + 6)) AS v
+       FROM range(1, 9) a(a) CROSS JOIN range(0, 6) k(k) LEFT JOIN kn ON kn.a = a.a AND kn.k = k.k),
+kinds AS (SELECT list(v ORDER BY a, k) AS v FROM k1),
+b1 AS (SELECT a.a, b.b, ln((coalesce(bn.n, 0) + 1.0::DOUBLE) / (sum(coalesce(bn.n, 0)) OVER (PARTITION BY a.a) + 4096)) AS v
+       FROM (VALUES (3), (8)) a(a) CROSS JOIN range(0, 4096) b(b) LEFT JOIN bn ON bn.a = a.a AND bn.b = b.b),
+words AS (SELECT list(v ORDER BY a, b) AS v FROM b1),
+src AS (SELECT id, address FROM (SELECT id, replace(address, ',', '') AS address FROM {_ATOMS} a
+        UNION ALL SELECT 'c' || id, address FROM {_ATOMS} a) u),
+g AS (SELECT id, {sel}, {toks("regexp_replace(regexp_replace(trim(coalesce(address, '')), " + O.q(text.tagger_patterns()['zip']) + ", '', 'g'), " + O.q(text.tagger_patterns()['state']) + ", '', 'g')")} AS toks FROM src),
+em AS (SELECT id, toks, list_transform(list_transform(toks, lambda t: {{'k': {kind('t')}, 'b': {bucket('t')}}}), lambda e:
+         list_transform(range(1, 9), lambda j: kinds.v[(j - 1) * 6 + e.k + 1] + CASE WHEN e.k < 5 THEN 0.0::DOUBLE
+           WHEN j = 3 THEN words.v[e.b + 1] WHEN j = 8 THEN words.v[4096 + e.b + 1] ELSE -ln(4096.0::DOUBLE) END)) AS e
+       FROM g, kinds, words),
+it(id, k, st) AS (
+  SELECT id, 1, list_transform(range(1, 9), lambda j: {{'s': step.v[j] + e[1][j], 'p': {letters}[j]}}) FROM em, step WHERE len(e) > 0
+  UNION ALL
+  SELECT it.id, it.k + 1, list_transform(list_transform(range(1, 9), lambda j: {{'j': j, 'b': list_sort(list_transform(range(1, 9),
+      lambda i: {{'s': st[i].s + step.v[i * 9 + j], 'p': st[i].p}}), 'DESC')[1]}}),
+      lambda y: {{'s': y.b.s + em.e[it.k + 1][y.j], 'p': y.b.p || {letters}[y.j]}})
+  FROM it JOIN em ON em.id = it.id, step WHERE it.k < len(em.e)),
+fin AS (SELECT it.id, list_sort(list_transform(range(1, 9), lambda i: {{'s': st[i].s + step.v[i * 9 + 9], 'p': st[i].p}}), 'DESC')[1].p AS path
+        FROM it JOIN em ON em.id = it.id, step WHERE it.k = len(em.e))
+SELECT id, {picked}, StateName, ZipCode FROM g LEFT JOIN fin USING (id)
+"""
+
+
+@register("tag_sequences", _sql_tag_sequences())
+def q_tag_sequences(spark, sf_dir):
+    """O-PRS4: every atom's address with and without its commas, tagged by rules
+    and, where these find no city, by the chain fitted on the parents."""
+    from ..operators import tagger as G
+    model = G.fit(X.parents(spark, sf_dir), "address")
+    a = X.atoms(spark, sf_dir).select("id", "address")
+    both = a.withColumn("address", F.regexp_replace("address", ",", "")).unionByName(
+        a.withColumn("id", F.concat(F.lit("c"), "id")))
+    return G.tag_sequences(both, "address", model).select("id", "tags.*")
+
+
 # --------------------------------------------------- sinks, reports and hashes
 @register("by_state", f"SELECT atom_id, state FROM {_FAC} t WHERE state = 'CT'")
 def q_by_state(spark, sf_dir):
