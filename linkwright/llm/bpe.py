@@ -40,8 +40,14 @@ MAX_MOVES = 250_000
 MAX_PAIRS = 200_000
 #: bytes of one match after which settled tokens are emitted
 SETTLE_BYTES = 256
+#: words up to this many bytes are run together
+RUN_BYTES = 48
+#: places for moves, at most half of which are used
+SLOTS = 1 << 20
 MAX_UNITS = 120_000
 CHUNK_IDS = 8192
+#: text whose new words are encoded together
+LEARN_CHARS = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -77,6 +83,7 @@ class Transducer:
                     self.depth.append(self.depth[node] + 1)
                 node = nxt
             self.token_at[node] = rank
+        self.token_len = np.array([len(t) for t in self.vocab] + [0], np.int64)
         self.pair_ok: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self._reset()
@@ -87,6 +94,10 @@ class Transducer:
         self.index = {start: 0}
         self.ends = [-1]
         self.moves: dict[int, int] = {}
+        # the same moves for many words at once: an open hash table
+        self.slots = np.full(SLOTS, -1, np.int64)
+        self.targets = np.zeros(SLOTS, np.int32)
+        self.in_slots = 0
 
     def merge(self, data: bytes, stop: int = 1) -> list[int]:
         """BPE by definition: join the pair of lowest rank, leftmost first,
@@ -229,6 +240,88 @@ class Transducer:
         return ids + tail if ids else tail
 
 
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each key or of the free slot that would take it, known?)"""
+        at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        todo = np.flatnonzero((self.slots[at] != keys) & (self.slots[at] >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (SLOTS - 1)
+            here = self.slots[at[todo]]
+            todo = todo[(here != keys[todo]) & (here >= 0)]
+        return at, self.slots[at] == keys
+
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        """States after (state << 8 | byte) of many words; new moves are made once."""
+        at, known = self._find(keys)
+        if not known.all():
+            slots, targets = self.slots, self.targets
+            for key in np.unique(keys[~known]).tolist():
+                to = self._move(key >> 8, key & 255)
+                del self.moves[key]  # the table has it
+                place = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - SLOTS.bit_length() + 1
+                while slots[place] >= 0:
+                    place = (place + 1) & (SLOTS - 1)
+                slots[place], targets[place] = key, to
+                self.in_slots += 1
+            at, _ = self._find(keys)
+        return self.targets[at]
+
+    def encode_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many matches as packed uint32 values: all words step through
+        the transducer together, and their chains are read off together."""
+        if self.in_slots > SLOTS // 3 or len(self.states) > MAX_MOVES:
+            self._reset()
+        out: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= RUN_BYTES]
+        for i, w in enumerate(words):
+            if len(w) > RUN_BYTES:
+                ids = self.encode(w)
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        short.sort(key=lambda i: -len(words[i]))
+        n = np.array([len(words[i]) for i in short], np.int64)
+        if not len(n):
+            return out
+        data = np.zeros((len(n), int(n[0])), np.int64)
+        data[np.arange(n[0]) < n[:, None]] = np.frombuffer(b"".join(words[i] for i in short), np.uint8)
+        trail, state, lost = np.zeros(data.shape, np.int32), np.zeros(len(n), np.int64), np.zeros(len(n), bool)
+        for k in range(int(n[0])):
+            act = int(np.searchsorted(-n, -k, "left"))  # words longer than k
+            if self.in_slots > SLOTS // 2:
+                return [self._packed(w) for w in words]
+            to = self._step(state[:act] << 8 | data[:act, k])
+            lost[:act] |= to < 0
+            state[:act] = np.maximum(to, 0)
+            trail[:act, k] = state[:act]
+        ends = np.array(self.ends, np.int64)
+        at, rows, chain = n.copy(), np.arange(len(n)), []
+        at[lost] = 0
+        while True:
+            live = rows[at[rows] > 0]
+            if not len(live):
+                break
+            tok = ends[trail[live, at[live] - 1]]
+            at[live] -= self.token_len[tok]
+            chain.append((live, tok))
+            rows = live
+        count = np.zeros(len(n), np.int64)
+        for live, _ in chain:
+            count[live] += 1
+        upto = np.cumsum(count)
+        flat = np.zeros(int(upto[-1]), "<u4")
+        for k, (live, tok) in enumerate(chain):  # last tokens first
+            flat[upto[live] - 1 - k] = tok
+        packed, bounds = flat.tobytes(), np.concatenate([[0], upto * 4]).tolist()
+        for j, i in enumerate(short):
+            out[i] = packed[bounds[j]:bounds[j + 1]]
+        for j in np.flatnonzero(lost):
+            out[short[j]] = self._packed(words[short[j]])
+        return out
+
+    def _packed(self, word: bytes) -> bytes:
+        ids = self.encode(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Utf8Stream:
     """Incremental UTF-8: feed() returns the bytes of complete characters and
     keeps an unfinished one (at most three bytes) for the next call."""
@@ -306,6 +399,43 @@ class Codec:
                     out[i] = known
         return b"".join(out)
 
+    def learn(self, texts: list[str]) -> None:
+        """Encode the new words of some texts together, into the caches."""
+        known = self.spaced.young
+        fresh = [w for w in set().union(*[t.split(" ") for t in texts]) if w not in known and 0 < len(w) <= 64
+                 and not w[0].isspace() and not w[-1].isspace() and self.spaced.again(w) is None]
+        units = [self.split.findall(" " + w) for w in fresh]
+        ranks, have = self.machine.ranks, {}
+        todo = []
+        for m in {m for u in units for m in u}:
+            ids = self.matches.young.get(m) or self.matches.again(m)
+            if ids is None:
+                data = m.encode("utf-8")
+                whole = ranks.get(data)
+                if whole is None:
+                    todo.append((m, data))
+                    continue
+                ids = struct.pack("<I", whole)
+            have[m] = ids
+        for (m, _), ids in zip(todo, self.machine.encode_many([d for _, d in todo])):
+            have[m] = ids
+            self.matches.put(m, ids)
+        for w, u in zip(fresh, units):
+            self.spaced.put(w, b"".join([have[m] for m in u]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, learning the words of some texts at a time."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size >= LEARN_CHARS:
+                self.learn(part)
+                out += [self.encode(x) for x in part]
+                part, size = [], 0
+        self.learn(part)
+        return out + [self.encode(x) for x in part]
+
     def decode(self, ids: bytes) -> bytes:
         vocab = self.machine.vocab
         stream = Utf8Stream()
@@ -338,8 +468,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text",
     prepare(df.sparkSession)
 
     def make(col: pa.Array) -> list[bytes]:
-        c = codec(path, pattern)
-        return [c.encode(t) for t in text_list(col)]
+        return codec(path, pattern).encode_all(text_list(col))
 
     return add_column(df, ids_col, T.BinaryType(), text_col, make, release)
 
@@ -365,8 +494,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def make(col: pa.Array) -> list[dict]:
         c, out = codec(path, pattern), []
-        for t in text_list(col):
-            ids = c.encode(t)
+        for ids in c.encode_all(text_list(col)):
             out.append({"n_tokens": len(ids) // 4, "ids_sha256": hashlib.sha256(ids).hexdigest(),
                         "decoded_sha256": hashlib.sha256(c.decode(ids)).hexdigest()})
         return out
