@@ -6,12 +6,16 @@ replacements that keep gender, script and format.
 2. A surrogate is a function of key, kind, canonical value and an attempt
    number: digits stay digits, letters keep case and script, card numbers keep
    a valid check digit, addresses their number of parts, names their gender
-   and script. The same entity gets the same surrogate in every document.
+   and script, phone numbers their trunk zeros and first digits. The same
+   entity gets the same surrogate in every document. A surname is an entity of
+   its own: all who bear it, with or without a given name, share its surrogate,
+   and nobody else does.
 3. Collision check over the distinct entities of the whole input: where two
    entities share a surrogate, or a surrogate is an entity that occurs, all
    but one try again, round by round, until every surrogate is distinct. A
-   kind whose values are fewer than its entities is lengthened by digits or
-   letters after ``WIDEN`` rounds, so rounds end.
+   kind whose values are fewer than its entities is lengthened by digits,
+   syllables or further given names after ``WIDEN`` rounds, so rounds end
+   (addresses of networks and IBANs keep their length and draw again).
 4. Texts are rewritten where they are read. Only attempts above 0 have to be
    known for that: up to ``BROADCAST_ROWS`` of them travel to the tasks; if
    there are more, they are joined to the documents they occur in.
@@ -28,17 +32,19 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import secrets
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_column, prepare, staged, take_columns
 
-DEFAULT_KEY = "linkwright-surrogates"
+#: setting that names the key of the registered query and the pipeline
+KEY_SETTING = "spark.linkwright.surrogates.key"
 BROADCAST_ROWS = 100_000
 WIDEN = 6
 
@@ -282,8 +288,31 @@ def _letters(src: str, s: _Stream) -> str:
     return "".join(out)
 
 
-def surrogate(key: str, kind: str, canon: str, gender: str, attempt: int) -> str:
-    """Canonical form of the replacement of a canonical value."""
+_session_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's settings; where there is none, one drawn for
+    this application, which nobody can use to recompute surrogates later."""
+    app = spark.sparkContext.applicationId
+    return spark.conf.get(KEY_SETTING, None) or _session_keys.setdefault(app, secrets.token_hex(32))
+
+
+def family_words(canon: str) -> list[str]:
+    """The surnames in a person's canonical name."""
+    words = canon.split()
+    return words[1:] or words
+
+
+def _given(s: _Stream, script: str, gender: str, attempt: int) -> str:
+    """A given name, or several joined ones where single ones are used up."""
+    names = NAMES[(script, gender or "mf"[s.below(2)])]
+    return "-".join(names[s.below(len(names))].lower() for _ in range(1 + max(0, attempt - WIDEN + 1)))
+
+
+def surrogate(key: str, kind: str, canon: str, gender: str, attempt: int, family: str | None = None) -> str:
+    """Canonical form of the replacement of a canonical value; ``family``:
+    what stands for a person's surnames (default: their first attempts)."""
     s = _Stream(key, kind, canon, gender if kind == "person" else "", str(attempt))
     extra = "".join(str(s.below(10)) for _ in range(max(0, attempt - WIDEN + 1)))
     if kind == "email":
@@ -304,8 +333,10 @@ def surrogate(key: str, kind: str, canon: str, gender: str, attempt: int) -> str
     if kind == "iban":
         return canon[:2] + _letters(canon[2:], s)
     if kind == "phone":
-        keep = 1 if len(canon) > 10 else 0
-        return canon[:keep] + "".join(str(s.below(10)) for _ in canon[keep:]) + extra
+        keep = len(canon) - len(canon.lstrip("0"))
+        if not keep and len(canon) > 10:  # country code
+            keep = 1 if canon[0] in "17" else 2
+        return canon[:keep] + str(1 + s.below(9)) + "".join(str(s.below(10)) for _ in canon[keep + 1:]) + extra
     if kind == "ssn":
         return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}" + extra
     if kind == "card":
@@ -313,15 +344,15 @@ def surrogate(key: str, kind: str, canon: str, gender: str, attempt: int) -> str
         if _luhn_ok(canon):
             body = next(body[:-1] + str(d) for d in range(10) if _luhn_ok(body[:-1] + str(d)))
         return body
-    words, script = canon.split(), _script(canon)
-    g = gender or "mf"[s.below(2)]
-    head, tail = _SYLLABLES[script]
-    def surname() -> str:
+    if kind == "surname":
+        head, tail = _SYLLABLES[_script(canon)]
         more = "".join(head[s.below(len(head))] for _ in range(1 + max(0, attempt - WIDEN + 1)))
         return more + head[s.below(len(head))] + tail[s.below(len(tail))]
-    names = NAMES[(script, g)]
-    out = [names[s.below(len(names))].lower()] if len(words) > 1 else []
-    return " ".join(out + [surname() for _ in range(len(words) - len(out))])
+    if family is None:
+        family = " ".join(surrogate(key, "surname", w, "", 0) for w in family_words(canon))
+    if len(canon.split()) == 1:
+        return family
+    return f"{_given(s, _script(canon), gender, attempt)} {family}"
 
 
 def _dress(kind: str, value: str, canon: str) -> str:
@@ -337,7 +368,7 @@ def _dress(kind: str, value: str, canon: str) -> str:
         return "".join(out) + canon[i:]
     if kind == "person":
         given, words = value.split(), canon.split()[-len(value.split()):]
-        return " ".join(w.upper() if g.isupper() and len(g) > 1 else w.capitalize()
+        return " ".join(w.upper() if g.isupper() and len(g) > 1 else "-".join(p.capitalize() for p in w.split("-"))
                         for g, w in zip(given, words))
     if kind == "ipv4":
         return canon
@@ -361,7 +392,9 @@ def replace(text: str, key: str, table: dict, detect=find) -> tuple[str, int, st
     out, at = [], 0
     for a, b, kind, canon, gender in spans:
         gender, attempt = table.get((kind, canon), (_gender_of(kind, gender), 0))
-        out += [text[at:a], _dress(kind, text[a:b], surrogate(key, kind, canon, gender, attempt))]
+        family = " ".join(surrogate(key, "surname", w, "", table.get(("surname", w), ("", 0))[1])
+                          for w in family_words(canon)) if kind == "person" else None
+        out += [text[at:a], _dress(kind, text[a:b], surrogate(key, kind, canon, gender, attempt, family))]
         at = b
     return "".join(out) + text[at:], len(spans), ",".join(sorted({s[2] for s in spans}))
 
@@ -380,33 +413,62 @@ def entities(df: DataFrame, text_col: str = "text", detect=find) -> DataFrame:
     return found.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e.*")
 
 
+def _surnames(found: DataFrame) -> DataFrame:
+    """The surnames in persons' names, as rows of kind surname."""
+    words = F.split("canonical", "\\s+")
+    own = F.when(F.size(words) > 1, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1)))).otherwise(words)
+    return found.where("kind = 'person'").withColumn("canonical", F.explode(own)).withColumn(
+        "kind", F.lit("surname")).withColumn("gender", F.lit(""))
+
+
 def attempts(found: DataFrame, key: str, max_rounds: int = 60) -> DataFrame:
-    """(kind, canonical, gender, attempt, surrogate) with distinct surrogates."""
-    pick = F.udf(lambda k, c, g, a: surrogate(key, k, c, g, a), "string", useArrow=True)
+    """(kind, canonical, gender, attempt, surrogate) with distinct surrogates,
+    surnames first, then persons with the surnames' surrogates."""
     # an entity met with and without a title has one gender
     m = found.groupBy("kind", "canonical").agg(F.max("gender").alias("gender"))
-    m = staged(m.withColumn("attempt", F.lit(0)).withColumn(
-        "surrogate", pick("kind", "canonical", "gender", "attempt")), "pii-attempts")
+    none = F.lit(None).cast("string").alias("family")
+    family = _surnames(m).select("kind", "canonical", "gender").distinct()
+    rest = _distinct(m.where("kind <> 'person'").unionByName(family).select("*", none), key, max_rounds)
+    known = rest.where("kind = 'surname'").select(F.col("canonical").alias("word"), F.col("surrogate").alias("s"))
+    persons = m.where("kind = 'person'")
+    words = F.split("canonical", "\\s+")
+    named = persons.select("canonical", F.posexplode(words).alias("p", "word")).where(
+        (F.col("p") > 0) | (F.size(words) == 1)).join(known, "word").groupBy("canonical").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), " ").alias("family"))
+    people = _distinct(persons.join(named, "canonical").select("kind", "canonical", "gender", "family"), key, max_rounds)
+    return rest.unionByName(people).select("kind", "canonical", "gender", "attempt", "surrogate")
+
+
+def _distinct(m: DataFrame, key: str, max_rounds: int) -> DataFrame:
+    """``m`` (kind, canonical, gender, family) with attempt and surrogate, no
+    surrogate shared and none an entity of its kind."""
+    pick = F.udf(lambda k, c, g, a, f: surrogate(key, k, c, g, a, f), "string", useArrow=True)
+    made = pick("kind", "canonical", "gender", "attempt", "family")
+    m = staged(m.withColumn("attempt", F.lit(0)).withColumn("surrogate", made), "pii-attempts")
     real = m.select("kind", F.col("canonical").alias("surrogate"))
+    # a bare surname as a person follows its surname, which is checked already
+    free = (F.col("kind") != "person") | (F.size(F.split("canonical", "\\s+")) > 1)
     for _ in range(max_rounds):
         owner = (m.groupBy("kind", "surrogate").agg(F.min("canonical").alias("owner"), F.count("*").alias("n"))
                  .where("n > 1").select("kind", "surrogate", "owner"))
         shared = m.join(owner, ["kind", "surrogate"]).where("canonical <> owner").select("kind", "canonical")
         taken = m.join(real, ["kind", "surrogate"]).select("kind", "canonical")
-        again = staged(shared.unionByName(taken).distinct().withColumn("again", F.lit(True)), "pii-again")
+        again = staged(shared.unionByName(taken).where(free).distinct().withColumn("again", F.lit(True)), "pii-again")
         if again.isEmpty():
             return m
         nxt = m.join(again, ["kind", "canonical"], "left").withColumn(
             "attempt", F.col("attempt") + F.coalesce(F.col("again").cast("int"), F.lit(0)))
-        m = staged(nxt.withColumn("surrogate", F.when(
-            F.col("again"), pick("kind", "canonical", "gender", "attempt")).otherwise(F.col("surrogate")))
-            .drop("again"), "pii-attempts")
+        m = staged(nxt.withColumn("surrogate", F.when(F.col("again"), made).otherwise(F.col("surrogate")))
+                   .drop("again"), "pii-attempts")
     raise RuntimeError("surrogates did not become distinct")
 
 
-def pseudonymize(df: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", detect=find) -> DataFrame:
-    """``df`` with surrogates in ``text_col``, and n_entities and kinds; ``detect``
-    stands in for :func:`find`, with kinds of ``KINDS``."""
+def pseudonymize(df: DataFrame, key: str, text_col: str = "text", detect=find) -> DataFrame:
+    """``df`` with surrogates in ``text_col``, and n_entities and kinds; ``key``
+    is secret: whoever has it can recompute surrogates; ``detect`` stands in for
+    :func:`find`, with kinds of ``KINDS``."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     spark = df.sparkSession
     prepare(spark)
     found = staged(entities(df, text_col, detect), "pii-entities")
@@ -423,7 +485,8 @@ def pseudonymize(df: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text",
         flat = flat.withColumn("_e", F.lit(None).cast("array<struct<kind:string,canonical:string,gender:string,attempt:int>>"))
     else:
         known = spark.sparkContext.broadcast({})
-        by_doc = (found.select("doc_id", "kind", "canonical").join(later, ["kind", "canonical"])
+        both = found.unionByName(_surnames(found)).select("doc_id", "kind", "canonical").distinct()
+        by_doc = (both.join(later, ["kind", "canonical"])
                   .groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canonical", "gender", "attempt")).alias("_e")))
         doc = flat[f"_c{names.index('doc_id')}"]
         flat = flat.join(by_doc, doc.eqNullSafe(by_doc["doc_id"]), "left").drop("doc_id")

@@ -43,7 +43,7 @@ def op1_minhash_dedup(spark, sf_dir):
 def op2_pii_surrogates(spark, sf_dir):
     """Surrogates in all documents: doc_id, text, n_entities, kinds."""
     docs = take_columns(table(spark, sf_dir, "documents"), ["doc_id", "text"])
-    return pii.pseudonymize(docs)
+    return pii.pseudonymize(docs, pii.session_key(spark))
 
 
 @_register

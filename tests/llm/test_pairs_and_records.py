@@ -257,7 +257,7 @@ def test_surrogates_keep_format_and_coreference(spark):
     rows = [(1, PII, "en", "a", 1), (2, "BOB.SMITH@MAIL2.EXAMPLE.COM again, 4111-1111-1111-1111", "en", "a", 1),
             (3, None, "en", "a", 1), (4, "", "en", "a", 1), (5, "no data, version 3.0 of 12 things", "en", "a", 1),
             (5, "no data, version 3.0 of 12 things", "en", "a", 1)]
-    out = {r[0]: r for r in pii.pseudonymize(frame(spark, rows, extra=False)).select("doc_id", "text", "n_entities").collect()}
+    out = {r[0]: r for r in pii.pseudonymize(frame(spark, rows, extra=False), "key").select("doc_id", "text", "n_entities").collect()}
     t = out[1].text
     for secret in ("Bob", "Mail2.example.com", "233.254", "499", "4111", "1eb9c654", "123-45-6789", "Schmidt", "Doe", "Иванова", "0532013000"):
         assert secret not in t
@@ -289,11 +289,11 @@ def test_surrogates_are_distinct_by_collision_check(spark, monkeypatch):
 
 def test_many_later_attempts_are_joined(spark, monkeypatch):
     rows = [(1, PII, "en", "a", 1), (None, PII, "en", "a", 1)]
-    a = take_columns(pii.pseudonymize(frame(spark, rows)), ["text"]).collect()
+    a = take_columns(pii.pseudonymize(frame(spark, rows), "key"), ["text"]).collect()
     monkeypatch.setattr(pii, "BROADCAST_ROWS", -1)
-    b = take_columns(pii.pseudonymize(frame(spark, rows)), ["text"]).collect()
+    b = take_columns(pii.pseudonymize(frame(spark, rows), "key"), ["text"]).collect()
     assert a == b and a[0] == a[1]
-    assert pii.pseudonymize(frame(spark, [])).count() == 0
+    assert pii.pseudonymize(frame(spark, []), "key").count() == 0
 
 
 def test_long_secrets_and_addresses_are_found_whole():
@@ -331,7 +331,7 @@ def test_another_detector(spark):
         return [(0, 5, "person", "zorba", "")] if text.startswith("Zorba") else []
 
     rows = [(1, "Zorba danced", "en", "a", 1), (2, "Mr. John Doe", "en", "a", 1)]
-    out = {r[0]: r for r in pii.pseudonymize(frame(spark, rows, extra=False), detect=detect).select(
+    out = {r[0]: r for r in pii.pseudonymize(frame(spark, rows, extra=False), "key", detect=detect).select(
         "doc_id", "text", "n_entities").collect()}
     assert "Zorba" not in out[1].text and out[1].text.endswith(" danced") and out[1].n_entities == 1
     assert out[2].text == "Mr. John Doe" and out[2].n_entities == 0
@@ -380,3 +380,43 @@ def test_pairwise_table_learns_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     m = gam.train(x[:3000], y[:3000])
     assert ((m.score(x[3000:]) > 0.5) == (y[3000:] > 0)).mean() > 0.95
+
+
+def test_people_of_different_surnames_never_read_as_one(spark):
+    """Given name and surname, and the surname alone after a title: distinct
+    persons and distinct surnames stay distinct, equal ones stay equal."""
+    rnd = np.random.default_rng(8)
+    syll = "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu".split()
+    surnames = sorted({"".join(rnd.choice(syll, 3)) for _ in range(900)})
+    people = sorted({(str(rnd.choice(["John", "Mary", "Peter", "Anna", "Karen"])), str(s).capitalize())
+                     for s in surnames for _ in range(2)})
+    rows = [(i, f"{'Mr' if g in ('John', 'Peter') else 'Mrs'}. {g} {s} came. Later Dr. {s} left.", "en", "a", 1)
+            for i, (g, s) in enumerate(people)]
+    out = take_columns(pii.pseudonymize(frame(spark, rows), "key"), ["doc_id", "text"]).collect()
+    full, bare = {}, {}
+    for r in out:
+        m = re.fullmatch(r"Mrs?\. ([\w-]+) (\w+) came\. Later Dr\. (\w+) left\.", r.text)
+        g, s = people[r.doc_id]
+        assert m and m[2] == m[3] and m[2] != s
+        full[g, s] = (m[1], m[2])
+        assert bare.setdefault(s, m[2]) == m[2]
+    assert len(set(full.values())) == len(full) and len(set(bare.values())) == len(bare)
+
+
+def test_many_bearers_of_one_surname_stay_distinct(spark):
+    """More persons than given names in the lists share a surname."""
+    found = [(i, "person", f"{''.join(x)} smith", "f") for i, x in enumerate(
+        (a, b, c) for a in "abcdefgh" for b in "aeiou" for c in "lmn")]
+    table = pii.attempts(spark.createDataFrame(found, "doc_id long, kind string, canonical string, gender string"), "k").collect()
+    people = [r.surrogate for r in table if r.kind == "person"]
+    assert len(set(people)) == len(found) and len({p.split()[-1] for p in people}) == 1
+    assert sum(r.kind == "surname" for r in table) == 1
+
+
+def test_phone_prefixes_and_required_key(spark):
+    rows = [(1, "call 030 1234567 or +49 30 7654321 now", "en", "a", 1)]
+    text = take_columns(pii.pseudonymize(frame(spark, rows), "key"), ["text"]).first().text
+    assert re.fullmatch(r"call 0[1-9]\d \d{7} or \+49 [1-9]\d \d{7} now", text) and "1234567" not in text
+    with pytest.raises(ValueError):
+        pii.pseudonymize(frame(spark, rows), "")
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 64
