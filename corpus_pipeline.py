@@ -62,7 +62,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates; n_chars follows the new text."""
-    return pii.pseudonymize(take_columns(docs, COLUMNS)).withColumn(
+    return pii.pseudonymize(take_columns(docs, COLUMNS), pii.session_key(spark)).withColumn(
         "n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     ).select(*COLUMNS)
 
