@@ -1134,6 +1134,45 @@ def q_pair_features(spark, sf_dir):
     return f.select("id", *[r6(F.col(c)).alias(c) for c in M.PAIR_FEATURES_13])
 
 
+def _sql_pair_features() -> str:
+    c1, c2 = O.components_sql("a"), O.components_sql("b")
+
+    def both(k):
+        return f"(coalesce({k}1, '') <> '' AND coalesce({k}2, '') <> '')"
+
+    def same(k):
+        return f"CASE WHEN {both(k)} THEN CAST({k}1 = {k}2 AS DOUBLE) ELSE 0.0 END"
+
+    far = "greatest(length(a), length(b))"
+    lev = "1 - levenshtein({0}1, {0}2) / greatest(length({0}1), length({0}2))"
+    cols = {
+        "levenshtein_sim": f"CASE WHEN {far} > 0 THEN 1 - levenshtein(a, b) / {far} ELSE 1.0 END",
+        "jaro_winkler_sim": O.jaro_winkler_sql("a", "b"), "jaccard_sim": O.jaccard_sql(_TA, _TB),
+        "cosine_sim": f"CASE WHEN {_NN} < 1 OR len({_GA}) = 0 OR len({_GB}) = 0 THEN 0.0 "
+                      f"ELSE len(list_intersect({_GA}, {_GB})) / sqrt(len({_GA}) * len({_GB})) END",
+        "house_num_match": same("h"), "house_num_sim": f"CASE WHEN {both('h')} THEN {lev.format('h')} ELSE 0.0 END",
+        "unit_match": same("u"), "unit_sim": f"CASE WHEN {both('u')} THEN {O.jaro_winkler_sql('u1', 'u2')} ELSE 0.0 END",
+        "zipcode_match": same("z"), "zipcode_sim": f"CASE WHEN {both('z')} THEN 1 - levenshtein(z1, z2) / 5.0 ELSE 0.0 END",
+        "len_diff": f"CASE WHEN {far} > 0 THEN abs(length(a) - length(b)) / {far} ELSE 0.0 END",
+        "token_count_diff": f"CASE WHEN greatest(len({_TA}), len({_TB})) > 0 THEN "
+                            f"abs(len({_TA}) - len({_TB})) / greatest(len({_TA}), len({_TB})) ELSE 0.0 END",
+    }
+    parts = ", ".join(f"{c[k]} AS {n}{i}" for i, c in ((1, c1), (2, c2))
+                      for n, k in (("h", "house_number"), ("u", "unit"), ("z", "zipcode")))
+    sel = ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in cols.items())
+    return _PAIRS_SQL + f" SELECT id, {sel} FROM (SELECT *, {parts} FROM p) q"
+
+
+@register("address_pair_features_exact", _sql_pair_features())
+def q_pair_features_exact(spark, sf_dir):
+    """O-FEA2 but for its difflib column: 12 features of every pair."""
+    from ..operators import model as M
+    l = X.left_addresses(spark, sf_dir).select("id", F.col("address").alias("addr1"))
+    r = X.right_addresses(spark, sf_dir).select("id", F.col("address").alias("addr2"))
+    f = M.address_pair_features(l.join(r, "id"))
+    return f.select("id", *[r6(F.col(c)).alias(c) for c in M.PAIR_FEATURES_13 if c != "seq_matcher_sim"])
+
+
 #: labelled pairs of the boosted model, whatever the size of the input
 TRAINING_PAIRS = 2000
 
@@ -1623,6 +1662,22 @@ def q_record_hash(spark, sf_dir):
         .select("id", "id_hash", "field_hash", "content_hash")
 
 
+@register("pair_hash", f"""
+WITH h AS (SELECT id, md5('i|' || {_sql_part('id')} || '|' || {_sql_part('auth_id')}) AS h FROM {_PARENTS} p),
+g AS (SELECT id, md5('i|' || {_sql_part('id')} || '|' || {_sql_part('auth_id')}) AS h FROM {_ATOMS} a)
+SELECT parent_id, atom_id, least(h.h, g.h) || '_' || greatest(h.h, g.h) AS pair_key, true AS same_reversed
+FROM ({SQL_CANDIDATES}) c JOIN h ON h.id = parent_id JOIN g ON g.id = atom_id
+""")
+def q_pair_hash(spark, sf_dir):
+    """O-HSH2: the key of every candidate pair, whichever side comes first."""
+    from ..operators import linkage as LK
+    p = LK.record_hash(X.parents(spark, sf_dir), by_id=True).select(F.col("id").alias("parent_id"), F.col("record_hash").alias("h"))
+    a = LK.record_hash(X.atoms(spark, sf_dir), by_id=True).select(F.col("id").alias("atom_id"), F.col("record_hash").alias("g"))
+    both = _candidates(spark, sf_dir).join(p, "parent_id").join(a, "atom_id")
+    key, back = LK.pair_hash(F.col("h"), F.col("g")), LK.pair_hash(F.col("g"), F.col("h"))
+    return both.select("parent_id", "atom_id", key.alias("pair_key"), (key == back).alias("same_reversed"))
+
+
 @register("csv_roundtrip", f"SELECT CAST(id AS VARCHAR) AS id, address FROM {_LEFT} t")
 def q_csv_roundtrip(spark, sf_dir):
     """O-SNK1 -> O-SRC2: addresses written as CSV with header, read back as records."""
