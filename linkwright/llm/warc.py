@@ -10,11 +10,12 @@ committed by Spark, so a lost executor leaves no half-written archive.
 *Reading.* Files are split at every occurrence of the magic ``WARC/1.0\\r\\n``,
 wherever it stands, by tasks that read byte ranges. Each piece is a candidate
 record: its header names a length and so the offset of its successor. Offsets
-are the running sum of the pieces of a file. Pointer jumping from the file
-start (each round doubles the distance) marks the candidates on the chain;
-the others are magic inside a payload, and their bytes go back to the record
-they belong to. Candidates of one file meet in one task as a few numbers per
-piece; archives are files of bounded size.
+are the running sum of the pieces of a split, then of a file's splits. Pointer
+jumping (each round doubles the distance) from the file start marks the
+candidates on the chain: within the byte range that one task reads, in the
+task; from range to range, by self-joins. The others are magic inside a
+payload, and their bytes go back to the record they belong to. No task holds
+the candidates of more than one byte range, so archives may be of any size.
 
 Defined results: a null html is an empty payload; a null page_id takes part
 neither as original nor as revisit of another (its record is a response
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, staged, take_columns
@@ -138,62 +139,127 @@ def _candidates(pieces: DataFrame) -> DataFrame:
                     F.when(exact, F.sha2(body, 256)).alias("digest"))
 
 
-def reachable(offsets: np.ndarray, successors: np.ndarray, end: int) -> np.ndarray:
-    """Mask of the candidates on the chain from offset 0, by pointer jumping:
-    in each round every pointer doubles its distance and the marked set grows
-    by one hop of that distance."""
-    n = len(offsets)
-    mark = np.zeros(n + 1, dtype=bool)
-    if n == 0 or offsets[0] != 0:
-        return mark[:n]
-    at = np.searchsorted(offsets, successors)
-    at = np.where((at < n) & (offsets[np.minimum(at, n - 1)] == successors), at, n)
-    jump = np.append(at, n)  # n: nowhere
-    mark[0] = True
+def _pointers(offset: np.ndarray, succ: np.ndarray, after: int) -> np.ndarray:
+    """Index of each candidate's successor among the sorted candidates of one
+    split; itself where the successor lies behind the split or nowhere."""
+    n = len(offset)
+    at = np.minimum(np.searchsorted(offset, succ), max(n - 1, 0))
+    inside = (succ >= 0) & (succ < after) & (offset[at] == succ if n else np.zeros(0, bool))
+    return np.where(inside, at, np.arange(n))
+
+
+def last_stops(offset: np.ndarray, succ: np.ndarray, after: int) -> np.ndarray:
+    """Where the chain from each candidate of a split leaves it: an offset at
+    or behind ``after``, or -1 if it breaks off, by pointer jumping."""
+    to = _pointers(offset, succ, after)
     while True:
-        before = int(mark[:n].sum())
-        mark[jump[np.flatnonzero(mark)]] = True
-        jump = jump[jump]
-        if int(mark[:n].sum()) == before and (jump[np.flatnonzero(mark)] == n).all():
-            return mark[:n]
-
-
-def _chain(strict: bool):
-    width = len(MAGIC)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "seq"], kind="stable").reset_index(drop=True)
-        size = pdf["size"].to_numpy(np.int64)
-        # the first piece stands before any magic; each other one behind its own
-        offset = np.concatenate([[0], np.cumsum(size + width)])[:-1] - width
-        end = int(offset[-1] + width + size[-1]) if len(size) else 0
-        lead, pdf = int(size[0]), pdf.iloc[1:].reset_index(drop=True)
-        offset, size = offset[1:], size[1:]
-        length = pdf["length"].to_numpy(dtype=np.float64, na_value=np.nan)
-        ok = ~np.isnan(length) & (length >= 0)
-        succ = np.where(ok, offset + width + pdf["skip"].to_numpy(np.int64)
-                        + np.where(ok, length, 0).astype(np.int64) + 4, -1)
-        on = reachable(offset, succ, end) if lead == 0 else np.zeros(len(offset), bool)
-        if strict and (lead or (len(offset) and not (on & (succ == end)).any())):
-            raise ValueError(f"broken record chain in {pdf['file'].iloc[0] if len(pdf) else 'a file'}")
-        whole = on & (succ <= end)
-        owner = np.maximum.accumulate(np.where(whole, np.arange(len(on)), -1))
-        pdf = pdf.assign(owner_start=-1, owner_seq=-1, part=0, parts=0)
-        pdf = pdf.assign(on=whole)
-        have = owner >= 0
-        own = owner[have]
-        # pieces behind the end of their owner's payload belong to nobody
-        inside = offset[have] < succ[own]
-        idx = np.flatnonzero(have)[inside]
-        own = own[inside]
-        pdf.loc[idx, "owner_start"] = pdf["start"].to_numpy()[own]
-        pdf.loc[idx, "owner_seq"] = pdf["seq"].to_numpy()[own]
-        pdf.loc[idx, "part"] = idx - own
-        n = np.bincount(own, minlength=len(on)) if len(own) else np.zeros(len(on), np.int64)
-        pdf.loc[idx, "parts"] = n[own]
-        return pdf.loc[idx, ["file", "start", "seq", "owner_start", "owner_seq", "part", "parts", "on"]]
-
-    return solve
+        on = to[to]
+        if np.array_equal(on, to):
+            return np.where(succ[to] >= after, succ[to], -1)
+        to = on
+
+
+def reachable(offset: np.ndarray, succ: np.ndarray, after: int, entry: np.ndarray) -> np.ndarray:
+    """Mask of a split's candidates on the chains from its entries: in each
+    round pointers double their distance and marks spread by one such hop."""
+    mark, jump = entry.copy(), _pointers(offset, succ, after)
+    while True:
+        more = mark.copy()
+        more[jump[mark]] = True
+        on = jump[jump]
+        if np.array_equal(more, mark) and np.array_equal(on, jump):
+            return mark
+        mark, jump = more, on
+
+
+def _places(cand: DataFrame) -> DataFrame:
+    """file, start, seq, offset in the file, successor's offset (-1: none),
+    offset at which the next split begins and of the file's end; the piece
+    before any magic has a negative offset. Sums run within a split, then over
+    the splits of a file."""
+    width = F.lit(len(MAGIC)).cast("long")
+    took = F.col("size") + width
+    splits = cand.groupBy("file", "start").agg(F.sum(took).alias("total"))
+    of_file = Window.partitionBy("file")
+    before = of_file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"),
+                           "total", (F.sum("total").over(of_file) - width).alias("end"))
+    inner = F.coalesce(F.sum(took).over(Window.partitionBy("file", "start").orderBy("seq").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cand.select("file", "start", "seq", "size", "skip", "length").withColumn("inner", inner).join(
+        splits, ["file", "start"])
+    offset = F.col("base") + F.col("inner") - width
+    return placed.select(
+        "file", "start", "seq", offset.alias("offset"),
+        F.when(F.col("length") >= 0, offset + width + F.col("skip") + F.col("length") + 4).otherwise(
+            F.lit(-1)).cast("long").alias("succ"),
+        (F.col("base") + F.col("total") - width).alias("after"), "end", "size")
+
+
+def _entries(places: DataFrame) -> DataFrame:
+    """(file, offset) at which the chain from the file's start enters a split,
+    and the file's end if the chain gets there: pointer jumping by self-joins
+    over the splits, each round doubling the distance."""
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["offset"] >= 0].sort_values("offset")
+        stops = last_stops(pdf["offset"].to_numpy(), pdf["succ"].to_numpy(), int(pdf["after"].iloc[0]) if len(pdf) else 0)
+        return pd.DataFrame({"file": pdf["file"], "offset": pdf["offset"], "to": stops})
+
+    exits = staged(places.select("file", "start", "offset", "succ", "after").groupBy("file", "start").applyInPandas(
+        leave, "file string, offset long, to long"), "warc-exits")
+    # only candidates that another split's chain may enter, and the first ones
+    aims = exits.select("file", F.col("to").alias("offset")).where("offset >= 0").distinct()
+    jump = staged(exits.where("offset = 0").unionByName(
+        exits.where("offset > 0").join(aims, ["file", "offset"], "left_semi")), "warc-jumps")
+    marks, n = jump.where("offset = 0").select("file", "offset"), -1
+    while True:
+        marks = staged(marks.unionByName(marks.join(jump, ["file", "offset"]).select(
+            "file", F.col("to").alias("offset"))).distinct(), "warc-marks")
+        was, n = n, marks.count()
+        if n == was:
+            return marks
+        far = jump.select("file", F.col("offset").alias("to"), F.col("to").alias("further"))
+        jump = staged(jump.join(far, ["file", "to"], "left").select(
+            "file", "offset", F.coalesce("further", "to").alias("to")), "warc-jumps")
+
+
+def _owners(places: DataFrame, marks: DataFrame) -> DataFrame:
+    """file, start, seq, offset, on (a record begins here), owner (offset of the
+    record the piece belongs to), part and parts of the owner's pieces."""
+    entry = marks.withColumn("entry", F.lit(True))
+    flagged = places.join(entry, ["file", "offset"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["offset"] >= 0].sort_values("offset").reset_index(drop=True)
+        offset, succ = pdf["offset"].to_numpy(), pdf["succ"].to_numpy()
+        if len(pdf):
+            on = reachable(offset, succ, int(pdf["after"].iloc[0]), pdf["entry"].to_numpy())
+            on &= (succ >= 0) & (succ <= pdf["end"].to_numpy())
+        else:
+            on = np.zeros(0, bool)
+        own = np.maximum.accumulate(np.where(on, np.arange(len(on)), -1)) if len(on) else np.zeros(0, np.int64)
+        pdf["on"] = on
+        pdf["owner"] = np.where(own >= 0, offset[own] if len(on) else offset, -1)
+        pdf["until"] = np.where(own >= 0, succ[own] if len(on) else succ, -1)
+        return pdf[["file", "start", "seq", "offset", "on", "owner", "until"]]
+
+    fields = "file string, start long, seq long, offset long, on boolean, owner long, until long"
+    walked = staged(flagged.select("file", "start", "seq", "offset", "succ", "after", "end", "entry").groupBy(
+        "file", "start").applyInPandas(walk, fields), "warc-walked")
+    # the first pieces of a split may belong to a record of an earlier one
+    last = walked.where("owner >= 0").groupBy("file", "start").agg(F.max(F.struct("owner", "until")).alias("o"))
+    every = walked.select("file", "start").distinct().join(last, ["file", "start"], "left")
+    past = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("file", "start", F.max("o").over(past).alias("c"))
+    owned = walked.join(carried, ["file", "start"]).select(
+        "file", "start", "seq", "offset", "on",
+        F.when(F.col("owner") >= 0, F.col("owner")).otherwise(F.col("c.owner")).alias("owner"),
+        F.when(F.col("owner") >= 0, F.col("until")).otherwise(F.col("c.until")).alias("until"))
+    # pieces behind the end of their owner's payload belong to nobody
+    mine = Window.partitionBy("file", "owner")
+    return owned.where("offset < until").select(
+        "file", "start", "seq", "offset", "on", "owner",
+        (F.row_number().over(mine.orderBy("offset")) - 1).alias("part"), F.count("*").over(mine).alias("parts"))
 
 
 def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -202,28 +268,35 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     prepare(spark)
     pieces = _pieces(spark, path)
     cand = staged(_candidates(pieces), "warc-candidates")
-    found = staged(cand.select("file", "start", "seq", "size", "skip", "length").groupBy("file").applyInPandas(
-        _chain(strict), "file string, start long, seq long, owner_start long, owner_seq long, "
-        "part long, parts long, on boolean"), "warc-chain")
+    places = staged(_places(cand), "warc-places")
+    marks = _entries(places)
+    if strict:
+        whole = places.groupBy("file").agg(
+            F.max("end").alias("offset"), F.max(F.when(F.col("offset") < 0, F.col("size"))).alias("lead"),
+            F.count_if(F.col("offset") >= 0).alias("n"))
+        broken = whole.where("lead > 0").select("file").unionByName(
+            whole.where("n > 0").join(marks, ["file", "offset"], "left_anti").select("file")).first()
+        if broken:
+            raise ValueError(f"broken record chain in {broken['file']}")
+    found = staged(_owners(places, marks), "warc-chain")
     key = ["file", "start", "seq"]
-    heads = cand.join(found.where("on").select(*key, "parts"), key)
+    heads = cand.join(found.where("on").select(*key, "offset", "parts"), key)
     single = heads.where("parts = 1").select(*key, "head", "length", F.col("digest").alias("own"))
     # payloads that hold the magic are put together from their pieces
     many = found.where("parts > 1")
     if many.isEmpty():
         records = single
     else:
-        joined = pieces.join(many, key).select(
-            "file", "owner_start", "owner_seq", "part", "body")
-        full = (joined.groupBy("file", "owner_start", "owner_seq")
+        joined = pieces.join(many, key).select("file", "owner", "part", "body")
+        full = (joined.groupBy("file", "owner")
                 .agg(F.sort_array(F.collect_list(F.struct("part", "body"))).alias("p"))
-                .select("file", F.col("owner_start").alias("start"), F.col("owner_seq").alias("seq"),
+                .select("file", F.col("owner").alias("offset"),
                         F.aggregate("p", F.lit(b"").cast("binary"),
                                     lambda a, x: F.when(x["part"] == 0, x["body"]).otherwise(
                                         F.concat(a, F.lit(MAGIC.encode()).cast("binary"), x["body"])))
                         .alias("body")))
         records = single.unionByName(
-            heads.where("parts > 1").join(full, key).select(
+            heads.where("parts > 1").join(full, ["file", "offset"]).select(
                 *key, "head", "length",
                 F.sha2(F.substring("body", F.col("skip").cast("int") + 1, F.col("length").cast("int")), 256)
                 .alias("own")))

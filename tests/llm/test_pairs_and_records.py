@@ -241,11 +241,15 @@ def test_warc_empty_table_and_broken_chain(spark, tmp_path):
 
 def test_pointer_jumping():
     off = np.array([0, 10, 25, 30, 60, 61])
-    assert warc.reachable(off, np.array([25, 30, 60, 61, 99, 62]), 99).tolist() == [True, False, True, False, True, False]
-    assert warc.reachable(off[1:], off[1:], 99).tolist() == [False] * 5
+    succ = np.array([25, 30, 60, 61, 99, 62])
+    first = np.arange(6) == 0
+    assert warc.reachable(off, succ, 99, first).tolist() == [True, False, True, False, True, False]
+    assert warc.last_stops(off, succ, 99).tolist() == [99, -1, 99, -1, 99, -1]
+    assert warc.reachable(off, succ, 99, np.zeros(6, bool)).tolist() == [False] * 6
     n = 5000
     chain = np.arange(n) * 7
-    assert warc.reachable(chain, chain + 7, 7 * n).all()
+    assert warc.reachable(chain, chain + 7, 7 * n, np.arange(n) == 0).all()
+    assert (warc.last_stops(chain, chain + 7, 7 * n) == 7 * n).all()
 
 
 PII = ('Mail Bob.Smith@Mail2.example.com, ip 233.254.104.120, call +1 (499) 555-6503 or +14995556503. Card 4111 1111 1111 '
