@@ -17,7 +17,7 @@ Defined results: a null text is the empty text, which has no ids; ids are
 little-endian unsigned 32-bit integers in one binary value; a null ``ids``
 decodes to empty bytes; repeated rows give repeated rows; other columns pass
 through, and columns of the input that bear the name of an output column are
-replaced. Memory per worker is bounded by ``MAX_MOVES``, ``MAX_PAIRS``, ``MAX_UNITS`` and
+replaced. Memory per worker is bounded by ``MAX_MOVES``, ``MAX_STATES``, ``SLOTS``, ``MAX_PAIRS``, ``MAX_UNITS`` and
 the longest text of a batch.
 """
 
@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoAges, add_column, prepare, take_columns, text_list
+from .common import TwoAges, add_column, claim, prepare, take_columns, text_list
 
 MAX_MOVES = 250_000
 MAX_PAIRS = 200_000
+MAX_STATES = 150_000
 #: bytes of one match after which settled tokens are emitted
 SETTLE_BYTES = 256
 #: words up to this many bytes are run together
@@ -269,7 +270,7 @@ class Transducer:
     def encode_many(self, words: list[bytes]) -> list[bytes]:
         """Ids of many matches as packed uint32 values: all words step through
         the transducer together, and their chains are read off together."""
-        if self.in_slots > SLOTS // 3 or len(self.states) > MAX_MOVES:
+        if self.in_slots > SLOTS // 3 or len(self.states) > MAX_STATES:
             self._reset()
         out: list[bytes] = [b""] * len(words)
         short = [i for i, w in enumerate(words) if 0 < len(w) <= RUN_BYTES]
@@ -450,7 +451,8 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """The codec of a task; :func:`release` drops it when the task has ended."""
+    """One codec per Python worker, until another operator's task claims it."""
+    claim("bpe", release)
     key = (path, pattern)
     if key not in _codecs:
         _codecs[key] = Codec(path, pattern)
@@ -458,7 +460,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def release() -> None:
-    """Workers outlive their tasks; other operators' tasks need the memory."""
+    """Drop the codecs: another operator's task needs the memory."""
     _codecs.clear()
 
 
@@ -470,7 +472,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text",
     def make(col: pa.Array) -> list[bytes]:
         return codec(path, pattern).encode_all(text_list(col))
 
-    return add_column(df, ids_col, T.BinaryType(), text_col, make, release)
+    return add_column(df, ids_col, T.BinaryType(), text_col, make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids",
@@ -482,7 +484,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids",
         c = codec(path, pattern)
         return [b"" if x is None else c.decode(x) for x in col.to_pylist()]
 
-    return add_column(df, out_col, T.BinaryType(), ids_col, make, release)
+    return add_column(df, out_col, T.BinaryType(), ids_col, make)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -500,7 +502,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
         return out
 
     docs = take_columns(df, ["doc_id", "text"])
-    return add_column(docs, "r", kind, "text", make, release).select("doc_id", "r.*")
+    return add_column(docs, "r", kind, "text", make).select("doc_id", "r.*")
 
 
 def digests(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

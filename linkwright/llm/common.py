@@ -236,10 +236,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
 
 
 def add_column(df: DataFrame, name: str, kind: T.DataType, source: str,
-               make: Callable[[pa.Array], Sequence], finish: Callable[[], None] | None = None) -> DataFrame:
+               make: Callable[[pa.Array], Sequence]) -> DataFrame:
     """``df`` with one more column, made from column ``source`` Arrow batch by
-    Arrow batch. A column that already bears the name is replaced. ``finish``
-    runs when a task has ended."""
+    Arrow batch. A column that already bears the name is replaced."""
     pos = [i for i, c in enumerate(df.columns) if c.lower() != name.lower() or c == source != name]
     src = df.columns.index(source)
     flat = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
@@ -247,17 +246,25 @@ def add_column(df: DataFrame, name: str, kind: T.DataType, source: str,
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for b in batches:
-                cols = [b.column(i) for i in pos] + [pa.array(make(b.column(src)), arrow)]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-        finally:
-            if finish is not None:
-                finish()
+        for b in batches:
+            cols = [b.column(i) for i in pos] + [pa.array(make(b.column(src)), arrow)]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return flat.mapInArrow(run, schema).toDF(*[df.columns[i] for i in pos], name)
 
 
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None] | None = None) -> None:
+    """Called by tasks: workers outlive tasks, so what other operators' tasks
+    left in this worker is dropped; ``release`` drops what this one will leave."""
+    for other in [n for n in _holders if n != name]:
+        _holders.pop(other)()
+    if release is not None:
+        _holders[name] = release
+
+
 class TwoAges:
     """A bounded cache: when the young half is full it becomes the old half;
     an old entry that is asked for again becomes young."""

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, prepare, shingle_hashes, take_columns, utf8_buffers, word_hashes
+from .common import add_column, claim, prepare, shingle_hashes, take_columns, utf8_buffers, word_hashes
 
 MAX_TRAIN = 20_000
 MAX_BINS = 32
@@ -63,6 +63,7 @@ _WIDE, _SPACE = np.arange(256) >= 128, _class(b" \t\n\x0b\x0c\r")
 
 def features(col: pa.Array) -> np.ndarray:
     """One row of FEATURES per text."""
+    claim("gam")
     raw, offs = utf8_buffers(col)
     n = len(offs) - 1
     out = np.zeros((n, len(FEATURES)))

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (components, mix64, prepare, shingle_hashes, staged, take_columns, utf8_buffers,
+from .common import (claim, components, mix64, prepare, shingle_hashes, staged, take_columns, utf8_buffers,
                      word_hashes)
 
 WORDS = 5
@@ -67,6 +67,7 @@ SEED = 7
 # ------------------------------------------------------------------- weights
 def _shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct shingles, their counts, first index per text) of a column."""
+    claim("minhash")
     raw, offs = utf8_buffers(col)
     words, first = word_hashes(raw, offs)
     us, cs, lens = [], [], [0]

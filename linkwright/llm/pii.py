@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, prepare, staged, take_columns
+from .common import add_column, claim, prepare, staged, take_columns
 
 #: setting that names the key of the registered query and the pipeline
 KEY_SETTING = "spark.linkwright.surrogates.key"
@@ -406,6 +406,7 @@ def entities(df: DataFrame, text_col: str = "text", detect=find) -> DataFrame:
                          T.StructField("gender", T.StringType())])
 
     def make(col: pa.Array) -> list:
+        claim("pii")
         return [[{"kind": k, "canonical": c, "gender": _gender_of(k, g)}
                  for k, c, g in sorted({x[2:] for x in detect(t)})] if t else [] for t in col.to_pylist()]
 
@@ -494,6 +495,7 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", detect=find) -
                           + [T.StructField("_n", T.LongType()), T.StructField("_k", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
         base = known.value
         for b in batches:
             texts, own = b.column(pos).to_pylist(), b.column(b.num_columns - 1).to_pylist()
