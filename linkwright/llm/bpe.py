@@ -24,6 +24,7 @@ the longest text of a batch.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 
@@ -358,7 +359,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.machine = Transducer(load_ranks(path))
         self.split = regex.compile(_exact_classes(pattern))
-        self.spaced, self.bare, self.matches = (TwoAges(MAX_UNITS) for _ in range(3))
+        self.spaced, self.bare, self.matches = TwoAges(2 * MAX_UNITS), TwoAges(MAX_UNITS // 2), TwoAges(MAX_UNITS // 2)
 
     def _ids(self, text: str) -> bytes:
         out = []
@@ -405,9 +406,15 @@ class Codec:
         known = self.spaced.young
         fresh = [w for w in set().union(*[t.split(" ") for t in texts]) if w not in known and 0 < len(w) <= 64
                  and not w[0].isspace() and not w[-1].isspace() and self.spaced.again(w) is None]
-        units = [self.split.findall(" " + w) for w in fresh]
-        ranks, have = self.machine.ranks, {}
-        todo = []
+        ranks, put = self.machine.ranks, self.spaced.put
+        # an ASCII word of letters only is one match with its space
+        plain, rest = [], []
+        for w in fresh:
+            (plain if w.isascii() and w.isalpha() else rest).append(w)
+        spelt = [b" " + w.encode() for w in plain]
+        new = [i for i, d in enumerate(spelt) if d not in ranks]
+        units = [self.split.findall(" " + w) for w in rest]
+        have, todo = {}, []
         for m in {m for u in units for m in u}:
             ids = self.matches.young.get(m) or self.matches.again(m)
             if ids is None:
@@ -418,24 +425,37 @@ class Codec:
                     continue
                 ids = struct.pack("<I", whole)
             have[m] = ids
-        for (m, _), ids in zip(todo, self.machine.encode_many([d for _, d in todo])):
+        made = self.machine.encode_many([spelt[i] for i in new] + [d for _, d in todo])
+        for (m, _), ids in zip(todo, made[len(new):]):
             have[m] = ids
             self.matches.put(m, ids)
-        for w, u in zip(fresh, units):
-            self.spaced.put(w, b"".join([have[m] for m in u]))
+        for i, ids in zip(new, made):
+            put(plain[i], ids)
+        for w, d in zip(plain, spelt):
+            whole = ranks.get(d)
+            if whole is not None:
+                put(w, struct.pack("<I", whole))
+        for w, u in zip(rest, units):
+            put(w, b"".join([have[m] for m in u]))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, learning the words of some texts at a time."""
         out, part, size = [], [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t)
-            if size >= LEARN_CHARS:
-                self.learn(part)
-                out += [self.encode(x) for x in part]
-                part, size = [], 0
-        self.learn(part)
-        return out + [self.encode(x) for x in part]
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and there are many small objects
+        try:
+            for t in texts:
+                part.append(t)
+                size += len(t)
+                if size >= LEARN_CHARS:
+                    self.learn(part)
+                    out += [self.encode(x) for x in part]
+                    part, size = [], 0
+            self.learn(part)
+            return out + [self.encode(x) for x in part]
+        finally:
+            if collects:
+                gc.enable()
 
     def decode(self, ids: bytes) -> bytes:
         vocab = self.machine.vocab
