@@ -236,9 +236,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
 
 
 def add_column(df: DataFrame, name: str, kind: T.DataType, source: str,
-               make: Callable[[pa.Array], Sequence]) -> DataFrame:
+               make: Callable[[pa.Array], Sequence], finish: Callable[[], None] | None = None) -> DataFrame:
     """``df`` with one more column, made from column ``source`` Arrow batch by
-    Arrow batch. A column that already bears the name is replaced."""
+    Arrow batch. A column that already bears the name is replaced. ``finish``
+    runs when a task has ended."""
     pos = [i for i, c in enumerate(df.columns) if c.lower() != name.lower() or c == source != name]
     src = df.columns.index(source)
     flat = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
@@ -246,9 +247,13 @@ def add_column(df: DataFrame, name: str, kind: T.DataType, source: str,
     arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(i) for i in pos] + [pa.array(make(b.column(src)), arrow)]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        try:
+            for b in batches:
+                cols = [b.column(i) for i in pos] + [pa.array(make(b.column(src)), arrow)]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        finally:
+            if finish is not None:
+                finish()
 
     return flat.mapInArrow(run, schema).toDF(*[df.columns[i] for i in pos], name)
 
