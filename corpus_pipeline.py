@@ -76,7 +76,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids, decoded again; digests per document."""
     path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern()
-    return bpe.round_trip(docs, path, pattern)
+    return bpe.round_trip(docs, path, pattern, keep=False)
 
 
 STAGES = [
