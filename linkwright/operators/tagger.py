@@ -60,27 +60,38 @@ class ChainModel:
     words: dict[str, list[float]]
 
 
-def fit(df: DataFrame, col: str) -> ChainModel:
-    """Weights from the rule tagger's tags of all addresses with a city and a
-    street name. At most 10 * 10 + 8 * 6 + 2 * 4096 counts reach the driver."""
-    tagged = text.with_tags(df, col, "_t").where("_t.PlaceName is not null and _t.StreetName is not null")
+def _events(df: DataFrame, col: str) -> DataFrame:
+    """(what, a, b): each tag step, kind and word bucket of the rule-tagged rows."""
+    tagged = text.with_tags(df, col, "_t")
+    known = F.col("_t.PlaceName").isNotNull() & F.col("_t.StreetName").isNotNull()
 
     def labelled(name: str, letter: str) -> Column:
         return F.transform(tokens(F.col("_t")[name]), lambda w: F.named_struct(
-            F.lit("tag"), F.lit(letter), F.lit("w"), w))
+            F.lit("tag"), F.lit(letter), F.lit("w"), w, F.lit("kind"), kind(w)))
 
     seq = F.concat(*[labelled(name, letter) for name, letter in TAGS.items()])
-    rows = tagged.select(seq.alias("seq")).where(F.size("seq") > 0)
+    # as rows of a generator: a filter on them is not pushed below a repartitioning of
+    # the input, where the rules would run a second time in the few tasks of its scan
+    rows = tagged.select(F.inline(F.array(F.struct(F.when(known, seq).alias("seq"))))).where(F.size("seq") > 0)
+
+    def event(what: str, a: Column, b: Column) -> Column:
+        return F.named_struct(F.lit("what"), F.lit(what), F.lit("a"), a, F.lit("b"), b)
+
+    # all counts of a row in one pass, so that its tags are made once
     letters = F.concat(F.array(F.lit("<")), F.col("seq.tag"), F.array(F.lit(">")))
-    moves = rows.select(letters.alias("x")).select(F.explode(F.zip_with(
-        F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1),
-        lambda a, b: F.named_struct(F.lit("what"), F.lit("move"), F.lit("a"), a, F.lit("b"), b))).alias("e")).select("e.*")
-    each = rows.select(F.explode("seq").alias("s")).select("s.tag", "s.w", kind(F.col("s.w")).alias("kind"))
-    seen = each.select(F.lit("kind").alias("what"), F.col("tag").alias("a"), F.col("kind").cast("string").alias("b"))
-    words = each.where((F.col("kind") == 5) & F.col("tag").isin(list(WORDED))).select(
-        F.lit("word").alias("what"), F.col("tag").alias("a"), bucket(F.col("w")).cast("string").alias("b"))
+    moves = F.zip_with(F.slice("x", 1, F.size("x") - 1), F.slice("x", 2, F.size("x") - 1),
+                       lambda a, b: event("move", a, b))
+    seen = F.transform("seq", lambda s: event("kind", s["tag"], s["kind"].cast("string")))
+    words = F.transform(F.filter("seq", lambda s: (s["kind"] == 5) & s["tag"].isin(list(WORDED))),
+                        lambda s: event("word", s["tag"], bucket(s["w"]).cast("string")))
+    return rows.withColumn("x", letters).select(F.explode(F.concat(moves, seen, words)).alias("e")).select("e.*")
+
+
+def fit(df: DataFrame, col: str) -> ChainModel:
+    """Weights from the rule tagger's tags of all addresses with a city and a
+    street name. At most 10 * 10 + 8 * 6 + 2 * 4096 counts reach the driver."""
     n = {(r["what"], r["a"], r["b"]): r["count"]
-         for r in moves.unionByName(seen).unionByName(words).groupBy("what", "a", "b").count().collect()}
+         for r in _events(df, col).groupBy("what", "a", "b").count().collect()}
 
     def logs(what: str, a: str, options: list[str]) -> list[float]:
         got = [n.get((what, a, b), 0) for b in options]
@@ -138,7 +149,10 @@ def tag_sequences(df: DataFrame, col: str, model: ChainModel, out: str = "tags")
     """O-PRS4: the rule tagger's tags where it finds a city after a comma;
     elsewhere ZIP and state from the end and the chain's tags before them."""
     staged = df.withColumn("_g1", text._tag_stage1(F.col(col))).withColumn("_g2", text._tag_stage2(F.col("_g1"))) \
-        .withColumn("_rule", text._tag_stage3(F.col("_g2"))).withColumn("_toks", tokens(F.col("_g1.rest")))
+        .withColumn("_rule", text._tag_stage3(F.col("_g2")))
+    # the chain is only asked where the rules found no city
+    staged = staged.withColumn("_toks", F.when(F.col("_rule.PlaceName").isNull(), tokens(F.col("_g1.rest"))).otherwise(
+        F.array().cast("array<string>")))
     done = decode(staged, model, "_toks", "_path")
 
     def of(letter: str) -> Column:

@@ -70,3 +70,18 @@ def test_weights_of_no_rows(spark):
     model = G.fit(frame(spark, []), "address")
     assert all(abs(math.exp(x) - 1 / 9) < 1e-12 for x in model.start)
     assert G.tag_sequences(frame(spark, []), "address", model).count() == 0
+
+
+def test_rules_run_once_and_above_a_repartitioning(spark):
+    """Counting reads the rows once; nothing of the rules moves below the input's repartitioning."""
+    events = G._events(frame(spark, addresses(5, 3)).repartition(4), "address")
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1
+    below = plan[plan.index("Repartition"):]
+    assert "Filter" not in below and "regexp" not in below
+    chain = spark.createDataFrame([(1, "12 Oak Road, Salem, IL 62701")], "id long, address string")
+    n = {(r.what, r.a, r.b): r["count"] for r in G._events(chain, "address").groupBy("what", "a", "b").count().collect()}
+    assert n.pop(("word", "S", "%d" % chain.select(G.bucket(F.lit("Oak"))).first()[0])) == 1
+    assert n.pop(("word", "C", "%d" % chain.select(G.bucket(F.lit("Salem"))).first()[0])) == 1
+    assert n == {("move", a, b): 1 for a, b in ["<N", "NS", "ST", "TC", "C>"]} | {
+        ("kind", a, b): 1 for a, b in ["N0", "S5", "T3", "C5"]}
