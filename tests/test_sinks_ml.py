@@ -95,3 +95,33 @@ def test_training_pairs_model_cv_and_persist(spark, tmp_path):
     assert set(rep) >= {"0", "1", "accuracy", "macro avg", "weighted avg"}
     top = M.feature_importance(m1, cols, 5).collect()
     assert len(top) == 5 and top[0].importance >= top[-1].importance
+
+
+def test_sinks_validate_once(spark, tmp_path, monkeypatch):
+    """The rules run once a row, though three sinks read their result, and not in the scan's one task."""
+    from linkwright.operators import validate
+    from linkwright.plans import queries as Q
+
+    spark.createDataFrame([(k, k % 25, f"Customer{k}", "BUILDING") for k in range(1, 60)],
+                          "c_custkey long, c_nationkey int, c_name string, c_mktsegment string").coalesce(1) \
+        .write.parquet(str(tmp_path / "customer.parquet"))
+    rows = spark.sparkContext.accumulator(0)
+    plain, parts = validate.validate_facilities, []
+
+    @F.udf("boolean")
+    def seen(_):
+        rows.add(1)
+        return True
+
+    def counted(df):
+        parts.append(df.rdd.getNumPartitions())
+        out = plain(df)
+        return out.withColumn("errors", F.when(seen("atom_id"), F.col("errors")))
+
+    monkeypatch.setattr(validate, "validate_facilities", counted)
+    out = Q.QUERIES["sink_roundtrips"](spark, str(tmp_path))
+    assert rows.value == 59 and parts[0] > 1
+    bad = {k for k in range(1, 60) if k % 11 == 0 or k % 13 == 0 or k % 17 == 0 or k % 19 == 0}
+    got = {(r.sink, int(r.k)) for r in out.collect()}
+    assert got == {("matches", k) for k in range(1, 60) if k % 5} | {
+        ("audit" if k in bad else "valid", k) for k in range(1, 60)}
