@@ -219,3 +219,13 @@ def test_link_addresses_query_compares_all_pairs(spark, monkeypatch):
     assert got == want and got[900][0] == 1
     blocked = Q.QUERIES["link_addresses_blocked"](spark, "").collect()
     assert 900 not in {r.record1_id for r in blocked if r.record2_id == 1}
+
+
+def test_rows_of_one_house_are_not_all_candidates(spark):
+    """Bigrams that begin with the house are no key between different ZIPs."""
+    cities = ["Salem", "Dayton", "Milton", "Auburn", "Hudson", "Marion"]
+    rows = [(i, f"137 Oak Street, Suite {i % 9}, {cities[i % 6]}, IL {10000 + 7 * i}") for i in range(60)]
+    near = [(i, a.replace("Street", "St")) for i, a in rows]
+    L, R = (pairs.prepare_addresses(spark.createDataFrame(x, "id long, address string")).checkpoint() for x in (rows, near))
+    found = {(r.l_id, r.r_id) for r in pairs.best_match_candidates(L, R, 0.8).select("l_id", "r_id").collect()}
+    assert {(i, i) for i in range(60)} <= found and len(found) < 0.2 * 60 * 60

@@ -120,3 +120,20 @@ def test_components(spark):
     got = {r.id: r.component for r in graph.components(e).collect()}
     assert got == {3: 3, 5: 3, 9: 3, 7: 7, 8: 7, 20: 20, 21: 20, 22: 20}
     assert graph.components(e.limit(0)).count() == 0
+
+
+def test_bits_match_the_characters_that_jaro_matches():
+    rnd = random.Random(8)
+    a, b = (["".join(rnd.choice("ab é1") for _ in range(rnd.randint(0, 30))) for _ in range(500)] for _ in range(2))
+    (x, n), (y, m) = search.encode(a), search.encode(b)
+    for got, want in zip(search._matched_bits(x, n, y, m), search._matched(x, n, y, m)):
+        assert (got == want).all()
+
+
+def test_components_alone_rule_pairs_out():
+    metric = search.Blend({"house_number": 0.4, "unit": 0.1, "zipcode": 0.1})
+    a = [["1 elm st", "9 oak st", "elm"], ["1", "9", ""], ["", "2", ""], ["62701", "", ""]]
+    b = [["1 elm st", "1 oak st", "elk"], ["1", "1", "3"], ["4", "8", ""], ["62702", "", ""]]
+    score, above = metric.score(a, b), metric.score_above(a, b, 0.85)
+    assert np.isnan(above[1]) and score[1] <= 0.85
+    assert above[[0, 2]].tolist() == score[[0, 2]].tolist()
