@@ -37,15 +37,17 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TwoAges, prepare, take_columns
+from .common import TwoAges, claim, prepare, take_columns
 
 MAGIC = b"IDB1"
 BLOCK_IDS = 1 << 16
@@ -58,6 +60,9 @@ MIX_LIMIT = 4096
 MAX_UNITS = 400_000
 #: printable ASCII and Latin-1 letters: composed already, lower case is by character
 _PLAIN = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: the byte-level alphabet's two characters for the UTF-8 bytes of these letters
+_BYTE_LEVEL = {c: "Ã" + chr(b + 162 if b < 161 else 323 if b == 173 else b)
+               for c in range(192, 256) for b in [chr(c).encode("utf-8")[1]]}
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _U16, _U48 = np.uint64(16), np.uint64(48)
 
@@ -77,66 +82,77 @@ class Encoder:
         #: stretches with one of these go to the library uncut
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"\Z.").search
-        self.cache, self.pieces = TwoAges(MAX_UNITS), TwoAges(MAX_UNITS)
-        self.split = None
-        if self._lower_case_split():
-            self.split = regex.compile(self._lower_case_split())
+        self.cache = TwoAges(MAX_UNITS)
+        self.split, self.model = self._lower_case_split(path), self.tok.model
 
-    def _lower_case_split(self) -> str | None:
+    @staticmethod
+    def _lower_case_split(path: str) -> regex.Pattern | None:
         """The file's split pattern, if it lower-cases and drops what lies between matches."""
-        spec = json.loads(self.tok.to_str())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         norm = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if norm == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in pre] == ["Split", "ByteLevel"] \
-                and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and not pre[1].get("use_regex", True):
-            return pre[0]["pattern"].get("Regex")
+                and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and not pre[1].get("use_regex", True) \
+                and not pre[1].get("add_prefix_space", True) and pre[0]["pattern"].get("Regex"):
+            return regex.compile(pre[0]["pattern"]["Regex"])
         return None
 
+    def _encode_plain(self, text: str) -> bytes:
+        """Packed ids of a stretch of plain Latin letters and signs: the library's
+        model over its matches of the file's own split pattern."""
+        lower, out = text.lower(), []
+        for p in (lower,) if text.isalpha() else self.split.findall(lower):
+            # a match is a stretch, too, with the same ids
+            ids = None if p == text else self.cache.young.get(p) or self.cache.again(p)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(
+                    p if p.isascii() else p.translate(_BYTE_LEVEL))]).tobytes()
+                if p != text and len(p) <= 64:
+                    self.cache.put(p, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def _encode_new(self, new: list[str]) -> dict[str, bytes]:
+        """Packed ids of stretches that the cache lacks."""
+        out, rest = {}, []
+        for p in new:
+            if self.split and (p.isascii() and p.isalpha() or _PLAIN.fullmatch(p) and not self.added(p)):
+                out[p] = self._encode_plain(p)
+            else:
+                rest.append(p)
+        for at in range(0, len(rest), 10_000):
+            some = rest[at:at + 10_000]
+            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                out[p] = array("I", e.ids).tobytes()
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Packed ids of every text; what the cache lacks is encoded in one call."""
-        get, again = self.cache.young.get, self.cache.again
-        split = [t.split() for t in texts]
-        new: dict[bytes, bytes] = {}
-        for parts in split:
-            for p, known in zip(parts, map(get, parts)):
-                if known is None and p not in new:
-                    old = again(p)
-                    new[p] = old if old is not None else b""
-        # stretches of plain Latin letters and signs fall into matches of the file's own
-        # split pattern, which are encoded alone and cached too
-        lack, cut, todo = [p for p, ids in new.items() if not ids], {}, {}
-        for p in lack:
-            text = p.decode("utf-8")
-            cuttable = self.split and _PLAIN.fullmatch(text) and not self.added(text)
-            parts = self.split.findall(text.lower()) if cuttable else [text]
-            cut[p] = parts
-            for m in parts:
-                if m not in self.pieces.young and self.pieces.again(m) is None:
-                    todo[m] = b""
-        names = list(todo)
-        for at in range(0, len(names), 10_000):
-            some = names[at:at + 10_000]
-            for m, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                ids = e.ids
-                todo[m] = struct.pack(f"<{len(ids)}I", *ids)
-        for p, parts in cut.items():
-            new[p] = b"".join([todo[m] if m in todo else self.pieces.young.get(m) or self.pieces.old.get(m, b"")
-                               for m in parts])
-        for m, ids in todo.items():
-            if len(m) <= 64:
-                self.pieces.put(m, ids)
-        for p in lack:
+        """Packed ids of every text."""
+        return [ids.tobytes() for ids in self.encode_column(pa.array(texts, pa.binary()))]
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of a binary column without nulls. A batch's different
+        stretches are looked up once, and what the cache lacks is encoded once."""
+        split = pc.ascii_split_whitespace(texts.view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.cache.young.get, words))
+        known = {p: self.cache.again(p) for p, x in zip(words, ids) if x is None}
+        new = self._encode_new([p for p, x in known.items() if x is None])
+        for p, x in new.items():
             if len(p) <= 64:
-                self.cache.put(p, new[p])
-        # entries may have aged meanwhile: young, new, then old
-        out = []
-        young, old = self.cache.young, self.cache.old
-        for parts in split:
-            got = list(map(young.get, parts))
-            if None in got:
-                got = [g if g is not None else new[p] if p in new else old[p] for p, g in zip(parts, got)]
-            out.append(b"".join(got))
-        return out
+                self.cache.put(p, x)
+        known.update(new)
+        ids = [known[p] if x is None else x for p, x in zip(words, ids)]
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        each = np.frombuffer(b"".join(ids), np.uint32)
+        at = coded.indices.to_numpy()
+        n = size[at]
+        end = np.concatenate([[0], np.cumsum(n)])
+        joined = each[np.repeat((np.cumsum(size) - size)[at] - end[:-1], n) + np.arange(end[-1])]
+        offsets = split.offsets.to_numpy()
+        return np.split(joined, end[offsets[1:-1] - offsets[0]]) if len(texts) else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -159,7 +175,7 @@ class _Model:
         self.t2 = np.zeros(blocks * SLOTS, np.int32)
         self.t1 = np.zeros(blocks * SLOTS, np.int32)
         self.mix = np.tile(np.array([1, 1, 2], np.int64), (blocks * 16, 1))
-        self.hist = np.ones(blocks * alphabet, np.int32)
+        self.hist, self.seen = np.ones(blocks * alphabet, np.int64), []
         self.base = np.arange(blocks, dtype=np.int64) << 40
         self._cuts()
         self.refresh(0)
@@ -173,6 +189,9 @@ class _Model:
         """Order-0 distribution after steps 0, 1, 2, 4 ... 64 and every 64th."""
         if step & (step - 1) and step % 64:
             return
+        if self.seen:  # the ids since the last refresh
+            self.hist += GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.hist))
+            self.seen = []
         h = self.hist.reshape(self.n, self.alphabet)
         cum = np.empty((self.n, self.alphabet + 1), np.int64)
         cum[:, 0] = self.base
@@ -216,7 +235,7 @@ class _Model:
             same = np.where(conf < 3, v + 1, v)
             other = np.where(conf > 1, v - 1, (x32 << 2) | 1)
             table[slot] = np.where((pred == x32) & (conf > 0), same, other)
-        np.add.at(self.hist, self.b * self.alphabet + x, GAIN)
+        self.seen.append(self.b * self.alphabet + x)
 
 
 def _lanes(sizes: list[int]) -> list[tuple[int, int, int]]:
@@ -233,6 +252,17 @@ def _active(lens: np.ndarray, step: int) -> int:
     return int(np.searchsorted(-lens, -step, side="left"))
 
 
+def _ripe(at: np.ndarray, low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the lanes ``at`` whose leading 16 bits are final, or made so by
+    a smaller range, with their low ends and ranges."""
+    lo, r = low[at], rng[at]
+    go = np.flatnonzero(((lo ^ (lo + r)) < _TOP) | (r < _BOT))
+    lo, r = lo[go], r[go]
+    tight = (lo ^ (lo + r)) >= _TOP
+    r = np.where(tight, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)), r)
+    return at[go], lo, r
+
+
 def compress(blocks: list[np.ndarray], alphabet: int) -> list[list[np.ndarray]]:
     """The u16 words of every lane of every block of ids."""
     lanes = _lanes([len(x) for x in blocks])
@@ -254,12 +284,7 @@ def compress(blocks: list[np.ndarray], alphabet: int) -> list[list[np.ndarray]]:
     def settle(at):
         """Emit the leading 16 bits of the lanes ``at`` while they are final."""
         while len(at):
-            lo, r = low[at], rng[at]
-            final = (lo ^ (lo + r)) < _TOP
-            tight = ~final & (r < _BOT)
-            r = np.where(tight, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)), r)
-            go = final | tight
-            at, lo, r = at[go], lo[go], r[go]
+            at, lo, r = _ripe(at, low, rng)
             out[at, pos[at]] = (lo >> _U48).astype(np.uint16)
             pos[at] += 1
             low[at], rng[at] = lo << _U16, r << _U16
@@ -328,12 +353,7 @@ def decompress(words: list[list[np.ndarray]], sizes: list[int], alphabet: int) -
 
     def settle(at):
         while len(at):
-            lo, r = low[at], rng[at]
-            final = (lo ^ (lo + r)) < _TOP
-            tight = ~final & (r < _BOT)
-            r = np.where(tight, (~lo + np.uint64(1)) & (_BOT - np.uint64(1)), r)
-            go = final | tight
-            at, lo, r = at[go], lo[go], r[go]
+            at, lo, r = _ripe(at, low, rng)
             code[at] = (code[at] << _U16) | stream[np.minimum(pos[at], last)]
             pos[at] += 1
             low[at], rng[at] = lo << _U16, r << _U16
@@ -360,7 +380,10 @@ def decompress(words: list[list[np.ndarray]], sizes: list[int], alphabet: int) -
                 total = m.total[be]
                 r = rng[esc] // total.astype(np.uint64)
                 value = np.minimum(((code[esc] - low[esc]) // r).astype(np.int64), total - 1)
-                hit = np.searchsorted(m.cum, value + m.base[be], side="right") - 1
+                key = value + m.base[be]
+                order = np.argsort(key)  # neighbours are found sooner
+                hit = np.empty(len(key), np.int64)
+                hit[order] = np.searchsorted(m.cum, key[order], side="right") - 1
                 x[esc] = hit - be * m.width
                 c = m.cum.take(hit)
                 low[esc] += (c - m.base[be]).astype(np.uint64) * r
@@ -432,8 +455,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("token-ids", _encoders.clear)
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], np.uint32)
         ready: list[tuple[list, list[np.ndarray]]] = []
         names, ids, fill, block, first = [], [], 0, 0, 0
 
@@ -451,9 +475,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
             return out
 
         for b in batches:
-            for doc_id, packed in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
+            for doc_id, own in zip(b.column(0).to_pylist(), enc.encode_column(b.column(1))):
                 names.append(doc_id)
-                ids.append(np.frombuffer(packed + end, "<u4"))
+                ids.append(np.concatenate([own, end]))
                 fill += len(ids[-1])
                 if fill >= block_ids:
                     ready.append((names, ids))
@@ -475,6 +499,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token-id-blocks")  # the encoder isn't needed here
         for b in batches:
             for at in range(0, b.num_rows, BATCH_BLOCKS):
                 piece = b.slice(at, BATCH_BLOCKS)

@@ -5,17 +5,14 @@ Each query applies its operator with production parameters to its whole table.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import scratch_path
 from . import alignment, bpe, ego, fingerprints, gam, idcoder, interactions, minhash, mixing, pii, rules, unigram_count, warc
-from .common import add_column, prepare, split_pattern, table, take_columns, vocabulary
+from .common import prepare, split_pattern, table, take_columns, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,13 +63,8 @@ def op5_token_id_files(spark, sf_dir):
     """All documents tokenized, written as coded id blocks and read back."""
     path = scratch_path(spark, "token-ids")
     idcoder.write_ids(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
-    docs = idcoder.read_documents(spark, path)
-
-    def crc(col: pa.Array) -> list[int]:
-        return [zlib.crc32(x) for x in col.to_pylist()]
-
-    return add_column(docs, "ids_crc32", T.LongType(), "ids", crc).select(
-        "doc_id", "start", "n_tokens", "ids_crc32")
+    return idcoder.read_documents(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 @_register

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from linkwright.llm import bpe, idcoder, mixing, rules, unigram_count
+from linkwright.llm import bpe, idcoder, mixing, queries, rules, unigram_count
 from linkwright.llm.common import take_columns
 
 from .data import LONG, documents, frame
@@ -247,6 +247,24 @@ def test_added_tokens_in_texts_are_their_own_ids(spark, tmp_path):
     assert [r[0] for r in got] == np.cumsum([0] + [len(w) + 1 for w in want[:-1]]).tolist()
 
 
+def test_encoder_keeps_no_more_than_its_limit(monkeypatch):
+    from linkwright.llm import common
+
+    monkeypatch.setattr(idcoder, "MAX_UNITS", 100)
+    enc = idcoder.Encoder(WORDPIECE)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}, Übe{chr(97 + i % 26)}{chr(97 + i // 26)}&&" for i in range(500)]
+    enc.encode([w.encode() for w in words])
+    kept = sum(len(c.young) + len(c.old) for c in vars(enc).values() if isinstance(c, common.TwoAges))
+    assert kept <= 100
+
+
+def test_id_files_are_read_by_one_python_step(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    plan = queries.QUERIES["op5_token_id_files"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_id_files_empty_table(spark, tmp_path):
     idcoder.write_ids(frame(spark, []), str(tmp_path / "none"), WORDPIECE)
     assert idcoder.read_documents(spark, str(tmp_path / "none")).count() == 0
